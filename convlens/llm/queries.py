@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convlens.llm import chat, pii, secrets
+from convlens.llm import bpe, chat, pii, secrets, token_files
 from convlens.llm.shared import table
 from convlens.llm.spans import spans_text
 
@@ -14,6 +14,17 @@ def _count(kind: str) -> Column:
     return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, manifest = token_files.write_token_files(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
+    return token_files.read_token_files(spark, folder, manifest)
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
     return found.select(
@@ -21,6 +32,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     planted = spark.range(2).select(
@@ -49,4 +64,4 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op5_secret_scan, op9_chat_format, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op5_secret_scan, op7_bpe, op9_chat_format, op10_pii)}
