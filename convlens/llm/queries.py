@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convlens.llm import bpe, chat, neardup, pii, secrets, token_files
+from convlens.llm import bpe, chat, neardup, neighbours, pii, secrets, substrings, token_files
 from convlens.llm.shared import table
 from convlens.llm.spans import spans_text
 
@@ -25,10 +25,18 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, folder, manifest)
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), width=50).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
     return found.select(
@@ -68,4 +76,4 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op3_near_duplicates, op5_secret_scan, op7_bpe, op9_chat_format, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_neighbours, op3_near_duplicates, op4_repeated_passages, op5_secret_scan, op7_bpe, op9_chat_format, op10_pii)}

@@ -98,3 +98,57 @@ def test_sketch_estimates():
         a, b = np.unique(sets[: common + extra]), np.unique(np.concatenate([sets[:common], sets[common + extra :]]))
         got = neardup.estimate(neardup.sketch(a)[None], neardup.sketch(b)[None], np.array([len(a)]), np.array([len(b)]))[0, 0]
         assert abs(got - common / (common + 2 * extra)) < 0.2
+
+
+def brute_removal(rows, width):
+    first = {}
+    for i, t in rows:
+        w = WORD.findall(t or "")
+        for k in range(len(w) - width + 1):
+            key = tuple(w[k : k + width])
+            if i is not None:
+                first[key] = min(first.get(key, i), i)
+    out = []
+    for i, t in rows:
+        w = WORD.findall(t or "")
+        keep = [True] * len(w)
+        for k in range(len(w) - width + 1):
+            if i is not None and first[tuple(w[k : k + width])] < i:
+                keep[k : k + width] = [False] * width
+        kept = " ".join(x for x, y in zip(w, keep) if y)
+        out.append((i, len(w), keep.count(False), hashlib.sha256(kept.encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+def passages():
+    pick = random.Random(9)
+    word = lambda: "".join(pick.choice("abcdeé") for _ in range(3))
+    common = [[word() for _ in range(n)] for n in (12, 30, 60, 200)]
+    rows = []
+    for i in range(120):
+        parts = [[word() for _ in range(pick.randrange(0, 30))]]
+        for _ in range(pick.randrange(0, 3)):
+            parts += [common[pick.randrange(4)], [word() for _ in range(pick.randrange(0, 30))]]
+        rows.append((pick.randrange(10**6), pick.choice([" ", "\n", " \t "]).join(w for p in parts for w in p)))
+    again = " ".join(["x"] * 300)
+    return rows + [(-1, again), (0, again), (0, again), (7, again + " y"), (7, again), (None, again), (None, None), (5, None), (6, ""), (8, " ".join(common[3])), (8, " ".join(common[3])), (9, "w " * 20000)]
+
+
+@pytest.mark.parametrize("width,inner,most", [(10, 3, 4), (10, 10, 1000), (50, 12, 8)])
+def test_repeats_match_brute_force(spark, width, inner, most):
+    from convlens.llm import substrings
+
+    rows = passages()
+    docs = spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, kept string, n_words int")
+    got = substrings.remove_repeats(docs, width=width, inner=inner, most_in_bucket=most)
+    assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got.collect()), key=str) == brute_removal(rows, width)
+
+
+def test_repeats_of_all_documents(spark):
+    from convlens.llm import substrings
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = [(r[0], r[1]) for r in docs.select("doc_id", "text").collect()]
+    got = [(r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substrings.remove_repeats(docs).collect()]
+    assert sorted(got, key=str) == brute_removal(rows, 50)
+    assert substrings.remove_repeats(docs.limit(0)).count() == 0
