@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convlens.llm import bpe, chat, neardup, neighbours, pii, secrets, substrings, token_files
+from convlens.llm import bpe, chat, decontaminate, neardup, neighbours, pii, quality, secrets, substrings, token_files
 from convlens.llm.shared import table
 from convlens.llm.spans import spans_text
 
@@ -44,10 +44,18 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     planted = spark.range(2).select(
@@ -76,4 +84,4 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_neighbours, op3_near_duplicates, op4_repeated_passages, op5_secret_scan, op7_bpe, op9_chat_format, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_neighbours, op3_near_duplicates, op4_repeated_passages, op5_secret_scan, op6_quality, op7_bpe, op8_decontaminate, op9_chat_format, op10_pii)}
