@@ -213,7 +213,7 @@ def contaminated(
     size = tests.agg(F.sum(F.octet_length("text"))).first()[0]
     cuts, reach = max(1, math.ceil(size / block_bytes)), max(64, int(longest))
     frequency = measured.select(F.explode("terms").alias("term")).groupBy("term").count()
-    blocked = tests.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(cuts)))
+    blocked = tests.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(cuts)))
     out = None
     for block in range(cuts):
         mine = blocked.where(F.col("block") == block)

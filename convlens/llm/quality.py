@@ -198,18 +198,12 @@ def fold(doc_id: Column, folds: int = 4) -> Column:
     return F.crc32(doc_id.cast("string")) % folds
 
 
-def score_quality(
-    docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", label_id: str = "doc_id",
-    folds: int = 4, held_out: int = 2, least: float = 0.7, sample_rows: int = 20_000,
-) -> DataFrame:
-    """doc_id, held_out, score, predicted (1 if score >= least); one row per row of docs."""
+def fit(docs: DataFrame, labels: DataFrame, folds: int, held_out: int, sample_rows: int):
+    """Broadcast word vectors and network. docs: doc_id, text; labels: doc_id, label."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    vectors = spark.sparkContext.broadcast(word_vectors(rows))
-
-    known = labels.select(F.col(label_id).cast("long").alias("doc_id"), F.col(label).cast("double").alias("label")).where("doc_id is not null and label is not null")
-    known = known.where(fold(F.col("doc_id"), folds) != held_out).groupBy("doc_id").agg(F.avg("label").alias("label"))
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    vectors = spark.sparkContext.broadcast(word_vectors(docs))
+    known = labels.where("doc_id is not null and label is not null").where(fold(F.col("doc_id"), folds) != held_out)
+    sample = known.groupBy("doc_id").agg(F.avg("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,21 +212,52 @@ def score_quality(
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([f.tobytes() for f in own], pa.binary())], names=["label", "features"])
 
     # sample_rows labels at most, so they can be sent to every task
-    some = rows.join(F.broadcast(sample), "doc_id").select("label", "text").mapInArrow(learn, "label double, features binary").collect()
+    some = docs.join(F.broadcast(sample), "doc_id").select("label", "text").mapInArrow(learn, "label double, features binary").collect()
     some.sort(key=lambda r: (bytes(r["features"]), r["label"]))
     x = np.frombuffer(b"".join(r["features"] for r in some), np.float32).reshape(-1, FEATURES).astype(np.float64)
-    network = spark.sparkContext.broadcast(Network(x, np.array([r["label"] for r in some])) if some else Network(np.zeros((1, FEATURES)), np.zeros(0)))
+    network = Network(x, np.array([r["label"] for r in some])) if some else Network(np.zeros((1, FEATURES)), np.zeros(0))
+    return vectors, spark.sparkContext.broadcast(network)
+
+
+def _scores(column: pa.Array, vectors, network) -> np.ndarray:
+    parts = [network.value.scores(features(raw, off, vectors.value).astype(np.float64)) for _, _, raw, off in blocks(column)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
+def score_quality(
+    docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", label_id: str = "doc_id",
+    folds: int = 4, held_out: int = 2, least: float = 0.7, sample_rows: int = 20_000,
+) -> DataFrame:
+    """doc_id, held_out, score, predicted (1 if score >= least); one row per row of docs."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    known = labels.select(F.col(label_id).cast("long").alias("doc_id"), F.col(label).cast("double").alias("label"))
+    vectors, network = fit(rows, known, folds, held_out, sample_rows)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, raw, off in blocks(batch.column(1)):
-                scores = network.value.scores(features(raw, off, vectors.value).astype(np.float64))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(scores, pa.float64())], names=["doc_id", "score"])
+            scores = _scores(batch.column(1), vectors, network)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
-    scored = rows.mapInArrow(judge, "doc_id long, score double")
-    return scored.select(
+    return rows.mapInArrow(judge, "doc_id long, score double").select(
         "doc_id",
         F.coalesce(fold(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out"),
         "score",
         F.when(F.col("score") >= least, 1).otherwise(0).alias("predicted"),
     )
+
+
+def keep_good(
+    docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", label_id: str = "doc_id",
+    folds: int = 4, held_out: int = 2, least: float = 0.7, sample_rows: int = 20_000,
+) -> DataFrame:
+    """The rows of ``docs`` that score_quality would predict to be good, with all their columns and without a join."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    known = labels.select(F.col(label_id).cast("long").alias("doc_id"), F.col(label).cast("double").alias("label"))
+    vectors, network = fit(rows, known, folds, held_out, sample_rows)
+    at = docs.columns.index(text)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(batch.column(at), vectors, network) >= least))
+
+    return docs.mapInArrow(keep, docs.schema)
