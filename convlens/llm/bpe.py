@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convlens.llm.memo import Memo
+from convlens.llm.memo import Memo, stops_apart
 
 # Fixed value: the pattern that cuts a text into words before merging.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -39,7 +39,7 @@ def byte_of_letter() -> dict[str, int]:
 class Bpe:
     """A vocabulary with its automaton and merge order."""
 
-    def __init__(self, path: str, most: int = 150_000):
+    def __init__(self, path: str, most: int = 400_000):
         import ahocorasick
         import regex
 
@@ -58,7 +58,7 @@ class Bpe:
             self.rank[a, b] = order
             self.parts.setdefault(whole, (a, b, order))
         self.left_edge, self.right_edge = lru_cache(1 << 16)(self._left_edge), lru_cache(1 << 16)(self._right_edge)
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.automaton = ahocorasick.Automaton()
         for token, i in vocab.items():
             if token not in self.special and self._stands(i):
@@ -67,8 +67,10 @@ class Bpe:
         self.automaton.make_automaton()
         self.words = regex.compile(WORDS)
         self.cut = re.compile("|".join(map(re.escape, self.special))) if self.special else None
-        self.word, self.part = Memo(self._word, most), Memo(self._part, most)
+        self.word, self.part = Memo(self._word, most // 8), Memo(self._part, most)
         n = max(self.bytes) + 1
+        self.lengths = {i: len(b) for i, b in self.bytes.items()}
+        self.decimal = {i: str(i) for i in self.bytes}
         size = np.array([len(self.bytes.get(i, b"")) for i in range(n)], np.int64)
         self.size, self.first = size, np.cumsum(size) - size
         self.all_bytes = np.frombuffer(b"".join(self.bytes.get(i, b"") for i in range(n)), np.uint8)
@@ -108,60 +110,67 @@ class Bpe:
         return not self._crossing(a, b, order) and self._stands(a) and self._stands(b)
 
     def compatible(self, a: int, b: int) -> bool:
-        known = self.pairs.get((a, b))
-        if known is None:
-            if len(self.pairs) >= 1 << 20:
-                self.pairs.clear()
-            known = self.pairs[a, b] = not self._crossing(a, b, float("inf"))
+        if len(self.pairs) >= 1 << 20:
+            self.pairs.clear()
+        known = self.pairs[a << 32 | b] = not self._crossing(a, b, float("inf"))
         return known
 
     def encode_word(self, word: bytes) -> list[int]:
         last = [-1] * (len(word) + 1)
+        known = self.pairs.get
         for end, (length, token) in self.automaton.iter(word.decode("latin-1")):
-            if last[end + 1] < 0:
-                start = end + 1 - length
-                if not start or self.compatible(last[start], token):
-                    last[end + 1] = token
+            end += 1
+            if last[end] < 0:
+                before = last[end - length]
+                if length == end:
+                    last[end] = token
+                else:
+                    fits = known(before << 32 | token)
+                    if fits or fits is None and self.compatible(before, token):
+                        last[end] = token
         out, at = [], len(word)
         while at:
-            out.append(last[at])
-            at -= len(self.bytes[last[at]])
-        return out[::-1]
+            token = last[at]
+            out.append(token)
+            at -= self.lengths[token]
+        out.reverse()
+        return out
 
-    def _word(self, word: str) -> tuple[str, bytes]:
-        ids = self.encode_word(word.encode())
-        return ",".join(map(str, ids)), np.array(ids, "<u4").tobytes()
+    def _word(self, word: str) -> str:
+        return ",".join([self.decimal[i] for i in self.encode_word(word.encode())])
 
-    def _part(self, part: str) -> tuple[str, bytes]:
+    def _part(self, part: str) -> str:
         """Ids of a stretch between spaces: with its leading space, unless a \\x01 says that none stood there."""
         text = part[1:] if part[:1] == "\x01" else part if part == "\n" else " " + part
-        found = [self.word[w] for w in self.words.findall(text)]
-        return ",".join(f[0] for f in found), b"".join(f[1] for f in found)
+        if part.isalpha():  # letters after a space are one word
+            return self._word(text)
+        return ",".join([self.word[w] for w in self.words.findall(text)])
 
     #: Texts in which white space is single spaces and line feeds between other characters are cut there at once.
-    UNEVEN = re.compile(r"\s\s|^\s|\s\Z|[^\S \n]|[\x00-\x08\x1c-\x1f]")
+    UNEVEN = re.compile("[\x00-\x09\x0b-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f\u3000\ufeff]")
 
-    def _plain(self, text: str) -> tuple[str, bytes]:
+    def _even(self, text: str) -> bool:
+        ends = text[0] in " \n" or text[-1] in " \n"
+        return not (ends or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or self.UNEVEN.search(text))
+
+    def _plain(self, text: str) -> str:
         if not text:
-            return "", b""
-        if self.UNEVEN.search(text):
-            found = [self.word[w] for w in self.words.findall(text)]
-        else:
-            get = self.part.__getitem__
-            found = [get(p) for p in ("\x01" + text.replace("\n", " \n \x01")).split(" ")]
-        return ",".join([f[0] for f in found]), b"".join([f[1] for f in found])
-
-    def encode(self, text: str) -> tuple[str, bytes]:
-        """Ids as decimal numbers joined by commas, and as bytes of u32. Special tokens' strings are those tokens."""
+            return ""
+        if self._even(text):
+            memo = self.part
+            return ",".join([memo[p] for p in ("\x01" + stops_apart(text).replace("\n", " \n \x01")).split(" ")])
+        return ",".join([self.word[w] for w in self.words.findall(text)])
+
+    def encode(self, text: str) -> str:
+        """Ids as decimal numbers joined by commas. The strings of special tokens are those tokens."""
         if self.cut is None or not any(s in text for s in self.special):
             return self._plain(text)
         done, at = [], 0
         for m in self.cut.finditer(text):
-            i = self.special[m[0]]
-            done += [self._plain(text[at : m.start()]), (str(i), np.array([i], "<u4").tobytes())]
+            done += [self._plain(text[at : m.start()]), str(self.special[m[0]])]
             at = m.end()
         done.append(self._plain(text[at:]))
-        return ",".join(d[0] for d in done if d[0]), b"".join(d[1] for d in done)
+        return ",".join(filter(None, done))
 
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 of the decoded text; bytes that are no UTF-8 become U+FFFD."""
@@ -197,8 +206,8 @@ def encode_documents(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", te
                 piece = batch.slice(lo, 256)
                 rows = []
                 for t in piece.column(1).to_pylist():
-                    told, raw = own.encode(t or "")
-                    ids = np.frombuffer(raw, "<u4")
+                    told = own.encode(t or "")
+                    ids = np.fromstring(told, np.int64, sep=",") if told else np.zeros(0, np.int64)
                     decoded = own.decode(ids)
                     rows.append((len(ids), sha(told.encode()), sha(decoded), *((ids.astype(np.int32), decoded.decode()) if with_ids else ())))
                 columns = [piece.column(0).cast(pa.int64()), *[pa.array(c, f[1]) for c, f in zip(zip(*rows), fields[1:])]]

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 
 class Memo(dict):
     """``memo[key]`` is ``make(key)``. Past ``most`` keys the older half goes, unless it is used again."""
 
-    def __init__(self, make: Callable, most: int = 150_000):
+    def __init__(self, make: Callable, most: int = 400_000):
         super().__init__()
         self.make, self.most, self.old = make, most, {}
 
@@ -16,9 +17,25 @@ class Memo(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
+        self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
         if len(key) < 200:  # long keys hardly repeat and would take the memory of many
             self[key] = value
-        return value
+
+
+#: A full stop or comma before white space, after anything but a letter or digit.
+_NOT_AFTER_WORD = re.compile("[\\W_]\x01")
+
+
+def stops_apart(text: str) -> str:
+    """``text`` with a space and \\x01 before the stops and commas that end words, if all of them directly follow letters or digits.
+
+    Words then repeat far oftener than words with stops. ``text`` must hold no \\x01 itself.
+    """
+    marked = text.replace(". ", "\x01. ").replace(", ", "\x01, ").replace(".\n", "\x01.\n")
+    return text if _NOT_AFTER_WORD.search(marked) else marked.replace("\x01", " \x01")
