@@ -1,0 +1,110 @@
+"""Corpus analytics: projects, topics, files, calls, samples and collections."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from convlens.functions.text import tokenize
+
+
+def project_of(conversations: DataFrame, scratch: str = r"^(/tmp|/var/folders|/private/tmp)(/|$)", worktree: str = r"/(?:\.worktrees|worktrees)/[^/]+") -> DataFrame:
+    """conversations with project: the directory, worktrees back with theirs, scratch ones none. A lone directory
+    ``…/worktree-of-NAME`` rejoins the earliest path that ends in NAME."""
+    plain = F.regexp_replace("cwd", worktree, "")
+    base = conversations.withColumn("__dir", F.when(F.col("cwd").isNotNull() & (F.col("cwd") != "") & ~F.rlike("cwd", F.lit(scratch)), plain))
+    name = F.nullif(F.regexp_extract("__dir", r"/worktree-of-([^/]+)$", 1), F.lit(""))
+    homes = base.where(F.col("__dir").isNotNull() & ~F.rlike("__dir", F.lit("/worktree-of-"))).groupBy(F.regexp_extract("__dir", "([^/]+)$", 1).alias("__name")).agg(F.min("__dir").alias("__home"))
+    joined = base.withColumn("__name", name).join(homes, "__name", "left")
+    return joined.withColumn("project", F.when(F.col("__name").isNotNull(), F.coalesce("__home", "__dir")).otherwise(F.col("__dir"))).drop("__dir", "__name", "__home")
+
+
+def rollup(conversations: DataFrame) -> DataFrame:
+    """Per project: n, first, last, dirs, sources (sorted, comma-joined)."""
+    return conversations.where("project is not null").groupBy("project").agg(
+        F.count("*").alias("n"), F.min("ended_at").alias("first_ms"), F.max("ended_at").alias("last_ms"), F.countDistinct("cwd").alias("dirs"),
+        F.array_join(F.sort_array(F.collect_set("source")), ",").alias("sources"),
+    )
+
+
+def top_per_group(rows: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("place") <= n)
+
+
+def topic_hits(texts: DataFrame, seeds: DataFrame, least_members: int = 2) -> DataFrame:
+    """(id, topic, terms): texts whose words meet a topic's seed words; topics of fewer members are none. seeds: (topic, term), bounded."""
+    words = texts.select("id", F.explode(F.array_distinct(tokenize(F.col("text")))).alias("term"))
+    hits = words.join(F.broadcast(seeds), "term").groupBy("id", "topic").agg(F.count("*").alias("terms"))
+    sizes = hits.groupBy("topic").count().where(F.col("count") >= least_members)
+    return hits.join(sizes.select("topic"), "topic", "left_semi")
+
+
+def topic_report(hits: DataFrame) -> DataFrame:
+    return hits.groupBy("topic").agg(F.count("*").alias("members"), F.sum("terms").alias("terms"))
+
+
+def topic_overlaps(hits: DataFrame) -> DataFrame:
+    """(a, b, jaccard) of topic pairs that share members; the number of topics is that of the seed list."""
+    sizes = hits.groupBy("topic").agg(F.count("*").alias("n"))
+    two = hits.select("id", F.col("topic").alias("a")).join(hits.select("id", F.col("topic").alias("b")), "id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("both"))
+    joined = two.join(sizes.select(F.col("topic").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("topic").alias("b"), F.col("n").alias("nb")), "b")
+    return joined.select("a", "b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("jaccard"))
+
+
+def file_mentions(texts: DataFrame, pattern: str, excluded: str = r"(node_modules|/target/|\.git/)") -> DataFrame:
+    """(id, file, mentions) by pattern, scaffold paths left out."""
+    each = texts.select("id", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("file"))
+    return each.where(~F.rlike("file", F.lit(excluded))).groupBy("id", "file").agg(F.count("*").alias("mentions"))
+
+
+# Keys of a call's arguments that tell most, in order of preference.
+ARGUMENT_KEYS = ["command", "file_path", "path", "pattern", "query", "url", "description", "prompt"]
+
+
+def call_detail(calls: DataFrame, most: int = 400) -> DataFrame:
+    """name, summary, removed and added lines of tool calls whose text is a name, a line feed and JSON arguments."""
+    args = F.regexp_extract("text", r"(?s)^[^\n]*\n(.*)$", 1)
+    pick = F.coalesce(*[F.get_json_object(args, f"$.{k}") for k in ARGUMENT_KEYS], args)
+    body = F.coalesce(F.get_json_object(args, "$.patch"), F.lit(""))
+    lines = lambda sign: F.size(F.filter(F.split(body, "\n"), lambda x: x.startswith(sign) & ~x.startswith(sign * 3)))
+    count = lambda key: F.coalesce(F.size(F.split(F.get_json_object(args, f"$.{key}"), "\n")), F.lit(0))
+    has = lambda key: F.get_json_object(args, f"$.{key}").isNotNull()
+    return calls.select(
+        "id", "conv_id", F.substring_index("text", "\n", 1).alias("name"), F.substring(F.coalesce(pick, F.lit("")), 1, most).alias("summary"),
+        (lines("-") + F.when(has("old_string"), count("old_string")).otherwise(0)).alias("removed"),
+        (lines("+") + F.when(has("new_string"), count("new_string")).otherwise(0)).alias("added"),
+    )
+
+
+def act_mix(calls: DataFrame, acts: DataFrame) -> DataFrame:
+    """(conv_id, act, calls, share): tools as look, change, run or steer by a small table (name, act); unknown ones run."""
+    named = calls.join(F.broadcast(acts), "name", "left").withColumn("act", F.coalesce("act", F.lit("run")))
+    counts = named.groupBy("conv_id", "act").agg(F.count("*").alias("calls"))
+    return counts.withColumn("share", F.col("calls") / F.sum("calls").over(Window.partitionBy("conv_id")))
+
+
+def group_stats(annotated: DataFrame, keys: list[str]) -> DataFrame:
+    return annotated.groupBy(*keys).agg(F.count("*").alias("messages"), F.count_if("is_error").alias("failures"), F.count_if("question").alias("questions"), F.count_if("pause").alias("pauses"))
+
+
+def activity(rows: DataFrame, key: str, at: str, bars: int = 24, least: int = 3) -> DataFrame:
+    """(key, bar, n): dated rows at the nearest of ``bars`` places between a group's first and last instant."""
+    w = Window.partitionBy(key)
+    placed = rows.where(F.col(at).isNotNull()).select(key, at, F.min(at).over(w).alias("lo"), F.max(at).over(w).alias("hi"), F.count("*").over(w).alias("dated")).where(F.col("dated") >= least)
+    bar = F.when(F.col("hi") > F.col("lo"), F.floor((F.col(at) - F.col("lo")) * (bars - 1) / (F.col("hi") - F.col("lo")) + 0.5)).otherwise(0).cast("int")
+    return placed.groupBy(key, bar.alias("bar")).agg(F.count("*").alias("n"))
+
+
+def sample(conversations: DataFrame, per_source: int = 8, largest: int = 12, size: str = "n_chars", least: int = 0) -> DataFrame:
+    """(id, stratum): the newest of each source, then the largest of all; the first stratum that has a row names it."""
+    fit = conversations.where(F.col(size) >= least)
+    newest = top_per_group(fit, ["source"], [F.desc_nulls_last("ended_at"), "id"], per_source).select("id", F.lit(1).alias("stratum"))
+    big = fit.orderBy(F.desc(size), "id").limit(largest).select("id", F.lit(2).alias("stratum"))
+    return newest.union(big).groupBy("id").agg(F.min("stratum").alias("stratum"))
+
+
+def collection(matched: DataFrame, pinned: DataFrame, excluded: DataFrame) -> DataFrame:
+    """(matched and pinned) less excluded, with is_pin for what only a pin brings."""
+    both = matched.select("id", F.lit(1).alias("m"), F.lit(0).alias("p")).union(pinned.select("id", F.lit(0), F.lit(1)))
+    rows = both.groupBy("id").agg(F.max("m").alias("m"), F.max("p").alias("p"))
+    return rows.join(excluded.select("id"), "id", "left_anti").select("id", ((F.col("m") == 0) & (F.col("p") == 1)).alias("is_pin"))
