@@ -580,9 +580,9 @@ def topic_overlaps(spark, sf_dir):
     return projects.topic_overlaps(_topics(spark, sf_dir)).withColumn("jaccard", r6("jaccard"))
 
 
-@query(r"WITH e AS (SELECT page_id AS id, unnest(regexp_extract_all(html, 'href="/[A-Za-z0-9./_-]+')) AS file FROM pages) SELECT id, file, count(*) AS mentions FROM e GROUP BY ALL")
+@query(r"WITH e AS (SELECT page_id AS id, unnest(regexp_extract_all(html, 'href=.?/[A-Za-z0-9./_-]+')) AS file FROM pages) SELECT id, file, count(*) AS mentions FROM e GROUP BY ALL")
 def file_mentions(spark, sf_dir):
-    return projects.file_mentions(table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("text")), r"href="/[A-Za-z0-9./_-]+")
+    return projects.file_mentions(table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("text")), r"href=.?/[A-Za-z0-9./_-]+")
 
 
 @query(f"""WITH {MESSAGES}, c AS (SELECT conv_id, CASE seq % 4 WHEN 0 THEN 'read' WHEN 1 THEN 'edit' WHEN 2 THEN 'shell' ELSE 'other' END AS name FROM messages WHERE kind = 'tool_call'), a AS (SELECT conv_id, CASE name WHEN 'read' THEN 'look' WHEN 'edit' THEN 'change' ELSE 'run' END AS act, count(*) AS calls FROM c GROUP BY ALL)
