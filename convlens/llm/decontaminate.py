@@ -3,11 +3,12 @@
 A passage is ``2 * reach`` words, and passages start every ``reach`` words, ``reach`` being the longest item or 64; so any copy of an
 item lies whole in a passage. An item's score for a passage is its BM25 score as a share of what it would have if all its
 terms were there, so one threshold serves all items. Block-max WAND retrieves every item at or above it: a passage whose
-terms' largest impacts do not reach the threshold in sum has no pivot at all and is done; for others cursors over posting
-lists skip to pivots, and whole blocks of items by the largest impacts within. What is retrieved is verified: the item's question (all
+terms' largest impacts within a block of items reach the threshold in sum for no block is done, which is found for many
+passages at once; for the others cursors over posting lists skip to pivots, and past blocks that cannot reach it. What is retrieved is verified: the item's question (all
 but its last sentence) and answer (the last sentence) must each share enough of their shingles with the passage.
 
-Items are indexed in blocks of at most ``block_bytes`` of text; one block at a time is broadcast. Statistics are those of all items.
+Items are indexed some hundred at a time; indexes of at most ``block_bytes`` of text are broadcast and meet the documents in one
+pass. Statistics are those of all items.
 
 Defined results: words are cut at ASCII white space, A-Z lower-cased. Items with null text or fewer words than a shingle take no
 part; null documents have no passages; a null doc_id stays null. Rows that share an id are scanned each by itself and may
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from convlens.llm.words import LOWER, blocks, grams, word_hashes, word_spans
 
-K1, B, GROUP = 1.2, 0.75, 32
+K1, B, GROUP, ITEMS = 1.2, 0.75, 4, 512
 DONE = 1 << 60
 
 
@@ -73,6 +74,10 @@ class Index:
         self.impacts = [[w for _, w in lists[t]] for t in self.terms.tolist()]
         self.most = np.array([max(w) for w in self.impacts])
         self.group_most = [self._groups(a, w) for a, w in zip(self.items, self.impacts)]
+        # [terms, groups]; an index has few groups, so this is small
+        self.bounds = np.zeros((len(self.terms), -(-len(items) // GROUP)), np.float32)
+        for t, most in enumerate(self.group_most):
+            self.bounds[t, list(most)] = list(most.values())
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.terms & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
 
@@ -134,43 +139,49 @@ class Index:
 SCHEMA = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 
 
-def _query(docs: DataFrame, index, reach: int, shingle: int, overlap: float) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Index = index.value
+def _query(docs: DataFrame, indexes, reach: int, shingle: int, overlap: float) -> DataFrame:
+    def leaks(own: Index, hashes: np.ndarray, first: np.ndarray) -> Iterator[tuple]:
+        """(text, item id, score, question share, answer share)"""
         v = len(own.terms)
+        at, term = own.find(hashes)
+        if not len(at):
+            return
+        # Stretches of `reach` words are numbered over all texts; a passage is a stretch and the next one of its text.
+        stretches = -(-np.diff(first) // reach)
+        base = np.cumsum(stretches) - stretches
+        text = np.searchsorted(first, at, side="right") - 1
+        inner = at - first[text]
+        stretch = base[text] + inner // reach
+        later = inner >= reach
+        keys = np.concatenate([stretch * v + term, (stretch[later] - 1) * v + term[later]])
+        keys.sort()
+        keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
+        passage, term = keys // v, keys % v
+        new = np.flatnonzero(np.diff(passage, prepend=-1))
+        edges = np.append(new, len(term))
+        step = max(1, (1 << 22) // (own.bounds.shape[1] * 64))
+        for lo in range(0, len(new), step):
+            a, b = edges[lo], edges[min(lo + step, len(new))]
+            bound = np.add.reduceat(own.bounds[term[a:b]], new[lo : lo + step] - a, axis=0).max(axis=1)
+            for i in lo + np.flatnonzero(bound >= own.threshold - 1e-4):
+                p = passage[new[i]]
+                t = int(np.searchsorted(base, p, side="right") - 1)
+                begin = first[t] + (p - base[t]) * reach
+                words = hashes[begin : min(begin + 2 * reach, first[t + 1])]
+                for item, score in own.retrieve(term[edges[i] : edges[i + 1]].tolist()):
+                    question, answer = (float(np.isin(part, grams(words, k)).mean()) for k, part in own.parts[item])
+                    if question >= overlap and answer >= overlap:
+                        yield t, own.ids[item], score, question, answer
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for lo, _, raw, off in blocks(batch.column(1)):
                 raw = LOWER[raw]
                 starts, ends, first = word_spans(raw, off)
                 hashes = word_hashes(raw, starts, ends)
-                at, term = own.find(hashes)
-                if not len(at):
-                    continue
-                # Stretches of `reach` words are numbered over all texts; a passage is a stretch and the next one of its text.
-                n = np.diff(first)
-                stretches = -(-n // reach)
-                base = np.cumsum(stretches) - stretches
-                text = np.searchsorted(first, at, side="right") - 1
-                stretch = base[text] + (at - first[text]) // reach
-                before = stretch[(at - first[text]) >= reach] - 1
-                keys = np.unique(np.concatenate([stretch * v + term, before * v + term[(at - first[text]) >= reach]]))
-                passage, term = keys // v, keys % v
-                new = np.flatnonzero(np.diff(passage, prepend=-1))
-                bound = np.add.reduceat(own.most[term], new)
-                edges = np.append(new, len(term))
-                for i in np.flatnonzero(bound >= own.threshold - 1e-9):
-                    found = own.retrieve(term[edges[i] : edges[i + 1]].tolist())
-                    if not found:
-                        continue
-                    p = passage[new[i]]
-                    t = int(np.searchsorted(base, p, side="right") - 1)
-                    begin = first[t] + (p - base[t]) * reach
-                    words = hashes[begin : min(begin + 2 * reach, first[t + 1])]
-                    for item, score in found:
-                        question, answer = (float(np.isin(part, grams(words, k)).mean()) for k, part in own.parts[item])
-                        if question >= overlap and answer >= overlap:
-                            out.append((lo + t, own.ids[item], score, question, answer))
+                for own in indexes.value:
+                    out += [(lo + t, *rest) for t, *rest in leaks(own, hashes, first)]
             best: dict[tuple[int, int], tuple] = {}
             for row, item_id, *told in out:
                 best[row, item_id] = max(best.get((row, item_id), (-1.0,)), tuple(told))
@@ -222,7 +233,7 @@ def contaminated(
             continue
         own_terms = mine.select("text").mapInArrow(measure, "words long, terms array<long>").select(F.explode("terms").alias("term")).distinct()
         df = {r["term"] & (2**64 - 1): r["count"] for r in frequency.join(own_terms, "term").collect()}
-        index = spark.sparkContext.broadcast(Index(texts, count, float(average), df, threshold, shingle))
-        found = _query(rows, index, reach, shingle, overlap)
+        indexes = [Index(texts[lo : lo + ITEMS], count, float(average), df, threshold, shingle) for lo in range(0, len(texts), ITEMS)]
+        found = _query(rows, spark.sparkContext.broadcast(indexes), reach, shingle, overlap)
         out = found if out is None else out.union(found)
     return out
