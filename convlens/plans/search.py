@@ -6,6 +6,9 @@ that are shown. A prefix meets the vocabulary by its own prefixes, never by comp
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -215,10 +218,6 @@ def snippet(text: str, spans: list[tuple[int, int]], width: int = 160) -> tuple[
 
 def snippets(shown: DataFrame, terms: DataFrame, width: int = 160) -> DataFrame:
     """(qid, msg_id, snippet, marks) for the rows shown, in Arrow batches."""
-    import re
-
-    import pandas as pd
-
     listed = terms.groupBy("qid").agg(F.collect_list(F.struct("term", "is_prefix")).alias("terms"))
     schema = T.StructType([T.StructField("snippet", T.StringType()), T.StructField("marks", T.ArrayType(T.ArrayType(T.IntegerType())))])
 
