@@ -330,7 +330,7 @@ def near_duplicates(
     # Copies: one row per distinct set, the smallest doc_id standing for all; counted on both sides of the shuffle.
     own = stored(some.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.first("registers").alias("registers")), "classes")
     deviation = math.sqrt(percent / 100 * (1 - percent / 100) / REGISTERS)
-    suspects = _suspects(own, percent / 100 - 6 * deviation, block)
+    suspects = _suspects(own, percent / 100 - 6 * deviation, 4 * block)
     confirmed = _links(components(suspects), rows.where("doc_id is not null"), shingle, percent, block)
     # Rows of one doc_id with several sets link the classes of those sets.
     several = some.groupBy("doc_id").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("doc_id")
