@@ -300,11 +300,11 @@ def _links(groups: DataFrame, docs: DataFrame, k: int, percent: int, block: int)
         met(asking.where("count > 1 and own = 0").withColumn("other", F.explode(F.expr("sequence(1, count - 1)"))), F.col("other"))
     )
     links = stored(confirm(first), "confirmed")
-    if placed.where("count > 2").isEmpty():
+    if not placed.where("count > 2").count():
         return links
     # What is outside the largest component of its group is then held against all blocks.
     wide = placed.where("count > 2")
-    known = components(links)
+    known = stored(components(links), "known")
     named = wide.join(known.select("node", F.col("component").alias("name")), "node", "left").withColumn("name", F.coalesce("name", "node"))
     top = named.groupBy("component", "name").agg(F.count("*").alias("size")).groupBy("component").agg(F.max_by("name", F.struct("size", "name")).alias("top"))
     marked = named.join(top, "component").withColumn("asks", F.col("name") != F.col("top")).drop("name", "top")
@@ -317,7 +317,7 @@ def _links(groups: DataFrame, docs: DataFrame, k: int, percent: int, block: int)
     answers = wide.join(met_blocks, "component").select(
         "node", "component", "own", F.lit(False).alias("asks"), (-F.col("mine")).cast("int").alias("x"), F.col("own").alias("y")
     )
-    return links.union(stored(confirm(asked.union(answers)), "confirmed"))
+    return known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(stored(confirm(asked.union(answers)), "confirmed"))
 
 
 def near_duplicates(
