@@ -1,31 +1,12 @@
-"""Where jobs of this subpackage put what must outlive a stage, and how they cut lineage."""
+"""Helpers of this subpackage's jobs."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from convlens.lineage import shared_dir, stored
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``, which driver and executors all see.
-
-    Where the setting is missing (tests on one machine), a folder of this machine serves.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        import tempfile
-
-        root = "file://" + tempfile.mkdtemp(prefix="convlens-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder, and read back: later jobs survive lost executors."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["attach", "shared_dir", "stored", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
