@@ -74,7 +74,7 @@ def _minimisers(docs: DataFrame, width: int, inner: int) -> DataFrame:
 
 
 def _packed(docs: DataFrame, width: int, inner: int) -> DataFrame:
-    """Super-k-mers of the texts' shared minimisers. docs: doc_id, row_key, text, shared array<long>."""
+    """Super-k-mers of the texts' shared minimisers. docs: doc_id, row_key, text, shared array<struct<minimiser,cuts>>."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,20 +83,25 @@ def _packed(docs: DataFrame, width: int, inner: int) -> DataFrame:
             for lo, _, raw, off in blocks(batch.column(2)):
                 starts, ends, first = word_spans(raw, off)
                 text, begin, stop, least = super_kmers(first, word_hashes(raw, starts, ends), width, inner)
-                ok = np.zeros(len(text), bool)
+                cuts = np.zeros(len(text), np.int32)  # 0: not shared
                 for t in np.unique(text):
                     a, b = np.searchsorted(text, [t, t + 1])
-                    ok[a:b] = np.isin(as_long(least[a:b]), wanted[lo + int(t)].values.to_numpy())
-                text, begin, stop, least = text[ok], begin[ok], stop[ok], least[ok]
+                    own = wanted[lo + int(t)].values
+                    names, its_cuts = own.field("minimiser").to_numpy(), own.field("cuts").to_numpy()
+                    order = np.argsort(names)
+                    at = order[np.minimum(np.searchsorted(names[order], as_long(least[a:b])), len(names) - 1)]
+                    cuts[a:b] = np.where(names[at] == as_long(least[a:b]), its_cuts[at], 0)
+                ok = cuts > 0
+                text, begin, stop, least, cuts = text[ok], begin[ok], stop[ok], least[ok], cuts[ok]
                 data = raw.tobytes()
                 packed = [data[a:b] for a, b in zip(starts[begin], ends[stop + width - 1])]
                 at = lo + text
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(as_long(least)), pa.array(ids[at]), pa.array(keys[at]), pa.array((begin - first[text]).astype(np.int32)), pa.array(packed, pa.binary())],
-                    names=["minimiser", "doc_id", "row_key", "begin", "packed"],
+                    [pa.array(as_long(least)), pa.array(cuts), pa.array(ids[at]), pa.array(keys[at]), pa.array((begin - first[text]).astype(np.int32)), pa.array(packed, pa.binary())],
+                    names=["minimiser", "cuts", "doc_id", "row_key", "begin", "packed"],
                 )
 
-    return docs.select("doc_id", "row_key", "text", "shared").mapInArrow(run, "minimiser long, doc_id long, row_key long, begin int, packed binary")
+    return docs.select("doc_id", "row_key", "text", "shared").mapInArrow(run, "minimiser long, cuts int, doc_id long, row_key long, begin int, packed binary")
 
 
 FOUND = "doc_id long, row_key long, begin int, length int, w1 long, w2 long"
@@ -206,10 +211,9 @@ def remove_repeats(
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("row_key", F.xxhash64("text"))
     seen = stored(_minimisers(rows, width, inner), "minimisers")
     shared = seen.groupBy("minimiser").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("members")).where("low < high")
-    shared = stored(shared.select("minimiser", F.ceil(F.col("members") / most_in_bucket).cast("int").alias("cuts")), "shared")
-    wanted = seen.join(shared, "minimiser").groupBy("doc_id").agg(F.collect_set("minimiser").alias("shared"))
-    packed = _packed(rows.join(wanted, "doc_id"), width, inner)
-    sent = packed.join(shared, "minimiser").withColumn("salt", F.pmod(F.xxhash64("doc_id", "row_key"), F.col("cuts")).cast("int"))
+    shared = shared.select("minimiser", F.ceil(F.col("members") / most_in_bucket).cast("int").alias("cuts"))
+    wanted = seen.join(shared, "minimiser").groupBy("doc_id").agg(F.collect_set(F.struct("minimiser", "cuts")).alias("shared"))
+    sent = _packed(rows.join(wanted, "doc_id"), width, inner).withColumn("salt", F.pmod(F.xxhash64("doc_id", "row_key"), F.col("cuts")).cast("int"))
     found = stored(_judged(sent, width), "found")
     # Windows of salted buckets: the cuts' smallest doc_ids against each other.
     places = found.where("length is null")
