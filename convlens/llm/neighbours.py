@@ -96,7 +96,7 @@ def _first_of(rows: DataFrame, k: int, by: list[str], order) -> DataFrame:
 
 def nearest(
     vectors: DataFrame, every: int = 20, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", trees: int = 6,
-    leaf_rows: int = 1024, search_share: float = 1.5, sample_rows: int = 20_000, block_rows: int = 4096, block_queries: int = 1024,
+    depth: int = 5, search_share: float = 1.5, sample_rows: int = 20_000, block_rows: int = 4096, block_queries: int = 1024,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: for every id divisible by ``every``, its ``k`` nearest other rows."""
     spark = vectors.sparkSession
@@ -118,9 +118,6 @@ def nearest(
     total, longest = copies.agg(F.count("*"), F.max(norm)).first()
     sample = copies.orderBy(F.xxhash64("key"), "class").limit(sample_rows).select("embedding").toPandas()
     fitted = np.stack(sample["embedding"].to_numpy()).astype(np.float64)
-    depth = max(1, min(int(math.log2(max(2.0, total / leaf_rows))), int(math.log2(max(2.0, len(fitted) / 8)))))
-    if total <= leaf_rows:
-        depth = 2
     forest = spark.sparkContext.broadcast(Forest(fitted, trees, depth, float(longest)))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
