@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 
@@ -28,14 +27,11 @@ class Memo(dict):
             self[key] = value
 
 
-#: A full stop or comma before white space, after anything but a letter or digit.
-_NOT_AFTER_WORD = re.compile("[\\W_]\x01")
-
-
 def stops_apart(text: str) -> str:
     """``text`` with a space and \\x01 before the stops and commas that end words, if all of them directly follow letters or digits.
 
     Words then repeat far oftener than words with stops. ``text`` must hold no \\x01 itself.
     """
-    marked = text.replace(". ", "\x01. ").replace(", ", "\x01, ").replace(".\n", "\x01.\n")
-    return text if _NOT_AFTER_WORD.search(marked) else marked.replace("\x01", " \x01")
+    pieces = text.replace(". ", "\x01. ").replace(", ", "\x01, ").replace(".\n", "\x01.\n").split("\x01")
+    before = "".join([p[-1:] for p in pieces[:-1]])
+    return " \x01".join(pieces) if len(before) == len(pieces) - 1 and before.isalnum() else text

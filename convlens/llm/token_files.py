@@ -23,9 +23,11 @@ long in files); rows that share an id are ordered by text and all kept; extra co
 from __future__ import annotations
 
 import io
+import json
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +36,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from convlens.llm.memo import Memo
+from convlens.llm.memo import Memo, stops_apart
 from convlens.llm.shared import shared_dir
 
 MAGIC = b"PFR1"
 NO_ID = -(2**63)
-_ENCODERS: dict[str, Memo] = {}
 
 
 # --- blocks ---------------------------------------------------------------------------------------------------------
@@ -145,50 +146,87 @@ class TokenFile:
 # --- texts to ids ---------------------------------------------------------------------------------------------------
 
 
-def _encoder(path: str) -> Memo:
-    """Ids, as bytes of u32, of a string without space or line feed. One tokenizer and memo for each Python worker.
+class PartEncoder:
+    """Ids, as bytes of u32, of strings without space or line feed. One for each Python worker.
 
-    The tokenizer cuts at white space and drops it, so a text's ids are those of its parts in a row. A part of plain
-    letters has the ids of its lower case, and a mark after letters is a part of its own.
+    The tokenizer cuts at white space and drops it, so a text's ids are those of its parts in a row. New words of plain
+    letters go to the tokenizer many at a time, with a space between; its end-of-word tokens part their ids again.
     """
-    if path not in _ENCODERS:
-        from tokenizers import Tokenizer
-
-        own = Tokenizer.from_file(path)
-        own.no_truncation()
-        own.no_padding()
 
-        def make(part: str) -> bytes:
-            if part.isascii():
-                if part[-1:] in (".", ",") and part[:-1].isalpha():
-                    return memo[part[:-1]] + memo[part[-1]]
-                if part.isalpha() and not part.islower():
-                    return memo[part.lower()]
-            return np.array(own.encode(part, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
 
-        _ENCODERS[path] = memo = Memo(make)
-    return _ENCODERS[path]
+        self.own = Tokenizer.from_file(path)
+        self.own.no_truncation()
+        self.own.no_padding()
+        self.memo = Memo(self._single)
+        suffix = getattr(self.own.model, "end_of_word_suffix", None)
+        self.ends = None
+        if suffix:
+            vocab = self.own.get_vocab(with_added_tokens=False)
+            self.ends = np.zeros(max(vocab.values()) + 1, bool)
+            self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+
+    def _single(self, part: str) -> bytes:
+        return np.array(self.own.encode(part.removeprefix("\x01"), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, parts: set[str]) -> None:
+        new = parts.difference(self.memo).difference(self.memo.old)
+        words = [p for p in new if p.isascii() and p.isalpha()]
+        for lo in range(0, len(words), 200):
+            some = words[lo : lo + 200]
+            ids = np.array(self.own.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(some):
+                data, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
+                for word, a, b in zip(some, at, at[1:]):
+                    self.memo.put(word, data[a:b])
+
+    def encode(self, texts: list[list[str]]) -> list[bytes]:
+        if self.ends is not None:
+            self.learn(set().union(*texts))
+        memo = self.memo
+        return [b"".join([memo[p] for p in parts]) for parts in texts]
+
+
+@lru_cache(2)
+def _encoder(path: str) -> PartEncoder:
+    return PartEncoder(path)
+
+
+def _plain(text: str) -> bool:
+    """No \\x01, and no letter beyond Latin-1, whose lower case may depend on the library or on neighbours."""
+    try:
+        return b"\x01" not in text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+
+
+def _parts(text: str | None) -> list[str]:
+    if not text:
+        return []
+    if _plain(text):
+        text = stops_apart(text if "<|" in text else text.lower())
+        return text.replace("\n", " ").split(" ")
+    parts = text.replace("\n", " ").split(" ")
+    return ["\x01" + p if p.startswith("\x01") else p for p in parts] if "\x01" in text else parts
 
 
 def cuts_at_white_space(path: str) -> bool:
-    """Whether a tokenizer file drops white space, so that parts between white space can be encoded apart."""
-    import json
-
+    """Whether a tokenizer file lower-cases and drops white space, so that parts between white space can be encoded apart."""
     with open(path) as f:
         spec = json.load(f)
     pre = spec.get("pre_tokenizer") or {}
     first = (pre.get("pretokenizers") or [pre])[0]
-    return first.get("type") == "Split" and first.get("behavior") == "Removed" and bool(first.get("invert"))
+    lower = any(n.get("type") == "Lowercase" for n in (spec.get("normalizer") or {}).get("normalizers", []))
+    return lower and first.get("type") == "Split" and first.get("behavior") == "Removed" and bool(first.get("invert"))
 
 
 def encode_texts(texts: list[str | None], path: str, by_part: bool) -> list[bytes]:
-    memo = _encoder(path)
     if by_part:
-        return [b"".join(map(memo.__getitem__, t.replace("\n", " ").split(" "))) if t else b"" for t in texts]
-    from tokenizers import Tokenizer
-
-    own = Tokenizer.from_file(path)
-    return [np.array(e.ids, dtype="<u4").tobytes() for e in own.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+        return _encoder(path).encode([_parts(t) for t in texts])
+    whole = _encoder(path).own
+    return [np.array(e.ids, dtype="<u4").tobytes() for e in whole.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
 # --- the job --------------------------------------------------------------------------------------------------------
@@ -224,8 +262,8 @@ def write_token_files(
             held.clear(), ids.clear(), ends.clear()
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                piece = batch.slice(lo, 256)
+            for lo in range(0, batch.num_rows, 512):
+                piece = batch.slice(lo, 512)
                 for key, coded in zip(piece.column(0).to_pylist(), encode_texts(piece.column(1).to_pylist(), tokenizer, by_part)):
                     n = len(coded) // 4 + 1
                     if held and ends[-1] + n > ids_a_file:
