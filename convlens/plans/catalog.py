@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convlens.functions.text import MARKED, PLAIN, clip_bytes, html_to_text, tokenize
+from convlens.lineage import stored
 from convlens.operators import archive, evaluate, explain, facets, filters, logfold, model, postings, projects, sittings, timeline, transcript
 from convlens.plans import search
 from convlens.plans.views import DOCUMENTS, LOG, MESSAGES, START_MS, documents, log, messages, table
@@ -467,21 +468,47 @@ def parameter_sweep(spark, sf_dir):
     return out.select("decay", "repeat_weight", F.round("mean_ndcg", 4).alias("mean_ndcg"), F.round("mrr", 4).alias("mrr"))
 
 
-@query(SEARCH + f""", pairs AS (SELECT item_id AS qid, c AS conv_id FROM benchmark, (SELECT DISTINCT conv_id AS c FROM messages UNION SELECT -1) WHERE (item_id + c) % 7 = 0 OR c = -1),
-    cnt AS (SELECT conv_id, count(*) AS messages, count(*) FILTER (kind = 'prose') AS prose, count(*) FILTER (kind IN ('prose', 'tool_call', 'tool_result')) AS indexed, count(*) FILTER (NOT on_head_path) AS off_path FROM messages GROUP BY 1),
+VERDICTS = """cnt AS (SELECT conv_id, count(*) AS messages, count(*) FILTER (kind = 'prose') AS prose, count(*) FILTER (kind IN ('prose', 'tool_call', 'tool_result')) AS indexed, count(*) FILTER (NOT on_head_path) AS off_path FROM messages GROUP BY 1),
     th AS (SELECT p.qid, p.conv_id, count(DISTINCT t) FILTER (kind <> 'reasoning') AS ti, count(DISTINCT t) AS ta FROM pairs p JOIN (SELECT qid, unnest(terms) AS t FROM asked) a ON a.qid = p.qid JOIN messages m ON m.conv_id = p.conv_id WHERE contains(lower(text), t) GROUP BY ALL),
     bs AS (SELECT x.qid, m.conv_id, min(score) AS best, count(*) FILTER (NOT on_head_path) AS off FROM matches x JOIN messages m ON m.id = x.msg_id GROUP BY ALL)
     SELECT p.qid, p.conv_id, coalesce(messages, 0) AS messages, coalesce(prose, 0) AS prose, coalesce(indexed, 0) AS indexed, coalesce(off_path, 0) AS off_path, coalesce(ta, 0) AS terms_any, round(best, 6) AS best,
     CASE WHEN cnt.conv_id IS NULL THEN 'missing' WHEN p.conv_id % 5 = 0 THEN 'filtered out' WHEN coalesce(prose, 0) = 0 THEN 'no indexed prose' WHEN NOT (len(terms) > 1 OR length(terms[1]) >= 3) THEN 'filters only'
         WHEN coalesce(ta, 0) > 0 AND coalesce(ti, 0) = 0 THEN 'only in unindexed kind' WHEN coalesce(ta, 0) = 0 THEN 'no term anywhere' WHEN best IS NULL THEN 'present but unmatched' WHEN off > 0 THEN 'ranked, off path too' ELSE 'ranked' END AS verdict
-    FROM pairs p LEFT JOIN cnt ON cnt.conv_id = p.conv_id LEFT JOIN th ON th.qid = p.qid AND th.conv_id = p.conv_id LEFT JOIN bs ON bs.qid = p.qid AND bs.conv_id = p.conv_id JOIN asked ON asked.qid = p.qid""")
-def explained_pairs(spark, sf_dir):
+    FROM pairs p LEFT JOIN cnt ON cnt.conv_id = p.conv_id LEFT JOIN th ON th.qid = p.qid AND th.conv_id = p.conv_id LEFT JOIN bs ON bs.qid = p.qid AND bs.conv_id = p.conv_id JOIN asked ON asked.qid = p.qid"""
+
+
+def _explained(spark, sf_dir, pairs):
+    """pairs: (prepared queries, messages, matches) -> the (qid, conv_id) asked about."""
     rows, asks = messages(spark, sf_dir), asked(spark, sf_dir)
+    found = stored(search.match(asks, postings.build(rows)), "matches")
+    pairs = pairs(asks, rows, found)
     convs = rows.select(F.col("conv_id").alias("id")).distinct()
-    # The pairs asked about are a stated table: every seventh combination, and one unknown conversation for each query.
-    pairs = asks.select("qid").join(convs.select(F.col("id").alias("conv_id")), (F.col("qid") + F.col("conv_id")) % 7 == 0).union(asks.select("qid", F.lit(-1).cast("long")))
-    kept = pairs.where("conv_id % 5 <> 0")
-    return explain.run(pairs, asks, convs, rows, search.match(asks, postings.build(rows)), kept).withColumn("best", r6("best"))
+    return explain.run(pairs, asks, convs, rows, found, pairs.where("conv_id % 5 <> 0")).withColumn("best", r6("best"))
+
+
+@query(SEARCH + f""", pairs AS (SELECT item_id AS qid, c AS conv_id FROM benchmark, (SELECT DISTINCT conv_id AS c FROM messages UNION SELECT -1) WHERE (item_id + c) % 7 = 0 OR c = -1),
+    {VERDICTS}""")
+def explained_pairs(spark, sf_dir):
+    # A stated part of the combinations, by equality on the remainder that a conversation lacks to a multiple of seven, and one
+    # unknown conversation for each query; explained_known_pairs takes its pairs from tables.
+    def pairs(asks, rows, found):
+        convs = rows.select("conv_id").distinct().withColumn("rest", F.pmod(-F.col("conv_id"), F.lit(7)))
+        return asks.select("qid", F.pmod("qid", F.lit(7)).alias("rest")).join(convs, "rest").select("qid", "conv_id").union(asks.select("qid", F.lit(-1).cast("long")))
+
+    return _explained(spark, sf_dir, pairs)
+
+
+@query(SEARCH + f""", {GRADES}, pairs AS (SELECT qid, conv_id FROM grades UNION SELECT x.qid, m.conv_id FROM matches x JOIN messages m ON m.id = x.msg_id UNION SELECT item_id, -1 FROM benchmark),
+    {VERDICTS}""")
+def explained_known_pairs(spark, sf_dir):
+    """Every graded pair, every pair of a query with a conversation that it matches, and one unknown conversation for each query."""
+
+    def pairs(asks, rows, found):
+        graded = _grades(spark, sf_dir).join(asks.select("qid"), "qid", "left_semi").select("qid", "conv_id")
+        matched = found.join(rows.select(F.col("id").alias("msg_id"), "conv_id"), "msg_id").select("qid", "conv_id")
+        return graded.union(matched).union(asks.select("qid", F.lit(-1).cast("long"))).distinct()
+
+    return _explained(spark, sf_dir, pairs)
 
 
 # --- archive --------------------------------------------------------------------------------------------------------
