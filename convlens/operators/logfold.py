@@ -10,7 +10,7 @@ UNREAD_MS = 2_000
 
 def exclude_spans(log: DataFrame, spans: DataFrame, day_ms: int = 86_400_000) -> DataFrame:
     """Events outside all half-open spans (from_ms, until_ms), by an equi-join on the day: a span is listed under each of its days."""
-    merged = spans.where("until_ms > from_ms").select("from_ms", "until_ms", F.explode(F.sequence(F.floor(F.col("from_ms") / day_ms), F.floor((F.col("until_ms") - 1) / day_ms))).alias("day"))
+    merged = spans.where("until_ms > from_ms").distinct().select("from_ms", "until_ms", F.explode(F.sequence(F.floor(F.col("from_ms") / day_ms), F.floor((F.col("until_ms") - 1) / day_ms))).alias("day"))
     own = log.withColumn("__day", F.floor(F.col("ts_ms") / day_ms))
     on = (own["__day"] == merged["day"]) & (own["ts_ms"] >= merged["from_ms"]) & (own["ts_ms"] < merged["until_ms"])
     return own.join(merged, on, "left_anti").drop("__day")

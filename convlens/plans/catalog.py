@@ -374,8 +374,14 @@ def shape_cells(spark, sf_dir):
 
 UNREAD = 6 * 3_600_000
 SPAN_SQL = f"spans AS (SELECT {START_MS} + o_orderkey % 400 * 86400000 AS from_ms, {START_MS} + o_orderkey % 400 * 86400000 + 7200000 AS until_ms FROM orders WHERE o_orderkey % 50 = 0)"
-KEPT = f"""{LOG}, {SPAN_SQL}, kept AS (SELECT *, CASE WHEN id % 4 = 3 THEN 'pick' ELSE 'search' END AS kind, id % 10 AS conv_id FROM log l WHERE NOT EXISTS (SELECT 1 FROM spans s WHERE l.ts_ms >= from_ms AND l.ts_ms < until_ms)),
+KEEPING = f"""kept AS (SELECT *, CASE WHEN id % 4 = 3 THEN 'pick' ELSE 'search' END AS kind, id % 10 AS conv_id FROM log l WHERE NOT EXISTS (SELECT 1 FROM spans s WHERE l.ts_ms >= from_ms AND l.ts_ms < until_ms)),
     ab AS (SELECT *, coalesce(kind = 'search' AND lead(ts_ms) OVER w - ts_ms <= {UNREAD} AND lead(source) OVER w IS NOT DISTINCT FROM source AND starts_with(lead(q) OVER w, q) AND trim(q) <> '', false) AS absorbed FROM kept WINDOW w AS (PARTITION BY user_id ORDER BY ts_ms, id))"""
+KEPT = f"{LOG}, {SPAN_SQL}, {KEEPING}"
+#: As KEPT, with a span of every order.
+KEPT_ALL = f"{LOG}, spans AS (SELECT DISTINCT {START_MS} + o_orderkey % 400 * 86400000 AS from_ms, {START_MS} + o_orderkey % 400 * 86400000 + 7200000 AS until_ms FROM orders), {KEEPING}"
+NEEDS = """n AS (SELECT q, count(*) FILTER (kind = 'search') AS searches, max(ts_ms) AS last_ts FROM ab WHERE NOT absorbed AND trim(q) <> '' GROUP BY q), p AS (SELECT q, conv_id, count(*) AS n FROM ab WHERE NOT absorbed AND kind = 'pick' AND trim(q) <> '' GROUP BY ALL)
+    SELECT n.q, searches, last_ts, coalesce((SELECT string_agg(conv_id || '×' || n, ',' ORDER BY n DESC, conv_id) FROM p WHERE p.q = n.q), '') AS picks FROM n"""
+NEED_TOTALS = "SELECT count(*) AS kept, count(*) FILTER (absorbed) AS keystrokes, count(*) FILTER (trim(q) = '') AS browsed, (SELECT count(*) FROM log) AS events, (SELECT count(*) FROM log) - count(*) AS driven FROM ab"
 
 
 def _log(spark, sf_dir):
@@ -383,27 +389,45 @@ def _log(spark, sf_dir):
     return log(spark, sf_dir).withColumn("kind", kinds).withColumn("conv_id", F.col("id") % 10)
 
 
-def _spans(spark, sf_dir):
+def _spans(spark, sf_dir, every=50):
+    """A span of each order whose key divides by ``every``: the driven spans of KEPT, or with 1 of KEPT_ALL."""
     key = F.col("o_orderkey")
     start = F.lit(START_MS) + key % 400 * 86_400_000
-    return table(spark, sf_dir, "orders").where(key % 50 == 0).select(start.alias("from_ms"), (start + 7_200_000).alias("until_ms"))
+    return table(spark, sf_dir, "orders").where(key % every == 0).select(start.alias("from_ms"), (start + 7_200_000).alias("until_ms"))
+
+
+def _absorbed(spark, sf_dir, every=50):
+    return logfold.absorb(logfold.exclude_spans(_log(spark, sf_dir), _spans(spark, sf_dir, every)), ["user_id"], UNREAD)
 
 
 @query(f"WITH {KEPT} SELECT id, absorbed FROM ab")
 def absorbed_keystrokes(spark, sf_dir):
-    return logfold.absorb(logfold.exclude_spans(_log(spark, sf_dir), _spans(spark, sf_dir)), ["user_id"], UNREAD).select("id", "absorbed")
+    return _absorbed(spark, sf_dir).select("id", "absorbed")
+
+
+@query(f"WITH {KEPT_ALL} SELECT id, absorbed FROM ab")
+def absorbed_keystrokes_all_spans(spark, sf_dir):
+    return _absorbed(spark, sf_dir, 1).select("id", "absorbed")
 
 
-@query(f"""WITH {KEPT}, n AS (SELECT q, count(*) FILTER (kind = 'search') AS searches, max(ts_ms) AS last_ts FROM ab WHERE NOT absorbed AND trim(q) <> '' GROUP BY q), p AS (SELECT q, conv_id, count(*) AS n FROM ab WHERE NOT absorbed AND kind = 'pick' AND trim(q) <> '' GROUP BY ALL)
-    SELECT n.q, searches, last_ts, coalesce((SELECT string_agg(conv_id || '×' || n, ',' ORDER BY n DESC, conv_id) FROM p WHERE p.q = n.q), '') AS picks FROM n""")
+@query(f"WITH {KEPT}, {NEEDS}")
 def needs(spark, sf_dir):
     return logfold.run(_log(spark, sf_dir), _spans(spark, sf_dir), ["user_id"], UNREAD)
 
 
-@query(f"WITH {KEPT} SELECT count(*) AS kept, count(*) FILTER (absorbed) AS keystrokes, count(*) FILTER (trim(q) = '') AS browsed, (SELECT count(*) FROM log) AS events, (SELECT count(*) FROM log) - count(*) AS driven FROM ab")
+@query(f"WITH {KEPT_ALL}, {NEEDS}")
+def needs_all_spans(spark, sf_dir):
+    return logfold.run(_log(spark, sf_dir), _spans(spark, sf_dir, 1), ["user_id"], UNREAD)
+
+
+@query(f"WITH {KEPT} {NEED_TOTALS}")
 def need_totals(spark, sf_dir):
-    rows = _log(spark, sf_dir)
-    return logfold.fold_totals(rows, logfold.absorb(logfold.exclude_spans(rows, _spans(spark, sf_dir)), ["user_id"], UNREAD))
+    return logfold.fold_totals(_log(spark, sf_dir), _absorbed(spark, sf_dir))
+
+
+@query(f"WITH {KEPT_ALL} {NEED_TOTALS}")
+def need_totals_all_spans(spark, sf_dir):
+    return logfold.fold_totals(_log(spark, sf_dir), _absorbed(spark, sf_dir, 1))
 
 
 GRADES = "grades AS (SELECT doc_id % 40 AS qid, doc_id AS conv_id, quality * 2 + 1 - toxic AS grade FROM labels)"

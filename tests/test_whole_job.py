@@ -1,9 +1,10 @@
 """What once was left out: rows, spans, sessions and pairs, each against plain Python."""
 
 from convlens.plans import catalog, catalog_more  # noqa: F401
-from convlens.plans.views import table
+from convlens.plans.views import START_MS, log, table
 
 DATA = "/root/testdata/sf0.001"
+DAY = 86_400_000
 
 
 def plan(df):
@@ -20,3 +21,14 @@ def test_pairs_explained_are_all_known_ones_and_no_cross_product(spark):
     for name in ("explained_pairs", "explained_known_pairs"):
         text = plan(catalog.QUERIES[name](spark, DATA))
         assert "NestedLoopJoin" not in text and "CartesianProduct" not in text
+
+
+def test_every_order_gives_a_driven_span(spark):
+    days = {r["o_orderkey"] % 400 for r in table(spark, DATA, "orders").select("o_orderkey").collect()}
+    assert len(days) > 8
+    at = {r["id"]: r["ts_ms"] - START_MS for r in log(spark, DATA).select("id", "ts_ms").collect()}
+    want = {i for i, t in at.items() if not (t // DAY in days and t % DAY < 7_200_000)}
+    got = {r["id"] for r in catalog.QUERIES["absorbed_keystrokes_all_spans"](spark, DATA).collect()}
+    assert got == want and len(want) < len(at)
+    totals = catalog.QUERIES["need_totals_all_spans"](spark, DATA).first()
+    assert totals["driven"] == len(at) - len(want)
