@@ -32,3 +32,8 @@ def test_every_order_gives_a_driven_span(spark):
     assert got == want and len(want) < len(at)
     totals = catalog.QUERIES["need_totals_all_spans"](spark, DATA).first()
     assert totals["driven"] == len(at) - len(want)
+
+
+def test_every_document_gets_a_window_label(spark):
+    got = [r["id"] for r in catalog.QUERIES["window_labels_all"](spark, DATA).collect()]
+    assert sorted(got) == sorted(r["doc_id"] for r in table(spark, DATA, "documents").collect())
