@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from convlens.lineage import stored
+
 SITTING_GAP_MS = 30 * 60_000
 
 
@@ -71,17 +73,57 @@ def attach(records: DataFrame, members: DataFrame, key: str = "id") -> DataFrame
 def bounded_sessions(rows: DataFrame, keys: list[str], at: str, tie: str, gap_ms: int, span_ms: int, source: str = "source") -> DataFrame:
     """Sessions that end after a gap above gap_ms or beyond span_ms from their start: keys, session start, end, items, sources.
 
-    Gaps split exactly; within an island the greedy cut folds over its sorted rows.
+    Rows of one instant share a session, so ``tie`` decides nothing. Windows run within (keys, span of time). Each instant points
+    to the first one beyond its span, if no gap comes before; the starts are what can be reached from the instants after gaps,
+    found by jumping, and each row falls to the last start before it.
     """
-    islands = gap_islands(rows, keys, at, tie, gap_ms, inclusive=False).where("island is not null")
-    listed = islands.groupBy(*keys, "island").agg(F.sort_array(F.collect_list(F.struct(F.col(at).alias("at"), F.col(tie).alias("tie"), F.col(source).alias("source")))).alias("items"))
-    cut = F.aggregate(
-        "items",
-        F.expr("cast(array() as array<struct<start:bigint,item:struct<at:bigint,tie:bigint,source:string>>>)"),
-        lambda acc, x: F.concat(acc, F.array(F.struct(F.when((F.size(acc) > 0) & (x["at"] - F.try_element_at(acc, F.lit(-1))["start"] <= span_ms), F.try_element_at(acc, F.lit(-1))["start"]).otherwise(x["at"]).alias("start"), x.alias("item")))),
+    counted = rows.where(F.col(at).isNotNull()).groupBy(F.struct(*keys).alias("__key"), F.col(at).alias("at"), F.col(source).alias("source")).agg(F.count("*").alias("n"))
+    each = stored(counted.withColumn("__span", F.floor(F.col("at") / span_ms)), "instants")
+    instants = each.select("__key", "__span", "at").distinct()
+    # The edges of spans alone are compared across spans.
+    edges = instants.groupBy("__key", "__span").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
+    across = Window.partitionBy("__key").orderBy("__span")
+    edges = stored(edges.select("__key", "__span", "lo", F.lag("hi").over(across).alias("before"), F.lead("lo").over(across).alias("after"), F.lead("__span").over(across).alias("next_span")), "edges")
+    inner = Window.partitionBy("__key", "__span").orderBy("at")
+    since = F.col("at") - F.coalesce(F.lag("at").over(inner), F.col("before"))
+    opened = instants.join(edges.select("__key", "__span", "before"), ["__key", "__span"]).withColumn("opens", since.isNull() | (since > gap_ms)).drop("before")
+    opened = stored(opened, "opened")
+    # The first instant beyond at + span_ms lies in the span after the instant's own, or is the first of the next span that has any.
+    probes = opened.select("__key", (F.col("__span") + 1).alias("__span"), (F.col("at") + span_ms).alias("place"), F.lit(0).alias("own"), F.col("at").alias("asks"), F.lit(None).cast("long").alias("at"))
+    placed = opened.select("__key", "__span", F.col("at").alias("place"), F.lit(1).alias("own"), F.lit(None).cast("long").alias("asks"), "at")
+    later = Window.partitionBy("__key", "__span").orderBy(F.desc("place"), "own").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    beyond = probes.union(placed).withColumn("next", F.last("at", ignorenulls=True).over(later)).where("own = 0").select("__key", (F.col("__span") - 1).alias("__span"), F.col("asks").alias("at"), "next")
+    # Behind the next span at once: the first of the first span after it.
+    ahead = edges.select("__key", "__span", "after", "next_span").join(
+        edges.select("__key", F.col("__span").alias("next_span"), F.col("after").alias("after_next")), ["__key", "next_span"], "left"
     )
-    each = listed.select(*keys, F.explode(cut).alias("x")).select(*keys, F.col("x.start").alias("started"), F.col("x.item.at").alias("at"), F.col("x.item.source").alias("source"))
-    return each.groupBy(*keys, "started").agg(F.max("at").alias("ended"), F.count("*").alias("items"), F.countDistinct("source").alias("sources"))
+    far = F.when(F.col("next_span") > F.col("__span") + 1, F.col("after")).otherwise(F.col("after_next"))
+    pointed = beyond.join(ahead, ["__key", "__span"], "left").select("__key", "at", F.coalesce("next", far).alias("next"))
+    # What opens after a gap starts a session in any case, and ends the walk from before it.
+    islands = _starts_of_islands(opened)
+    known = pointed.where("next is not null").join(islands, ["__key", "at"])
+    jumps = stored(known.join(islands.select("__key", F.col("at").alias("next"), F.col("island").alias("there")), ["__key", "next"]).where("island = there").select("__key", "at", "next"), "jumps")
+    starts = stored(opened.where("opens").select("__key", "at"), "starts")
+    while not jumps.isEmpty():
+        starts = stored(starts.union(starts.join(jumps, ["__key", "at"]).select("__key", F.col("next").alias("at"))).distinct(), "starts")
+        jumps = stored(jumps.join(jumps.select("__key", F.col("at").alias("next"), F.col("next").alias("far")), ["__key", "next"]).select("__key", "at", F.col("far").alias("next")), "jumps")
+    # A row's start lies in its own span or the one before.
+    own_span = F.floor(F.col("at") / span_ms)
+    begun = starts.select("__key", F.explode(F.array(own_span, own_span + 1)).alias("__span"), "at", F.col("at").alias("started"), F.lit(None).cast("string").alias("source"), F.lit(0).cast("long").alias("n"))
+    last = Window.partitionBy("__key", "__span").orderBy("at", "n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    told = begun.unionByName(each.withColumn("started", F.lit(None).cast("long"))).withColumn("started", F.last("started", ignorenulls=True).over(last)).where("n > 0")
+    out = told.groupBy("__key", "started").agg(F.max("at").alias("ended"), F.sum("n").alias("items"), F.countDistinct("source").alias("sources"))
+    return out.select(*[F.col("__key")[k].alias(k) for k in keys], "started", "ended", "items", "sources")
+
+
+def _starts_of_islands(opened: DataFrame) -> DataFrame:
+    """__key, at, island: the instant that opened the run without a gap, carried over spans by one row for each."""
+    first = F.when(F.col("opens"), F.col("at"))
+    latest = opened.groupBy("__key", "__span").agg(F.max(first).alias("latest"))
+    before = Window.partitionBy("__key").orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
+    carried = latest.select("__key", "__span", F.last("latest", ignorenulls=True).over(before).alias("carried"))
+    inner = Window.partitionBy("__key", "__span").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return opened.join(carried, ["__key", "__span"]).select("__key", "at", F.coalesce(F.last(first, ignorenulls=True).over(inner), F.col("carried")).alias("island"))
 
 
 def lineages(rows: DataFrame, key: str, at: str, tie: str, gap_ms: int = 3 * 86_400_000, least: int = 2) -> DataFrame:

@@ -1,6 +1,9 @@
 """What once was left out: rows, spans, sessions and pairs, each against plain Python."""
 
-from convlens.plans import catalog, catalog_more  # noqa: F401
+import random
+
+from convlens.operators import sittings
+from convlens.plans import catalog, catalog_more, report  # noqa: F401
 from convlens.plans.views import START_MS, log, table
 
 DATA = "/root/testdata/sf0.001"
@@ -37,3 +40,38 @@ def test_every_order_gives_a_driven_span(spark):
 def test_every_document_gets_a_window_label(spark):
     got = [r["id"] for r in catalog.QUERIES["window_labels_all"](spark, DATA).collect()]
     assert sorted(got) == sorted(r["doc_id"] for r in table(spark, DATA, "documents").collect())
+
+
+def folded(rows, gap, span):
+    """{(key, start): [end, items, sources]} by one pass over each key's rows."""
+    out = {}
+    for key in {r[1] for r in rows}:
+        start = last = None
+        for at, source in sorted((r[2], r[3]) for r in rows if r[1] == key and r[2] is not None):
+            start = at if start is None or at - last > gap or at - start > span else start
+            last = at
+            one = out.setdefault((key, start), [at, 0, set()])
+            one[0], one[1] = at, one[1] + 1
+            one[2].add(source)
+    return {k: (v[0], v[1], len(v[2])) for k, v in out.items()}
+
+
+def test_sessions_without_gaps_equal_a_fold_and_keep_rows_apart(spark):
+    pick = random.Random(5)
+    rows = [(i, 1, i * 40 + pick.randrange(40), "ab"[i % 2]) for i in range(3000)]  # one island
+    rows += [(5000 + i, None if i % 3 else 2, 10_000 + pick.randrange(-30_000, 30_000), "abc"[i % 3]) for i in range(400)] + [(9000, 2, None, "a")]
+    rows += [(9100 + i, 3, 500, "ab"[i % 2]) for i in range(50)] + [(9200, 3, 1500, "a"), (9201, 3, 1501, "b"), (9202, 3, 5000, "b")]
+    df = spark.createDataFrame(rows, "id long, user long, at long, source string")
+    for gap, span in ((100, 1000), (700, 333), (5000, 1000)):
+        out = sittings.bounded_sessions(df, ["user"], "at", "id", gap, span)
+        got = {(r["user"], r["started"]): (r["ended"], r["items"], r["sources"]) for r in out.collect()}
+        assert got == folded(rows, gap, span)
+        assert "collect_list" not in plan(out)
+
+
+def test_report_counts_sessions_across_sources(spark):
+    hour = 3_600_000
+    rows = [(i, "ab"[i % 2], "/Home/p", START_MS + i * hour, "text") for i in range(14)] + [(99, "a", "/Home/q", START_MS, "text")]
+    docs = spark.createDataFrame(rows, "id long, source string, cwd string, ended_at long, text string")
+    got = {(r["section"], r["n"]) for r in report.corpus_report(docs, spark.createDataFrame([("t", "text")], "topic string, term string")).collect()}
+    assert ("session", 2) in got  # two of seven hours
