@@ -3,15 +3,16 @@
 Base kinds (assign, access, hex) are reported wherever their pattern matches. Weak candidates are reported only when
 complementary parts stand near each other in one document, within ``scope`` code points:
 
-* ``weak_secret`` - a string of 24 to 64 letters, digits, ``+/_-`` with letters and digits mixed; needs an access identifier
+* ``weak_secret`` - a string of 24 or more letters, digits, ``+/_-`` with letters and digits mixed; needs an access identifier
   or an endpoint in scope;
-* ``weak_access`` - an upper-case identifier of 12 to 32 letters and digits; needs an access identifier's complement,
-  that is a secret (assign, hex) and an endpoint in scope;
-* ``endpoint`` - an URL or a host name with port; needs an access identifier or a secret in scope.
+* ``weak_access`` - an upper-case identifier of 12 or more letters and digits; needs an access identifier's complement,
+  that is a secret (assign, hex, or a weak secret apart from it) and an endpoint in scope;
+* ``endpoint`` - an URL or a host name with port; needs an access identifier, a secret, or a weak identifier together with a
+  weak secret apart from it, in scope.
 
-The interval join is an equi-join on (document, bin of ``scope`` code points): the places of the strong parts of a bin,
-at most ``scope`` of each, stand in their own bin and its two neighbours, and a candidate looks at its own bin. So no
-document's parts are paired all with all.
+The distance of two spans is from the end of one to the start of the other, 0 where they overlap. The interval join is an
+equi-join on (document, bin of ``scope`` code points): a part stands in every bin from the one before its start to the one after
+its end, and a candidate looks at the bins that it covers. So no document's parts are paired all with all.
 
 Defined results: null text counts as empty; a null id stays null; rows that share an id are scanned each by itself;
 extra columns are ignored; an empty table gives an empty result.
@@ -30,8 +31,8 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*+[:=]\x20*+["
 ACCESS = r"AKIA[A-Z0-9]++"
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}+"
 # Patterns of the weak kinds.
-WEAK_SECRET = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,64}+(?![A-Za-z0-9+/_-])"
-WEAK_ACCESS = r"(?<![A-Za-z0-9])[A-Z0-9]{12,32}+(?![A-Za-z0-9])"
+WEAK_SECRET = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}+(?![A-Za-z0-9+/_-])"
+WEAK_ACCESS = r"(?<![A-Za-z0-9])[A-Z0-9]{12,}+(?![A-Za-z0-9])"
 ENDPOINT = r"(?<![A-Za-z0-9])(?:https?://[A-Za-z0-9./_-]++|[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+)++:[0-9]{2,5}+)"
 BASE_KINDS = ["assign", "access", "hex"]
 WEAK_KINDS = ["weak_secret", "weak_access", "endpoint"]
@@ -67,24 +68,28 @@ def _linked(hits: DataFrame, scope: int) -> DataFrame:
     weak = F.concat(*WEAK_KINDS)
     some = hits.where(F.size(weak) > 0)
     key = ["doc_id", "row_key"]
-    parts = some.select(
-        *key, F.explode(F.array_distinct(F.concat("assign", "access", "hex", *WEAK_KINDS))).alias("s")
-    ).select(*key, "s.start", "s.kind", "s.end", F.floor(F.col("s.start") / scope).alias("bin"))
-    part = F.when(F.col("kind").isin("access", "weak_access"), "access").when(F.col("kind") == "endpoint", "endpoint").otherwise("secret")
-    strong = parts.where(F.col("kind").isin("assign", "access", "hex", "endpoint")).withColumn("part", part)
-    ends = strong.groupBy(*key, "bin", "part").agg(F.sort_array(F.collect_set("start")).alias("places"))
-    spread = ends.select(*key, F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"), "part", "places")
-    by_bin = spread.groupBy(*key, "bin").agg(
-        *[F.flatten(F.collect_list(F.when(F.col("part") == p, F.col("places")))).alias(f"near_{p}") for p in ("access", "secret", "endpoint")]
+    parts = some.select(*key, F.explode(F.array_distinct(F.concat("assign", "access", "hex", *WEAK_KINDS))).alias("s")).select(*key, "s.start", "s.kind", "s.end")
+    part = F.when(F.col("kind").isin("assign", "hex"), "secret").otherwise(F.col("kind"))
+    covered = lambda more: F.explode(F.sequence(F.floor(F.col("start") / scope) - more, F.floor(F.col("end") / scope) + more))
+    spread = parts.select(*key, covered(1).alias("bin"), part.alias("part"), F.struct("start", "end").alias("place"))
+    by_bin = spread.groupBy(*key, "bin").agg(*[F.collect_set(F.when(F.col("part") == p, F.col("place"))).alias(f"near_{p}") for p in ("access", "secret", *WEAK_KINDS)])
+    candidates = parts.where(F.col("kind").isin(*WEAK_KINDS)).withColumn("bin", covered(0))
+    apart = lambda x: F.greatest(x["start"] - F.col("end"), F.col("start") - x["end"])
+    near = lambda p: F.bool_or(F.coalesce(F.exists(f"near_{p}", lambda x: apart(x) <= scope), F.lit(False))).alias(p)
+    # Of the weak parts in scope and apart from the candidate, the first end and the last start: two of them are apart if one's ends before the other's starts.
+    beside = lambda p: F.filter(f"near_{p}", lambda x: (apart(x) >= 0) & (apart(x) <= scope))
+    first_end = lambda p: F.min(F.array_min(F.transform(beside(p), lambda x: x["end"]))).alias(f"{p}_end")
+    last_start = lambda p: F.max(F.array_max(F.transform(beside(p), lambda x: x["start"]))).alias(f"{p}_start")
+    seen = attach(candidates, by_bin, *key, "bin").groupBy(*key, "start", "kind", "end").agg(
+        near("access"), near("secret"), near("endpoint").alias("beside_endpoint"), *[f(p) for p in ("weak_secret", "weak_access") for f in (first_end, last_start)]
     )
-    near = lambda p: F.exists(f"near_{p}", lambda x: F.abs(x - F.col("start")) <= scope)
+    both = (F.col("weak_secret_end") <= F.col("weak_access_start")) | (F.col("weak_access_end") <= F.col("weak_secret_start"))
     rule = (
-        ((F.col("kind") == "weak_secret") & (near("access") | near("endpoint")))
-        | ((F.col("kind") == "weak_access") & near("secret") & near("endpoint"))
-        | ((F.col("kind") == "endpoint") & (near("access") | near("secret")))
+        ((F.col("kind") == "weak_secret") & (F.col("access") | F.col("beside_endpoint")))
+        | ((F.col("kind") == "weak_access") & (F.col("secret") | F.col("weak_secret_end").isNotNull()) & F.col("beside_endpoint"))
+        | ((F.col("kind") == "endpoint") & (F.col("access") | F.col("secret") | both))
     )
-    candidates = parts.where(F.col("kind").isin(*WEAK_KINDS))
-    kept = attach(candidates, by_bin, *key, "bin").where(rule).select(*key, F.struct("start", "kind", "end").alias("s"))
+    kept = seen.where(rule).select(*key, F.struct("start", "kind", "end").alias("s"))
     return kept.groupBy(*key).agg(F.collect_set("s").alias("linked"))
 
 

@@ -74,6 +74,27 @@ def test_weak_parts_are_linked_only_together(spark):
     assert got == {1: ["access", "weak_secret"], 2: [], 3: ["access"], 4: ["weak_secret"]}
 
 
+def test_long_and_weak_parts_are_linked_from_edge_to_edge(spark):
+    url, key, name = "https://store.example.org/x", "Ab9/" * 21 + "Q1", "ID34" * 3
+    rows = [
+        (1, f"AKIA{'B' * 12} AccountKey={key}== ."), (2, f"{key} at {url}"), (3, f"password={'v' * 400} {'Q7' * 20} {url}"),
+        (4, f"{name} {'x9' * 15} {url}"), (5, f"{'Q7' * 15} {url}"), (6, f"https://a.example.org/{'p' * 600} {'x9' * 15}"), (7, f"{'x9' * 15} {'y ' * 100} {name}"), (8, None),
+        (9, f"{'x9' * 15} {'y ' * 150} {url}"), (10, f"{name} {url} {'y ' * 100} {'x9' * 30}"), (11, f"{'x9' * 200} {'y ' * 100} AKIA{'B' * 12}"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    scanned = secrets.scan_secrets(docs)
+    got = {r["doc_id"]: sorted((s["kind"], s["end"] - s["start"]) for s in r["spans"]) for r in scanned.collect()}
+    assert got[1] == [("access", 16), ("weak_secret", 86)] and got[2] == [("weak_secret", 86)]
+    assert {k for k, _ in got[3]} == {"assign", "weak_secret", "weak_access", "endpoint"} and ("weak_access", 40) in got[3]
+    assert got[4] == [("endpoint", len(url)), ("weak_access", 12), ("weak_secret", 30)]
+    assert got[5] == [("weak_secret", 30)]  # one string completes no other part by itself
+    assert ("weak_secret", 30) in got[6]
+    assert got[7] == [] and got[8] == [] and got[9] == []
+    assert ("weak_access", 12) in got[10] and ("weak_secret", 60) in got[10]
+    assert got[11] == [("access", 16), ("weak_secret", 400)]
+    assert key not in {r["doc_id"]: r["text"] for r in secrets.redact(docs, scanned).collect()}[1]
+
+
 def test_redaction_keeps_columns(spark):
     docs = spark.createDataFrame([(1, "a token=abcdefgh12 b", "en"), (2, None, None)], "doc_id long, text string, lang string")
     out = {r["doc_id"]: r["text"] for r in secrets.redact(docs, secrets.scan_secrets(docs)).collect()}
