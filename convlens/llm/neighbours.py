@@ -4,8 +4,9 @@ The forest is fitted on a bounded sample (``sample_rows``), whose size is docume
 tree splits the sample of a node at the median along the difference of two of its points. Vectors get one more component,
 sqrt(longest^2 - length^2), so that the largest inner product becomes the smallest angle. One priority queue for all trees
 orders a query's nodes by how far across their planes they lie; leaves are taken until they hold ``search_share`` times as many
-vectors as there are (over all trees, so a vector may count several times). Their vectors are scored exactly, in blocks of
-queries against vectors of a leaf, and only the best of a block leave it.
+vectors as there are (over all trees, so a vector may count several times). Their vectors are scored in blocks of queries
+against vectors of a leaf. A product of matrices finds what may be among the best ``k + 1`` of a block within its rounding; of
+these, the best by the exact measure and then by smallest id leave the block, so ties between different vectors are decided too.
 
 Copies of a vector are one candidate that carries its ``k + 1`` smallest ids, which decides every tie exactly.
 Leaves and their queries are cut into blocks of bounded size, so a leaf that holds a third of all rows is many tasks.
@@ -90,6 +91,23 @@ def _matrix(column) -> np.ndarray:
     return np.stack(column.to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column.to_numpy()).astype(np.float64)
 
 
+def best_of_block(query_keys: np.ndarray, asked: np.ndarray, keys: np.ndarray, classes: np.ndarray, vectors: np.ndarray, most: int, pairs: int = 1 << 16) -> pd.DataFrame:
+    """query_key, key, class, score: for each query the ``most`` best vectors by exact score (summed in order), then class."""
+    got = asked @ vectors.T
+    size, n = asked.shape[1], got.shape[1]
+    least = np.partition(got, n - min(most, n), axis=1)[:, n - min(most, n)]
+    # Twice the error of either sum, for the candidate and for the last of the best.
+    slack = 4 * size * np.finfo(np.float64).eps * np.linalg.norm(asked, axis=1) * np.linalg.norm(vectors, axis=1).max()
+    q, v = np.nonzero(got >= (least - slack)[:, None])
+    exact = np.empty(len(q))
+    for lo in range(0, len(q), pairs):
+        exact[lo : lo + pairs] = np.cumsum(asked[q[lo : lo + pairs]] * vectors[v[lo : lo + pairs]], axis=1)[:, -1] + 0.0
+    order = np.lexsort((keys[v], classes[v], -exact, q))
+    place = np.arange(len(order)) - np.searchsorted(q[order], q[order])
+    order = order[place < most]
+    return pd.DataFrame({"query_key": query_keys[q[order]], "key": keys[v[order]], "class": classes[v[order]], "score": exact[order]})
+
+
 def _first_of(rows: DataFrame, k: int, by: list[str], order) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("__n") <= k).drop("__n")
 
@@ -154,24 +172,19 @@ def nearest(
     place = ["tree", "leaf", "cut", "ask_cut"]
     mine = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
     to = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
-    rows = indexed.join(cuts, ["tree", "leaf"]).withColumn("cut", mine("key", "cuts")).withColumn("ask_cut", to("ask_cuts")).join(copies.select("key", "embedding"), "key").select(*place, "key", "embedding")
+    rows = indexed.join(cuts, ["tree", "leaf"]).withColumn("cut", mine("key", "cuts")).withColumn("ask_cut", to("ask_cuts")).join(copies.select("key", "class", "embedding"), "key").select(*place, "key", "class", "embedding")
     asking = probes.join(cuts, ["tree", "leaf"]).withColumn("ask_cut", mine("query_key", "ask_cuts")).withColumn("cut", to("cuts")).join(asked.select("query_key", "embedding"), "query_key").select(*place, "query_key", "embedding")
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_key": [], "key": [], "rough": []}).astype({"query_key": "int64", "key": "int64", "rough": "float64"})
-        got = _matrix(left["embedding"]) @ _matrix(right["embedding"]).T
-        best = np.argpartition(-got, min(k + 3, got.shape[1] - 1), axis=1)[:, : k + 4]  # the query's own vector may be among them
-        return pd.DataFrame(
-            {"query_key": np.repeat(left["query_key"].to_numpy(), best.shape[1]), "key": right["key"].to_numpy()[best].reshape(-1), "rough": np.take_along_axis(got, best, 1).reshape(-1)}
-        )
-
-    scored = asking.groupBy(*place).cogroup(rows.groupBy(*place)).applyInPandas(score, "query_key long, key long, rough double")
-    unique = scored.groupBy("query_key", "key").agg(F.max("rough").alias("rough"))
-    kept = _first_of(unique, k + 4, ["query_key"], [F.desc("rough"), "key"])
-    full = kept.join(asked.withColumnRenamed("embedding", "asked"), "query_key").join(copies.select("key", "embedding", "ids"), "key")
-    # The exact measure, summed in order, on the vectors themselves.
-    exact = F.aggregate(F.zip_with("asked", "embedding", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    each = full.select("query_key", "query_id", exact.alias("score"), F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
+            return pd.DataFrame({"query_key": [], "key": [], "class": [], "score": []}).astype({"query_key": "int64", "key": "int64", "class": "int64", "score": "float64"})
+        return best_of_block(left["query_key"].to_numpy(), _matrix(left["embedding"]), right["key"].to_numpy(), right["class"].to_numpy(), _matrix(right["embedding"]), k + 1)  # the query's own vector may be among them
+
+    scored = asking.groupBy(*place).cogroup(rows.groupBy(*place)).applyInPandas(score, "query_key long, key long, class long, score double")
+    unique = scored.groupBy("query_key", "key").agg(F.max("class").alias("class"), F.max("score").alias("score"))
+    # k + 1 vectors hold k ids besides the query's, each at least as good as any of the vectors left out.
+    kept = _first_of(unique, k + 1, ["query_key"], [F.desc("score"), "class", "key"])
+    full = kept.join(asked.select("query_key", "query_id"), "query_key").join(copies.select("key", "ids"), "key")
+    each = full.select("query_key", "query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
     ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy("query_key").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -44,3 +44,16 @@ def test_odd_vectors_and_copies(spark):
     few = neighbours.nearest(df.where("vec_id in (10, 11, 12, 200)"), every=10, k=7).collect()
     assert {r["vec_id"] for r in few} == {11, 12}
     assert neighbours.nearest(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("block_rows,block_queries", [(4096, 1024), (40, 5)])
+def test_ties_between_different_vectors_go_to_smaller_ids(spark, block_rows, block_queries):
+    pick = np.random.default_rng(11)
+    rows = [(i, [float(x) for x in v]) for i, v in zip(pick.permutation(500).tolist(), pick.integers(-1, 2, size=(500, 6))) if v.any()]
+    want = brute(rows, 10, 7)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, every=10, k=7, search_share=100.0, depth=2, block_rows=block_rows, block_queries=block_queries)
+    found = {}
+    for r in got.orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append((-r["score"], r["vec_id"]))
+    assert found == want
