@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def run(pairs: DataFrame, queries: DataFrame, conversations: DataFrame, messages: DataFrame, matches: DataFrame, kept: DataFrame, depth: int = 500) -> DataFrame:
+def run(pairs: DataFrame, queries: DataFrame, conversations: DataFrame, messages: DataFrame, matches: DataFrame, kept: DataFrame) -> DataFrame:
     """pairs (qid, conv_id) with counts and a verdict, the first that holds.
 
     queries: prepared; matches: (qid, msg_id, score) off-path included; kept: (qid, conv_id) that pass the filters.

@@ -31,7 +31,7 @@ def build(rows: DataFrame, at: str = "ended_at", source: str = "source", want: i
 
 
 def by_query(pool: DataFrame, hits: DataFrame, at: str = "ended_at", want: int = 180, tz: str = "UTC") -> DataFrame:
-    """(qid, bucket, kept, matched, in_range): pool (id, at) under all filters but the date's, hits (qid, id, inside)."""
+    """(qid, bucket, matched, in_range): pool (id, at) under all filters but the date's, hits (qid, id, inside)."""
     found = axis(pool, at, want, tz)
     if found is None:
         return pool.sparkSession.createDataFrame([], "qid long, bucket int, matched long, in_range long")

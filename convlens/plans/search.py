@@ -143,7 +143,7 @@ def nested(matches: DataFrame, messages: DataFrame, shown: DataFrame, each: int
 
 
 def totals(matches: DataFrame, messages: DataFrame, limit: int) -> DataFrame:
-    """(qid, total, settled): rows that match, whatever the limit."""
+    """(qid, total, shown): rows that match, whatever the limit, and how many of them the limit shows."""
     rows = matches.join(messages.where("on_head_path").select(F.col("id").alias("msg_id"), "conv_id"), "msg_id")
     return rows.groupBy("qid").agg(F.countDistinct("conv_id").alias("total")).withColumn("shown", F.least("total", F.lit(limit)))
 

@@ -1,6 +1,8 @@
 """What once was left out: rows, spans, sessions and pairs, each against plain Python."""
 
 import random
+import re
+from pathlib import Path
 
 from convlens.operators import sittings
 from convlens.plans import catalog, catalog_more, report  # noqa: F401
@@ -75,3 +77,14 @@ def test_report_counts_sessions_across_sources(spark):
     docs = spark.createDataFrame(rows, "id long, source string, cwd string, ended_at long, text string")
     got = {(r["section"], r["n"]) for r in report.corpus_report(docs, spark.createDataFrame([("t", "text")], "topic string, term string")).collect()}
     assert ("session", 2) in got  # two of seven hours
+
+
+def test_items_named_as_left_out_are_not_claimed():
+    text = (Path(__file__).parents[1] / "README.md").read_text()
+    table_rows = "\n".join(x for x in text.split("## Layout")[1].split("## Scale")[0].splitlines() if x.startswith("|"))
+    left = "J11 X6 X7 T7 B14 B27 B33".split()
+    claimed = set(re.findall(r"\b[A-Z]\d+\b", table_rows))
+    for a, lo, hi in re.findall(r"\b([A-Z])(\d+)–[A-Z](\d+)", table_rows):
+        claimed |= {f"{a}{n}" for n in range(int(lo), int(hi) + 1)}
+    assert not claimed & set(left)
+    assert all(f"{x} (" in text for x in left)
