@@ -31,7 +31,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode_documents(docs, tokenizer_path("byte_bpe_50k.json"))
+    return bpe.encode_documents(docs, tokenizer_path("byte_bpe_50k.json"), with_ids=True)
 
 
 STAGES = [

@@ -131,3 +131,16 @@ def test_pipeline_stages_match_plain_python(spark):
     own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     out = {r["doc_id"]: r["ids_sha256"] for r in pipeline.run(spark, SMALL).collect()}
     assert out == {i: hashlib.sha256(",".join(map(str, own.encode(t, add_special_tokens=False).ids)).encode()).hexdigest() for i, t in redacted.items()}
+
+
+def test_pipeline_writes_the_ids_and_text_of_each_document(spark):
+    import corpus_pipeline as pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = spark.createDataFrame([(1, "Two words, één naïve\n\nline."), (2, ""), (None, "token " * 300)], "doc_id long, text string")
+    out = {r["doc_id"]: r for r in pipeline.STAGES[-1][1](spark, docs, SMALL).collect()}
+    for i, t in docs.collect():
+        assert list(out[i]["ids"]) == own.encode(t, add_special_tokens=False).ids and out[i]["decoded"] == t
+        assert out[i]["n_tokens"] == len(out[i]["ids"])
