@@ -3,13 +3,20 @@
 The forest is fitted on a bounded sample (``sample_rows``), whose size is documented by the parameter; every vector is indexed. A
 tree splits the sample of a node at the median along the difference of two of its points. Vectors get one more component,
 sqrt(longest^2 - length^2), so that the largest inner product becomes the smallest angle. One priority queue for all trees
-orders a query's nodes by how far across their planes they lie; leaves are taken until they hold ``search_share`` times as many
-vectors as there are (over all trees, so a vector may count several times). Their vectors are scored in blocks of queries
-against vectors of a leaf. A product of matrices finds what may be among the best ``k + 1`` of a block within its rounding; of
-these, the best by the exact measure and then by smallest id leave the block, so ties between different vectors are decided too.
+orders a query's nodes by how far it lies from them: the root of the summed squares of the margins of the planes crossed.
 
-Copies of a vector are one candidate that carries its ``k + 1`` smallest ids, which decides every tie exactly.
-Leaves and their queries are cut into blocks of bounded size, so a leaf that holds a third of all rows is many tasks.
+How far a search goes is measured, not set: of the sample's own near pairs, the distance within which ``target`` of the
+neighbours lie in some tree. Leaves are bounded by ``leaf_rows``: where the sample is too small to split a large table so far,
+the vectors of a leaf are split on in the same way by the task that scores them, down to that bound. So the inner products of a
+query follow the structure of the data: few where vectors have clusters or few directions, and a constant share of the table where they
+fill all directions alike. ``search_share`` makes searches longer: leaves are taken at least until they hold so many times
+as many vectors as there are.
+
+Their vectors are scored in blocks of queries against vectors of a leaf's shelf (neighbouring leaves of a tree). A product of
+matrices finds what may be among the best ``k + 1`` of a block within its rounding; of these, the best by the exact measure and then by
+smallest id leave the block, so ties between different vectors are decided too. Copies of a vector are one candidate that
+carries its ``k + 1`` smallest ids. Shelves and their queries are cut into blocks of bounded size, so a shelf that holds a third of
+all rows is many tasks.
 
 Defined results: vectors that are null, zero, or hold a null or non-finite component take no part, nor do those whose length
 differs from the commonest one, nor rows whose id is null. Repeated rows count once; a query is never its own neighbour.
@@ -31,32 +38,67 @@ from pyspark.sql import functions as F
 from convlens.llm.shared import stored
 
 
+def _split(points: np.ndarray, pick: np.random.Generator) -> tuple[np.ndarray, float]:
+    """A plane that halves points: along the difference of two of them, at the median."""
+    normal = np.subtract(*points[pick.choice(len(points), 2, replace=False)]) if len(points) > 1 else np.zeros(points.shape[1])
+    if not normal.any():
+        normal = pick.normal(size=points.shape[1])
+    normal /= np.linalg.norm(normal)
+    return normal, float(np.median(points @ normal)) if len(points) else 0.0
+
+
 class Forest:
     """Complete trees of one depth: node 1 is the root, 2n and 2n + 1 are below n, leaves are numbered from 0."""
 
-    def __init__(self, sample: np.ndarray, trees: int, depth: int, longest: float, seed: int = 7):
-        self.depth, self.longest = depth, longest
+    def __init__(self, sample: np.ndarray, total: int, longest: float, k: int, trees: int, leaf_rows: int, target: float, depth: int | None = None, seed: int = 7, asked: int = 400):
+        wanted = max(1, math.ceil(math.log2(max(2, total / leaf_rows))))
+        # Some of the sample must be on both sides of each plane.
+        self.depth = min(wanted, max(1, int(math.log2(max(2, len(sample) / 16))))) if depth is None else depth
+        self.longest = longest
         points = self.lifted(sample)
-        pick = np.random.default_rng(seed)
-        self.normals = np.zeros((trees, 1 << depth, points.shape[1]))
-        self.cuts = np.zeros((trees, 1 << depth))
+        self.normals = np.zeros((trees, 1 << self.depth, points.shape[1]))
+        self.cuts = np.zeros((trees, 1 << self.depth))
         for t in range(trees):
-            node = np.ones(len(points), np.int64)
-            for n in range(1, 1 << depth):
-                mine = points[node == n]
-                normal = np.subtract(*mine[pick.choice(len(mine), 2, replace=False)]) if len(mine) > 1 else np.zeros(points.shape[1])
-                if not normal.any():
-                    normal = pick.normal(size=points.shape[1])
-                normal /= np.linalg.norm(normal)
-                self.normals[t, n] = normal
-                self.cuts[t, n] = np.median(mine @ normal) if len(mine) else 0.0
-                below = np.flatnonzero(node == n)
-                node[below] = 2 * n + (mine @ normal > self.cuts[t, n])
+            pick = np.random.default_rng([seed, t])
+            members = {1: np.arange(len(points))}
+            for n in range(1, 1 << self.depth):
+                mine = members.pop(n)
+                self.normals[t, n], self.cuts[t, n] = _split(points[mine], pick)
+                right = points[mine] @ self.normals[t, n] > self.cuts[t, n]
+                members[2 * n], members[2 * n + 1] = mine[~right], mine[right]
+        self._measure(sample, total, k, target, asked)
+
+    def _measure(self, sample: np.ndarray, total: int, k: int, target: float, asked: int) -> None:
+        """``reach``: the squared distance within which ``target`` of near pairs lie, for as many trees as take the fewest inner products."""
+        asked = min(asked, len(sample))
+        scores = sample[:asked] @ sample.T
+        scores[np.arange(asked), np.arange(asked)] = -np.inf
+        # The k-th of the table is about this one of the sample.
+        near = min(len(sample) - 1, max(1, math.ceil(k * len(sample) / max(total, 1))))
+        self.reach = math.inf
+        if near < 1:
+            return
+        found = np.argpartition(-scores, near - 1, axis=1)[:, :near]
+        leaves, queries = self.leaves(sample), self.directed(sample[:asked])
+        nearest, best, far = np.full(found.shape, np.inf), math.inf, []
+        for t in range(len(self.normals)):
+            far.append(self.distances(queries, t))
+            nearest = np.minimum(nearest, np.take_along_axis(far[t], leaves[:, t][found], axis=1))
+            reach = float(np.quantile(nearest, target))
+            cost = sum(np.take(np.bincount(leaves[:, u], minlength=1 << self.depth), np.nonzero(far[u] <= reach)[1]).sum() for u in range(t + 1))
+            if cost < best:
+                best, self.reach, count = cost, reach, t + 1
+        self.normals, self.cuts = self.normals[:count], self.cuts[:count]
 
     def lifted(self, x: np.ndarray) -> np.ndarray:
         rest = np.sqrt(np.maximum(self.longest**2 - (x**2).sum(axis=1), 0.0))
         return np.concatenate([x, rest[:, None]], axis=1) / self.longest
 
+    @staticmethod
+    def directed(queries: np.ndarray) -> np.ndarray:
+        """Queries among lifted points: only their direction counts."""
+        return np.concatenate([queries / np.linalg.norm(queries, axis=1, keepdims=True), np.zeros((len(queries), 1))], axis=1)
+
     def leaves(self, x: np.ndarray) -> np.ndarray:
         """[rows, trees] leaf numbers."""
         points = self.lifted(x)
@@ -68,37 +110,67 @@ class Forest:
             out[:, t] = node - (1 << self.depth)
         return out
 
-    def search(self, query: np.ndarray, sizes: np.ndarray, wanted: float) -> list[tuple[int, int]]:
-        """(tree, leaf) pairs, the most promising first, until they hold ``wanted`` vectors. sizes: [trees, leaves]."""
-        point = np.append(query / np.linalg.norm(query), 0.0)
-        margins = (self.normals @ point) - self.cuts
-        queue = [(-math.inf, t, 1) for t in range(len(margins))]
+    def distances(self, queries: np.ndarray, t: int) -> np.ndarray:
+        """[queries, leaves] squared distances from a tree's leaves."""
+        margins = queries @ self.normals[t].T - self.cuts[t]
+        far = np.zeros((len(queries), 1))
+        for level in range(self.depth):
+            m = margins[:, 1 << level : 2 << level]
+            far = np.stack([far + np.maximum(m, 0) ** 2, far + np.maximum(-m, 0) ** 2], axis=2).reshape(len(queries), -1)
+        return far
+
+    def search(self, query: np.ndarray, sizes: np.ndarray, least: float) -> list[tuple[int, int, float]]:
+        """(tree, leaf, squared distance), the nearest first: all within reach, and more until they hold ``least`` vectors. sizes: [trees, leaves]."""
+        margins = self.normals @ self.directed(query[None])[0] - self.cuts
+        queue = [(0.0, t, 1) for t in range(len(margins))]
         found, got, first_leaf = [], 0, 1 << self.depth
-        while queue and got < wanted:
+        while queue and (queue[0][0] <= self.reach or got < least):
             far, t, n = heapq.heappop(queue)
             if n >= first_leaf:
                 if sizes[t, n - first_leaf]:
-                    found.append((t, n - first_leaf))
+                    found.append((t, n - first_leaf, far))
                     got += sizes[t, n - first_leaf]
                 continue
             m = margins[t, n]
-            heapq.heappush(queue, (max(far, -m), t, 2 * n + 1))
-            heapq.heappush(queue, (max(far, m), t, 2 * n))
+            heapq.heappush(queue, (far + max(-m, 0.0) ** 2, t, 2 * n + 1))
+            heapq.heappush(queue, (far + max(m, 0.0) ** 2, t, 2 * n))
         return found
 
 
+def split_on(points: np.ndarray, queries: np.ndarray, far: np.ndarray, limit: np.ndarray, leaf_rows: int, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(points, queries) that meet: ``points`` split into parts of at most ``leaf_rows``, and which queries are within their limit of a part."""
+    pick, todo = np.random.default_rng(seed), [(np.arange(len(points)), np.arange(len(queries)), far)]
+    while todo:
+        mine, asked, far = todo.pop()
+        if not len(asked):
+            continue
+        if len(mine) > leaf_rows:
+            normal, cut = _split(points[mine], pick)
+            right = points[mine] @ normal > cut
+            if 0 < right.sum() < len(mine):
+                m = queries[asked] @ normal - cut
+                for side, gap in ((right, np.maximum(-m, 0)), (~right, np.maximum(m, 0))):
+                    now = far + gap**2
+                    within = now <= limit[asked]
+                    todo.append((mine[side], asked[within], now[within]))
+                continue
+        yield mine, asked
+
+
 def _matrix(column) -> np.ndarray:
     return np.stack(column.to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column.to_numpy()).astype(np.float64)
 
 
-def best_of_block(query_keys: np.ndarray, asked: np.ndarray, keys: np.ndarray, classes: np.ndarray, vectors: np.ndarray, most: int, pairs: int = 1 << 16) -> pd.DataFrame:
-    """query_key, key, class, score: for each query the ``most`` best vectors by exact score (summed in order), then class."""
-    got = asked @ vectors.T
+def best_of_block(query_keys: np.ndarray, asked: np.ndarray, keys: np.ndarray, classes: np.ndarray, vectors: np.ndarray, got: np.ndarray, most: int, pairs: int = 1 << 16) -> pd.DataFrame:
+    """query_key, key, class, score: for each query the ``most`` best vectors by exact score (summed in order), then class.
+
+    ``got`` has the rough inner products, and -inf where a query doesn't meet a vector.
+    """
     size, n = asked.shape[1], got.shape[1]
     least = np.partition(got, n - min(most, n), axis=1)[:, n - min(most, n)]
     # Twice the error of either sum, for the candidate and for the last of the best.
     slack = 4 * size * np.finfo(np.float64).eps * np.linalg.norm(asked, axis=1) * np.linalg.norm(vectors, axis=1).max()
-    q, v = np.nonzero(got >= (least - slack)[:, None])
+    q, v = np.nonzero((got >= (least - slack)[:, None]) & (got > -np.inf))
     exact = np.empty(len(q))
     for lo in range(0, len(q), pairs):
         exact[lo : lo + pairs] = np.cumsum(asked[q[lo : lo + pairs]] * vectors[v[lo : lo + pairs]], axis=1)[:, -1] + 0.0
@@ -113,8 +185,9 @@ def _first_of(rows: DataFrame, k: int, by: list[str], order) -> DataFrame:
 
 
 def nearest(
-    vectors: DataFrame, every: int = 20, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", trees: int = 6,
-    depth: int = 5, search_share: float = 1.5, sample_rows: int = 20_000, block_rows: int = 4096, block_queries: int = 1024,
+    vectors: DataFrame, every: int = 20, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", trees: int = 4,
+    depth: int | None = None, leaf_rows: int = 256, target: float = 0.95, search_share: float = 0.0, sample_rows: int = 20_000, block_rows: int = 4096,
+    block_queries: int = 1024,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: for every id divisible by ``every``, its ``k`` nearest other rows."""
     spark = vectors.sparkSession
@@ -136,7 +209,9 @@ def nearest(
     total, longest = copies.agg(F.count("*"), F.max(norm)).first()
     sample = copies.orderBy(F.xxhash64("key"), "class").limit(sample_rows).select("embedding").toPandas()
     fitted = np.stack(sample["embedding"].to_numpy()).astype(np.float64)
-    forest = spark.sparkContext.broadcast(Forest(fitted, trees, depth, float(longest)))
+    own = Forest(fitted, total, float(longest), k, trees, leaf_rows, target, depth)
+    reach, deep, trees = own.reach, own.depth, len(own.normals)
+    forest = spark.sparkContext.broadcast(own)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,36 +224,67 @@ def nearest(
                 )
 
     indexed = stored(copies.select("key", "embedding").mapInArrow(index, "key long, tree int, leaf int"), "index")
-    sizes = np.zeros((trees, 1 << depth), np.int64)
-    for r in indexed.groupBy("tree", "leaf").count().collect():  # trees x leaves rows
+    sizes = np.zeros((trees, 1 << deep), np.int64)
+    for r in indexed.groupBy("tree", "leaf").count().collect():  # trees x leaves rows, bounded by the sample
         sizes[r["tree"], r["leaf"]] = r["count"]
-
+    # A shelf is neighbouring leaves of a tree that hold about a block of vectors.
+    shelf_leaves = 1 << max(0, min(deep, int(math.log2(max(1.0, block_rows * (1 << deep) / total)))))
     # At least so many that k + 1 of them must differ, as each vector is once in a tree.
-    wanted = max(search_share * total, trees * (k + 1))
+    enough, asked_for = trees * (k + 1), search_share * total
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            out: list[tuple] = []
             for query, vector in zip(batch.column(0).to_pylist(), _matrix(batch.column(1)) if batch.num_rows else []):
-                out += [(query, t, leaf) for t, leaf in forest.value.search(vector, sizes, wanted)]
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.int32()))], names=["query_key", "tree", "leaf"])
+                found = forest.value.search(vector, sizes, max(enough, asked_for))
+                held = sum(int(sizes[t, leaf]) for t, leaf, far in found if far <= reach)
+                limit = reach if held >= max(enough, asked_for) else math.inf  # whole leaves where reach alone gives too few
+                shelves: dict[tuple[int, int], list[tuple[int, float]]] = {}
+                for t, leaf, far in found:
+                    shelves.setdefault((t, leaf // shelf_leaves), []).append((leaf, far))
+                out += [(query, t, shelf, [x for x, _ in own], [y for _, y in own], limit) for (t, shelf), own in shelves.items()]
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)], names=["query_key", "tree", "shelf", "leaves", "far", "limit"])
 
     asked = stored(queries.select(F.xxhash64("vec_id", "embedding").alias("query_key"), F.col("vec_id").alias("query_id"), "embedding").distinct(), "queries")
-    probes = stored(asked.repartition("query_key").select("query_key", "embedding").mapInArrow(probe, "query_key long, tree int, leaf int"), "probes")
-    # Blocks of queries against blocks of a leaf's vectors.
-    size_table = indexed.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("cuts"))
-    asks = probes.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / block_queries).cast("int").alias("ask_cuts"))
-    cuts = stored(size_table.join(asks, ["tree", "leaf"]), "cuts")
-    place = ["tree", "leaf", "cut", "ask_cut"]
+    probes = stored(
+        asked.repartition("query_key").select("query_key", "embedding").mapInArrow(probe, "query_key long, tree int, shelf int, leaves array<int>, far array<double>, limit double"), "probes"
+    )
+    shelved = indexed.withColumn("shelf", F.floor(F.col("leaf") / shelf_leaves).cast("int"))
+    # Blocks of queries against blocks of a shelf's vectors.
+    size_table = shelved.groupBy("tree", "shelf").agg(F.ceil(F.count("*") / (2 * block_rows)).cast("int").alias("cuts"))
+    asks = probes.groupBy("tree", "shelf").agg(F.ceil(F.count("*") / block_queries).cast("int").alias("ask_cuts"))
+    cuts = stored(size_table.join(asks, ["tree", "shelf"]), "cuts")
+    place = ["tree", "shelf", "cut", "ask_cut"]
     mine = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
     to = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
-    rows = indexed.join(cuts, ["tree", "leaf"]).withColumn("cut", mine("key", "cuts")).withColumn("ask_cut", to("ask_cuts")).join(copies.select("key", "class", "embedding"), "key").select(*place, "key", "class", "embedding")
-    asking = probes.join(cuts, ["tree", "leaf"]).withColumn("ask_cut", mine("query_key", "ask_cuts")).withColumn("cut", to("cuts")).join(asked.select("query_key", "embedding"), "query_key").select(*place, "query_key", "embedding")
+    rows = shelved.join(cuts, ["tree", "shelf"]).withColumn("cut", mine("key", "cuts")).withColumn("ask_cut", to("ask_cuts")).join(copies.select("key", "class", "embedding"), "key").select(*place, "leaf", "key", "class", "embedding")
+    asking = probes.join(cuts, ["tree", "shelf"]).withColumn("ask_cut", mine("query_key", "ask_cuts")).withColumn("cut", to("cuts")).join(asked.select("query_key", "embedding"), "query_key").select(*place, "leaves", "far", "limit", "query_key", "embedding")
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_key": [], "key": [], "class": [], "score": []}).astype({"query_key": "int64", "key": "int64", "class": "int64", "score": "float64"})
-        return best_of_block(left["query_key"].to_numpy(), _matrix(left["embedding"]), right["key"].to_numpy(), right["class"].to_numpy(), _matrix(right["embedding"]), k + 1)  # the query's own vector may be among them
+        right = right.sort_values(["leaf", "key"])
+        vectors, queries = _matrix(right["embedding"]), _matrix(left["embedding"])
+        limit = left["limit"].to_numpy()
+        # Which queries ask each leaf.
+        taken = np.concatenate(left["leaves"].to_numpy())
+        by, far = np.repeat(np.arange(len(left)), left["leaves"].str.len()), np.concatenate(left["far"].to_numpy())
+        order = np.argsort(taken, kind="stable")
+        taken, by, far = taken[order], by[order], far[order]
+        got = np.full((len(left), len(right)), -np.inf)
+        leaf = right["leaf"].to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(leaf)) + 1), len(leaf)]
+        for a, b in zip(edges, edges[1:]):
+            lo, hi = np.searchsorted(taken, [leaf[a], leaf[a] + 1])
+            asks = by[lo:hi]
+            if b - a <= leaf_rows:
+                got[asks, a:b] = queries[asks] @ vectors[a:b].T
+                continue
+            for part, some in split_on(forest.value.lifted(vectors[a:b]), Forest.directed(queries[asks]), far[lo:hi], limit[asks], leaf_rows, int(leaf[a])):
+                got[np.ix_(asks[some], a + part)] = queries[asks[some]] @ vectors[a + part].T
+        # The query's own vector may be among the best.
+        return best_of_block(left["query_key"].to_numpy(), queries, right["key"].to_numpy(), right["class"].to_numpy(), vectors, got, k + 1)
 
     scored = asking.groupBy(*place).cogroup(rows.groupBy(*place)).applyInPandas(score, "query_key long, key long, class long, score double")
     unique = scored.groupBy("query_key", "key").agg(F.max("class").alias("class"), F.max("score").alias("score"))

@@ -17,7 +17,8 @@ longer document stands alone), under a name that depends on partition and order
 runs again after a lost executor writes the same bytes under the same name.
 
 Defined results: null text counts as empty, an empty text is the end id alone; null ids come first (kept as the lowest
-long in files); rows that share an id are ordered by text and all kept; extra columns are ignored; an empty table gives no file and no rows.
+long in files); rows that share an id are ordered by the first 32 characters of the text, then
+its hash, and all kept; extra columns are ignored; an empty table gives no file and no rows.
 """
 
 from __future__ import annotations
@@ -25,19 +26,23 @@ from __future__ import annotations
 import io
 import json
 import struct
+import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from convlens.llm.memo import Memo, stops_apart
+from convlens.llm.memo import Memo
 from convlens.llm.shared import shared_dir
+from convlens.llm.words import blocks, text_buffers
 
 MAGIC = b"PFR1"
 NO_ID = -(2**63)
@@ -46,12 +51,26 @@ NO_ID = -(2**63)
 # --- blocks ---------------------------------------------------------------------------------------------------------
 
 
+def _lanes(width: int) -> Iterator[tuple[int, int, int, int]]:
+    """(value of eight, byte, shift, place in that value) for each byte that eight values of ``width`` bits touch."""
+    for lane in range(8):
+        byte, shift = divmod(lane * width, 8)
+        for k in range((shift + width + 7) // 8):
+            yield lane, byte + k, shift, 8 * k
+
+
 def pack(rows: np.ndarray, width: int) -> np.ndarray:
     """Each row of non-negative integers below 2**width as packed bytes, low bits first."""
     if width in (8, 16, 32):
         return np.ascontiguousarray(rows.astype(f"<u{width // 8}")).view(np.uint8).reshape(len(rows), -1)
-    bits = ((rows[:, :, None] >> np.arange(width, dtype=np.uint32)) & np.uint32(1)).astype(np.uint8)
-    return np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little")
+    eights = -(-rows.shape[1] // 8)
+    values = np.zeros((len(rows), eights * 8), np.uint64)
+    values[:, : rows.shape[1]] = rows
+    values = values.reshape(len(rows), eights, 8)
+    out = np.zeros((len(rows), eights, width), np.uint8)
+    for lane, byte, shift, at in _lanes(width):
+        out[:, :, byte] |= (values[:, :, lane] << np.uint64(shift) >> np.uint64(at)).astype(np.uint8)
+    return out.reshape(len(rows), -1)[:, : -(-rows.shape[1] * width // 8)]
 
 
 def unpack(rows: np.ndarray, width: int, n: int) -> np.ndarray:
@@ -59,12 +78,14 @@ def unpack(rows: np.ndarray, width: int, n: int) -> np.ndarray:
         return np.ascontiguousarray(rows).view(f"<u{width // 8}").astype(np.uint32)
     if not width:
         return np.zeros((len(rows), n), np.uint32)
-    at = np.arange(n, dtype=np.int64) * width
-    wide = np.concatenate([rows, np.zeros((len(rows), 5), np.uint8)], axis=1)
-    word = np.zeros((len(rows), n), np.uint64)
-    for k in range(5):
-        word |= wide[:, (at >> 3) + k].astype(np.uint64) << np.uint64(8 * k)
-    return ((word >> (at & 7).astype(np.uint64)) & np.uint64((1 << width) - 1)).astype(np.uint32)
+    eights = -(-n // 8)
+    packed = np.zeros((len(rows), eights * width), np.uint8)
+    packed[:, : rows.shape[1]] = rows
+    packed = packed.reshape(len(rows), eights, width)
+    out = np.zeros((len(rows), eights, 8), np.uint64)
+    for lane, byte, shift, at in _lanes(width):
+        out[:, :, lane] |= packed[:, :, byte].astype(np.uint64) << np.uint64(at) >> np.uint64(shift)
+    return (out.reshape(len(rows), -1)[:, :n] & np.uint64((1 << width) - 1)).astype(np.uint32)
 
 
 def encode_blocks(ids: np.ndarray, block: int, percentile: float) -> list[bytes]:
@@ -91,7 +112,7 @@ def encode_blocks(ids: np.ndarray, block: int, percentile: float) -> list[bytes]
     return out
 
 
-def write_file(doc_ids: list[int], ends: list[int], ids: np.ndarray, block: int = 1024, percentile: float = 0.9) -> bytes:
+def write_file(doc_ids: Sequence[int] | np.ndarray, ends: Sequence[int] | np.ndarray, ids: np.ndarray, block: int = 1024, percentile: float = 0.9) -> bytes:
     if not 0 < block < 2**16:
         raise ValueError("a block holds 1 to 65,535 ids")
     blocks = encode_blocks(ids, block, percentile)
@@ -146,89 +167,172 @@ class TokenFile:
 # --- texts to ids ---------------------------------------------------------------------------------------------------
 
 
-class PartEncoder:
-    """Ids, as bytes of u32, of strings without space or line feed. One for each Python worker.
-
-    The tokenizer cuts at white space and drops it, so a text's ids are those of its parts in a row. New words of plain
-    letters go to the tokenizer many at a time, with a space between; its end-of-word tokens part their ids again.
+# Fixed value: the pattern by which the tokenizer cuts a lower-cased text into words.
+CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WHITE, LETTER, NUMBER, OTHER = range(4)
+_CHARS = [chr(b) for b in range(256)]
+KIND = np.array([WHITE if c.isspace() and not "\x1c" <= c <= "\x1f" else {"L": LETTER, "N": NUMBER}.get(unicodedata.category(c)[0], OTHER) for c in _CHARS], np.uint8)
+LOWER = np.array([ord(c.lower()) for c in _CHARS], np.uint8)
+
+
+def cut_words(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a lower-cased Latin-1 text: which characters belong to words, and where words begin, as ``CUTS`` has it."""
+    kind = KIND[text]
+    before = np.concatenate([np.zeros(1, np.uint8), kind[:-1]])
+    first = (kind != WHITE) & ((kind != before) | (kind == NUMBER))
+    # A quote that begins a word takes a short ending with it.
+    quotes = np.flatnonzero(first & (text == ord("'")))
+    if len(quotes):
+        after = np.concatenate([text, np.zeros(2, np.uint8)])
+        one, two = after[quotes + 1], after[quotes + 2]
+        short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+        long = np.isin(one.astype(np.uint16) << 8 | two, np.frombuffer(b"revell", ">u2"))
+        first[quotes[short | long] + 1] = False
+        rest = np.concatenate([quotes[short] + 2, quotes[long] + 3])
+        rest = rest[rest < len(text)]
+        first[rest[kind[rest] == LETTER]] = True
+    return kind != WHITE, first
+
+
+class WordEncoder:
+    """Ids of texts by their distinct words. One for each Python worker.
+
+    A batch of Latin-1 texts is cut into words as one array of characters, the distinct words are looked up, new ones go
+    to the tokenizer's merges many at a time, and ids are laid out by the words' numbers. Other texts, and those that may
+    hold the string of a special token, go part by part between white space through the tokenizer itself.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_file(path)
         self.own.no_truncation()
         self.own.no_padding()
-        self.memo = Memo(self._single)
-        suffix = getattr(self.own.model, "end_of_word_suffix", None)
-        self.ends = None
-        if suffix:
-            vocab = self.own.get_vocab(with_added_tokens=False)
-            self.ends = np.zeros(max(vocab.values()) + 1, bool)
-            self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
-
-    def _single(self, part: str) -> bytes:
+        self.memo = Memo(self._part, most // 8)
+        self.most = most
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.by_part = cuts_at_white_space(spec)
+        self.by_word = self.by_part and spec["pre_tokenizer"]["pretokenizers"][0]["pattern"] == {"Regex": CUTS}
+        self.marks = [t["content"] for t in spec["added_tokens"]]
+        if self.by_word:
+            self.marks = sorted({m[:2].lower() for m in self.marks})
+            split, *rest = spec["pre_tokenizer"]["pretokenizers"]
+            bare = {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *rest]}}
+            self.merges = Tokenizer.from_str(json.dumps(spec | bare))
+            suffix = spec["model"].get("end_of_word_suffix")
+            vocab = spec["model"]["vocab"]
+            self.last = np.zeros(max(vocab.values()) + 1, bool)
+            self.last[[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
+            self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.pool, self.ends = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def _part(self, part: str) -> bytes:
         return np.array(self.own.encode(part.removeprefix("\x01"), add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, parts: set[str]) -> None:
-        new = parts.difference(self.memo).difference(self.memo.old)
-        words = [p for p in new if p.isascii() and p.isalpha()]
-        for lo in range(0, len(words), 200):
-            some = words[lo : lo + 200]
-            ids = np.array(self.own.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(some):
-                data, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
-                for word, a, b in zip(some, at, at[1:]):
-                    self.memo.put(word, data[a:b])
-
-    def encode(self, texts: list[list[str]]) -> list[bytes]:
-        if self.ends is not None:
-            self.learn(set().union(*texts))
-        memo = self.memo
-        return [b"".join([memo[p] for p in parts]) for parts in texts]
+    def learn(self, words: list[bytes], at_once: int = 256) -> None:
+        """Ids of new words, which stand in ``pool`` up to ``ends`` in the order of their numbers."""
+        groups = [words[lo : lo + at_once] for lo in range(0, len(words), at_once)]
+        ids, sizes = [self.pool], [np.zeros(0, np.int64)]
+        for group, coded in zip(groups, self.merges.encode_batch_fast([b" ".join(g).decode("latin-1") for g in groups], add_special_tokens=False)):
+            got = np.array(coded.ids, np.uint32)
+            ends = np.flatnonzero(self.last[got]) + 1
+            if len(ends) != len(group) or ends[-1] != len(got):  # the last tokens of words don't tell them apart here
+                single = [e.ids for e in self.merges.encode_batch_fast([w.decode("latin-1") for w in group], add_special_tokens=False)]
+                got, ends = np.array(sum(single, []), np.uint32), np.cumsum([len(s) for s in single])
+            ids.append(got)
+            sizes.append(np.diff(ends, prepend=0))
+        self.known.update(zip(words, range(len(self.ends), len(self.ends) + len(words))))
+        so_far = self.ends[-1] if len(self.ends) else 0
+        self.pool, self.ends = np.concatenate(ids), np.concatenate([self.ends, so_far + np.cumsum(np.concatenate(sizes))])
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        if len(self.pool) > 8 * self.most:
+            self.forget()
+        out = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        if len(self.known) + int((out < 0).sum()) > self.most and self.known:
+            self.forget()
+            out[:] = -1
+        places = np.flatnonzero(out < 0)
+        new = [words[i] for i in places]
+        if new:
+            out[places] = np.arange(len(self.ends), len(self.ends) + len(new))
+            self.learn(new)
+        for w in new:
+            if len(w) > 200:  # long words hardly repeat and would take the memory of many
+                del self.known[w]
+        return out
+
+    def _by_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of Latin-1 texts in a row, and how many each has."""
+        line = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts), " ")[0].as_py()
+        line = LOWER[np.frombuffer(line.encode("latin-1"), np.uint8)]
+        inside, first = cut_words(line)
+        begins = np.flatnonzero(first)
+        if not len(begins):
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        chars = line[inside]
+        offsets = np.append((np.cumsum(inside, dtype=np.int32) - 1)[begins], len(chars)).astype(np.int32)
+        coded = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(chars)]).dictionary_encode()
+        word = self.numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        size = np.diff(self.ends, prepend=0)[word]
+        upto = np.cumsum(size)
+        ids = self.pool[np.repeat(self.ends[word] - upto, size) + np.arange(upto[-1])]
+        edges = np.concatenate([[0], np.cumsum(pc.utf8_length(texts).to_numpy().astype(np.int64) + 1)])
+        return ids, np.diff(np.concatenate([[0], upto])[np.searchsorted(begins, edges)])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and how many each has. Nulls count as empty."""
+        texts = texts.fill_null("")
+        if not self.by_word:
+            apart = np.ones(len(texts), bool)
+        else:
+            raw, off = text_buffers(texts)
+            apart = np.zeros(len(texts), bool)
+            apart[np.searchsorted(off, np.flatnonzero(raw > 0xC3), side="right") - 1] = True  # beyond Latin-1
+            for mark in self.marks:
+                apart |= pc.match_substring(texts, mark, ignore_case=True).to_numpy(zero_copy_only=False)
+        if not apart.any():
+            return self._by_words(texts)
+        others = [np.frombuffer(b, "<u4") for b in self._each(texts.filter(pa.array(apart)).to_pylist())]
+        if apart.all():
+            return np.concatenate(others) if others else np.zeros(0, np.uint32), np.array([len(b) for b in others], np.int64)
+        ids, counts = self._by_words(texts.filter(pa.array(~apart)))
+        plain, rest = iter(np.split(ids, np.cumsum(counts)[:-1])), iter(others)
+        mixed = [next(rest) if a else next(plain) for a in apart]
+        return np.concatenate(mixed), np.array([len(m) for m in mixed], np.int64)
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        if self.by_part:
+            memo = self.memo
+            return [b"".join([memo[p] for p in _parts(t)]) for t in texts]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.own.encode_batch(texts, add_special_tokens=False)]
 
 
 @lru_cache(2)
-def _encoder(path: str) -> PartEncoder:
-    return PartEncoder(path)
-
+def _encoder(path: str) -> WordEncoder:
+    return WordEncoder(path)
 
-def _plain(text: str) -> bool:
-    """No \\x01, and no letter beyond Latin-1, whose lower case may depend on the library or on neighbours."""
-    try:
-        return b"\x01" not in text.encode("latin-1")
-    except UnicodeEncodeError:
-        return False
 
-
-def _parts(text: str | None) -> list[str]:
+def _parts(text: str) -> list[str]:
+    """Pieces of a text between white space. A \x01 is put before those that begin with one."""
     if not text:
         return []
-    if _plain(text):
-        text = stops_apart(text if "<|" in text else text.lower())
-        return text.replace("\n", " ").split(" ")
     parts = text.replace("\n", " ").split(" ")
     return ["\x01" + p if p.startswith("\x01") else p for p in parts] if "\x01" in text else parts
 
 
-def cuts_at_white_space(path: str) -> bool:
-    """Whether a tokenizer file lower-cases and drops white space, so that parts between white space can be encoded apart."""
-    with open(path) as f:
-        spec = json.load(f)
+def cuts_at_white_space(spec: dict) -> bool:
+    """Whether a tokenizer lower-cases and drops white space, so that parts between white space can be encoded apart."""
     pre = spec.get("pre_tokenizer") or {}
     first = (pre.get("pretokenizers") or [pre])[0]
     lower = any(n.get("type") == "Lowercase" for n in (spec.get("normalizer") or {}).get("normalizers", []))
     return lower and first.get("type") == "Split" and first.get("behavior") == "Removed" and bool(first.get("invert"))
 
 
-def encode_texts(texts: list[str | None], path: str, by_part: bool) -> list[bytes]:
-    if by_part:
-        return _encoder(path).encode([_parts(t) for t in texts])
-    whole = _encoder(path).own
-    return [np.array(e.ids, dtype="<u4").tobytes() for e in whole.encode_batch([t or "" for t in texts], add_special_tokens=False)]
-
-
 # --- the job --------------------------------------------------------------------------------------------------------
 
 
@@ -239,44 +343,56 @@ def write_token_files(
     """Encode, write, and return the folder with its manifest (part, file, n_docs, n_ids), itself a table in that folder."""
     spark = docs.sparkSession
     to = to or shared_dir(spark, "tokens")
-    by_part = cuts_at_white_space(tokenizer)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(to)
-        part, end, made = TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes(), []
-        held: list[bytes] = []
-        ids: list[int] = []
-        ends: list[int] = []
+        part, made = TaskContext.get().partitionId(), []
+        held: list[np.ndarray] = []  # ids of whole documents in a row
+        keys: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
+        room = ids_a_file
 
         def flush() -> None:
-            stream = np.frombuffer(b"".join(held), "<u4")
+            ids, sizes_here = np.concatenate(held), np.concatenate(sizes)
             name = f"part-{part:06d}-{len(made):06d}.pfr"
             store.create_dir(f"{root}/files")
             own = f"{root}/files/.{name}.{TaskContext.get().taskAttemptId()}"
             with store.open_output_stream(own) as out:
-                out.write(write_file(ids, ends, stream, block, percentile))
+                out.write(write_file(np.concatenate(keys), np.cumsum(sizes_here), ids, block, percentile))
             store.move(own, f"{root}/files/{name}")
-            made.append({"part": part, "file": len(made), "n_docs": len(ids), "n_ids": len(stream)})
-            held.clear(), ids.clear(), ends.clear()
+            made.append({"part": part, "file": len(made), "n_docs": len(sizes_here), "n_ids": len(ids)})
+            held.clear(), keys.clear(), sizes.clear()
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                piece = batch.slice(lo, 512)
-                for key, coded in zip(piece.column(0).to_pylist(), encode_texts(piece.column(1).to_pylist(), tokenizer, by_part)):
-                    n = len(coded) // 4 + 1
-                    if held and ends[-1] + n > ids_a_file:
+            for begin, end, _, _ in blocks(batch.column(1), 8 << 20):
+                ids, counts = _encoder(tokenizer).encode(batch.column(1).slice(begin, end - begin))
+                upto = np.cumsum(counts + 1)
+                whole = np.full(upto[-1], end_id, np.uint32)
+                whole[np.delete(np.arange(upto[-1]), upto - 1)] = ids
+                names = batch.column(0).slice(begin, end - begin).fill_null(NO_ID).to_numpy()
+                lo, before = 0, 0
+                while lo < len(upto):
+                    hi = int(np.searchsorted(upto, before + room, side="right"))
+                    if hi == lo and not held:
+                        hi = lo + 1  # a document longer than a file stands alone
+                    if hi > lo:
+                        held.append(whole[before : upto[hi - 1]])
+                        keys.append(names[lo:hi])
+                        sizes.append(counts[lo:hi] + 1)
+                        room -= int(upto[hi - 1]) - before
+                        lo, before = hi, int(upto[hi - 1])
+                    if lo < len(upto):
                         flush()
-                    held.append(coded + end)
-                    ids.append(NO_ID if key is None else key)
-                    ends.append((ends[-1] if ends else 0) + n)
+                        room = ids_a_file
         if held:
             flush()
         yield pa.RecordBatch.from_pylist(made, schema=pa.schema([("part", pa.int32()), ("file", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
     ordered = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    order = [F.col("doc_id"), F.substring("text", 1, 32), F.xxhash64("text")]  # also parts the rows of a common id
+    ordered = ordered.repartitionByRange(*order).sortWithinPartitions(*order)
     made = ordered.mapInArrow(write, "part int, file int, n_docs long, n_ids long")
     made.write.parquet(f"{to}/manifest")
     return to, spark.read.schema(made.schema).parquet(f"{to}/manifest")
