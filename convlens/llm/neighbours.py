@@ -7,7 +7,7 @@ orders a query's nodes by how far it lies from them: the root of the summed squa
 
 How far a search goes is measured, not set: of the sample's own near pairs, the distance within which ``target`` of the
 neighbours lie in some tree. Leaves are bounded by ``leaf_rows``: where the sample is too small to split a large table so far,
-the vectors of a leaf are split on in the same way by the task that scores them, down to that bound. So the inner products of a
+the vectors of a leaf are split on by a tree of their own in the task that scores them, down to that bound. So the inner products of a
 query follow the structure of the data: few where vectors have clusters or few directions, and a constant share of the table where they
 fill all directions alike. ``search_share`` makes searches longer: leaves are taken at least until they hold so many times
 as many vectors as there are.
@@ -50,7 +50,7 @@ def _split(points: np.ndarray, pick: np.random.Generator) -> tuple[np.ndarray, f
 class Forest:
     """Complete trees of one depth: node 1 is the root, 2n and 2n + 1 are below n, leaves are numbered from 0."""
 
-    def __init__(self, sample: np.ndarray, total: int, longest: float, k: int, trees: int, leaf_rows: int, target: float, depth: int | None = None, seed: int = 7, asked: int = 400):
+    def __init__(self, sample: np.ndarray, total: float, longest: float, k: int, trees: int, leaf_rows: int, target: float, depth: int | None = None, seed: int = 7, asked: int = 400):
         wanted = max(1, math.ceil(math.log2(max(2, total / leaf_rows))))
         # Some of the sample must be on both sides of each plane.
         self.depth = min(wanted, max(1, int(math.log2(max(2, len(sample) / 16))))) if depth is None else depth
@@ -68,7 +68,7 @@ class Forest:
                 members[2 * n], members[2 * n + 1] = mine[~right], mine[right]
         self._measure(sample, total, k, target, asked)
 
-    def _measure(self, sample: np.ndarray, total: int, k: int, target: float, asked: int) -> None:
+    def _measure(self, sample: np.ndarray, total: float, k: int, target: float, asked: int) -> None:
         """``reach``: the squared distance within which ``target`` of near pairs lie, for as many trees as take the fewest inner products."""
         asked = min(asked, len(sample))
         scores = sample[:asked] @ sample.T
@@ -137,24 +137,14 @@ class Forest:
         return found
 
 
-def split_on(points: np.ndarray, queries: np.ndarray, far: np.ndarray, limit: np.ndarray, leaf_rows: int, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(points, queries) that meet: ``points`` split into parts of at most ``leaf_rows``, and which queries are within their limit of a part."""
-    pick, todo = np.random.default_rng(seed), [(np.arange(len(points)), np.arange(len(queries)), far)]
-    while todo:
-        mine, asked, far = todo.pop()
-        if not len(asked):
-            continue
-        if len(mine) > leaf_rows:
-            normal, cut = _split(points[mine], pick)
-            right = points[mine] @ normal > cut
-            if 0 < right.sum() < len(mine):
-                m = queries[asked] @ normal - cut
-                for side, gap in ((right, np.maximum(-m, 0)), (~right, np.maximum(m, 0))):
-                    now = far + gap**2
-                    within = now <= limit[asked]
-                    todo.append((mine[side], asked[within], now[within]))
-                continue
-        yield mine, asked
+def within(points: np.ndarray, queries: np.ndarray, whole: np.ndarray, total: float, longest: float, k: int, leaf_rows: int, target: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(points, queries) that meet: points of one leaf split on by a tree of their own; ``whole`` queries meet them all. total: rows of the whole leaf."""
+    depth = math.ceil(math.log2(len(points) / leaf_rows))
+    tree = Forest(points, total, longest, k, 1, leaf_rows, (1 + target) / 2, depth, asked=128)  # its losses come on top
+    near = (tree.distances(tree.directed(queries), 0) <= tree.reach) | whole[:, None]
+    leaves = tree.leaves(points)[:, 0]
+    for leaf in range(1 << depth):
+        yield np.flatnonzero(leaves == leaf), np.flatnonzero(near[:, leaf])
 
 
 def _matrix(column) -> np.ndarray:
@@ -206,10 +196,10 @@ def nearest(
     queries = some.where(F.col("vec_id") % every == 0)
 
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
-    total, longest = copies.agg(F.count("*"), F.max(norm)).first()
+    total, longest = map(float, copies.agg(F.count("*"), F.max(norm)).first())
     sample = copies.orderBy(F.xxhash64("key"), "class").limit(sample_rows).select("embedding").toPandas()
     fitted = np.stack(sample["embedding"].to_numpy()).astype(np.float64)
-    own = Forest(fitted, total, float(longest), k, trees, leaf_rows, target, depth)
+    own = Forest(fitted, total, longest, k, trees, leaf_rows, target, depth)
     reach, deep, trees = own.reach, own.depth, len(own.normals)
     forest = spark.sparkContext.broadcast(own)
 
@@ -238,17 +228,17 @@ def nearest(
             for query, vector in zip(batch.column(0).to_pylist(), _matrix(batch.column(1)) if batch.num_rows else []):
                 found = forest.value.search(vector, sizes, max(enough, asked_for))
                 held = sum(int(sizes[t, leaf]) for t, leaf, far in found if far <= reach)
-                limit = reach if held >= max(enough, asked_for) else math.inf  # whole leaves where reach alone gives too few
-                shelves: dict[tuple[int, int], list[tuple[int, float]]] = {}
-                for t, leaf, far in found:
-                    shelves.setdefault((t, leaf // shelf_leaves), []).append((leaf, far))
-                out += [(query, t, shelf, [x for x, _ in own], [y for _, y in own], limit) for (t, shelf), own in shelves.items()]
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)], names=["query_key", "tree", "shelf", "leaves", "far", "limit"])
+                whole = held < max(enough, asked_for)  # no part of a leaf is left out where reach alone gives too few
+                shelves: dict[tuple[int, int], list[int]] = {}
+                for t, leaf, _ in found:
+                    shelves.setdefault((t, leaf // shelf_leaves), []).append(leaf)
+                out += [(query, t, shelf, own, whole) for (t, shelf), own in shelves.items()]
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)], names=["query_key", "tree", "shelf", "leaves", "whole"])
 
     asked = stored(queries.select(F.xxhash64("vec_id", "embedding").alias("query_key"), F.col("vec_id").alias("query_id"), "embedding").distinct(), "queries")
     probes = stored(
-        asked.repartition("query_key").select("query_key", "embedding").mapInArrow(probe, "query_key long, tree int, shelf int, leaves array<int>, far array<double>, limit double"), "probes"
+        asked.repartition("query_key").select("query_key", "embedding").mapInArrow(probe, "query_key long, tree int, shelf int, leaves array<int>, whole boolean"), "probes"
     )
     shelved = indexed.withColumn("shelf", F.floor(F.col("leaf") / shelf_leaves).cast("int"))
     # Blocks of queries against blocks of a shelf's vectors.
@@ -258,30 +248,28 @@ def nearest(
     place = ["tree", "shelf", "cut", "ask_cut"]
     mine = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
     to = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
-    rows = shelved.join(cuts, ["tree", "shelf"]).withColumn("cut", mine("key", "cuts")).withColumn("ask_cut", to("ask_cuts")).join(copies.select("key", "class", "embedding"), "key").select(*place, "leaf", "key", "class", "embedding")
-    asking = probes.join(cuts, ["tree", "shelf"]).withColumn("ask_cut", mine("query_key", "ask_cuts")).withColumn("cut", to("cuts")).join(asked.select("query_key", "embedding"), "query_key").select(*place, "leaves", "far", "limit", "query_key", "embedding")
+    rows = shelved.join(cuts, ["tree", "shelf"]).withColumn("cut", mine("key", "cuts")).withColumn("ask_cut", to("ask_cuts")).join(copies.select("key", "class", "embedding"), "key").select(*place, "cuts", "leaf", "key", "class", "embedding")
+    asking = probes.join(cuts, ["tree", "shelf"]).withColumn("ask_cut", mine("query_key", "ask_cuts")).withColumn("cut", to("cuts")).join(asked.select("query_key", "embedding"), "query_key").select(*place, "leaves", "whole", "query_key", "embedding")
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_key": [], "key": [], "class": [], "score": []}).astype({"query_key": "int64", "key": "int64", "class": "int64", "score": "float64"})
         right = right.sort_values(["leaf", "key"])
         vectors, queries = _matrix(right["embedding"]), _matrix(left["embedding"])
-        limit = left["limit"].to_numpy()
+        whole, cuts = left["whole"].to_numpy(), int(right["cuts"].iat[0])
         # Which queries ask each leaf.
-        taken = np.concatenate(left["leaves"].to_numpy())
-        by, far = np.repeat(np.arange(len(left)), left["leaves"].str.len()), np.concatenate(left["far"].to_numpy())
+        taken, by = np.concatenate(left["leaves"].to_numpy()), np.repeat(np.arange(len(left)), left["leaves"].str.len())
         order = np.argsort(taken, kind="stable")
-        taken, by, far = taken[order], by[order], far[order]
+        taken, by = taken[order], by[order]
         got = np.full((len(left), len(right)), -np.inf)
         leaf = right["leaf"].to_numpy()
         edges = [0, *(np.flatnonzero(np.diff(leaf)) + 1), len(leaf)]
         for a, b in zip(edges, edges[1:]):
-            lo, hi = np.searchsorted(taken, [leaf[a], leaf[a] + 1])
-            asks = by[lo:hi]
-            if b - a <= leaf_rows:
+            asks = by[slice(*np.searchsorted(taken, [leaf[a], leaf[a] + 1]))]
+            if not len(asks) or b - a <= 2 * leaf_rows:
                 got[asks, a:b] = queries[asks] @ vectors[a:b].T
                 continue
-            for part, some in split_on(forest.value.lifted(vectors[a:b]), Forest.directed(queries[asks]), far[lo:hi], limit[asks], leaf_rows, int(leaf[a])):
+            for part, some in within(vectors[a:b], queries[asks], whole[asks], (b - a) * cuts, longest, k, leaf_rows, target):
                 got[np.ix_(asks[some], a + part)] = queries[asks[some]] @ vectors[a + part].T
         # The query's own vector may be among the best.
         return best_of_block(left["query_key"].to_numpy(), queries, right["key"].to_numpy(), right["class"].to_numpy(), vectors, got, k + 1)

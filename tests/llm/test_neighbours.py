@@ -57,3 +57,62 @@ def test_ties_between_different_vectors_go_to_smaller_ids(spark, block_rows, blo
     for r in got.orderBy("query_id", "rank").collect():
         found.setdefault(r["query_id"], []).append((-r["score"], r["vec_id"]))
     assert found == want
+
+
+def searched(x, every=20, k=20, **more):
+    """Recall of a forest's leaves, and inner products for each query as a share of the vectors."""
+    forest = neighbours.Forest(x[np.random.default_rng(5).permutation(len(x))[:20_000]], len(x), float(np.linalg.norm(x, axis=1).max()), k, 4, 256, 0.95, **more)
+    leaves = forest.leaves(x)
+    sizes = np.stack([np.bincount(leaves[:, t], minlength=1 << forest.depth) for t in range(leaves.shape[1])])
+    hits = work = asked = 0
+    for i in range(0, len(x), max(every, len(x) // 300)):
+        score = x @ x[i]
+        score[i] = -np.inf
+        near = np.argpartition(-score, k)[:k]
+        found = forest.search(x[i], sizes, leaves.shape[1] * (k + 1))
+        seen = np.zeros(len(x), bool)
+        for t, leaf, _ in found:
+            seen |= leaves[:, t] == leaf
+            work += sizes[t, leaf]
+        hits, asked = hits + seen[near].sum(), asked + 1
+    return hits / (asked * k), work / (asked * len(x)), sizes.max()
+
+
+def made(n, clusters, size=64, spread=0.3, seed=2):
+    pick = np.random.default_rng(seed)
+    x = pick.normal(size=(clusters, size))[pick.integers(0, clusters, n)] + spread * pick.normal(size=(n, size))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("folder,most", [("sf0.01", 1.3), ("sf0.1", 1.1), ("check_l", 0.9)])
+def test_share_of_vectors_scored_without_structure(folder, most):
+    import pyarrow.parquet as pq
+
+    x = np.stack(pq.read_table(f"/root/testdata/{folder}/embeddings.parquet")["embedding"].to_numpy()).astype(np.float64)
+    recall, share, _ = searched(x)
+    assert recall >= 0.9 and share <= most
+
+
+def test_share_of_vectors_scored_falls_with_structure():
+    shares = []
+    for n in (10_000, 50_000):
+        recall, share, largest = searched(made(n, n // 100))
+        assert recall >= 0.9 and largest <= 1024
+        shares.append(share * n)
+    assert shares[0] < 0.15 * 10_000 and shares[1] < 0.06 * 50_000
+
+
+def test_large_leaves_are_split_on(spark):
+    x = made(3000, 30, size=16)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = brute(rows, 20, 10)
+    near = {(i, j) for i, found in want.items() for _, j in found}
+    got = {(r["query_id"], r["vec_id"]) for r in neighbours.nearest(df, every=20, k=10, depth=1, leaf_rows=64).collect()}
+    assert len(near & got) >= 0.9 * len(near)
+    whole = {(r["query_id"], r["vec_id"]) for r in neighbours.nearest(df, every=20, k=10, depth=1, leaf_rows=64, search_share=100.0).collect()}
+    assert whole == near
+
+    parts = list(neighbours.within(x, x[:100], np.zeros(100, bool), len(x), 1.0, 10, 64, 0.95))
+    assert max(len(p) for p, _ in parts) <= 64
+    assert sum(len(p) * len(q) for p, q in parts) < 0.5 * 100 * 3000
