@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convlens.llm.shared import attach, stored
-from convlens.llm.spans import NO_SPANS, found, in_order, laid_out
+from convlens.llm.spans import NO_SPANS, in_order, laid_out, with_matches
 
 # The patterns of the base kinds.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -57,17 +57,18 @@ def _digits(text: Column) -> Column:
 
 def _hits(docs: DataFrame) -> DataFrame:
     text = F.col("text")
-    raw = docs.select(
-        "doc_id",
+    raw = with_matches(
+        docs.withColumn("row_key", F.xxhash64("text")),
         "text",
-        F.xxhash64("text").alias("row_key"),
-        found(text, EMAIL, text.contains("@")).alias("email"),
-        found(text, IP, text.rlike(r"[0-9]\.[0-9]")).alias("ip"),
-        found(text, CARD, text.rlike("[0-9][\\x20-]?[0-9]")).alias("card"),
-        found(text, PHONE, text.contains("+")).alias("phone"),
-        found(text, SPOKEN_MAIL, text.rlike(r"\x20[(\[]?(?:dot|DOT)[)\]]?\x20")).alias("spoken_mail"),
-        found(text, DIGITS, text.rlike("[0-9][\\x20.-]?[0-9]")).alias("digits"),
-        found(text, NAME, text.rlike(NAME)).alias("name"),
+        {
+            "email": (EMAIL, text.contains("@")),
+            "ip": (IP, text.rlike(r"[0-9]\.[0-9]")),
+            "card": (CARD, text.rlike("[0-9][\\x20-]?[0-9]")),
+            "phone": (PHONE, text.contains("+")),
+            "spoken_mail": (SPOKEN_MAIL, text.rlike(r"\x20[(\[]?(?:dot|DOT)[)\]]?\x20")),
+            "digits": (DIGITS, text.rlike("[0-9][\\x20.-]?[0-9]")),
+            "name": (NAME, F.lit(True)),
+        },
     )
     count = lambda s: F.length(_digits(s["text"]))
     kept = {

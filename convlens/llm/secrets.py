@@ -23,8 +23,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convlens.llm.shared import attach
-from convlens.llm.spans import NO_SPANS, found, in_order, laid_out
+from convlens.llm.shared import attach, stored
+from convlens.llm.spans import NO_SPANS, in_order, laid_out, with_matches
 
 # The patterns of the base kinds.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9+/_.=-]++)"""
@@ -40,15 +40,17 @@ WEAK_KINDS = ["weak_secret", "weak_access", "endpoint"]
 
 def _matches(docs: DataFrame) -> DataFrame:
     text = F.col("text")
-    hits = docs.select(
-        "doc_id",
-        F.xxhash64("text").alias("row_key"),
-        found(text, ASSIGN, text.rlike(ASSIGN)).alias("assign"),
-        found(text, ACCESS, text.contains("AKIA")).alias("access"),
-        found(text, HEX, text.rlike(HEX)).alias("hex"),
-        found(text, WEAK_SECRET, text.rlike(WEAK_SECRET)).alias("weak_secret"),
-        found(text, WEAK_ACCESS, text.rlike(WEAK_ACCESS)).alias("weak_access"),
-        found(text, ENDPOINT, text.rlike(r"://|:[0-9]")).alias("endpoint"),
+    hits = with_matches(
+        docs.withColumn("row_key", F.xxhash64("text")),
+        "text",
+        {
+            "assign": (ASSIGN, text.rlike("[:=]")),
+            "access": (ACCESS, text.contains("AKIA")),
+            "hex": (HEX, F.lit(True)),
+            "weak_secret": (WEAK_SECRET, F.lit(True)),
+            "weak_access": (WEAK_ACCESS, F.lit(True)),
+            "endpoint": (ENDPOINT, text.rlike(r"://|:[0-9]")),
+        },
     )
     value = lambda s: F.regexp_extract(s["text"], ASSIGN, 2)
     return hits.select(
@@ -96,7 +98,7 @@ def _linked(hits: DataFrame, scope: int) -> DataFrame:
 def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scope: int = 256) -> DataFrame:
     """One row per document: doc_id, row_key, base and linked spans (array<struct<start,kind,end>>) sorted by start, then kind."""
     clean = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    hits = _matches(clean)
+    hits = stored(_matches(clean), "secrets")  # spans alone, so that patterns run once
     linked = _linked(hits, scope)
     joined = attach(hits, linked, "doc_id", "row_key").withColumn("linked", F.coalesce("linked", NO_SPANS()))
     return joined.select(

@@ -2,41 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_NO_MATCHES = "cast(array() as array<struct<start:int,end:int,text:string>>)"
-
-
 def NO_SPANS() -> Column:
     return F.expr("cast(array() as array<struct<start:int,kind:string,end:int>>)")
 
 
-def found(text: Column, pattern: str, guard: Column) -> Column:
-    """array<struct<start,end,text>> of the leftmost non-overlapping matches, in code points.
+def running(numbers: Column | str, group: int = 128) -> Column:
+    """For each of an array of integers the sum of those before it.
 
-    Matches and the pieces between them alternate, so their running lengths are the places.
+    An array that grows by one is copied each time, so sums run within groups of numbers and over the groups' sums.
     """
-    pieces, hits = F.split(text, pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    laid = F.aggregate(
-        F.zip_with(F.slice(pieces, 1, F.size(hits)), hits, lambda p, h: F.struct(p.alias("p"), h.alias("h"))),
-        F.struct(F.lit(0).alias("at"), F.expr(_NO_MATCHES).alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["p"]) + F.length(x["h"])).alias("at"),
-            F.concat(
-                acc["out"],
-                F.array(
-                    F.struct(
-                        (acc["at"] + F.length(x["p"])).alias("start"),
-                        (acc["at"] + F.length(x["p"]) + F.length(x["h"])).alias("end"),
-                        x["h"].alias("text"),
-                    )
-                ),
-            ),
-        ),
+    begun = lambda a: F.aggregate(
+        a,
+        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out")),
+        lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
         lambda acc: acc["out"],
     )
-    return F.when(guard, laid).otherwise(F.expr(_NO_MATCHES))
+    numbers = F.col(numbers) if isinstance(numbers, str) else numbers
+    last = F.ceil(F.size(numbers) / group).cast("int") - 1
+    groups = F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda g: F.slice(numbers, g * group + 1, group))).otherwise(
+        F.expr("cast(array() as array<array<int>>)")
+    )
+    sums = F.transform(groups, lambda g: F.aggregate(g, F.lit(0), lambda a, x: a + x))
+    return F.flatten(F.zip_with(groups, begun(sums), lambda g, base: F.transform(begun(g), lambda x: x + base)))
+
+
+def with_matches(rows: DataFrame, text: str, patterns: dict[str, tuple[str, Column]]) -> DataFrame:
+    """``rows`` with a column for each name: array<struct<start,end,text>> of the leftmost non-overlapping matches, in code points.
+
+    patterns: name to (pattern, guard); where the guard is false the array is empty. Matches and the pieces between them
+    alternate, so their running lengths are the places. Each step is a projection of its own, so that no pattern runs twice.
+    """
+    none = F.expr("cast(array() as array<string>)")
+    own, cut = list(rows.columns), rows
+    cut = cut.select(
+        *own,
+        *[F.when(guard, F.regexp_extract_all(text, F.lit(p), F.lit(0))).otherwise(none).alias(f"__hits_{n}") for n, (p, guard) in patterns.items()],
+    )
+    cut = cut.select(
+        "*", *[F.when(F.size(f"__hits_{n}") > 0, F.slice(F.split(text, p), 1, F.size(f"__hits_{n}"))).otherwise(none).alias(f"__pieces_{n}") for n, (p, _) in patterns.items()]
+    )
+    cut = cut.select(
+        *own,
+        *[
+            F.zip_with(f"__pieces_{n}", f"__hits_{n}", lambda p, h: F.struct(F.length(p).alias("skip"), F.length(h).alias("take"), h.alias("text"))).alias(f"__laid_{n}")
+            for n in patterns
+        ],
+    )
+    cut = cut.select("*", *[running(F.transform(f"__laid_{n}", lambda x: x["skip"] + x["take"])).alias(f"__at_{n}") for n in patterns])
+    place = lambda x, at: F.struct((at + x["skip"]).alias("start"), (at + x["skip"] + x["take"]).alias("end"), x["text"].alias("text"))
+    return cut.select(*own, *[F.zip_with(f"__laid_{n}", f"__at_{n}", place).alias(n) for n in patterns])
 
 
 def laid_out(spans: Column, kind: str) -> Column:
