@@ -13,15 +13,18 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
 
     Every round turns each node's links towards the smallest neighbour: first those to larger nodes, then those to smaller
     ones. Both steps keep what is connected and make stars, in about log(nodes) rounds, until nothing but stars is left.
+    The smallest neighbours are written before links are joined to them, so that both sides of a join come from shuffles of
+    their own and AQE can split the links of a node that has a great share of them.
     """
     links = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
     for _ in range(most_rounds):
         # Large star: larger neighbours go to the smallest neighbour of the node.
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
+        least = stored(both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low")), "least")
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b")
         # Small star: the node and its smaller neighbours go to the smallest of them.
-        low = large.groupBy("a").agg(F.min("b").alias("low"))
+        large = stored(large, "large")
+        low = stored(large.groupBy("a").agg(F.min("b").alias("low")), "low")
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b")
         links = stored(small.union(low.select("a", F.col("low").alias("b"))).distinct(), "links")
         # Stars: a node has one link, and what it is linked to has none.
