@@ -1,12 +1,13 @@
 """Quality classifier: random-indexing word vectors pooled per document, and a two-layer network with calibrated scores.
 
 1. Random indexing over all documents: a token's bucket (of ``BUCKETS``) gathers the sparse ternary index vectors of its
-   neighbours at distance 1 and 2. A task sends its counts of integers, summed by streaming over blocks of buckets.
+   neighbours at distance 1 and 2. A task sends its counts of integers by blocks of buckets, which are summed in a tree: first
+   within ``FAN`` groups of tasks, then over the groups.
 2. A document's input is the mean of its tokens' unit vectors, the mean of its shape words (upper case, repeated, digits,
    each common symbol ...), which have unit index vectors of their own, and the mean and deviation of token lengths.
 3. A network of one hidden layer is trained by Adam on at most ``sample_rows`` labelled documents (the documented bound),
-   those whose crc32 of the doc_id as text has a remainder other than ``held_out`` modulo ``folds``. Its temperature is
-   fitted on a fifth of that sample left out of training.
+   those whose crc32 of the doc_id as text has a remainder other than ``held_out`` modulo ``folds``; of the documents that share
+   an id, the one whose text has the smallest hash. Its temperature is fitted on a fifth of that sample left out of training.
 
 Labels, language, source and id are no inputs of a score.
 
@@ -21,12 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convlens.llm.words import LOWER, blocks, mix, word_hashes
 
-BUCKETS, DIMS, NONZERO, BLOCK = 4096, 48, 4, 256
+BUCKETS, DIMS, NONZERO, BLOCK, FAN = 4096, 48, 4, 256, 256
 SYMBOLS = b"%&*!$#|.,;:?\"'()[]{}<>=+-/_@\\~^`"
 SHAPES = 8 + len(SYMBOLS)  # upper, title, digits, repeat of one, repeat of two before, over 20 letters, line feed, other; symbols
 FEATURES = DIMS + SHAPES + 4
@@ -88,21 +90,24 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         for batch in batches:
             for _, _, raw, off in blocks(batch.column(0)):
                 total += index_counts(raw, off)
-        some = [b for b in range(BUCKETS // BLOCK) if total[b * BLOCK : (b + 1) * BLOCK].any()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(some, pa.int32()), pa.array([total[b * BLOCK : (b + 1) * BLOCK].tobytes() for b in some], pa.binary())], names=["block", "sums"]
-        )
+        group = TaskContext.get().partitionId() % FAN
+        yield sums_batch({(b, group): total[b * BLOCK : (b + 1) * BLOCK] for b in range(BUCKETS // BLOCK) if total[b * BLOCK : (b + 1) * BLOCK].any()})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[int, np.ndarray] = {}
+        totals: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            for b, sums in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for b, group, sums in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 own = np.frombuffer(sums.as_buffer(), np.int64)
-                totals[b] = totals[b] + own if b in totals else own.copy()
-        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([t.tobytes() for t in totals.values()], pa.binary())], names=["block", "sums"])
+                totals[b, group] = totals[b, group] + own if (b, group) in totals else own.copy()
+        yield sums_batch(totals)
 
-    schema = "block int, sums binary"
-    summed = docs.select("text").mapInArrow(gather, schema).repartition(BUCKETS // BLOCK, "block").mapInArrow(add, schema)
+    def sums_batch(totals: dict[tuple[int, int], np.ndarray]) -> pa.RecordBatch:
+        blocks_, groups = ([k[i] for k in totals] for i in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(blocks_, pa.int32()), pa.array(groups, pa.int32()), pa.array([t.tobytes() for t in totals.values()], pa.binary())], names=["block", "group", "sums"])
+
+    schema = "block int, group int, sums binary"
+    grouped = docs.select("text").mapInArrow(gather, schema).repartition("block", "group").mapInArrow(add, schema)
+    summed = grouped.withColumn("group", F.lit(0)).repartition(BUCKETS // BLOCK, "block").mapInArrow(add, schema)
     out = np.zeros((BUCKETS, DIMS))
     for r in summed.collect():  # BUCKETS x DIMS numbers, whatever the corpus
         out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["sums"], np.int64).reshape(BLOCK, DIMS)
@@ -212,7 +217,8 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int, held_out: int, sample_ro
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([f.tobytes() for f in own], pa.binary())], names=["label", "features"])
 
     # sample_rows labels at most, so they can be sent to every task
-    some = docs.join(F.broadcast(sample), "doc_id").select("label", "text").mapInArrow(learn, "label double, features binary").collect()
+    labelled = docs.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.first("label").alias("label"), F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    some = labelled.select("label", "text").mapInArrow(learn, "label double, features binary").collect()
     some.sort(key=lambda r: (bytes(r["features"]), r["label"]))
     x = np.frombuffer(b"".join(r["features"] for r in some), np.float32).reshape(-1, FEATURES).astype(np.float64)
     network = Network(x, np.array([r["label"] for r in some])) if some else Network(np.zeros((1, FEATURES)), np.zeros(0))
