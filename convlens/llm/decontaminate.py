@@ -7,13 +7,14 @@ terms' largest impacts within a block of items reach the threshold in sum for no
 passages at once; for the others cursors over posting lists skip to pivots, and past blocks that cannot reach it. What is retrieved is verified: the item's question (all
 but its last sentence) and answer (the last sentence) must each share enough of their shingles with the passage.
 
-Items are indexed some hundred at a time; indexes of at most ``block_bytes`` of text are broadcast and meet the documents in one
-pass. Statistics are those of all items.
+Items are indexed some hundred at a time; indexes of about ``block_bytes`` of text are broadcast and meet the documents in one
+pass. Items are dealt to such blocks by size, whatever their ids; where there are several, the finds of each are written before
+the next is sent, so one block is in memory at a time. Statistics are those of all items.
 
 Defined results: words are cut at ASCII white space, A-Z lower-cased. Items with null text or fewer words than a shingle take no
-part; null documents have no passages; a null doc_id stays null. Rows that share an id are scanned each by itself and may
-give equal rows. Items that share an id are indexed each by itself; a document reports such an id once, with its best. Extra
-columns are ignored; empty tables give an empty result.
+part; null documents have no passages; a null doc_id or item_id stays null. Rows that share an id are scanned each by itself and
+may give equal rows. Items that share an id are indexed each by itself; a document reports such an id once with its best, or
+once for each block of items that holds it. Extra columns are ignored; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from convlens.llm.shared import stored
 from convlens.llm.words import LOWER, blocks, grams, word_hashes, word_spans
 
 K1, B, GROUP, ITEMS = 1.2, 0.75, 4, 512
@@ -139,54 +141,59 @@ class Index:
 SCHEMA = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 
 
-def _query(docs: DataFrame, indexes, reach: int, shingle: int, overlap: float) -> DataFrame:
-    def leaks(own: Index, hashes: np.ndarray, first: np.ndarray) -> Iterator[tuple]:
-        """(text, item id, score, question share, answer share)"""
-        v = len(own.terms)
-        at, term = own.find(hashes)
-        if not len(at):
-            return
-        # Stretches of `reach` words are numbered over all texts; a passage is a stretch and the next one of its text.
-        stretches = -(-np.diff(first) // reach)
-        base = np.cumsum(stretches) - stretches
-        text = np.searchsorted(first, at, side="right") - 1
-        inner = at - first[text]
-        stretch = base[text] + inner // reach
-        later = inner >= reach
-        keys = np.concatenate([stretch * v + term, (stretch[later] - 1) * v + term[later]])
-        keys.sort()
-        keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
-        passage, term = keys // v, keys % v
-        new = np.flatnonzero(np.diff(passage, prepend=-1))
-        edges = np.append(new, len(term))
-        step = max(1, (1 << 22) // (own.bounds.shape[1] * 64))
-        for lo in range(0, len(new), step):
-            a, b = edges[lo], edges[min(lo + step, len(new))]
-            bound = np.add.reduceat(own.bounds[term[a:b]], new[lo : lo + step] - a, axis=0).max(axis=1)
-            for i in lo + np.flatnonzero(bound >= own.threshold - 1e-4):
-                p = passage[new[i]]
-                t = int(np.searchsorted(base, p, side="right") - 1)
-                begin = first[t] + (p - base[t]) * reach
-                words = hashes[begin : min(begin + 2 * reach, first[t + 1])]
-                for item, score in own.retrieve(term[edges[i] : edges[i + 1]].tolist()):
-                    question, answer = (float(np.isin(part, grams(words, k)).mean()) for k, part in own.parts[item])
-                    if question >= overlap and answer >= overlap:
-                        yield t, own.ids[item], score, question, answer
+def _leaks(own: Index, hashes: np.ndarray, first: np.ndarray, reach: int, shingle: int, overlap: float) -> Iterator[tuple]:
+    """(text, item id, score, question share, answer share)"""
+    v = len(own.terms)
+    at, term = own.find(hashes)
+    if not len(at):
+        return
+    # Stretches of `reach` words are numbered over all texts; a passage is a stretch and the next one of its text.
+    stretches = -(-np.diff(first) // reach)
+    base = np.cumsum(stretches) - stretches
+    text = np.searchsorted(first, at, side="right") - 1
+    inner = at - first[text]
+    stretch = base[text] + inner // reach
+    later = inner >= reach
+    keys = np.concatenate([stretch * v + term, (stretch[later] - 1) * v + term[later]])
+    keys.sort()
+    keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
+    passage, term = keys // v, keys % v
+    new = np.flatnonzero(np.diff(passage, prepend=-1))
+    edges = np.append(new, len(term))
+    step = max(1, (1 << 22) // (own.bounds.shape[1] * 64))
+    for lo in range(0, len(new), step):
+        a, b = edges[lo], edges[min(lo + step, len(new))]
+        bound = np.add.reduceat(own.bounds[term[a:b]], new[lo : lo + step] - a, axis=0).max(axis=1)
+        for i in lo + np.flatnonzero(bound >= own.threshold - 1e-4):
+            p = passage[new[i]]
+            t = int(np.searchsorted(base, p, side="right") - 1)
+            begin = first[t] + (p - base[t]) * reach
+            words = hashes[begin : min(begin + 2 * reach, first[t + 1])]
+            for item, score in own.retrieve(term[edges[i] : edges[i + 1]].tolist()):
+                question, answer = (float(np.isin(part, grams(words, k)).mean()) for k, part in own.parts[item])
+                if question >= overlap and answer >= overlap:
+                    yield t, own.ids[item], score, question, answer
+
+
+def _leaks_of(texts: pa.Array, indexes: list[Index], reach: int, shingle: int, overlap: float) -> Iterator[tuple]:
+    """(row, item id, score, question share, answer share) of a column of texts."""
+    for lo, _, raw, off in blocks(texts):
+        raw = LOWER[raw]
+        starts, ends, first = word_spans(raw, off)
+        hashes = word_hashes(raw, starts, ends)
+        for own in indexes:
+            for t, *rest in _leaks(own, hashes, first, reach, shingle, overlap):
+                yield lo + t, *rest
+
 
+def _query(docs: DataFrame, indexes, reach: int, shingle: int, overlap: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for lo, _, raw, off in blocks(batch.column(1)):
-                raw = LOWER[raw]
-                starts, ends, first = word_spans(raw, off)
-                hashes = word_hashes(raw, starts, ends)
-                for own in indexes.value:
-                    out += [(lo + t, *rest) for t, *rest in leaks(own, hashes, first)]
-            best: dict[tuple[int, int], tuple] = {}
-            for row, item_id, *told in out:
+            best: dict[tuple[int, int | None], tuple] = {}
+            for row, item_id, *told in _leaks_of(batch.column(1), indexes.value, reach, shingle, overlap):
                 best[row, item_id] = max(best.get((row, item_id), (-1.0,)), tuple(told))
             ids = batch.column(0)
-            kept = sorted(best)
+            kept = sorted(best, key=lambda k: (k[0], k[1] is not None, k[1] or 0))
             yield pa.RecordBatch.from_arrays(
                 [
                     ids.take(pa.array([k[0] for k in kept], pa.int64())),
@@ -201,14 +208,9 @@ def _query(docs: DataFrame, indexes, reach: int, shingle: int, overlap: float) -
     return docs.mapInArrow(run, SCHEMA)
 
 
-def contaminated(
-    docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    threshold: float = 0.6, overlap: float = 0.8, shingle: int = 5, block_bytes: int = 16 << 20,
-) -> DataFrame:
-    """doc_id, item_id, score, question_overlap, answer_overlap of every document that holds a test item."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    tests = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
+def _indexes(tests: DataFrame, threshold: float, shingle: int, block_bytes: int) -> Iterator[tuple]:
+    """(broadcast indexes, reach) of one block of test items after the other. tests: item_id, text (not null)."""
+    spark = tests.sparkSession
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,20 +222,55 @@ def contaminated(
     measured = tests.select("text").mapInArrow(measure, "words long, terms array<long>").where(F.col("words") >= shingle)
     count, average, longest = measured.agg(F.count("*"), F.avg("words"), F.max("words")).first()
     if not count:
-        return spark.createDataFrame([], SCHEMA)
+        return
     size = tests.agg(F.sum(F.octet_length("text"))).first()[0]
     cuts, reach = max(1, math.ceil(size / block_bytes)), max(64, int(longest))
     frequency = measured.select(F.explode("terms").alias("term")).groupBy("term").count()
-    blocked = tests.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(cuts)))
-    out = None
+    blocked = tests if cuts == 1 else stored(tests.withColumn("block", F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(cuts))), "items")
     for block in range(cuts):
-        mine = blocked.where(F.col("block") == block)
-        texts = sorted((r["item_id"] if r["item_id"] is not None else -(2**63), r["text"]) for r in mine.select("item_id", "text").collect() if len(_words(r["text"])) >= shingle)
+        mine = blocked if cuts == 1 else blocked.where(F.col("block") == block)
+        rows_here = mine.select("item_id", "text").collect()  # about block_bytes
+        texts = sorted(((r["item_id"], r["text"]) for r in rows_here if len(_words(r["text"])) >= shingle), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
         if not texts:
             continue
         own_terms = mine.select("text").mapInArrow(measure, "words long, terms array<long>").select(F.explode("terms").alias("term")).distinct()
         df = {r["term"] & (2**64 - 1): r["count"] for r in frequency.join(own_terms, "term").collect()}
-        indexes = [Index(texts[lo : lo + ITEMS], count, float(average), df, threshold, shingle) for lo in range(0, len(texts), ITEMS)]
-        found = _query(rows, spark.sparkContext.broadcast(indexes), reach, shingle, overlap)
-        out = found if out is None else out.union(found)
-    return out
+        sent = spark.sparkContext.broadcast([Index(texts[lo : lo + ITEMS], count, float(average), df, threshold, shingle) for lo in range(0, len(texts), ITEMS)])
+        yield sent, reach
+
+
+def contaminated(
+    docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
+    threshold: float = 0.6, overlap: float = 0.8, shingle: int = 5, block_bytes: int = 16 << 20,
+) -> DataFrame:
+    """doc_id, item_id, score, question_overlap, answer_overlap of every document that holds a test item."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    tests = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
+
+    out, before = None, None
+    for sent, reach in _indexes(tests, threshold, shingle, block_bytes):
+        if out is not None and before is not None:  # one block is in memory at a time
+            out, before = stored(out, "leaks"), before.destroy()
+        found = _query(rows, sent, reach, shingle, overlap)
+        out, before = found if out is None else out.union(found), sent
+    return docs.sparkSession.createDataFrame([], SCHEMA) if out is None else out
+
+
+def without_leaks(
+    docs: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text", threshold: float = 0.6, overlap: float = 0.8, shingle: int = 5,
+    block_bytes: int = 16 << 20,
+) -> DataFrame:
+    """The rows of ``docs`` that hold no test item, with all their columns, each judged by its own text whatever its id, without a join."""
+    at = docs.columns.index(text)
+    tests = items.select(F.lit(0).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
+    kept, several = docs, 0
+    for sent, reach in _indexes(tests, threshold, shingle, block_bytes):
+
+        def clean(batches: Iterator[pa.RecordBatch], sent=sent, reach=reach) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = {row for row, *_ in _leaks_of(batch.column(at), sent.value, reach, shingle, overlap)}
+                yield batch.filter(pa.array([i not in rows for i in range(batch.num_rows)], pa.bool_())) if rows else batch
+
+        kept = (stored(kept, "clean") if several else kept).mapInArrow(clean, docs.schema)
+        several += 1
+    return kept

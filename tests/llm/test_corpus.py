@@ -4,11 +4,13 @@ import hashlib
 import math
 import re
 
+import numpy as np
 import pytest
 from test_duplicates import brute_components
 from test_native import base_secrets
 
 from convlens.llm import decontaminate, quality, queries
+from convlens.llm.words import word_hashes
 
 DATA = "/root/testdata/sf0.01"
 SMALL = "/root/testdata/sf0.001"
@@ -100,10 +102,73 @@ def test_decontamination_of_odd_inputs(spark, threshold, overlap):
     items_df = spark.createDataFrame([(*r, 1) for r in items], "item_id long, text string, doc_id int")
     for block_bytes in (1 << 24, 60):
         got = leaks(decontaminate.contaminated(docs_df, items_df, threshold=threshold, overlap=overlap, block_bytes=block_bytes))
-        own = {(d, None if i is None else i): v for (d, i), v in brute_leaks(docs, items, threshold, overlap).items()}
-        assert {(d, -(2**63) if i is None else i): v for (d, i), v in own.items()} == {(d, i): v for (d, i), v in got.items()}
+        own = brute_leaks(docs, items, threshold, overlap)
+        assert own == got
+        clean = decontaminate.without_leaks(docs_df, items_df, threshold=threshold, overlap=overlap, block_bytes=block_bytes)
+        left = sorted(((r["doc_id"], r["text"]) for r in clean.collect()), key=str)
+        assert clean.columns == docs_df.columns and left == sorted((d for d in docs if not brute_leaks([d], items, threshold, overlap)), key=str)
     assert decontaminate.contaminated(docs_df.limit(0), items_df).count() == 0
     assert decontaminate.contaminated(docs_df, items_df.limit(0)).count() == 0
+    assert decontaminate.without_leaks(docs_df.limit(0), items_df).count() == 0
+    assert decontaminate.without_leaks(docs_df, items_df.limit(0)).count() == len(docs)
+
+
+def test_word_vectors_and_features_match_plain_python(spark):
+    """Random indexing and pooling by loops over tokens, and the temperature by its own grid."""
+    texts = ["One fine day, one FINE day 42!!", "", None, "a b a b a", "ünd so weiter; und so", "x" * 50 + "\n\nend."] * 3
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    kind = lambda b: 3 if b in b" \t\n\v\f\r" else 1 if 48 <= b <= 57 else 0 if b >= 128 or chr(b).isalpha() else 2
+
+    def cut(text):
+        raw, out = (text or "").encode(), []
+        for i, b in enumerate(raw):
+            if i and kind(raw[i - 1]) == kind(b):
+                out[-1] += bytes([b])
+            else:
+                out.append(bytes([b]))
+        return [t for t in out if kind(t[0]) != 3]
+
+    def bucket(token):
+        low = np.frombuffer(bytes(b + 32 if 65 <= b <= 90 else b for b in token), np.uint8)
+        return int(word_hashes(low, np.array([0]), np.array([len(low)]))[0] % np.uint64(quality.BUCKETS))
+
+    sums = np.zeros((quality.BUCKETS, quality.DIMS))
+    for t in texts:
+        own = [bucket(x) for x in cut(t)]
+        for i, a in enumerate(own):
+            for j in (i - 2, i - 1, i + 1, i + 2):
+                if 0 <= j < len(own):
+                    for place, sign in zip(quality._PLACES[own[j]], quality._SIGNS):
+                        sums[a, place] += sign
+    want = np.sign(sums) * np.log1p(np.abs(sums))
+    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-9)
+    got = quality.word_vectors(docs)
+    assert np.allclose(got, want, atol=1e-6)
+    joined = "".join(t or "" for t in texts).encode()
+    off = np.cumsum([0] + [len((t or "").encode()) for t in texts])
+    pooled = quality.features(np.frombuffer(joined, np.uint8), off, got)
+    for row, t in zip(pooled, texts):
+        tokens = cut(t)
+        if not tokens:
+            assert not row.any()
+            continue
+        assert np.allclose(row[: quality.DIMS], np.mean([want[bucket(x)] for x in tokens], axis=0), atol=1e-5)
+        assert np.isclose(row[-2], np.log1p(len(tokens))) and np.isclose(row[-4], np.mean([np.log1p(len(x)) for x in tokens]), atol=1e-5)
+
+    pick = np.random.default_rng(1)
+    x = pick.normal(size=(2000, 5))
+    y = (x[:, 0] + pick.normal(size=2000) > 0).astype(float)
+    net = quality.Network(x, y)
+    order = np.random.default_rng(11).permutation(2000)[:400]
+    loss = lambda t: -np.mean(np.log(np.where(y[order] == 1, 1, 0) * (p := 1 / (1 + np.exp(-net._logits(x[order]) / t))) + np.where(y[order] == 0, 1, 0) * (1 - p)))
+    assert all(loss(net.temperature) <= loss(t) + 1e-9 for t in np.geomspace(0.25, 8, 61))
+
+
+def test_one_document_of_a_labelled_id_trains(spark):
+    docs = spark.createDataFrame([(i % 50, ("good words here " if i % 2 else "!!! %%% ") * (1 + i % 7)) for i in range(2000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, quality int")
+    got = quality.score_quality(docs, labels).collect()
+    assert len(got) == 2000 and all(r["predicted"] == r["doc_id"] % 2 for r in got)
 
 
 def test_pipeline_stages_match_plain_python(spark):
