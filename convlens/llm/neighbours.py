@@ -50,7 +50,7 @@ def _split(points: np.ndarray, pick: np.random.Generator) -> tuple[np.ndarray, f
 class Forest:
     """Complete trees of one depth: node 1 is the root, 2n and 2n + 1 are below n, leaves are numbered from 0."""
 
-    def __init__(self, sample: np.ndarray, total: float, longest: float, k: int, trees: int, leaf_rows: int, target: float, depth: int | None = None, seed: int = 7, asked: int = 400):
+    def __init__(self, sample: np.ndarray, total: float, longest: float, k: int, trees: int, leaf_rows: int, target: float, depth: int | None = None, seed: int = 7, asked: int = 200):
         wanted = max(1, math.ceil(math.log2(max(2, total / leaf_rows))))
         # Some of the sample must be on both sides of each plane.
         self.depth = min(wanted, max(1, int(math.log2(max(2, len(sample) / 16))))) if depth is None else depth
@@ -197,8 +197,8 @@ def nearest(
 
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
     total, longest = map(float, copies.agg(F.count("*"), F.max(norm)).first())
-    sample = copies.orderBy(F.xxhash64("key"), "class").limit(sample_rows).select("embedding").toPandas()
-    fitted = np.stack(sample["embedding"].to_numpy()).astype(np.float64)
+    sample = copies.orderBy(F.xxhash64("key"), "class").limit(sample_rows).select("embedding").toArrow()
+    fitted = sample["embedding"].combine_chunks().flatten().to_numpy().reshape(sample.num_rows, -1)
     own = Forest(fitted, total, longest, k, trees, leaf_rows, target, depth)
     reach, deep, trees = own.reach, own.depth, len(own.normals)
     forest = spark.sparkContext.broadcast(own)
