@@ -50,7 +50,7 @@ def _split(points: np.ndarray, pick: np.random.Generator) -> tuple[np.ndarray, f
 class Forest:
     """Complete trees of one depth: node 1 is the root, 2n and 2n + 1 are below n, leaves are numbered from 0."""
 
-    def __init__(self, sample: np.ndarray, total: float, longest: float, k: int, trees: int, leaf_rows: int, target: float, depth: int | None = None, seed: int = 7, asked: int = 200):
+    def __init__(self, sample: np.ndarray, total: float, longest: float, k: int, trees: int, leaf_rows: int, target: float, depth: int | None = None, seed: int = 7, asked: int = 400):
         wanted = max(1, math.ceil(math.log2(max(2, total / leaf_rows))))
         # Some of the sample must be on both sides of each plane.
         self.depth = min(wanted, max(1, int(math.log2(max(2, len(sample) / 16))))) if depth is None else depth
@@ -71,14 +71,16 @@ class Forest:
     def _measure(self, sample: np.ndarray, total: float, k: int, target: float, asked: int) -> None:
         """``reach``: the squared distance within which ``target`` of near pairs lie, for as many trees as take the fewest inner products."""
         asked = min(asked, len(sample))
-        scores = sample[:asked] @ sample.T
-        scores[np.arange(asked), np.arange(asked)] = -np.inf
         # The k-th of the table is about this one of the sample.
         near = min(len(sample) - 1, max(1, math.ceil(k * len(sample) / max(total, 1))))
         self.reach = math.inf
         if near < 1:
             return
-        found = np.argpartition(-scores, near - 1, axis=1)[:, :near]
+        found = np.empty((asked, near), np.int64)
+        for lo in range(0, asked, 50):
+            scores = -(sample[lo : min(lo + 50, asked)] @ sample.T)
+            scores[np.arange(len(scores)), lo + np.arange(len(scores))] = np.inf
+            found[lo : lo + len(scores)] = np.argpartition(scores, near - 1, axis=1)[:, :near]
         leaves, queries = self.leaves(sample), self.directed(sample[:asked])
         nearest, best, far = np.full(found.shape, np.inf), math.inf, []
         for t in range(len(self.normals)):
@@ -219,8 +221,8 @@ def nearest(
         sizes[r["tree"], r["leaf"]] = r["count"]
     # A shelf is neighbouring leaves of a tree that hold about a block of vectors.
     shelf_leaves = 1 << max(0, min(deep, int(math.log2(max(1.0, block_rows * (1 << deep) / total)))))
-    # At least so many that k + 1 of them must differ, as each vector is once in a tree.
-    enough, asked_for = trees * (k + 1), search_share * total
+    # At least some leaves, and so many that k + 1 of their vectors must differ, as each is once in a tree.
+    enough, asked_for = max(trees * (k + 1), 4 * leaf_rows), search_share * total
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -69,7 +69,7 @@ def searched(x, every=20, k=20, **more):
         score = x @ x[i]
         score[i] = -np.inf
         near = np.argpartition(-score, k)[:k]
-        found = forest.search(x[i], sizes, leaves.shape[1] * (k + 1))
+        found = forest.search(x[i], sizes, 1024)
         seen = np.zeros(len(x), bool)
         for t, leaf, _ in found:
             seen |= leaves[:, t] == leaf
