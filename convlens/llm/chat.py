@@ -6,7 +6,7 @@ Template. A block holds adjacent turns of one role::
 
 In a text, a backslash becomes ``\\b`` and ``<|`` becomes ``\\m``; in a role, ``|>`` becomes ``\\c`` too. So neither can
 hold a control string, and both are restored exactly. ``<|next|>`` parts turns that were merged into one block. The
-loss mask covers the content of assistant blocks without their control strings.
+loss mask is written beside the text: a span for each assistant turn, which holds its escaped text and no control string.
 
 Defined results: null text counts as empty, null role as the empty role; a null turn comes first; equal turns are
 ordered by role, then text; repeated rows are turns of their own; rows whose conversation id is null form one
@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from convlens.llm.spans import running
+
 OPEN, CLOSE, NEXT, END = "<|", "|>", "<|next|>", "<|end|>"
 TRAINED = "assistant"
 
@@ -35,7 +37,7 @@ def unescape(text: Column) -> Column:
 
 
 def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """One row per conversation: conv_id, n_turns, n_blocks, formatted.
+    """One row per conversation: conv_id, n_turns, n_blocks, formatted, mask (array<struct<start,end>>, code points of formatted).
 
     A conversation is one output text, so its turns meet in one row; nothing wider is gathered.
     """
@@ -46,27 +48,33 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
         ).alias("t"),
     )
     gathered = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    # Each turn writes its own piece: whether it opens a block or joins the one before depends on its neighbour alone.
-    before = lambda i: F.try_element_at("turns", F.greatest(i, F.lit(1)))  # noqa: E731  1-based, so the turn before i
-    joins = lambda t, i: (i > 0) & (before(i)["role"] == t["role"])
-    opening = lambda t: F.concat(F.lit(OPEN), _put(escape(t["role"]), CLOSE, "\\c"), F.lit(CLOSE))
-    pieces = F.transform(
-        "turns",
-        lambda t, i: F.concat(
-            F.when(joins(t, i), F.lit(NEXT)).when(i > 0, F.concat(F.lit(END), opening(t))).otherwise(opening(t)),
-            escape(t["text"]),
-        ),
+    at = lambda i: F.try_element_at("turns", i)["role"]  # noqa: E731  1-based
+    # Where the role changes a block begins; the turns up to the next such place are merged.
+    begun = gathered.select("*", F.filter(F.sequence(F.lit(1), F.size("turns")), lambda i: (i == 1) | (at(F.greatest(i - 1, F.lit(1))) != at(i))).alias("begins"))
+    after = lambda k: F.coalesce(F.try_element_at("begins", k + 2), F.size("turns") + 1)
+    written = lambda t: F.struct(t["role"].alias("role"), escape(t["text"]).alias("text"))
+    blocked = begun.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.transform("begins", lambda b, k: F.transform(F.slice("turns", b, after(k) - b), written)).alias("blocks")
     )
-    return gathered.select(
-        "conv_id",
-        F.size("turns").cast("long").alias("n_turns"),
-        (1 + F.size(F.filter("turns", lambda t, i: (i > 0) & ~joins(t, i)))).cast("long").alias("n_blocks"),
-        F.concat(F.array_join(pieces, ""), F.lit(END)).alias("formatted"),
+    opening = lambda b: F.concat(F.lit(OPEN), _put(escape(b[0]["role"]), CLOSE, "\\c"), F.lit(CLOSE))
+    merged = lambda b: F.concat(opening(b), F.array_join(F.transform(b, lambda t: t["text"]), NEXT), F.lit(END))
+    # Before a text stand the control strings from the end of the text before it on.
+    skipped = lambda b, k, i: F.when(i > 0, len(NEXT)).otherwise(F.length(opening(b)) + F.when(k > 0, len(END)).otherwise(0))
+    laid = F.flatten(
+        F.transform(
+            "blocks",
+            lambda b, k: F.transform(b, lambda t, i: F.struct(skipped(b, k, i).alias("skip"), F.length(t["text"]).alias("take"), (t["role"] == TRAINED).alias("trained"))),
+        )
     )
+    told = blocked.select("conv_id", "n_turns", F.size("blocks").cast("long").alias("n_blocks"), F.array_join(F.transform("blocks", merged), "").alias("formatted"), laid.alias("laid"))
+    placed = told.select("*", running(F.transform("laid", lambda x: x["skip"] + x["take"])).alias("at"))
+    span = lambda x, base: F.struct((base + x["skip"]).alias("start"), (base + x["skip"] + x["take"]).alias("end"), x["trained"].alias("trained"))
+    mask = F.transform(F.filter(F.zip_with("laid", "at", span), lambda m: m["trained"]), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end")))
+    return placed.select("conv_id", "n_turns", "n_blocks", "formatted", mask.alias("mask"))
 
 
 def read_chats(chats: DataFrame) -> DataFrame:
-    """From (conv_id, formatted): also turns array<struct<role,text>> and loss_text, the unescaped text under the mask."""
+    """From (conv_id, formatted, mask): also turns array<struct<role,text>> and loss_text, the unescaped text under the mask."""
     blocks = F.transform(
         F.split(F.expr(f"left(formatted, length(formatted) - {len(END)})"), r"<\|end\|>"),
         lambda b: F.struct(
@@ -80,6 +88,8 @@ def read_chats(chats: DataFrame) -> DataFrame:
             lambda b: F.transform(b["texts"], lambda t: F.struct(b["role"].alias("role"), unescape(t).alias("text"))),
         )
     )
-    return chats.select("conv_id", "formatted", turns.alias("turns")).withColumn(
-        "loss_text", F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == TRAINED), lambda t: t["text"]), "")
-    )
+    # A substring is counted from the text's start, so many spans are cut from an array of its characters.
+    few = F.transform("mask", lambda m: unescape(F.substring(F.col("formatted"), m["start"] + 1, m["end"] - m["start"])))
+    many = F.transform("mask", lambda m: unescape(F.array_join(F.slice("chars", m["start"] + 1, m["end"] - m["start"]), "")))
+    cut = chats.select("conv_id", "formatted", "mask", turns.alias("turns"), F.when(F.size("mask") > 64, F.split("formatted", "")).alias("chars"))
+    return cut.select("conv_id", "formatted", "mask", "turns", F.array_join(F.when(F.col("chars").isNull(), few).otherwise(many), "").alias("loss_text"))

@@ -4,9 +4,11 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from convlens.llm import chat, pii, queries, secrets
 from convlens.llm.oracle import SQL
+from convlens.llm.spans import running
 
 DATA = "/root/testdata/sf0.001"
 ODD = [
@@ -119,11 +121,40 @@ def test_chats_round_trip(spark, tmp_path):
         want = [(r[2] or "", r[3] or "") for r in sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] is not None, r[1] or 0))]
         assert [tuple(t) for t in got[conv]["turns"]] == want
         assert got[conv]["loss_text"] == "".join(t for r, t in want if r == "assistant")
+        spans = [(m["start"], m["end"]) for m in got[conv]["mask"]]
+        under = [got[conv]["formatted"][a:b] for a, b in spans]
+        assert [u.replace("\\m", "<|").replace("\\b", "\\") for u in under] == [t for r, t in want if r == "assistant"]
+        assert not any("<|" in u for u in under) and spans == sorted(spans)
     blocks = {r["conv_id"]: (r["n_turns"], r["n_blocks"]) for r in chat.format_chats(turns).collect()}
     assert blocks == {1: (5, 3), 2: (3, 2), None: (1, 1)}
     assert chat.format_chats(turns.limit(0)).count() == 0
 
 
+def test_mask_of_a_long_conversation(spark):
+    rows = [(1, i, "assistant" if i % 3 else "user", f"𝒳 turn {i} <|end|> \\") for i in range(1000)]
+    row = chat.read_chats(chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()[0]
+    assert len(row["mask"]) == sum(r[2] == "assistant" for r in rows) and row["loss_text"] == "".join(r[3] for r in rows if r[2] == "assistant")
+    assert [tuple(t) for t in row["turns"]] == [r[2:] for r in rows]
+
+
+def test_running_sums(spark):
+    for n in (0, 1, 127, 128, 129, 1000):
+        numbers = [i * 7 % 13 for i in range(n)]
+        df = spark.createDataFrame([(numbers,)], "n array<int>").select(running("n").alias("r"))
+        assert df.collect()[0]["r"] == [sum(numbers[:i]) for i in range(n)]
+
+
+def test_a_text_with_very_many_matches(spark):
+    docs = spark.createDataFrame([(1, "a@b.co " * 100_000)], "doc_id long, text string")
+    spans = pii.find_pii(docs).select(F.size("base").alias("n"), F.element_at("base", -1).alias("last")).collect()[0]
+    assert spans["n"] == 100_000 and spans["last"]["end"] == 7 * 100_000 - 1
+
+
+@pytest.mark.parametrize("scan", [secrets.scan_secrets, pii.find_pii])
+def test_scans_of_an_empty_table(spark, scan):
+    assert scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
 def test_chat_query_matches_sql(spark):
     import duckdb
 
