@@ -3,7 +3,8 @@
 Base kinds (email, ip, card, phone) are reported wherever their pattern matches. Weak candidates - written-out mail
 addresses, bare digit groups, names after a title - are reported when the final span classifier finds them likelier
 than not. It is learned without labels: labelers of three families (regex shape, gazetteer, context words) vote 1, 0 or
-abstain (-1) on every candidate of the corpus; expectation-maximisation over the counts of vote patterns estimates how
+abstain (-1) on every candidate of the corpus. The gazetteers of mail hosts and given names grow by those that the written
+addresses of at least two texts have. Expectation-maximisation over the counts of vote patterns estimates how
 reliable each labeler is and how likely each pattern is personal data; a logistic span classifier over kind and votes is
 trained on those soft labels. There are at most kinds x 3^labelers patterns, whatever the corpus: only their counts
 reach the driver.
@@ -29,15 +30,26 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 PART = r"^0*+(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})?$"
 # Patterns of the weak kinds.
-SPOKEN_MAIL = r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{2,40}+\x20[(\[]?(?:at|AT)[)\]]?\x20[A-Za-z0-9-]{2,40}+\x20[(\[]?(?:dot|DOT)[)\]]?\x20[A-Za-z]{2,10}+"
-DIGITS = r"(?<![0-9+.-])[0-9](?:[\x20.-]?[0-9]){6,18}+(?![0-9.-])"
-NAME = r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme)\.?\x20[A-Z][a-z]{2,20}+(?:\x20[A-Z][a-z]{2,20}+)?"
+SPOKEN_MAIL = r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{2,}+\x20[(\[]?(?:at|AT)[)\]]?\x20[A-Za-z0-9-]{2,}+\x20[(\[]?(?:dot|DOT)[)\]]?\x20[A-Za-z]{2,}+"
+DIGITS = r"(?<![0-9+.-])[0-9](?:[\x20.-]?[0-9]){6,}+"
+NAME = r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Mme|Monsieur|Madame|Sr|Sra|Senor|Senora|Don|Sir)\.?\x20[A-Z][a-z]{2,}+(?:\x20[A-Z][a-z]{2,}+)?"
 BASE_KINDS = ["email", "ip", "card", "phone"]
 WEAK_KINDS = ["spoken_mail", "digits", "name"]
 LABELERS = ["shape", "gazetteer", "context", "refuted", "checksum"]
-# Gazetteers.
-MAIL_HOSTS = r"(?i)(?:example|gmail|yahoo|hotmail|outlook|proton|web|gmx)\b"
-GIVEN_NAMES = r"(?i)\b(?:anna|maria|john|james|mary|peter|paul|thomas|laura|julia|jose|carlos|pierre|marie|hans|klaus)\b"
+# Gazetteers to begin with; mail hosts and name parts that the corpus itself has in written addresses are added.
+MAIL_HOSTS = "aol example fastmail free gmail gmx googlemail hotmail icloud laposte live mail msn outlook proton protonmail qq t-online web yahoo yandex zoho"
+GIVEN_NAMES = """
+    adam agnes ahmed alan albert alejandro alex alexander alice ali amanda amelie amy ana andrea andreas andrew anette angela anna anne antoine
+    antonio arthur barbara ben bernd brian camille carl carla carlos carmen caroline catherine charles charlotte chloe christian christina claire
+    claudia clara daniel david deborah diana diego dorothy edward elena elizabeth ella emily emma eric eva felix fernando francesca frank
+    franz gabriel george georg giulia greta hannah hans heinz helen helena henry hugo ida ines isabel ivan jack jacob jakob james jan jana jane
+    javier jean jennifer jessica joan johanna john jonas jorge jose joseph juan julia julien jurgen karen karin karl kate katharina kevin klaus
+    laura lea leon lena leo linda lisa louis louise lucas lucia lucy luis luisa lukas manuel marco margaret maria marie mark markus marta
+    martin mary matthew max mia michael michel miguel mohammed monika natalie nicolas nina noah nora olga oliver olivia oscar pablo
+    patricia patrick paul paula pedro peter petra philip pierre rachel rafael ralf rebecca richard robert rosa ruth samuel sandra sara sarah
+    sebastian silvia simon sofia sophie stefan stephan steven susan sven teresa theo thomas tim tobias tom ursula uwe vera victor walter william
+    wolfgang yusuf
+"""
 CONTEXT = r"(?i)\b(?:call|phone|tel|telefon|mobile|fax|mail|contact|card|visa|account|iban|ssn|passport|born|address|name|reach)\b"
 REFUTING = r"(?i)(?:\b(?:version|id|order|ref|isbn|issn|doi|page|total|fig|figure|table|no|chapter|line|build)\b|[$%#*&|])"
 
@@ -90,7 +102,33 @@ def _hits(docs: DataFrame) -> DataFrame:
             F.substring(F.col("text"), F.greatest(s["start"] - NEAR, F.lit(0)) + 1, F.least(s["start"], F.lit(NEAR))).alias("before"),
         ),
     )
-    return based.select("doc_id", "row_key", "base", F.concat(*[weak(k) for k in WEAK_KINDS]).alias("weak"))
+    mails = F.transform("email", lambda s: s["text"]).alias("emails")
+    return based.select("doc_id", "row_key", "base", mails, F.concat(*[weak(k) for k in WEAK_KINDS]).alias("weak"))
+
+
+def gazetteer(hits: DataFrame, least: int = 2) -> DataFrame:
+    """list, word: hosts and name parts of the addresses that at least ``least`` documents hold, and those to begin with."""
+    mail = hits.select("row_key", F.explode("emails").alias("mail")).select("row_key", F.lower("mail").alias("mail")).distinct()
+    host = F.array(F.element_at(F.split(F.substring_index("mail", "@", -1), r"\."), -2))
+    words = lambda name, found: mail.select("row_key", F.lit(name).alias("list"), F.explode(found).alias("word"))
+    parts = F.filter(F.split(F.substring_index("mail", "@", 1), "[^a-z]+"), lambda w: F.length(w) >= 3)
+    learned = words("host", host).union(words("name", parts)).distinct().groupBy("list", "word").count().where(F.col("count") >= least).select("list", "word")
+    fixed = [("host", w) for w in MAIL_HOSTS.split()] + [("name", w) for w in GIVEN_NAMES.split()]
+    return learned.union(hits.sparkSession.createDataFrame(fixed, "list string, word string")).distinct()
+
+
+def _listed(candidates: DataFrame, hits: DataFrame) -> DataFrame:
+    """``candidates`` with ``listed``: whether a word of theirs, or of a name the one before, is in a gazetteer. The join is by word."""
+    keyed = candidates.withColumn("own", F.struct("doc_id", "row_key", "start", "kind", "end"))
+    mail = F.split(F.lower("text"), r"[()\[\]\x20]+")
+    host = F.transform(F.slice(mail, F.greatest(F.size(mail) - 2, F.lit(1)), 1), lambda w: F.struct(F.lit("host").alias("list"), w.alias("word")))
+    named = lambda text: F.transform(F.split(F.lower(text), "[^a-z]+"), lambda w: F.struct(F.lit("name").alias("list"), w.alias("word")))
+    words = F.when(F.col("kind") == "spoken_mail", F.concat(host, named(F.element_at(mail, 1)))).when(F.col("kind") == "name", named(F.col("text"))).otherwise(
+        named(F.substring_index(F.rtrim("before"), " ", -1))
+    )
+    asked = keyed.select("own", F.explode(F.array_distinct(words)).alias("w")).select("own", "w.*").where("word <> ''")
+    found = asked.join(gazetteer(hits), ["list", "word"]).select("own").distinct().withColumn("listed", F.lit(True))
+    return attach(keyed, found, "own").drop("own").withColumn("listed", F.coalesce("listed", F.lit(False)))
 
 
 def _votes(candidates: DataFrame) -> DataFrame:
@@ -99,11 +137,11 @@ def _votes(candidates: DataFrame) -> DataFrame:
     n = F.length(_digits(text))
     shape = F.when(kind == "name", F.when(text.rlike(r"\x20[A-Z][a-z]+\x20[A-Z]"), 1).otherwise(-1)).when(
         kind == "spoken_mail", F.when(text.rlike(r"(?i)dot\)?\]?\x20(?:com|org|net|de|fr|es|eu|uk|io)$"), 1).otherwise(0)
-    ).otherwise(F.when(n.between(10, 11) & text.rlike(r"[\x20.-]"), 1).when(n < 9, 0).otherwise(-1))
+    ).otherwise(F.when(n.between(10, 11) & text.rlike(r"[\x20.-]"), 1).when((n < 9) | (n > 19), 0).otherwise(-1))
     return candidates.select(
         "*",
         shape.alias("shape"),
-        F.when(text.rlike(MAIL_HOSTS) | text.rlike(GIVEN_NAMES) | before.rlike(GIVEN_NAMES), 1).otherwise(-1).alias("gazetteer"),
+        F.when(F.col("listed"), 1).otherwise(-1).alias("gazetteer"),
         F.when(before.rlike(CONTEXT), 1).otherwise(-1).alias("context"),
         F.when(before.rlike(REFUTING), 0).otherwise(-1).alias("refuted"),
         F.when(kind != "digits", -1).when(n.between(13, 19) & luhn(_digits(text)), 1).otherwise(0).alias("checksum"),
@@ -151,7 +189,8 @@ def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     """One row per document: doc_id, row_key, base and all spans (array<struct<start,kind,end>>) by kind, then start."""
     clean = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     hits = stored(_hits(clean), "pii")
-    voted = _votes(hits.where(F.size("weak") > 0).select("doc_id", "row_key", F.explode("weak").alias("s")).select("doc_id", "row_key", "s.*"))
+    candidates = hits.where(F.size("weak") > 0).select("doc_id", "row_key", F.explode("weak").alias("s")).select("doc_id", "row_key", "s.*")
+    voted = stored(_votes(_listed(candidates, hits)).drop("text", "before"), "votes")
     counted = sorted(
         (WEAK_KINDS.index(r["kind"]), tuple(r[x] for x in LABELERS), r["count"]) for r in voted.groupBy("kind", *LABELERS).count().collect()
     )

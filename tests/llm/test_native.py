@@ -110,6 +110,78 @@ def test_labelers_learn_and_find_weak_spans(spark):
     assert all(not v for k, v in got.items() if k >= 100)
 
 
+def test_precision_and_recall_on_planted_spans(spark):
+    import random
+
+    pick = random.Random(4)
+    filler = "the river runs past old mills and quiet fields where people walk on warm days".split()
+    words = lambda n: " ".join(pick.choice(filler) for _ in range(n))
+    names, hosts = ["zoltan", "brigida", "anna", "peter", "ingmar"], ["mailbarn", "gmail", "postnest"]
+    rows, want = [], set()
+    for i in range(600):
+        say = pick.choice(["mail", "name", "phone", "version", "order", "dot", "address"])
+        name, host = pick.choice(names), pick.choice(hosts)
+        if say == "mail":
+            span, lead = f"{name}.{pick.choice(filler)} at {host} dot com", "contact "
+        elif say == "name":
+            span, lead = f"Dr {name.title()} Weber", "you can reach "
+        elif say == "phone":
+            span, lead = f"0170 {pick.randrange(100, 999)} {pick.randrange(1000, 9999)}", "please call "
+        elif say == "version":
+            span, lead = str(pick.randrange(10**6, 10**7)), "version "
+        elif say == "order":
+            span, lead = f"{pick.randrange(1000, 9999)} {pick.randrange(1000, 9999)}", "order id "
+        elif say == "dot":
+            span, lead = "walk at mills dot fieldset", "they "
+        else:
+            span, lead = f"{name}.{pick.choice(filler)}@{host}.com", "write to "
+        before = f"{words(8)} {lead}"
+        rows.append((i, f"{before}{span} {words(6)}"))
+        if say in ("mail", "name", "phone", "address"):
+            want.add((i, len(before), len(before) + len(span)))
+    found = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {(r["doc_id"], s["start"], s["end"]) for r in found for s in r["spans"]}
+    assert len(got & want) >= 0.95 * len(got) and len(got & want) >= 0.9 * len(want)
+
+
+def test_gazetteer_grows_by_written_addresses(spark):
+    rows = [(1, "zoltan.k@mailbarn.org"), (2, "Zoltan_x@mailbarn.org"), (3, "once@single.net once@single.net"), (4, None)]
+    hits = pii._hits(spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    words = {(r["list"], r["word"]) for r in pii.gazetteer(hits).collect()}
+    assert {("host", "mailbarn"), ("name", "zoltan"), ("name", "anna")} <= words and not {("host", "single"), ("name", "once")} & words
+
+
+def brute_links(text, scope=256):
+    """Weak spans by comparing all parts of one text with all."""
+    find = lambda p: [(m.start(), m.end(), m[0]) for m in re.finditer(p, text)]
+    base = [tuple(x.split(":")) for x in base_secrets(text).split(",") if x]
+    parts = {
+        "secret": [(int(s), int(e)) for k, s, e in base if k != "access"],
+        "access": [(int(s), int(e)) for k, s, e in base if k == "access"],
+        "weak_secret": [(s, e) for s, e, t in find(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}(?![A-Za-z0-9+/_-])") if re.search("[0-9]", t) and re.search("[A-Za-z]", t)],
+        "weak_access": [(s, e) for s, e, t in find(r"(?<![A-Za-z0-9])[A-Z0-9]{12,}(?![A-Za-z0-9])") if re.search("[0-9]", t) and re.search("[A-Z]", t) and not t.startswith("AKIA")],
+        "endpoint": [(s, e) for s, e, _ in find(r"(?<![A-Za-z0-9])(?:https?://[A-Za-z0-9./_-]+|[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+:[0-9]{2,5})")],
+    }
+    apart = lambda a, b: max(a[0] - b[1], b[0] - a[1])
+    near = lambda x, p: [y for y in parts[p] if apart(x, y) <= scope]
+    beside = lambda x, p: [y for y in near(x, p) if apart(x, y) >= 0]
+    out = {("weak_secret", *x) for x in parts["weak_secret"] if near(x, "access") or near(x, "endpoint")}
+    out |= {("weak_access", *x) for x in parts["weak_access"] if near(x, "endpoint") and (near(x, "secret") or beside(x, "weak_secret"))}
+    both = lambda x: any(a[1] <= b[0] or b[1] <= a[0] for a in beside(x, "weak_secret") for b in beside(x, "weak_access"))
+    return out | {("endpoint", *x) for x in parts["endpoint"] if near(x, "access") or near(x, "secret") or both(x)}
+
+
+def test_linked_spans_match_brute_force(spark):
+    import random
+
+    pick = random.Random(9)
+    pieces = [lambda: "AKIA" + "B" * 14, lambda: "token=" + "k3" * 6, lambda: "x9Y" * pick.randrange(8, 40), lambda: "ID34" * pick.randrange(3, 9), lambda: "https://db.example.org/x", lambda: "db-1.example.org:5432", lambda: "ab12" * 8]
+    rows = [(i, " ".join(pick.choice(pieces)() if pick.random() < 0.3 else "word " * pick.randrange(1, 40) for _ in range(pick.randrange(1, 25)))) for i in range(200)]
+    got = secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    linked = {r["doc_id"]: {(s["kind"], s["start"], s["end"]) for s in r["spans"] if s["kind"] in secrets.WEAK_KINDS} for r in got}
+    assert linked == {i: brute_links(t) for i, t in rows} and sum(map(len, linked.values())) > 200
+
+
 def test_chats_round_trip(spark, tmp_path):
     rows = [
         (1, 1, "user", r"a \b <|end|> \m"), (1, 0, "sys|>tem<|", None), (1, 2, "user", ""), (1, 3, "assistant", "<|next|>"), (1, 4, "assistant", "x\n"),
