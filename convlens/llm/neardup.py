@@ -6,9 +6,10 @@
    leading-zero count (6 bits) and the next 10 bits (mantissa) of the smallest remaining hash. An empty register takes the
    value of a non-empty one, found along a fixed random walk of its own.
 3. Registers are banded by 4: a pair at similarity 0.8 shares none of the 32 bands once in 20 million.
-4. Bands held by several classes are cut into blocks of members; within each pair of blocks, members whose
+4. Bands held by several classes are cut into blocks of members; within a pair of blocks, members whose
    collision-corrected estimate comes within six deviations of the threshold are joined to a forest. Forest edges alone
-   leave a task. Their connected components are the suspects' groups.
+   leave a task. In a band of many blocks, first every block is held against itself and the first one, and then only
+   members outside the band's most frequent component against all blocks. The components are the suspects' groups.
 5. Groups are cut into blocks of texts; exact intersections within each pair of blocks confirm links, of which again a
    forest alone leaves the task. A group in one block needs no more; forests of larger groups go through components().
    In a group of many blocks, first every block is held against itself and the first one, and then only members
@@ -192,12 +193,9 @@ def _suspects(classes: DataFrame, least: float, block: int) -> DataFrame:
     bands = classes.select("rep", "registers").mapInArrow(keys, "rep long, key long")
     crowded = stored(bands.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "bands")
     members = bands.join(crowded, "key")
-    # A band's members are dealt to blocks of about `block`; every pair of blocks meets once.
+    # A band's members are dealt to blocks of about `block`.
     count = F.ceil(F.col("members") / block).cast("int")
     dealt = members.withColumn("count", count).withColumn("own", F.pmod(F.xxhash64("rep", "key"), F.col("count")).cast("int"))
-    pairs = dealt.select("rep", "key", "own", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("other"))
-    met = pairs.select("rep", "key", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
-    told = met.join(classes.select("rep", "n", "registers"), "rep")
     slots = 1 << 20
     slot = F.pmod(F.xxhash64("key", "x", "y"), F.lit(slots)).alias("slot")
 
@@ -234,8 +232,29 @@ def _suspects(classes: DataFrame, least: float, block: int) -> DataFrame:
         if held is not None and len(held[0]):
             yield edges(*held, np.array([0, len(held[0])]))
 
-    laid = told.select("key", "x", "y", "own", "rep", "n", "registers", slot).repartition("slot").sortWithinPartitions("key", "x", "y")
-    return laid.drop("slot").mapInArrow(near, "a long, b long").distinct()
+    def edges_of(met: DataFrame) -> DataFrame:
+        """met: rep, key, own, x, y: blocks x and y of a band meet."""
+        told = met.join(classes.select("rep", "n", "registers"), "rep")
+        laid = told.select("key", "x", "y", "own", "rep", "n", "registers", slot).repartition("slot").sortWithinPartitions("key", "x", "y")
+        return laid.drop("slot").mapInArrow(near, "a long, b long").distinct()
+
+    # Every block against itself and against the first.
+    others = F.when(F.col("own") == 0, F.sequence(F.lit(0), F.col("count") - 1)).otherwise(F.array(F.lit(0), F.col("own")))
+    pairs = dealt.select("rep", "key", "own", F.explode(others).alias("other"))
+    first = stored(edges_of(pairs.select("rep", "key", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))), "suspects")
+    if crowded.where(F.col("members") > 2 * block).isEmpty():
+        return first
+    # What is outside the most frequent component of its band is then held against all its blocks.
+    known = components(first)
+    wide = dealt.where("count > 2").join(known.select(F.col("node").alias("rep"), F.col("component").alias("name")), "rep", "left")
+    wide = stored(wide.select("rep", "key", "own", "count", F.coalesce("name", "rep").alias("name")), "wide")
+    top = wide.groupBy("key", "name").agg(F.count("*").alias("size")).groupBy("key").agg(F.max_by("name", F.struct("size", "name")).alias("top"))
+    stray = stored(wide.join(top, "key").where(F.col("name") != F.col("top")).drop("top"), "stray")
+    strays = stray.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("stray_blocks"))
+    asked = stray.join(strays, "key").withColumn("mine", -1 - F.pmod(F.xxhash64("rep"), F.col("stray_blocks")).cast("int"))
+    asked = asked.select("rep", "key", F.col("mine").alias("own"), F.col("mine").alias("x"), F.explode(F.expr("sequence(0, count - 1)")).alias("y"))
+    answers = wide.join(strays, "key").select("rep", "key", "own", F.explode(F.expr("transform(sequence(1, stray_blocks), i -> -i)")).alias("x"), F.col("own").alias("y"))
+    return first.union(edges_of(asked.union(answers)))
 
 
 def _links(groups: DataFrame, docs: DataFrame, k: int, percent: int, block: int) -> DataFrame:
@@ -341,3 +360,19 @@ def near_duplicates(
     joined = sketched.join(named, keys, "left").select(sketched["doc_id"], sketched["n"].alias("n_shingles"), "component_id")
     own_id = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
     return joined.withColumn("component_id", own_id).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` less near-duplicates, with all their columns: of each group the one with the smallest id stays.
+
+    Every row counts for itself: equal rows and rows that share an id are copies if their texts are, rows without an id too
+    (they go before those with one). Rows without words are no copies of each other.
+    """
+    row = next(name for name in (f"__row{i}" for i in range(len(docs.columns) + 1)) if name not in docs.columns)
+    keyed = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(keyed, row, text, shingle, percent).select(F.col("doc_id").alias("row"), "component_id")
+    named = stored(found.join(keyed.select(F.col(row).alias("row"), F.col(doc_id).alias("id")), "row"), "named")
+    best = named.groupBy("component_id").agg(F.count("*").alias("size"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")).where("size > 1")
+    best = stored(best.select("component_id", F.col("first.row").alias("first")), "best")
+    gone = named.join(best, "component_id").where("row <> first").select(F.col("row").alias(row))
+    return keyed.join(gone, row, "left_anti").select(*docs.columns)
