@@ -11,26 +11,29 @@ from convlens.llm.shared import stored, table
 
 
 def keep_good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the classifier predicts to be good. A null text is judged as an empty one; rows without an id are judged too."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles, similarity 0.8: the smallest doc_id of each component stays, and rows without an id."""
-    gone = neardup.near_duplicates(docs, shingle=5, percent=80).where("not kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """Five-word shingles, similarity 0.8: of each group of rows the one with the smallest doc_id stays, a row without an id only
+    if no other is in its group, and one of equal rows. Rows without words are no copies of each other."""
+    return neardup.keep_one(docs, shingle=5, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    leaks = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(leaks, docs["doc_id"] == leaks["__leak"], "left_anti")
+    """Rows in which no test item is found, each judged by its own text whatever its id. Null and empty texts hold none."""
+    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, with each secret replaced by its kind in brackets and n_chars counted anew. A null text stays null."""
     clean = secrets.redact(docs, secrets.scan_secrets(docs))
     return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row's ids, decoded text and digests. A null text has no ids, a null doc_id stays null."""
     return bpe.encode_documents(docs, tokenizer_path("byte_bpe_50k.json"), with_ids=True)
 
 
