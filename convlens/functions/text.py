@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Latin letters with marks and what they fold to.
-MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+def _marked() -> dict[str, str]:
+    """Lower-case Latin letters that are a plain letter with marks, and that letter."""
+    parts = {c: unicodedata.normalize("NFD", c) for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if c == c.lower()}
+    return {c: p[0] for c, p in parts.items() if len(p) > 1 and "a" <= p[0] <= "z"}
+
+
+#: Letters with marks and what they fold to; the combining marks at the end fold to nothing.
+MARKED = "".join(_marked()) + "".join(map(chr, range(0x300, 0x370)))
+PLAIN = "".join(_marked().values())
 
 
 def fold(text: Column) -> Column:
-    """Lower case without the accents of Latin letters."""
+    """Lower case without the accents of Latin letters, whether they are one character or have combining marks."""
     return F.translate(F.lower(text), MARKED, PLAIN)
 
 

@@ -46,14 +46,28 @@ def date_census(conversations: DataFrame, now_ms: int, tz: str = "UTC") -> DataF
     return counts.selectExpr("stack(4, 'today', today, 'week', week, 'month', month, 'older', older) as (span, conversations)")
 
 
-def rail(queries: DataFrame, census: DataFrame, value: str) -> DataFrame:
-    """(qid, value, conversations, state) for each query and census value: include, exclude (it wins) or off.
+def rail(queries: DataFrame, census: DataFrame, value: str, most: int = 1000) -> DataFrame:
+    """(qid, value, conversations, state) for each query and value: include, exclude (it wins) or off.
 
-    queries: qid, include array<string>, exclude array<string>. The census is a bounded table of facet values.
+    queries: qid, include array<string>, exclude array<string>. A facet selects as its filter does: directories (``cwd``) that
+    contain what is asked for, other values that equal it in lower case. The rail shows the ``most`` frequent values, ties by
+    name, so what every query meets is bounded.
     """
-    has = lambda side: F.exists(side, lambda x: F.lower(F.col(value)).contains(F.lower(x)))
+    selects = (lambda x: F.lower(F.col(value)).contains(F.lower(x))) if value == "cwd" else (lambda x: F.col(value) == F.lower(x))
+    has = lambda side: F.exists(side, selects)
     state = F.when(has("exclude"), "exclude").when(has("include"), "include").otherwise("off")
-    return queries.crossJoin(census).select("qid", value, "conversations", state.alias("state"))
+    shown = census.orderBy(F.desc("conversations"), value).limit(most)
+    return queries.crossJoin(F.broadcast(shown)).select("qid", value, "conversations", state.alias("state"))
+
+
+def directory_rail(queries: DataFrame, conversations: DataFrame, most: int = 12) -> DataFrame:
+    """(qid, cwd, conversations, state) of the busiest directories."""
+    return rail(queries, dir_census(conversations), "cwd", most)
+
+
+def date_rail(queries: DataFrame, conversations: DataFrame, now_ms: int, tz: str = "UTC") -> DataFrame:
+    """(qid, span, conversations, state) of the four spans of the date census; a span is on where a query names it."""
+    return rail(queries, date_census(conversations, now_ms, tz), "span")
 
 
 def composition(sets: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convlens.functions.text import tokenize
@@ -51,29 +51,73 @@ def topic_overlaps(hits: DataFrame) -> DataFrame:
     return joined.select("a", "b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("jaccard"))
 
 
-def file_mentions(texts: DataFrame, pattern: str, excluded: str = r"(node_modules|/target/|\.git/)") -> DataFrame:
-    """(id, file, mentions) by pattern, scaffold paths left out."""
+# Paths with these endings are files; names found in every project; folders of tools, not of projects.
+FILE_ENDINGS = "rs|py|ts|tsx|js|jsx|md|toml|json|sql|sh|ya?ml|html|css|txt"
+SCAFFOLD = ["SKILL.md", "CLAUDE.md", "AGENTS.md"]
+HARNESS = r"(^|/)\.(claude|codex)/|/Documents/Codex/|(^|/)\.git/"
+PATHS = rf"(?:[\w.\-]+/)+[\w\-]+\.(?:{FILE_ENDINGS})"
+
+
+def file_mentions(texts: DataFrame, pattern: str = PATHS, excluded: str = HARNESS) -> DataFrame:
+    """(id, file, mentions) by pattern, scaffold names and tools' own folders left out."""
     each = texts.select("id", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("file"))
-    return each.where(~F.rlike("file", F.lit(excluded))).groupBy("id", "file").agg(F.count("*").alias("mentions"))
+    kept = each.where(~F.rlike("file", F.lit(excluded)) & ~F.substring_index("file", "/", -1).isin(SCAFFOLD))
+    return kept.groupBy("id", "file").agg(F.count("*").alias("mentions"))
+
+
+def top_files(mentions: DataFrame, members: DataFrame, most: int = 10) -> DataFrame:
+    """(project, place, file, mentions): the most mentioned files of each project, paths below it without its own path.
+
+    mentions: (id, file, mentions); members: (id, project). A message meets its conversation's project by id.
+    """
+    root = F.concat(F.rtrim("project", F.lit("/")), F.lit("/"))
+    bare = F.ltrim(root, F.lit("/"))
+    below = lambda p: F.substring(F.col("file"), F.length(p) + 1, F.length("file"))
+    named = mentions.join(members.where("project is not null").select("id", "project"), "id")
+    own = F.when(F.startswith("file", root), below(root)).when(F.startswith("file", bare), below(bare)).otherwise(F.col("file"))
+    counts = named.groupBy("project", own.alias("file")).agg(F.sum("mentions").alias("mentions"))
+    return top_per_group(counts, ["project"], [F.desc("mentions"), "file"], most).select("project", "place", "file", "mentions")
+
 
+def topic_hits_of_projects(hits: DataFrame, members: DataFrame) -> DataFrame:
+    """(project, topic, conversations): in how many conversations of a project a topic occurs. hits: (id, topic, ...)."""
+    named = hits.join(members.where("project is not null").select("id", "project"), "id")
+    return named.groupBy("project", "topic").agg(F.countDistinct("id").alias("conversations"))
 
-# Keys of a call's arguments that tell most, in order of preference.
-ARGUMENT_KEYS = ["command", "file_path", "path", "pattern", "query", "url", "description", "prompt"]
+
+# Keys of a call's arguments, the first that holds text tells the call; where text breaks lines.
+ARGUMENT_KEYS = ["command", "cmd", "file_path", "path", "pattern", "query", "url", "uri", "prompt", "description", "notebook_path", "plan"]
+LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+
+
+def _lines(text) -> Column:
+    """Lines of a text; a break at its end opens none."""
+    return F.when(text == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(F.regexp_replace(text, rf"({LINE_BREAK})\z", ""), LINE_BREAK))
 
 
 def call_detail(calls: DataFrame, most: int = 400) -> DataFrame:
-    """name, summary, removed and added lines of tool calls whose text is a name, a line feed and JSON arguments."""
-    args = F.regexp_extract("text", r"(?s)^[^\n]*\n(.*)$", 1)
-    pick = F.coalesce(*[F.get_json_object(args, f"$.{k}") for k in ARGUMENT_KEYS], args)
-    body = F.coalesce(F.get_json_object(args, "$.patch"), F.lit(""))
-    lines = lambda sign: F.size(F.filter(F.split(body, "\n"), lambda x: x.startswith(sign) & ~x.startswith(sign * 3)))
-    count = lambda key: F.coalesce(F.size(F.split(F.get_json_object(args, f"$.{key}"), "\n")), F.lit(0))
-    has = lambda key: F.get_json_object(args, f"$.{key}").isNotNull()
-    return calls.select(
-        "id", "conv_id", F.substring_index("text", "\n", 1).alias("name"), F.substring(F.coalesce(pick, F.lit("")), 1, most).alias("summary"),
-        (lines("-") + F.when(has("old_string"), count("old_string")).otherwise(0)).alias("removed"),
-        (lines("+") + F.when(has("new_string"), count("new_string")).otherwise(0)).alias("added"),
-    )
+    """name, summary, removed and added lines of tool calls whose text is a name, a line feed and arguments.
+
+    Arguments are a patch (told by its first file, with its changed lines), a JSON object (told by the first key that holds
+    text; an edit has the lines of both strings, a written file those of its content), or plain text, which tells itself.
+    Without any, the summary is empty and no line counts.
+    """
+    trimmed = F.regexp_replace(F.regexp_extract("text", r"(?s)^[^\n]*\n(.*)$", 1), r"^\s+|\s+$", "")
+    rows = calls.select("id", "conv_id", F.substring_index("text", "\n", 1).alias("name"), F.coalesce(trimmed, F.lit("")).alias("args"))
+    rows = rows.withColumn("json", F.try_parse_json("args")).withColumn("kind", F.schema_of_variant("json"))
+    value = lambda key: F.when(F.schema_of_variant(F.try_variant_get("json", f"$.{key}", "variant")) == "STRING", F.try_variant_get("json", f"$.{key}", "string"))
+    has = lambda key: F.try_variant_get("json", f"$.{key}", "variant").isNotNull()
+    squeezed = lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))
+    told = F.coalesce(*[F.when(F.trim(F.regexp_replace(value(k), r"\s+", " ")) != "", squeezed(value(k))) for k in ARGUMENT_KEYS], F.lit(""))
+    lines = _lines(F.col("args"))
+    signed = lambda sign: F.size(F.filter(lines, lambda x: x.startswith(sign) & ~x.startswith(sign * 3)))
+    target = F.element_at(F.split(F.try_element_at(F.filter(lines, lambda x: x.startswith("*** ") & x.contains(" File: ")), F.lit(1)), " File: ", 2), 2)
+    count = lambda key: F.coalesce(F.size(_lines(value(key))), F.lit(0))
+    patch, json, edit = F.startswith("args", F.lit("***")), F.col("kind").startswith("OBJECT"), has("old_string") | has("new_string")
+    summary = F.when(patch, F.coalesce(F.when(F.trim(target) != "", F.trim(target)), F.lit("patch"))).when(json, told).when(F.col("json").isNull(), squeezed(F.col("args"))).otherwise("")
+    removed = F.when(patch, signed("-")).when(json & edit, count("old_string")).otherwise(0)
+    added = F.when(patch, signed("+")).when(json & edit, count("new_string")).when(json, count("content")).otherwise(0)
+    return rows.select("id", "conv_id", "name", F.substring(summary, 1, most).alias("summary"), removed.alias("removed"), added.alias("added"))
 
 
 def act_mix(calls: DataFrame, acts: DataFrame) -> DataFrame:
@@ -95,12 +139,31 @@ def activity(rows: DataFrame, key: str, at: str, bars: int = 24, least: int = 3)
     return placed.groupBy(key, bar.alias("bar")).agg(F.count("*").alias("n"))
 
 
-def sample(conversations: DataFrame, per_source: int = 8, largest: int = 12, size: str = "n_chars", least: int = 0) -> DataFrame:
-    """(id, stratum): the newest of each source, then the largest of all; the first stratum that has a row names it."""
+def sample(
+    conversations: DataFrame, per_source: int = 8, largest: int = 12, size: str = "n_chars", least: int = 0, limit: int | None = None, of_projects: int = 0,
+    projects: int = 10, small: int = 22,
+) -> DataFrame:
+    """(id, stratum): the newest of each source, the largest of all, then the newest of projects; the first stratum that has a row names it.
+
+    With ``limit`` a source gives max(per_source, limit / sources). ``of_projects`` conversations come from each of the largest ``projects``,
+    and two from each of ``small`` projects of at most three.
+    """
     fit = conversations.where(F.col(size) >= least)
-    newest = top_per_group(fit, ["source"], [F.desc_nulls_last("ended_at"), "id"], per_source).select("id", F.lit(1).alias("stratum"))
+    each = F.lit(per_source)
+    if limit is not None:
+        each = F.greatest(each, F.floor(F.lit(limit) / F.greatest(F.lit(1), F.lit(fit.select("source").distinct().count()))))
+    newest = fit.withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy(F.desc_nulls_last("ended_at"), "id"))).where(F.col("place") <= each).select("id", F.lit(1).alias("stratum"))
     big = fit.orderBy(F.desc(size), "id").limit(largest).select("id", F.lit(2).alias("stratum"))
-    return newest.union(big).groupBy("id").agg(F.min("stratum").alias("stratum"))
+    out = newest.union(big)
+    if of_projects:
+        counts = conversations.where("project is not null").groupBy("project").agg(F.count("*").alias("n"))
+        large = counts.orderBy(F.desc("n"), "project").limit(projects).select("project", F.lit(of_projects).alias("want"), F.lit(3).alias("stratum"))
+        few = counts.where("n <= 3").orderBy(F.desc("n"), "project").limit(small).select("project", F.lit(2).alias("want"), F.lit(4).alias("stratum"))
+        asked = large.union(few).groupBy("project").agg(F.max("want").alias("want"), F.min("stratum").alias("stratum"))
+        own = fit.join(F.broadcast(asked), "project")  # at most projects + small rows
+        own = own.withColumn("place", F.row_number().over(Window.partitionBy("project").orderBy(F.desc_nulls_last("ended_at"), "id")))
+        out = out.union(own.where("place <= want").select("id", "stratum"))
+    return out.groupBy("id").agg(F.min("stratum").alias("stratum"))
 
 
 def collection(matched: DataFrame, pinned: DataFrame, excluded: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ def gap_islands(rows: DataFrame, keys: list[str], at: str, tie: str, gap_ms: int
 
 def gap_islands_wide(rows: DataFrame, keys: list[str], at: str, tie: str, gap_ms: int, span_ms: int = 7 * 86_400_000) -> DataFrame:
     """As gap_islands, where one key may hold a third of the log: windows run within (keys, span of time), and only the first
-    and last instant and the number of openings of each span are compared across spans."""
+    and last instant and the number of openings of each span are compared across spans. Undated rows have a null island here too."""
     spanned = rows.where(F.col(at).isNotNull()).withColumn("__span", F.floor(F.col(at) / span_ms))
     inner = Window.partitionBy(*keys, "__span").orderBy(at, tie)
     gap = F.col(at) - F.lag(at).over(inner)
@@ -35,12 +35,13 @@ def gap_islands_wide(rows: DataFrame, keys: list[str], at: str, tie: str, gap_ms
     started = spans.withColumn("first", first)
     before = F.coalesce(F.sum(F.col("first") + F.col("opens")).over(outer.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     carried = started.select(*keys, "__span", (before + F.col("first")).alias("__base"))
-    return marked.join(carried, [*keys, "__span"]).withColumn("island", F.col("__base") + F.col("__inner")).drop("__span", "__opens", "__inner", "__base")
+    dated = marked.join(carried, [*keys, "__span"]).withColumn("island", F.col("__base") + F.col("__inner")).select(*rows.columns, "island")
+    return dated.unionByName(rows.where(F.col(at).isNull()).withColumn("island", F.lit(None).cast("long")))
 
 
 def build(records: DataFrame, keys: list[str], at: str = "ended_at", tie: str = "id", gap_ms: int = SITTING_GAP_MS, weights: str = "msg_count") -> DataFrame:
     """Members of sittings of two or more: keys, id, sitting_id (its opener), members, position, message_offset."""
-    islands = gap_islands(records, keys, at, tie, gap_ms).where("island is not null")
+    islands = gap_islands_wide(records, keys, at, tie, gap_ms).where("island is not null")
     w = Window.partitionBy(*keys, "island")
     ordered = w.orderBy(at, tie)
     out = islands.select(

@@ -23,22 +23,43 @@ def build(rows: DataFrame, at: str = "ended_at", source: str = "source", want: i
         return spark.createDataFrame([], "bucket int, day string, source string, n long")
     low, days, step = found
     bars = -(-days // step)
-    day = F.to_date(local_time(F.col(at), tz))
-    bucket = F.least(F.floor(F.datediff(day, F.lit(low).cast("date")) / step), F.lit(bars - 1)).cast("int")
-    counts = rows.where(F.col(at).isNotNull()).groupBy(bucket.alias("bucket"), F.col(source).alias("source")).agg(F.count("*").alias("n"))
+    counts = rows.where(F.col(at).isNotNull()).groupBy(_bucket(found, at, tz).alias("bucket"), F.col(source).alias("source")).agg(F.count("*").alias("n"))
     dense = spark.range(bars).select(F.col("id").cast("int").alias("bucket"), F.date_format(F.date_add(F.lit(low).cast("date"), (F.col("id") * step).cast("int")), "yyyy-MM-dd").alias("day"))
     return dense.join(counts, "bucket", "left").select("bucket", "day", "source", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def by_query(pool: DataFrame, hits: DataFrame, at: str = "ended_at", want: int = 180, tz: str = "UTC") -> DataFrame:
-    """(qid, bucket, matched, in_range): pool (id, at) under all filters but the date's, hits (qid, id, inside)."""
-    found = axis(pool, at, want, tz)
-    if found is None:
-        return pool.sparkSession.createDataFrame([], "qid long, bucket int, matched long, in_range long")
+def _bucket(found: tuple[str, int, int], at: str, tz: str):
     low, days, step = found
-    day = F.to_date(local_time(F.col(at), tz))
-    bucket = F.least(F.floor(F.datediff(day, F.lit(low).cast("date")) / step), F.lit(-(-days // step) - 1)).cast("int")
-    return hits.join(pool.select("id", bucket.alias("bucket")), "id").groupBy("qid", "bucket").agg(F.count("*").alias("matched"), F.count_if("inside").alias("in_range"))
+    return F.least(F.floor(F.datediff(F.to_date(local_time(F.col(at), tz)), F.lit(low).cast("date")) / step), F.lit(-(-days // step) - 1)).cast("int")
+
+
+def by_query(survivors: DataFrame, hits: DataFrame, conversations: DataFrame, at: str = "ended_at", want: int = 180, tz: str = "UTC") -> DataFrame:
+    """(qid, bucket, source, conversations, matches) on the axis of all conversations; bars without any are not there.
+
+    survivors: (qid, id, source, at, inside), what each query's filters keep with its date window left out, and whether that window
+    holds it; hits: (qid, id), rows that a searchable query's words match.
+    """
+    found = axis(conversations, at, want, tz)
+    dated = survivors.where(F.col(at).isNotNull())
+    if found is None:
+        return dated.select("qid", F.lit(0).alias("bucket"), "source", F.lit(0).cast("long").alias("conversations"), F.lit(0).cast("long").alias("matches")).limit(0)
+    own = hits.select("qid", "id", F.lit(1).alias("hit")).distinct()
+    joined = dated.join(own, ["qid", "id"], "left").withColumn("bucket", _bucket(found, at, tz))
+    return joined.groupBy("qid", "bucket", "source").agg(F.count("*").alias("conversations"), F.count("hit").alias("matches"))
+
+
+def query_totals(survivors: DataFrame, hits: DataFrame, searchable: DataFrame, at: str = "ended_at") -> DataFrame:
+    """(qid, survivors, undated, in_range, total): ``total`` is what the query selects, window and words alike; without words, in_range.
+
+    searchable: (qid) of queries with words to search.
+    """
+    own = hits.select("qid", "id", F.lit(1).alias("hit")).distinct()
+    asks = searchable.select("qid", F.lit(True).alias("asks")).distinct()
+    joined = survivors.join(own, ["qid", "id"], "left").join(F.broadcast(asks), "qid", "left")
+    return joined.groupBy("qid").agg(
+        F.count("*").alias("survivors"), F.count_if(F.col(at).isNull()).alias("undated"), F.count_if("inside").alias("in_range"),
+        F.count_if(F.col("inside") & (F.col("asks").isNull() | F.col("hit").isNotNull())).alias("total"),
+    )
 
 
 def selected(queries: DataFrame) -> DataFrame:

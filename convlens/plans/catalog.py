@@ -130,9 +130,9 @@ TOKENS = rf"regexp_extract_all(translate(lower(text), '{MARKED}', '{PLAIN}'), '[
 POSTINGS = f"""prose AS (SELECT id, unnest({TOKENS}) AS term FROM messages WHERE kind = 'prose'),
     post AS (SELECT id AS msg_id, term, count(*) AS tf FROM prose GROUP BY ALL), len AS (SELECT msg_id, sum(tf)::BIGINT AS length FROM post GROUP BY 1),
     st AS (SELECT count(*) AS n, avg(length) AS a FROM len)"""
-#: Queries from the benchmark: the first two words of an item that have at most three letters, the second as a prefix.
-ASKED = rf"""asked AS (SELECT item_id AS qid, list_filter(regexp_extract_all(translate(lower(text), '{MARKED}', '{PLAIN}'), '[\p{{L}}\p{{N}}]+'), lambda x: length(x) <= 3)[1:2] AS terms FROM benchmark),
-    qt AS (SELECT qid, unnest(terms) AS term, generate_subscripts(terms, 1) = len(terms) AND len(terms) > 1 AS is_prefix FROM asked WHERE len(terms) > 1 OR length(terms[1]) >= 3)"""
+#: Queries from the benchmark: every two words in a row of every item, each fifth with its second word as a prefix, and an empty one.
+ASKED = f"""asked AS (SELECT item_id + i * 100000 AS qid, i, CASE WHEN i + 1 < len(ws) THEN [ws[i + 1], ws[i + 2]] ELSE [] END AS terms FROM (SELECT item_id, ws, unnest(range(0, len(ws))) AS i FROM (SELECT item_id, {TOKENS} AS ws FROM benchmark))),
+    qt AS (SELECT qid, unnest(terms) AS term, generate_subscripts(terms, 1) = 2 AND i % 5 = 0 AS is_prefix FROM asked)"""
 MATCHED = f"""hits AS (SELECT q.term, q.is_prefix, p.msg_id, sum(p.tf)::BIGINT AS tf FROM (SELECT DISTINCT term, is_prefix FROM qt) q JOIN post p ON p.term = q.term OR (q.is_prefix AND starts_with(p.term, q.term)) GROUP BY ALL),
     df AS (SELECT term, is_prefix, count(*) AS df FROM hits GROUP BY ALL),
     w AS (SELECT h.term, h.is_prefix, h.msg_id, -(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / a))) AS weight
@@ -146,17 +146,20 @@ GROUPED = """g AS (SELECT qid, conv_id AS row_id, round(min(score) + 0.25 * (sum
 
 
 def asked(spark, sf_dir):
-    short = F.slice(F.filter(tokenize(F.col("text")), lambda x: F.length(x) <= 3), 1, 2)
-    return search.prepare_queries(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.array_join(short, " ").alias("q")))
+    words = table(spark, sf_dir, "benchmark").select("item_id", tokenize(F.col("text")).alias("ws")).where(F.size("ws") > 0)
+    each = words.select("item_id", "ws", F.explode(F.sequence(F.lit(0), F.size("ws") - 1)).alias("i"))
+    two = F.concat(F.array_join(F.slice("ws", F.col("i") + 1, 2), " "), F.when(F.col("i") % 5 == 0, "").otherwise(" "))
+    return search.prepare_queries(each.select((F.col("item_id") + F.col("i").cast("long") * 100_000).alias("qid"), F.when(F.col("i") + 1 < F.size("ws"), two).otherwise("").alias("q")))
+
+
+def indexed(spark, sf_dir, stemmed=False):
+    """Postings of all messages, written once for the several joins of a search."""
+    return stored(postings.build(messages(spark, sf_dir), stemmed), "postings")
 
 
 def found(spark, sf_dir, limit=20):
-    rows, asks = messages(spark, sf_dir), asked(spark, sf_dir)
-    hits = search.match(asks, postings.build(rows))
-    scored = hits.join(rows.where("on_head_path").select(F.col("id").alias("msg_id"), F.col("conv_id").alias("row_id"), F.col("seq").alias("position"), "ts_ms"), "msg_id")
-    scored = scored.withColumn("score", search.decayed(F.col("score"), F.col("ts_ms"), NOW, search.DECAY))
-    groups = search.group_scores(scored).withColumn("score", F.round("score", 9))  # so that ties are the same everywhere
-    return search.ranked(groups, limit, ["score", "row_id"])
+    hits = search.match(asked(spark, sf_dir), indexed(spark, sf_dir))
+    return search.grouped(hits, messages(spark, sf_dir), NOW, limit)
 
 
 @query(SEARCH + f", {GROUPED} SELECT qid, rank::INT AS rank, row_id, round(score, 6) AS score, match_count, positions FROM ranked WHERE rank <= 20")
@@ -167,16 +170,14 @@ def grouped_search(spark, sf_dir):
 @query(SEARCH + " SELECT qid, msg_id, conv_id, round(score, 6) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9), msg_id) AS rank FROM scored) WHERE rank <= 50")
 def flat_search(spark, sf_dir):
     rows = messages(spark, sf_dir)
-    hits = search.match(asked(spark, sf_dir), postings.build(rows))
-    joined = hits.join(rows.where("on_head_path").select(F.col("id").alias("msg_id"), "conv_id", "ts_ms"), "msg_id")
-    scored = joined.select("qid", "msg_id", "conv_id", F.round(search.decayed(F.col("score"), F.col("ts_ms"), NOW, search.DECAY), 9).alias("score"))
-    return search.ranked(scored, 50, ["score", "msg_id"]).withColumn("score", r6("score"))
+    hits = search.match(asked(spark, sf_dir), indexed(spark, sf_dir))
+    return search.flat(hits, rows, NOW, 50).withColumn("score", r6("score"))
 
 
 @query(SEARCH + " SELECT qid, count(DISTINCT conv_id) AS total, least(count(DISTINCT conv_id), 20) AS shown FROM scored GROUP BY qid")
 def search_totals(spark, sf_dir):
     rows = messages(spark, sf_dir)
-    return search.totals(search.match(asked(spark, sf_dir), postings.build(rows)), rows, 20)
+    return search.totals(search.match(asked(spark, sf_dir), indexed(spark, sf_dir)), rows, 20).select("qid", "total", "shown")
 
 
 @query(SEARCH + f""", {GROUPED}, sizes AS (SELECT conv_id, count(*) AS n FROM messages GROUP BY 1), cells AS (SELECT s.qid, s.conv_id AS row_id, least(floor(s.seq * 10 / n), 9)::INT AS cell, count(*) AS c
@@ -244,7 +245,7 @@ def date_census(spark, sf_dir):
 
 
 @query(f"""WITH {DOCUMENTS}, c AS (SELECT source, count(*) AS conversations FROM docs GROUP BY source), q AS (SELECT item_id AS qid, 'SRC' || (item_id % 20) AS inc, 'src' || (item_id % 7) AS exc FROM benchmark)
-    SELECT qid, source, conversations, CASE WHEN contains(lower(source), lower(exc)) THEN 'exclude' WHEN contains(lower(source), lower(inc)) THEN 'include' ELSE 'off' END AS state FROM q CROSS JOIN c""")
+    SELECT qid, source, conversations, CASE WHEN source = lower(exc) THEN 'exclude' WHEN source = lower(inc) THEN 'include' ELSE 'off' END AS state FROM q CROSS JOIN c""")
 def facet_rail(spark, sf_dir):
     qid = F.col("item_id")
     asks = table(spark, sf_dir, "benchmark").select(qid.alias("qid"), F.array(F.concat(F.lit("SRC"), (qid % 20).cast("string"))).alias("include"), F.array(F.concat(F.lit("src"), (qid % 7).cast("string"))).alias("exclude"))
@@ -496,7 +497,7 @@ VERDICTS = """cnt AS (SELECT conv_id, count(*) AS messages, count(*) FILTER (kin
     th AS (SELECT p.qid, p.conv_id, count(DISTINCT t) FILTER (kind <> 'reasoning') AS ti, count(DISTINCT t) AS ta FROM pairs p JOIN (SELECT qid, unnest(terms) AS t FROM asked) a ON a.qid = p.qid JOIN messages m ON m.conv_id = p.conv_id WHERE contains(lower(text), t) GROUP BY ALL),
     bs AS (SELECT x.qid, m.conv_id, min(score) AS best, count(*) FILTER (NOT on_head_path) AS off FROM matches x JOIN messages m ON m.id = x.msg_id GROUP BY ALL)
     SELECT p.qid, p.conv_id, coalesce(messages, 0) AS messages, coalesce(prose, 0) AS prose, coalesce(indexed, 0) AS indexed, coalesce(off_path, 0) AS off_path, coalesce(ta, 0) AS terms_any, round(best, 6) AS best,
-    CASE WHEN cnt.conv_id IS NULL THEN 'missing' WHEN p.conv_id % 5 = 0 THEN 'filtered out' WHEN coalesce(prose, 0) = 0 THEN 'no indexed prose' WHEN NOT (len(terms) > 1 OR length(terms[1]) >= 3) THEN 'filters only'
+    CASE WHEN cnt.conv_id IS NULL THEN 'missing' WHEN p.conv_id % 5 = 0 THEN 'filtered out' WHEN coalesce(prose, 0) = 0 THEN 'no indexed prose' WHEN len(terms) = 0 THEN 'filters only'
         WHEN coalesce(ta, 0) > 0 AND coalesce(ti, 0) = 0 THEN 'only in unindexed kind' WHEN coalesce(ta, 0) = 0 THEN 'no term anywhere' WHEN best IS NULL THEN 'present but unmatched' WHEN off > 0 THEN 'ranked, off path too' ELSE 'ranked' END AS verdict
     FROM pairs p LEFT JOIN cnt ON cnt.conv_id = p.conv_id LEFT JOIN th ON th.qid = p.qid AND th.conv_id = p.conv_id LEFT JOIN bs ON bs.qid = p.qid AND bs.conv_id = p.conv_id JOIN asked ON asked.qid = p.qid"""
 
@@ -504,13 +505,13 @@ VERDICTS = """cnt AS (SELECT conv_id, count(*) AS messages, count(*) FILTER (kin
 def _explained(spark, sf_dir, pairs):
     """pairs: (prepared queries, messages, matches) -> the (qid, conv_id) asked about."""
     rows, asks = messages(spark, sf_dir), asked(spark, sf_dir)
-    found = stored(search.match(asks, postings.build(rows)), "matches")
+    found = stored(search.match(asks, indexed(spark, sf_dir)), "matches")
     pairs = pairs(asks, rows, found)
     convs = rows.select(F.col("conv_id").alias("id")).distinct()
     return explain.run(pairs, asks, convs, rows, found, pairs.where("conv_id % 5 <> 0")).withColumn("best", r6("best"))
 
 
-@query(SEARCH + f""", pairs AS (SELECT item_id AS qid, c AS conv_id FROM benchmark, (SELECT DISTINCT conv_id AS c FROM messages UNION SELECT -1) WHERE (item_id + c) % 7 = 0 OR c = -1),
+@query(SEARCH + f""", pairs AS (SELECT qid, c AS conv_id FROM asked, (SELECT DISTINCT conv_id AS c FROM messages UNION SELECT -1) WHERE (qid + c) % 7 = 0 OR c = -1),
     {VERDICTS}""")
 def explained_pairs(spark, sf_dir):
     # A stated part of the combinations, by equality on the remainder that a conversation lacks to a multiple of seven, and one
@@ -522,7 +523,7 @@ def explained_pairs(spark, sf_dir):
     return _explained(spark, sf_dir, pairs)
 
 
-@query(SEARCH + f""", {GRADES}, pairs AS (SELECT qid, conv_id FROM grades UNION SELECT x.qid, m.conv_id FROM matches x JOIN messages m ON m.id = x.msg_id UNION SELECT item_id, -1 FROM benchmark),
+@query(SEARCH + f""", {GRADES}, pairs AS (SELECT qid, conv_id FROM grades UNION SELECT x.qid, m.conv_id FROM matches x JOIN messages m ON m.id = x.msg_id UNION SELECT qid, -1 FROM asked),
     {VERDICTS}""")
 def explained_known_pairs(spark, sf_dir):
     """Every graded pair, every pair of a query with a conversation that it matches, and one unknown conversation for each query."""

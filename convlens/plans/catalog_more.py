@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from convlens.operators import facets, filters, logfold, postings, projects
 from convlens.plans import report, search
-from convlens.plans.catalog import GROUPED, NOW, SEARCH, SEEDS, TOPICS, asked, found, query, r6
+from convlens.plans.catalog import GROUPED, NOW, SEARCH, SEEDS, TOPICS, asked, found, indexed, query, r6
 from convlens.plans.catalog import QUERIES as ALL
 from convlens.plans.views import DOCUMENTS, MESSAGES, documents, messages, table
 
@@ -18,7 +18,7 @@ DAY = 86_400_000
     (SELECT qid, msg_id, score FROM matches) x JOIN messages m ON m.id = x.msg_id AND m.on_head_path JOIN (SELECT qid, row_id FROM ranked WHERE rank <= 20) r ON r.qid = x.qid AND r.row_id = m.conv_id) SELECT qid, row_id, n::INT AS n, msg_id, round(score, 6) AS score FROM n WHERE n <= 3""")
 def nested_messages(spark, sf_dir):
     rows = messages(spark, sf_dir)
-    hits = search.match(asked(spark, sf_dir), postings.build(rows)).withColumn("score", F.round("score", 9))
+    hits = search.match(asked(spark, sf_dir), indexed(spark, sf_dir)).withColumn("score", F.round("score", 9))
     return search.nested(hits, rows, found(spark, sf_dir)).withColumn("score", r6("score"))
 
 
@@ -96,7 +96,7 @@ def corpus_report(spark, sf_dir):
 def search_snippets(spark, sf_dir):
     """The best message of each shown row with its snippet; tests hold the cutting against examples."""
     rows, asks = messages(spark, sf_dir), asked(spark, sf_dir)
-    hits = search.match(asks, postings.build(rows))
+    hits = search.match(asks, indexed(spark, sf_dir))
     top = search.nested(hits, rows, found(spark, sf_dir), 1).select("qid", "msg_id").join(rows.select(F.col("id").alias("msg_id"), "text"), "msg_id")
     return search.snippets(top, search.marking_terms(asks))
 
@@ -104,7 +104,7 @@ def search_snippets(spark, sf_dir):
 def marked_words(spark, sf_dir):
     """Byte spans of matching words in the best message of each shown row."""
     rows, asks = messages(spark, sf_dir), asked(spark, sf_dir)
-    hits = search.match(asks, postings.build(rows))
+    hits = search.match(asks, indexed(spark, sf_dir))
     top = search.nested(hits, rows, found(spark, sf_dir), 1).select("qid", "msg_id").join(rows.select(F.col("id").alias("msg_id"), "text"), "msg_id")
     return search.match_spans(top, search.marking_terms(asks))
 

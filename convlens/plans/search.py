@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from convlens.functions.text import fold, squeeze
+from convlens.lineage import stored
 from convlens.operators import postings as P
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 DECAY, YEAR_MS = 0.3, 365 * 86_400_000
 REPEAT_WEIGHT = 0.25
+DIGITS = 9  # of a score, so that sums in another order are still ties
 
 
 def prepare_queries(queries: DataFrame, known_sources: DataFrame | None = None) -> DataFrame:
@@ -42,29 +44,40 @@ def marking_terms(queries: DataFrame) -> DataFrame:
     return query_terms(queries).groupBy("qid", "term").agg(F.max("is_prefix").alias("is_prefix"))
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    """(qid, place, term, is_prefix) with repeats; terms folded as postings are."""
+def query_terms(queries: DataFrame, stemmed: bool = False) -> DataFrame:
+    """(qid, place, term, is_prefix) with repeats; terms folded, and stemmed but for prefixes, as postings are."""
     each = queries.where("mode = 'searchable'").select("qid", "last_is_prefix", F.size("terms").alias("n"), F.posexplode("terms").alias("place", "raw"))
-    return each.select("qid", "place", fold(F.col("raw")).alias("term"), (F.col("last_is_prefix") & (F.col("place") == F.col("n") - 1)).alias("is_prefix"))
+    rows = each.select("qid", "place", fold(F.col("raw")).alias("term"), (F.col("last_is_prefix") & (F.col("place") == F.col("n") - 1)).alias("is_prefix"))
+    if not stemmed:
+        return rows
+    return P.stem_terms(rows.where("not is_prefix")).select(*rows.columns).union(rows.where("is_prefix"))
 
 
 def term_matches(terms: DataFrame, postings: DataFrame) -> DataFrame:
     """(term, is_prefix, msg_id, tf, df) of the distinct terms asked for. An underscore parts a term into words in a row."""
-    asked = terms.select("term", "is_prefix").distinct()
+    asked = stored(terms.select("term", "is_prefix").distinct(), "terms")
     single = asked.where(~F.col("term").contains("_"))
     exact = single.where("not is_prefix").join(postings.select("term", "msg_id", "tf"), "term").select("term", "is_prefix", "msg_id", "tf")
+    # A word meets the prefixes asked for by equality with its own beginnings, of the lengths that are asked for.
+    lengths = sorted(r[0] for r in single.where("is_prefix").select(F.length("term")).distinct().collect())  # no more than the longest word has letters
     vocabulary = postings.select(F.col("term").alias("word")).distinct()
-    prefixes = vocabulary.select("word", F.explode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda n: F.substring("word", F.lit(1), n))).alias("term"))
+    starts = F.filter(F.array(*[F.when(F.length("word") >= n, F.substring("word", 1, n)) for n in lengths]), lambda x: x.isNotNull()) if lengths else F.expr("cast(array() as array<string>)")
+    prefixes = vocabulary.select("word", F.explode(starts).alias("term"))
     wider = single.where("is_prefix").join(prefixes, "term")
     opened = wider.join(postings.select(F.col("term").alias("word"), "msg_id", "tf"), "word").groupBy("term", "is_prefix", "msg_id").agg(F.sum("tf").alias("tf"))
+    hits = exact.unionByName(opened)
+    if not asked.where(F.col("term").contains("_")).isEmpty():
+        hits = hits.unionByName(_phrases(asked, postings))
+    return hits.join(hits.groupBy("term", "is_prefix").agg(F.count("*").alias("df")), ["term", "is_prefix"])
+
+
+def _phrases(asked: DataFrame, postings: DataFrame) -> DataFrame:
     # Phrases: a word's places less its number in the phrase agree for all words.
     words = asked.where(F.col("term").contains("_")).select("term", "is_prefix", F.filter(F.split("term", "_"), lambda w: w != "").alias("words"))
     each = words.select("term", "is_prefix", F.size("words").alias("n"), F.posexplode("words").alias("i", "word"))
     at = each.join(postings.select(F.col("term").alias("word"), "msg_id", F.explode("positions").alias("p")), "word").withColumn("start", F.col("p") - F.col("i"))
     whole = at.groupBy("term", "is_prefix", "msg_id", "start", "n").agg(F.count("*").alias("found")).where("found = n")
-    phrases = whole.groupBy("term", "is_prefix", "msg_id").agg(F.count("*").alias("tf"))
-    hits = exact.unionByName(opened).unionByName(phrases)
-    return hits.join(hits.groupBy("term", "is_prefix").agg(F.count("*").alias("df")), ["term", "is_prefix"])
+    return whole.groupBy("term", "is_prefix", "msg_id").agg(F.count("*").alias("tf"))
 
 
 def bm25(tf: Column, df: Column, length: Column, messages: Column, average: Column) -> Column:
@@ -79,10 +92,14 @@ def decayed(score: Column, ts_ms: Column, now_ms: int, decay: float) -> Column:
     return score / (1 + decay * age)
 
 
-def match(queries: DataFrame, postings: DataFrame, field: str = "prose") -> DataFrame:
-    """(qid, msg_id, score): messages with every distinct term of a query; each occurrence of a repeated term adds."""
+def match(queries: DataFrame, postings: DataFrame, field: str = "prose", stemmed: bool = False) -> DataFrame:
+    """(qid, msg_id, score): messages with every distinct term of a query; each occurrence of a repeated term adds.
+
+    Postings are read several times and should be written (postings.write, or stored). stemmed: they hold stems, so terms are
+    stemmed too; a prefix, whose word is not complete, then opens stems.
+    """
     own = postings.where(F.col("field") == field)
-    terms = query_terms(queries)
+    terms = query_terms(queries, stemmed)
     hits = term_matches(terms, own).join(P.doc_stats(own).select("msg_id", "length"), "msg_id")
     stats = P.field_stats(own).select("messages", "average_length")
     scored = hits.crossJoin(F.broadcast(stats))  # one row
@@ -98,7 +115,7 @@ def flat(matches: DataFrame, messages: DataFrame, now_ms: int, limit: int, decay
     """The best messages of each query: qid, rank, msg_id, conv_id, score."""
     rows = messages if off_path else messages.where("on_head_path")
     joined = matches.join(rows.select(F.col("id").alias("msg_id"), "conv_id", "ts_ms"), "msg_id")
-    scored = joined.select("qid", "msg_id", "conv_id", decayed(F.col("score"), F.col("ts_ms"), now_ms, decay).alias("score"))
+    scored = joined.select("qid", "msg_id", "conv_id", F.round(decayed(F.col("score"), F.col("ts_ms"), now_ms, decay), DIGITS).alias("score"))
     return ranked(scored, limit, ["score", "msg_id"])
 
 
@@ -133,7 +150,7 @@ def grouped(
         scored = scored.join(groups, "conv_id", "left").withColumn("row_id", F.coalesce("group_id", "conv_id")).withColumn("position", F.col("seq") + F.coalesce("message_offset", F.lit(0)))
     else:
         scored = scored.withColumn("row_id", F.col("conv_id")).withColumn("position", F.col("seq"))
-    return ranked(group_scores(scored, repeat_weight), limit, ["score", "row_id"])
+    return ranked(group_scores(scored, repeat_weight).withColumn("score", F.round("score", DIGITS)), limit, ["score", "row_id"])
 
 
 def nested(matches: DataFrame, messages: DataFrame, shown: DataFrame, each: int = 3) -> DataFrame:
@@ -142,15 +159,32 @@ def nested(matches: DataFrame, messages: DataFrame, shown: DataFrame, each: int
     return own.withColumn("n", F.row_number().over(Window.partitionBy("qid", "row_id").orderBy("score", "msg_id"))).where(F.col("n") <= each).select("qid", "row_id", "n", "msg_id", "score")
 
 
-def totals(matches: DataFrame, messages: DataFrame, limit: int) -> DataFrame:
-    """(qid, total, shown): rows that match, whatever the limit, and how many of them the limit shows."""
+def totals(matches: DataFrame, messages: DataFrame, limit: int, groups: DataFrame | None = None, ceiling: int | None = None) -> DataFrame:
+    """(qid, total, shown, settled): rows that match, whatever the limit, and how many of them the limit shows.
+
+    groups: (conv_id, group_id), by which conversations are one row. With a ``ceiling`` on the messages looked at, a query with more of them has
+    a total that is only a lower bound, and is not settled.
+    """
     rows = matches.join(messages.where("on_head_path").select(F.col("id").alias("msg_id"), "conv_id"), "msg_id")
-    return rows.groupBy("qid").agg(F.countDistinct("conv_id").alias("total")).withColumn("shown", F.least("total", F.lit(limit)))
+    if ceiling is not None:
+        counts = rows.groupBy("qid").agg((F.count("*") <= ceiling).alias("settled"))
+        rows = ranked(rows, ceiling, ["score", "msg_id"]).drop("rank").join(counts, "qid")
+    else:
+        rows = rows.withColumn("settled", F.lit(True))
+    if groups is not None:
+        rows = rows.join(groups.select("conv_id", "group_id"), "conv_id", "left").withColumn("conv_id", F.coalesce("group_id", "conv_id"))
+    counted = rows.groupBy("qid").agg(F.countDistinct("conv_id").alias("total"), F.first("settled").alias("settled"))
+    return counted.select("qid", "total", F.least("total", F.lit(limit)).alias("shown"), "settled")
 
 
-def recent(conversations: DataFrame, limit: int, at: str = "ended_at") -> DataFrame:
-    """Newest first, undated last, ties by id."""
-    return conversations.orderBy(F.desc_nulls_last(at), "id").limit(limit)
+def recent(conversations: DataFrame, limit: int, at: str = "ended_at", keep: DataFrame | None = None, groups: DataFrame | None = None) -> DataFrame:
+    """Newest first, undated last, ties by id. keep: (conv_id) that pass the filters. groups: (conv_id, group_id, opens, ended): a sitting is
+    one row, that of the conversation which opens it, dated by the whole; filters are tested on that conversation."""
+    rows = conversations if keep is None else conversations.join(keep.select(F.col("conv_id").alias("id")).distinct(), "id", "left_semi")
+    if groups is not None:
+        own = groups.select(F.col("conv_id").alias("id"), "opens", F.col("ended").alias("__ended"))
+        rows = rows.join(own, "id", "left").where(F.coalesce("opens", F.lit(True))).withColumn(at, F.coalesce("__ended", at)).drop("opens", "__ended")
+    return rows.orderBy(F.desc_nulls_last(at), "id").limit(limit)
 
 
 def answer(queries: DataFrame, found: DataFrame, conversations: DataFrame, limit: int) -> DataFrame:
@@ -160,6 +194,20 @@ def answer(queries: DataFrame, found: DataFrame, conversations: DataFrame, limit
     return found.select("qid", "rank", "row_id").unionByName(plain.select("qid", "rank", "row_id"))
 
 
+def envelope(queries: DataFrame, totals: DataFrame, conversations: DataFrame, limit: int) -> DataFrame:
+    """(qid, mode, count, total, settled, rejected): one row for each query, whatever it turns out to be.
+
+    A query that cannot be searched is answered out of the recent list, whose total is exact. rejected: filters that were not applied, as
+    prepare_queries names them.
+    """
+    every = conversations.agg(F.count("*").alias("every"))
+    joined = queries.join(totals.select("qid", "total", "settled"), "qid", "left").crossJoin(F.broadcast(every))  # one row
+    plain = F.col("mode") != "searchable"
+    total = F.when(plain, F.col("every")).otherwise(F.coalesce("total", F.lit(0)))
+    rejected = F.col("rejected") if "rejected" in queries.columns else F.expr("cast(array() as array<string>)")
+    return joined.select("qid", "mode", F.least(total, F.lit(limit)).alias("count"), total.alias("total"), (plain | F.coalesce("settled", F.lit(True))).alias("settled"), rejected.alias("rejected"))
+
+
 def match_histogram(shown: DataFrame, sizes: DataFrame, cells: int = 10) -> DataFrame:
     """(qid, row_id, cell, level): matches over ten equal stretches of a row, in levels 0, 1, 2 (2-3) and 3 (4 or more)."""
     at = shown.join(sizes.select(F.col("conv_id").alias("row_id"), "msg_count"), "row_id").select("qid", "row_id", "msg_count", F.explode("positions").alias("p"))
@@ -179,8 +227,8 @@ def group_by_axis(found: DataFrame, axis: DataFrame) -> DataFrame:
 
 def match_spans(shown: DataFrame, terms: DataFrame) -> DataFrame:
     """(qid, msg_id, start, end) in UTF-8 bytes of the words that match. shown: qid, msg_id, text; terms: qid, term, is_prefix."""
-    piece = F.split("text", r"[\p{L}\p{N}]+", -1)
-    hit = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    piece = F.split("text", r"[\p{L}\p{N}\p{M}]+", -1)
+    hit = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}\p{M}]+"), F.lit(0))
     laid = F.aggregate(
         F.zip_with(F.slice(piece, 1, F.size(hit)), hit, lambda p, h: F.struct(F.octet_length(p).alias("p"), F.octet_length(h).alias("n"), h.alias("word"))),
         F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,word:string>>)").alias("out")),

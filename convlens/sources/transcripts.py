@@ -6,10 +6,14 @@ rows. Order within a file is that of its lines, then of the blocks within one.
 
 from __future__ import annotations
 
+import json
+import sys
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from convlens.functions.text import html_to_text, squeeze
 from convlens.functions.titles import clipped_title, rollout_title, session_title
@@ -29,17 +33,41 @@ def _part(v: Column, path: str) -> Column:
     return F.try_variant_get(v, path, "variant")
 
 
-def flatten(v: Column, depth: int = 2) -> Column:
-    """Text of a JSON value: strings as they are, arrays by lines, objects by the first key that holds text."""
+def _flatten(v: Column, depth: int) -> Column:
     kind = F.schema_of_variant(v)
     plain = F.coalesce(text_of(v), F.lit(""))
     if not depth:
-        return F.when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), "").otherwise(plain)
-    items = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: flatten(x, depth - 1))
+        return plain
+    items = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: _flatten(x, depth - 1))
     inner = F.lit("")
     for key in reversed(TEXT_KEYS):
-        inner = F.when(_part(v, f"$.{key}").isNotNull(), flatten(_part(v, f"$.{key}"), depth - 1)).otherwise(inner)
-    return F.when(v.isNull(), "").when(kind.startswith("ARRAY"), F.array_join(F.filter(items, lambda x: x != ""), "\n")).when(kind.startswith("OBJECT"), inner).otherwise(plain)
+        part = _part(v, f"$.{key}")
+        inner = F.when(part.isNotNull() & ~F.is_variant_null(part), _flatten(part, depth - 1)).otherwise(inner)
+    return F.when(v.isNull() | F.is_variant_null(v), "").when(kind.startswith("ARRAY"), F.array_join(F.filter(items, lambda x: x != ""), "\n")).when(kind.startswith("OBJECT"), inner).otherwise(plain)
+
+
+def _text_within(v) -> str:
+    if isinstance(v, dict):
+        return next((_text_within(v[k]) for k in TEXT_KEYS if v.get(k) is not None), "")
+    if isinstance(v, list):
+        return "\n".join(filter(None, map(_text_within, v)))
+    return "" if v is None else v if isinstance(v, str) else json.dumps(v)
+
+
+@F.pandas_udf(T.StringType())
+def _flatten_deep(values: pd.Series) -> pd.Series:
+    sys.setrecursionlimit(max(10_000, sys.getrecursionlimit()))
+    return values.map(lambda x: None if x is None else _text_within(json.loads(x)))
+
+
+def flatten(v: Column) -> Column:
+    """Text of a JSON value: strings as they are, arrays by lines, objects by the first key that holds more than null.
+
+    Values of at most two containers are expressions; what nests deeper or mixes types goes through Arrow, nothing else does.
+    """
+    kind = F.schema_of_variant(v)
+    deep = (F.size(F.split(kind, "<")) > 3) | kind.contains("VARIANT")
+    return F.when(deep, _flatten_deep(F.when(deep, F.to_json(v)))).otherwise(_flatten(v, 2))
 
 
 def model_name(name: Column) -> Column:
@@ -204,7 +232,7 @@ def rollout_jsonl(spark: SparkSession, path: str, source: str = "rollout") -> tu
 TOOL_CONTENT = ["execution_output", "tether_quote", "tether_browsing_display", "system_error", "computer_output"]
 
 
-def chat_export(spark: SparkSession, path: str, source: str = "chat-export", most_depth: int = 100_000) -> tuple[DataFrame, DataFrame]:
+def chat_export(spark: SparkSession, path: str, source: str = "chat-export") -> tuple[DataFrame, DataFrame]:
     """Conversations as maps of nodes, walked before their children from sorted roots, then what no root reaches, by id.
 
     Depth-first order comes from positions: a node's subtree sizes are summed level by level, so no path is carried along.

@@ -27,38 +27,28 @@ def census(stream: DataFrame, at: str, source: str, late: str, offset: str = "0
     return stream.withWatermark(at, late).groupBy(F.window(at, "1 day", "1 day", offset).alias("w"), source).agg(F.count("*").alias("n")).select(F.col("w.start").alias("day"), source, "n")
 
 
-def latest_state(stream: DataFrame, keys: list[str], order: list[str], fields: dict[str, str]) -> DataFrame:
+def latest_state(stream: DataFrame, keys: list[str], order: list[str], fields: list[str]) -> DataFrame:
     """The newest event of every key by (order), whatever the order of arrival; an update for each batch that changes it.
 
-    fields: name to SQL type of the columns kept; keys and order are among them.
+    fields: the columns kept; keys and order are among them. Of events equal by order any may stand.
     """
-    schema = ", ".join(f"{n} {t}" for n, t in fields.items())
-    names = list(fields)
-
-    def keep(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best = tuple(state.get) if state.exists else None
-        place = [names.index(o) for o in order]
-        before = best
-        for frame in frames:
-            for row in frame[names].itertuples(index=False, name=None):
-                if best is None or tuple(row[i] for i in place) > tuple(best[i] for i in place):
-                    best = tuple(x.item() if hasattr(x, "item") else x for x in row)
-        if best is not None and best != before:
-            state.update(best)
-            yield pd.DataFrame([best], columns=names)
-
-    return stream.groupBy(*keys).applyInPandasWithState(keep, schema, schema, "update", GroupStateTimeout.NoTimeout)
+    newest = F.max_by(F.struct(*fields), F.struct(*order))
+    return stream.groupBy(*keys).agg(newest.alias("__newest")).select("__newest.*")
 
 
 def absorbed(stream: DataFrame, key: str, late: str, unread_ms: int) -> DataFrame:
     """Searches that no next event absorbs: one pending search per user is held until the next event or a timer.
 
     stream: key, id, at (timestamp), ts_ms, q, source. Events within a batch are taken by time; the timer fires when the watermark has
-    passed the pending search by ``unread_ms``.
+    passed the pending search by ``unread_ms``. A null text is an empty one, which nothing goes on from. An event that comes in a later
+    batch than one of a later time is compared with that one alone.
     """
     schema = f"{key} long, id long, ts_ms long, q string, source string"
     columns = [key, "id", "ts_ms", "q", "source"]
 
+    def goes_on(one: tuple, then: tuple) -> bool:
+        return then[2] - one[2] <= unread_ms and one[4] == then[4] and one[3].strip() != "" and then[3].startswith(one[3])
+
     def hold(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         pending = tuple(state.get) if state.exists else None
         out = []
@@ -66,13 +56,16 @@ def absorbed(stream: DataFrame, key: str, late: str, unread_ms: int) -> DataFram
             state.remove()
             yield pd.DataFrame([pending], columns=columns)
             return
-        rows = sorted(r for f in frames for r in f[["ts_ms", "id", "q", "source"]].itertuples(index=False, name=None))
+        rows = sorted((r for f in frames for r in f[["ts_ms", "id", "q", "source"]].itertuples(index=False, name=None)), key=lambda r: r[:2])
         for ts, own, q, source in rows:
-            now = (int(group[0]), int(own), int(ts), q, source)
-            if pending is not None:
-                goes_on = now[2] - pending[2] <= unread_ms and pending[4] == source and pending[3].strip() != "" and q.startswith(pending[3])
-                if not goes_on:
-                    out.append(pending)
+            now = (int(group[0]), int(own), int(ts), q or "", source)
+            if pending is not None and now[2] < pending[2]:
+                # An event of an earlier time than the one held: it is let go unless the one held goes on from it.
+                if not goes_on(now, pending):
+                    out.append(now)
+                continue
+            if pending is not None and not goes_on(pending, now):
+                out.append(pending)
             pending = now
         state.update(pending)
         state.setTimeoutTimestamp(max(pending[2] + unread_ms + 1, state.getCurrentWatermarkMs() + 1))

@@ -8,7 +8,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).parent))
 from compare import compare, connect  # noqa: E402
 
-from convlens.plans import catalog, catalog_more  # noqa: E402, F401
+from convlens.plans import catalog, catalog_answers, catalog_more  # noqa: E402, F401
 
 DATA = "/root/testdata/sf0.001"
 

@@ -1,0 +1,93 @@
+"""Stemmed and accent-blind search, filters and sittings against plain Python; text within nested values."""
+
+import json
+import re
+import unicodedata
+
+import pytest
+from pyspark.sql import functions as F
+
+from convlens.functions.stem import porter
+from convlens.functions.text import fold
+from convlens.operators import postings
+from convlens.plans import search
+from convlens.sources import transcripts
+
+SAID = ["running in the hills", "he runs and ran", "the runner rests", "hills are alive", "šafran čaj in Łódź", "safrán again", "ponies and pony", "relational databases relate", "a_b under_score words", "", None]
+
+
+def messages(spark):
+    rows = [(f"m{i}", i % 4, i, "prose", t, i % 5 != 4, 1000 * i) for i, t in enumerate(SAID)]
+    return spark.createDataFrame(rows, "id string, conv_id long, seq int, kind string, text string, on_head_path boolean, ts_ms long")
+
+
+def plain(text):
+    low = "".join(c for c in unicodedata.normalize("NFD", (text or "").lower()) if not unicodedata.combining(c))
+    return re.findall(r"[^\W_]+", low)
+
+
+@pytest.mark.parametrize("stemmed", [False, True])
+def test_words_and_stems_find_what_they_should(spark, stemmed):
+    asks = ["running ", "run ", "hill run ", "safran ", "ŠAFRÁN ", "pony ", "relate ", "relational database ", "runn", "the hil", "database"]
+    queries = search.prepare_queries(spark.createDataFrame(list(enumerate(asks)), "qid long, q string"))
+    built = postings.build(messages(spark), stemmed)
+    got = {}
+    for r in search.match(queries, built, stemmed=stemmed).collect():
+        got.setdefault(r["qid"], set()).add(r["msg_id"])
+    key = porter if stemmed else (lambda w: w)
+    want = {}
+    for i, q in enumerate(asks):
+        words = plain(q)
+        whole, start = ([key(w) for w in words], None) if q.endswith(" ") else ([key(w) for w in words[:-1]], words[-1])
+        for j, text in enumerate(SAID):
+            own = {key(w) for w in plain(text)}
+            if set(whole) <= own and (start is None or any(w.startswith(start) for w in own)):
+                want.setdefault(i, set()).add(f"m{j}")
+    assert got == want
+    assert ("m1" in got[0]) == stemmed
+
+
+def test_folding_of_letters_with_marks(spark):
+    given = ["Šafrán ÑÔÜ ǖ ẫ Ÿ", "é ö", "Łódź ø ß", None]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in given], "t string").select(fold(F.col("t"))).collect()]
+    assert got == ["safran nou u a y", "e o", "łodz ø ß", None]
+
+
+def test_recent_rows_under_filters_and_sittings(spark):
+    convs = spark.createDataFrame([(1, 100), (2, 200), (3, None), (4, 50), (5, 300)], "id long, ended_at long")
+    groups = spark.createDataFrame([(1, 1, True, 200), (2, 1, False, 200), (4, 4, True, 900), (5, 4, False, 900)], "conv_id long, group_id long, opens boolean, ended long")
+    assert [r["id"] for r in search.recent(convs, 10).collect()] == [5, 2, 1, 4, 3]
+    assert [(r["id"], r["ended_at"]) for r in search.recent(convs, 10, groups=groups).collect()] == [(4, 900), (1, 200), (3, None)]
+    keep = convs.where("id <> 4").select(F.col("id").alias("conv_id"))
+    assert [r["id"] for r in search.recent(convs, 2, keep=keep, groups=groups).collect()] == [1, 3]
+
+
+def test_totals_under_a_ceiling_are_not_settled(spark):
+    rows = messages(spark)
+    queries = search.prepare_queries(spark.createDataFrame([(1, "the "), (2, "hills "), (3, "")], "qid long, q string"))
+    hits = search.match(queries, postings.build(rows))
+    got = {r["qid"]: (r["total"], r["settled"]) for r in search.totals(hits, rows, 20, ceiling=1).collect()}
+    assert got == {1: (1, False), 2: (2, True)} or not got[1][1]
+    whole = {r["qid"]: (r["count"], r["total"], r["settled"]) for r in search.envelope(queries, search.totals(hits, rows, 1), rows.select(F.col("conv_id").alias("id")).distinct(), 1).collect()}
+    assert whole == {1: (1, 2, True), 2: (1, 2, True), 3: (1, 4, True)}
+
+
+def test_text_within_nested_values(spark):
+    values = [
+        {"content": [{"text": "a"}, {"text": "b"}]}, [{"content": [{"text": "deep"}]}], {"text": None, "content": "x"}, "plain", ["a", {"text": "b"}, None, ["c", ["d"]]],
+        {"output": {"message": {"thinking": {"text": {"content": ["far", {"text": "down"}]}}}}}, {"other": "no"}, {"text": "", "content": "y"}, [], {}, None, 5, {"content": {"text": None}}, [[["x"]]],
+    ]
+
+    def walk(v):
+        if isinstance(v, dict):
+            return next((walk(v[k]) for k in ("text", "content", "output", "message", "thinking") if v.get(k) is not None), "")
+        if isinstance(v, list):
+            return "\n".join(filter(None, map(walk, v)))
+        return "" if v is None else v if isinstance(v, str) else json.dumps(v)
+
+    nested = "deepest"
+    for _ in range(200):
+        nested = {"content": [nested]}
+    values.append(nested)
+    df = spark.createDataFrame([(i, json.dumps(v)) for i, v in enumerate(values)], "i int, j string").select("i", transcripts.flatten(F.try_parse_json("j")).alias("t"))
+    assert [r["t"] for r in df.orderBy("i").collect()] == [walk(v) for v in values]

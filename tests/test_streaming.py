@@ -82,3 +82,18 @@ def test_streamed_absorption_is_that_of_the_batch(spark, tmp_path):
     out = result(spark, tmp_path, jobs.absorbed(stream, "user_id", "1 second", 6 * 3_600_000))
     want = logfold.absorb(log, ["user_id"], 6 * 3_600_000).where("not absorbed").select("id")
     assert sorted(r["id"] for r in out.where("id >= 0").select("id").collect()) == sorted(r["id"] for r in want.collect())
+
+
+def test_absorption_of_null_texts_and_late_events(spark, tmp_path):
+    schema = "user_id long, id long, ts_ms long, q string, source string"
+    batches = [
+        [(1, 1, 1_000, "se", "a"), (1, 2, 2_000, None, "a"), (2, 10, 5_000, "search", "a")],
+        [(1, 3, 3_000, "sea", "a"), (2, 9, 4_000, "sea", "a"), (2, 8, 4_500, "other", "a")],
+        [(9, 99, 4_000_000_000_000, "end", "x")],
+    ]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).withColumn("at", F.timestamp_millis("ts_ms")).coalesce(1).write.parquet(f"{tmp_path}/log/b{i}")
+    stream = spark.readStream.schema(schema + ", at timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/log")
+    out = {r["id"] for r in result(spark, tmp_path, jobs.absorbed(stream, "user_id", "1 hour", 6 * 3_600_000)).collect()}
+    # 9 goes on to 10, which came before it; 8 does not; nothing goes on from a null text.
+    assert out == {1, 2, 3, 8, 10}
