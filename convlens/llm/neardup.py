@@ -259,7 +259,7 @@ def _suspects(classes: DataFrame, least: float, block: int) -> DataFrame:
 
 def _links(groups: DataFrame, docs: DataFrame, k: int, percent: int, block: int) -> DataFrame:
     """Edges (a, b) of a forest over confirmed links. groups: (node, component) of suspects; docs: (doc_id, h1, h2, text)."""
-    sizes = groups.groupBy("component").agg(F.count("*").alias("members"))
+    sizes = stored(groups.groupBy("component").agg(F.count("*").alias("members")), "sizes")
     counted = groups.join(sizes, "component").select(
         "node", "component", F.ceil(F.col("members") / block).cast("int").alias("count")
     ).withColumn("own", F.pmod(F.xxhash64("node"), F.col("count")).cast("int"))
