@@ -6,6 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def term_hits(pairs: DataFrame, queries: DataFrame, messages: DataFrame) -> DataFrame:
+    """(qid, conv_id, term, indexed, unindexed): in how many messages of a conversation each term of a query stands, by whether their kind is indexed."""
+    terms = queries.select("qid", F.explode(F.array_distinct("terms")).alias("term"))
+    texts = messages.select("conv_id", "kind", F.lower("text").alias("low"))
+    asked = pairs.select("qid", "conv_id").distinct().join(terms, "qid")
+    held = asked.join(texts, "conv_id").where(F.col("low").contains(F.col("term"))).groupBy("qid", "conv_id", "term").agg(
+        F.count_if(F.col("kind") != "reasoning").alias("indexed"), F.count_if(F.col("kind") == "reasoning").alias("unindexed")
+    )
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return asked.join(held, ["qid", "conv_id", "term"], "left").select("qid", "conv_id", "term", zero("indexed"), zero("unindexed"))
+
+
 def run(pairs: DataFrame, queries: DataFrame, conversations: DataFrame, messages: DataFrame, matches: DataFrame, kept: DataFrame) -> DataFrame:
     """pairs (qid, conv_id) with counts and a verdict, the first that holds.
 

@@ -51,6 +51,22 @@ def fold_totals(log: DataFrame, kept: DataFrame) -> DataFrame:
     ).withColumn("driven", F.col("events") - F.col("kept"))
 
 
+def summary(log: DataFrame, spans: DataFrame, marked: DataFrame) -> DataFrame:
+    """One row: what the fold gives and what it set aside. marked: events outside the driven spans, with ``absorbed``.
+
+    searches in needs, judgements (texts and conversations picked for them, each once), answered (needs with a pick), keystrokes, driven, spans, browsed.
+    """
+    blank = F.trim(F.coalesce("q", F.lit(""))) == ""
+    told = ~F.col("absorbed") & ~blank
+    pick = F.when(told & (F.col("kind") == "pick"), F.struct("q", "conv_id"))
+    counts = marked.agg(
+        F.countDistinct(F.when(told, F.col("q"))).alias("needs"), F.countDistinct(pick).alias("judgements"), F.countDistinct(pick["q"]).alias("answered"),
+        F.count_if("absorbed").alias("keystrokes"), F.count_if(blank).alias("browsed"), F.count("*").alias("kept"),
+    )
+    every = log.agg(F.count("*").alias("events")).crossJoin(spans.agg(F.count("*").alias("spans")))  # one row each
+    return counts.crossJoin(every).select("needs", "judgements", "answered", "keystrokes", "browsed", (F.col("events") - F.col("kept")).alias("driven"), "spans")
+
+
 def run(log: DataFrame, spans: DataFrame, keys: list[str], unread_ms: int = UNREAD_MS) -> DataFrame:
     """The whole fold: spans out, keystrokes absorbed, needs counted."""
     marked = absorb(exclude_spans(log, spans), keys, unread_ms)

@@ -8,14 +8,23 @@ from pyspark.sql import functions as F
 from convlens.functions.text import tokenize
 
 
-def project_of(conversations: DataFrame, scratch: str = r"^(/tmp|/var/folders|/private/tmp)(/|$)", worktree: str = r"/(?:\.worktrees|worktrees)/[^/]+") -> DataFrame:
-    """conversations with project: the directory, worktrees back with theirs, scratch ones none. A lone directory
-    ``…/worktree-of-NAME`` rejoins the earliest path that ends in NAME."""
-    plain = F.regexp_replace("cwd", worktree, "")
-    base = conversations.withColumn("__dir", F.when(F.col("cwd").isNotNull() & (F.col("cwd") != "") & ~F.rlike("cwd", F.lit(scratch)), plain))
-    name = F.nullif(F.regexp_extract("__dir", r"/worktree-of-([^/]+)$", 1), F.lit(""))
-    homes = base.where(F.col("__dir").isNotNull() & ~F.rlike("__dir", F.lit("/worktree-of-"))).groupBy(F.regexp_extract("__dir", "([^/]+)$", 1).alias("__name")).agg(F.min("__dir").alias("__home"))
-    joined = base.withColumn("__name", name).join(homes, "__name", "left")
+# Directories that are no project's, worktrees that lie within their project, and detached ones that only share its name.
+SCRATCH = r"/Documents/Codex/\d{4}-\d{2}-\d{2}/|^/private/var/"
+WORKTREE = r"^(.*?)/\.claude/worktrees/[^/]+/?$"
+DETACHED = r"^(/Users/[^/]+)/\.codex/worktrees/[0-9a-f]+/(.+)$"
+
+
+def project_of(conversations: DataFrame, scratch: str = SCRATCH, worktree: str = WORKTREE, detached: str = DETACHED) -> DataFrame:
+    """conversations with project: the directory, none for scratch ones, a worktree's own project (group 1 of the pattern), and for a
+    detached worktree the first project by name that ends in the same name; without one it stands for itself."""
+    cwd = F.col("cwd")
+    inner, own = F.nullif(F.regexp_extract("cwd", worktree, 1), F.lit("")), F.rtrim("cwd", F.lit("/"))
+    out = F.rlike("cwd", F.lit(detached))
+    place = F.when(F.rlike("cwd", F.lit(worktree)), inner).when(out, cwd).otherwise(own)
+    base = conversations.withColumn("__dir", F.when((cwd != "") & ~F.rlike("cwd", F.lit(scratch)), place))
+    base = base.withColumn("__name", F.when(out & F.col("__dir").isNotNull(), F.substring_index(own, "/", -1)))
+    homes = base.where(F.col("__dir").isNotNull() & F.col("__name").isNull()).groupBy(F.substring_index("__dir", "/", -1).alias("__name")).agg(F.min("__dir").alias("__home"))
+    joined = base.join(homes, "__name", "left")
     return joined.withColumn("project", F.when(F.col("__name").isNotNull(), F.coalesce("__home", "__dir")).otherwise(F.col("__dir"))).drop("__dir", "__name", "__home")
 
 
@@ -43,6 +52,26 @@ def topic_report(hits: DataFrame) -> DataFrame:
     return hits.groupBy("topic").agg(F.count("*").alias("members"), F.sum("terms").alias("terms"))
 
 
+def topic_shares(hits: DataFrame, texts: DataFrame) -> DataFrame:
+    """One row: topics, untagged texts and their share, and of the topics' shares of all texts the median and the largest.
+
+    hits: (id, topic); texts: (id). The shares are those of the seed list's topics, so few rows.
+    """
+    every = texts.agg(F.count("*").alias("texts"))
+    tagged = hits.agg(F.countDistinct("id").alias("tagged"))
+    sizes = hits.groupBy("topic").agg(F.countDistinct("id").alias("n"))
+    spread = sizes.agg(F.count("*").alias("topics"), F.median("n").alias("middle"), F.max("n").alias("most"))
+    share = lambda c: F.try_divide(F.col(c), F.col("texts"))
+    row = every.crossJoin(tagged).crossJoin(spread).withColumn("untagged", F.col("texts") - F.col("tagged"))  # one row each
+    return row.select("topics", "untagged", share("untagged").alias("untagged_share"), share("middle").alias("median_share"), share("most").alias("largest_share"))
+
+
+def matched_seeds(texts: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(topic, term, texts): in how many texts each seed word occurs; seeds that occur nowhere are not there."""
+    words = texts.select("id", F.explode(F.array_distinct(tokenize(F.col("text")))).alias("term"))
+    return words.join(F.broadcast(seeds), "term").groupBy("topic", "term").agg(F.count("*").alias("texts"))  # a seed list is typed by hand
+
+
 def topic_overlaps(hits: DataFrame) -> DataFrame:
     """(a, b, jaccard) of topic pairs that share members; the number of topics is that of the seed list."""
     sizes = hits.groupBy("topic").agg(F.count("*").alias("n"))
@@ -120,6 +149,14 @@ def call_detail(calls: DataFrame, most: int = 400) -> DataFrame:
     return rows.select("id", "conv_id", "name", F.substring(summary, 1, most).alias("summary"), removed.alias("removed"), added.alias("added"))
 
 
+def call_totals(calls: DataFrame, details: DataFrame) -> DataFrame:
+    """(conv_id, calls, sidechain_share, removed, added) of a conversation's calls. calls: (id, conv_id, is_sidechain); details: call_detail."""
+    joined = calls.select("id", "conv_id", "is_sidechain").join(details.select("id", "removed", "added"), "id")
+    return joined.groupBy("conv_id").agg(
+        F.count("*").alias("calls"), (F.count_if("is_sidechain") / F.count("*")).alias("sidechain_share"), F.sum("removed").alias("removed"), F.sum("added").alias("added")
+    )
+
+
 def act_mix(calls: DataFrame, acts: DataFrame) -> DataFrame:
     """(conv_id, act, calls, share): tools as look, change, run or steer by a small table (name, act); unknown ones run."""
     named = calls.join(F.broadcast(acts), "name", "left").withColumn("act", F.coalesce("act", F.lit("run")))

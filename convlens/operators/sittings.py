@@ -39,6 +39,18 @@ def gap_islands_wide(rows: DataFrame, keys: list[str], at: str, tie: str, gap_ms
     return dated.unionByName(rows.where(F.col(at).isNull()).withColumn("island", F.lit(None).cast("long")))
 
 
+def result_runs(found: DataFrame, dated: DataFrame, gap_ms: int = 12 * 3_600_000) -> DataFrame:
+    """(qid, run, started, ended, rows, sources, crossed): a query's results in runs without a gap, newest run first; undated ones are run null.
+
+    found: (qid, row_id); dated: (id, ended_at, source). A run that has several sources has crossed.
+    """
+    rows = found.join(dated.select(F.col("id").alias("row_id"), "ended_at", "source"), "row_id").select("qid", "row_id", "ended_at", "source")
+    islands = gap_islands(rows, ["qid"], "ended_at", "row_id", gap_ms)
+    newest = islands.groupBy("qid").agg(F.max("island").alias("last"))
+    counted = islands.groupBy("qid", "island").agg(F.min("ended_at").alias("started"), F.max("ended_at").alias("ended"), F.count("*").alias("rows"), F.countDistinct("source").alias("sources"))
+    return counted.join(newest, "qid").select("qid", (F.col("last") - F.col("island") + 1).alias("run"), "started", "ended", "rows", "sources", (F.col("sources") > 1).alias("crossed"))
+
+
 def build(records: DataFrame, keys: list[str], at: str = "ended_at", tie: str = "id", gap_ms: int = SITTING_GAP_MS, weights: str = "msg_count") -> DataFrame:
     """Members of sittings of two or more: keys, id, sitting_id (its opener), members, position, message_offset."""
     islands = gap_islands_wide(records, keys, at, tie, gap_ms).where("island is not null")

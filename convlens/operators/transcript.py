@@ -40,14 +40,24 @@ def summary(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("conv_id").agg(F.countDistinct("thread_key").alias("threads"), F.count("*").alias("total"), F.count_if("drawn").alias("drawn"))
 
 
-def segments(blocks: DataFrame) -> DataFrame:
-    """A segment begins with a user's row or another thread: calls, failures, questions and the silence before it."""
+def numbered(blocks: DataFrame) -> DataFrame:
+    """blocks with segment (from 1), which a user's row or another thread begins, and the silence before each row."""
     w = Window.partitionBy("conv_id").orderBy("position")
     new = (F.col("band") == "user") | ~F.lag("thread_key").over(w).eqNullSafe(F.col("thread_key"))
     silence = F.col("ts_ms") - F.lag("ts_ms").over(w)
-    numbered = blocks.withColumn("new", new.cast("int")).withColumn("silence", silence).withColumn("segment", F.sum("new").over(w))
+    return blocks.withColumn("new", new.cast("int")).withColumn("silence", silence).withColumn("segment", F.sum("new").over(w)).drop("new")
+
+
+def segment_matches(blocks: DataFrame, hits: DataFrame) -> DataFrame:
+    """(qid, conv_id, segment, matches): how many messages of a segment a query matches. hits: (qid, msg_id)."""
+    placed = numbered(blocks).select(F.col("id").alias("msg_id"), "conv_id", "segment")
+    return hits.select("qid", "msg_id").join(placed, "msg_id").groupBy("qid", "conv_id", "segment").agg(F.count("*").alias("matches"))
+
+
+def segments(blocks: DataFrame) -> DataFrame:
+    """Per segment: calls, failures, questions and the silence before it."""
     question = (F.col("band") == "agent") & F.rtrim("text").endswith("?")
-    return numbered.groupBy("conv_id", "segment").agg(
+    return numbered(blocks).groupBy("conv_id", "segment").agg(
         F.count("*").alias("messages"),
         F.count_if(F.col("kind") == "tool_call").alias("calls"),
         F.count_if("is_error").alias("failures"),

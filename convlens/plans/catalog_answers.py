@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from convlens.functions.text import tokenize
-from convlens.operators import facets, projects, sittings, timeline
+from convlens.operators import explain, facets, logfold, projects, sittings, timeline, transcript
 from convlens.plans import search
-from convlens.plans.catalog import CENSUS_NOW, GAP_MS, ISLANDS, NOW, SEARCH, SEEDS, TIMELINE, TOKENS, TOPICS, _records, asked, indexed, query, r6
+from convlens.plans.catalog import (
+    BLOCKS, CENSUS_NOW, GAP_MS, GROUPED, ISLANDS, KEPT_ALL, NOW, SEARCH, SEEDS, TIMELINE, TOKENS, TOPICS, _absorbed, _blocks, _log, _records, _spans, _topics, asked, found, indexed, query, r6,
+)
 from convlens.plans.catalog import QUERIES as ALL
 from convlens.plans.views import DOCUMENTS, LOG, MESSAGES, START_MS, documents, log, messages, table
 
@@ -157,3 +159,57 @@ def project_topics(spark, sf_dir):
     SELECT id, min(stratum) AS stratum FROM a GROUP BY id""")
 def project_sample(spark, sf_dir):
     return projects.sample(documents(spark, sf_dir).withColumn("project", F.col("cwd")), limit=300, least=200, of_projects=4)
+
+
+# --- runs, segments, terms, folds -----------------------------------------------------------------------------------
+
+
+@query(SEARCH + f""", {GROUPED}, c AS (SELECT conv_id, max(ts_ms) AS ended, 'src' || (conv_id % 3) AS source FROM messages GROUP BY conv_id), r AS (SELECT qid, row_id, ended, source FROM ranked JOIN c ON c.conv_id = row_id WHERE rank <= 20),
+    f AS (SELECT *, CASE WHEN ended - lag(ended) OVER w < 43200000 THEN 0 ELSE 1 END AS o FROM r WINDOW w AS (PARTITION BY qid ORDER BY ended, row_id)), i AS (SELECT *, sum(o) OVER (PARTITION BY qid ORDER BY ended, row_id)::BIGINT AS island FROM f)
+    SELECT qid, max(island) OVER (PARTITION BY qid) - island + 1 AS run, started, ended, rows, sources, sources > 1 AS crossed FROM (SELECT qid, island, min(ended) AS started, max(ended) AS ended, count(*) AS rows, count(DISTINCT source) AS sources FROM i GROUP BY ALL)""")
+def result_runs(spark, sf_dir):
+    dated = messages(spark, sf_dir).groupBy(F.col("conv_id").alias("id")).agg(F.max("ts_ms").alias("ended_at")).withColumn("source", F.concat(F.lit("src"), (F.col("id") % 3).cast("string")))
+    return sittings.result_runs(found(spark, sf_dir), dated)
+
+
+@query(SEARCH + f""", {BLOCKS.removeprefix(MESSAGES + ", ")}, f AS (SELECT *, (band = 'user' OR lag(thread_key) OVER w IS DISTINCT FROM thread_key)::INT AS new FROM blocks WINDOW w AS (PARTITION BY conv_id ORDER BY position)),
+    s AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY position)::BIGINT AS segment FROM f) SELECT qid, s.conv_id, segment, count(*) AS matches FROM matches JOIN s ON s.id = msg_id GROUP BY ALL""")
+def segment_matches(spark, sf_dir):
+    hits = search.match(asked(spark, sf_dir), indexed(spark, sf_dir))
+    return transcript.segment_matches(_blocks(spark, sf_dir), hits)
+
+
+@query(SEARCH + """, p AS (SELECT DISTINCT x.qid, m.conv_id FROM matches x JOIN messages m ON m.id = x.msg_id), a AS (SELECT DISTINCT p.qid, conv_id, unnest(terms) AS term FROM p JOIN asked ON asked.qid = p.qid)
+    SELECT a.qid, a.conv_id, term, count(*) FILTER (kind <> 'reasoning' AND contains(lower(text), term)) AS indexed, count(*) FILTER (kind = 'reasoning' AND contains(lower(text), term)) AS unindexed FROM a JOIN messages m ON m.conv_id = a.conv_id GROUP BY ALL""")
+def explained_terms(spark, sf_dir):
+    rows, asks = messages(spark, sf_dir), asked(spark, sf_dir)
+    matched = search.match(asks, indexed(spark, sf_dir)).join(rows.select(F.col("id").alias("msg_id"), "conv_id"), "msg_id").select("qid", "conv_id")
+    return explain.term_hits(matched, asks, rows)
+
+
+@query(f"""WITH {KEPT_ALL}, t AS (SELECT * FROM ab WHERE NOT absorbed AND trim(q) <> '') SELECT (SELECT count(DISTINCT q) FROM t) AS needs, (SELECT count(*) FROM (SELECT DISTINCT q, conv_id FROM t WHERE kind = 'pick')) AS judgements,
+    (SELECT count(DISTINCT q) FROM t WHERE kind = 'pick') AS answered, (SELECT count(*) FROM ab WHERE absorbed) AS keystrokes, (SELECT count(*) FROM ab WHERE trim(q) = '') AS browsed, (SELECT count(*) FROM log) - (SELECT count(*) FROM ab) AS driven, (SELECT count(*) FROM orders) AS spans""")
+def fold_summary(spark, sf_dir):
+    return logfold.summary(_log(spark, sf_dir), _spans(spark, sf_dir, 1), _absorbed(spark, sf_dir, 1))
+
+
+@query(f"""WITH {TOPICS}, z AS (SELECT topic, count(DISTINCT id) AS n FROM h GROUP BY topic), e AS (SELECT count(*) AS n, (SELECT count(DISTINCT id) FROM h) AS tagged FROM documents)
+    SELECT (SELECT count(*) FROM z) AS topics, n - tagged AS untagged, round((n - tagged) / n, 6) AS untagged_share, round((SELECT median(n) FROM z) / n, 6) AS median_share, round((SELECT max(n) FROM z) / n, 6) AS largest_share FROM e""")
+def topic_shares(spark, sf_dir):
+    out = projects.topic_shares(_topics(spark, sf_dir), table(spark, sf_dir, "documents"))
+    return out.select("topics", "untagged", *[r6(c).alias(c) for c in ("untagged_share", "median_share", "largest_share")])
+
+
+@query(f"WITH {TOPICS} SELECT topic, term, count(*) AS texts FROM wd JOIN seeds USING (term) GROUP BY ALL")
+def matched_seeds(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return projects.matched_seeds(docs, spark.createDataFrame(SEEDS, "topic string, term string"))
+
+
+@query(f"""WITH {MESSAGES} SELECT conv_id, count(*) AS calls, round(count(*) FILTER (is_sidechain) / count(*), 6) AS sidechain_share, sum(seq % 3 + 1)::BIGINT AS removed, sum(CASE WHEN seq % 2 = 0 THEN 2 ELSE 0 END)::BIGINT AS added
+    FROM messages WHERE kind = 'tool_call' GROUP BY conv_id""")
+def call_totals(spark, sf_dir):
+    calls = messages(spark, sf_dir).where("kind = 'tool_call'")
+    old = F.repeat(F.lit("line\n"), (F.col("seq") % 3 + 1).cast("int"))
+    text = F.concat(F.lit("edit\n"), F.to_json(F.struct(old.alias("old_string"), F.when(F.col("seq") % 2 == 0, "a\nb").otherwise("").alias("new_string"))))
+    return projects.call_totals(calls, projects.call_detail(calls.withColumn("text", text))).withColumn("sidechain_share", r6("sidechain_share"))

@@ -1,5 +1,6 @@
 """Stemmed and accent-blind search, filters and sittings against plain Python; text within nested values."""
 
+import hashlib
 import json
 import re
 import unicodedata
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from convlens.functions.stem import porter
 from convlens.functions.text import fold
-from convlens.operators import postings
+from convlens.operators import archive, filters, postings, projects
 from convlens.plans import search
 from convlens.sources import transcripts
 
@@ -91,3 +92,31 @@ def test_text_within_nested_values(spark):
     values.append(nested)
     df = spark.createDataFrame([(i, json.dumps(v)) for i, v in enumerate(values)], "i int, j string").select("i", transcripts.flatten(F.try_parse_json("j")).alias("t"))
     assert [r["t"] for r in df.orderBy("i").collect()] == [walk(v) for v in values]
+
+
+def test_projects_of_worktrees_and_scratch(spark):
+    rows = [
+        (1, "/Users/u/dev/mars/", "/Users/u/dev/mars"), (2, "/Users/u/dev/mars/.claude/worktrees/a-b", "/Users/u/dev/mars"), (3, "/Users/u/.codex/worktrees/0af/mars", "/Users/u/dev/mars"),
+        (4, "/Users/u/.codex/worktrees/0af/venus", "/Users/u/.codex/worktrees/0af/venus"), (5, "/Users/u/Documents/Codex/2026-01-02/x", None), (6, "/private/var/folders/x", None), (7, None, None), (8, "", None),
+    ]
+    got = projects.project_of(spark.createDataFrame(rows, "id long, cwd string, want string")).collect()
+    assert {r["id"]: r["project"] for r in got} == {i: p for i, _, p in rows}
+
+
+def test_globs_prefixes_and_civil_dates(spark):
+    paths = spark.createDataFrame([("a/x.jsonl",), ("a/x.json",), ("b/y.jsonl",)], "path string")
+    chosen = lambda globs: sorted(r["path"] for r in archive.select_globs(paths, globs).collect())
+    assert chosen([]) == ["a/x.json", "a/x.jsonl", "b/y.jsonl"] and chosen(["a/*.jsonl"]) == ["a/x.jsonl"] and chosen(["[", "*.json"]) == ["a/x.json"] and chosen(["["]) == []
+    big = bytes(range(256)) * 512
+    files = spark.createDataFrame([("a", b"short"), ("b", big), ("c", big + b"more"), ("d", b"")], "path string, content binary")
+    got = {r["path"]: (r["prefix_len"], r["prefix_hash"]) for r in archive.fingerprint(files).collect()}
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    assert got == {"a": (5, sha(b"short")), "b": (65536, sha(big[:65536])), "c": (65536, sha(big[:65536])), "d": (0, sha(b""))}
+    at = spark.createDataFrame([(1767225599000,), (1767225600000,), (None,)], "ms long").select(filters.civil_date(F.col("ms"), "UTC").alias("u"), filters.civil_date(F.col("ms"), "America/New_York").alias("n"))
+    assert [tuple(r) for r in at.collect()] == [("2025-12-31", "2025-12-31"), ("2026-01-01", "2025-12-31"), (None, None)]
+
+
+def test_sources_that_are_not_known_are_named(spark):
+    asks = spark.createDataFrame([(1, "two words", ["a", "x", "b"]), (2, "two words", []), (3, "", ["y"])], "qid long, q string, sources array<string>")
+    got = {r["qid"]: (r["mode"], r["rejected"]) for r in search.prepare_queries(asks, spark.createDataFrame([("a",), ("b",)], "source string")).collect()}
+    assert got == {1: ("searchable", ["x"]), 2: ("searchable", []), 3: ("empty", ["y"])}
