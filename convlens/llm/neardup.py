@@ -245,7 +245,7 @@ def _suspects(classes: DataFrame, least: float, block: int) -> DataFrame:
     if crowded.where(F.col("members") > 2 * block).isEmpty():
         return first
     # What is outside the most frequent component of its band is then held against all its blocks.
-    known = components(first)
+    known = stored(components(first), "known")
     wide = dealt.where("count > 2").join(known.select(F.col("node").alias("rep"), F.col("component").alias("name")), "rep", "left")
     wide = stored(wide.select("rep", "key", "own", "count", F.coalesce("name", "rep").alias("name")), "wide")
     top = wide.groupBy("key", "name").agg(F.count("*").alias("size")).groupBy("key").agg(F.max_by("name", F.struct("size", "name")).alias("top"))
@@ -254,7 +254,8 @@ def _suspects(classes: DataFrame, least: float, block: int) -> DataFrame:
     asked = stray.join(strays, "key").withColumn("mine", -1 - F.pmod(F.xxhash64("rep"), F.col("stray_blocks")).cast("int"))
     asked = asked.select("rep", "key", F.col("mine").alias("own"), F.col("mine").alias("x"), F.explode(F.expr("sequence(0, count - 1)")).alias("y"))
     answers = wide.join(strays, "key").select("rep", "key", "own", F.explode(F.expr("transform(sequence(1, stray_blocks), i -> -i)")).alias("x"), F.col("own").alias("y"))
-    return first.union(edges_of(asked.union(answers)))
+    # What is known comes as stars, which components() is done with at once.
+    return known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(edges_of(asked.union(answers)))
 
 
 def _links(groups: DataFrame, docs: DataFrame, k: int, percent: int, block: int) -> DataFrame:
