@@ -6,10 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from convlens.lineage import shared_dir, stored
 
-__all__ = ["attach", "shared_dir", "stored", "table"]
+__all__ = ["attach", "bounded_batches", "shared_dir", "stored", "table"]
+
+BATCH_BYTES, UNSET = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
+
+
+def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Rows go to Python in batches of at most ``most`` bytes or one row, unless the session sets a bound of its own."""
+    now = spark.conf.get(BATCH_BYTES, None)
+    if now is not None and now.rstrip("b") == str(UNSET):
+        spark.conf.set(BATCH_BYTES, f"{most}b")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder; whoever reads one works in bounded batches."""
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
