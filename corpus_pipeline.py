@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from convlens.llm import bpe, decontaminate, neardup, quality, secrets
 from convlens.llm.queries import tokenizer_path
-from convlens.llm.shared import stored, table
+from convlens.llm.shared import bounded_batches, stored, table
 
 
 def keep_good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,6 +18,7 @@ def keep_good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Five-word shingles, similarity 0.8: of each group of rows the one with the smallest doc_id stays, a row without an id only
     if no other is in its group, and one of equal rows. Rows without words are no copies of each other."""
+    bounded_batches(spark)
     return neardup.keep_one(docs, shingle=5, percent=80)
 
 
@@ -28,12 +29,14 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, with each secret replaced by its kind in brackets and n_chars counted anew. A null text stays null."""
+    bounded_batches(spark)
     clean = secrets.redact(docs, secrets.scan_secrets(docs))
     return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row's ids, decoded text and digests. A null text has no ids, a null doc_id stays null."""
+    bounded_batches(spark)
     return bpe.encode_documents(docs, tokenizer_path("byte_bpe_50k.json"), with_ids=True)
 
 
