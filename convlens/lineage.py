@@ -21,6 +21,10 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read from there. The files go when the driver ends."""
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
+    context = df.sparkSession.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(place)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -37,9 +37,10 @@ def metadata_diff(listing: DataFrame, manifest: DataFrame) -> DataFrame:
 def diff(listing: DataFrame, manifest: DataFrame, contents: DataFrame) -> DataFrame:
     """(source, path, change): new, same, appended, rewritten or vanished. contents: (source, path, content), read for 'look' alone."""
     first = metadata_diff(listing, manifest)
-    look = first.where("change = 'look'").join(contents, ["source", "path"])
+    begun = contents.select("source", "path", F.length("content").alias("length"), F.substring("content", 1, PREFIX_BYTES).alias("content"))  # a prefix is no longer
+    look = first.where("change = 'look'").join(begun, ["source", "path"])
     equal = F.sha2(F.substring("content", F.lit(1), F.col("prefix_len").cast("int")), 256) == F.col("prefix_hash")
-    judged = look.select("source", "path", F.when((F.length("content") >= F.col("prefix_len")) & equal, F.when(F.col("size") == F.col("old_size"), "same").otherwise("appended")).otherwise("rewritten").alias("judged"))
+    judged = look.select("source", "path", F.when((F.col("length") >= F.col("prefix_len")) & equal, F.when(F.col("size") == F.col("old_size"), "same").otherwise("appended")).otherwise("rewritten").alias("judged"))
     return first.join(judged, ["source", "path"], "left").select("source", "path", "size", "mtime_ms", "old_size", F.coalesce("judged", "change").alias("change"))
 
 

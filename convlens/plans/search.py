@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from convlens.functions.arrays import running
 from convlens.functions.text import fold, squeeze
 from convlens.lineage import stored
 from convlens.operators import postings as P
@@ -229,16 +230,12 @@ def match_spans(shown: DataFrame, terms: DataFrame) -> DataFrame:
     """(qid, msg_id, start, end) in UTF-8 bytes of the words that match. shown: qid, msg_id, text; terms: qid, term, is_prefix."""
     piece = F.split("text", r"[\p{L}\p{N}\p{M}]+", -1)
     hit = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}\p{M}]+"), F.lit(0))
-    laid = F.aggregate(
-        F.zip_with(F.slice(piece, 1, F.size(hit)), hit, lambda p, h: F.struct(F.octet_length(p).alias("p"), F.octet_length(h).alias("n"), h.alias("word"))),
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,word:string>>)").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["p"] + x["n"]).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + x["p"]).alias("start"), (acc["at"] + x["p"] + x["n"]).alias("end"), x["word"].alias("word")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    words = shown.select("qid", "msg_id", F.explode(laid).alias("w")).select("qid", "msg_id", "w.start", "w.end", fold(F.col("w.word")).alias("word"))
+    cut = shown.select("qid", "msg_id", piece.alias("pieces"), hit.alias("words"))
+    laid = F.zip_with(F.slice("pieces", 1, F.size("words")), "words", lambda p, h: F.struct(F.octet_length(p).alias("skip"), F.octet_length(h).alias("take"), h.alias("word")))
+    sized = cut.select("qid", "msg_id", laid.alias("laid")).select("*", F.transform("laid", lambda x: x["skip"] + x["take"]).alias("sizes"))
+    told = sized.select("qid", "msg_id", "laid", running("sizes").alias("at"))
+    place = lambda x, at: F.struct((at + x["skip"]).alias("start"), (at + x["skip"] + x["take"]).alias("end"), x["word"].alias("word"))
+    words = told.select("qid", "msg_id", F.explode(F.zip_with("laid", "at", place)).alias("w")).select("qid", "msg_id", "w.start", "w.end", fold(F.col("w.word")).alias("word"))
     exact = words.join(terms.where("not is_prefix").select("qid", F.col("term").alias("word")), ["qid", "word"]).select("qid", "msg_id", "start", "end")
     opened = words.join(terms.where("is_prefix"), "qid").where(F.col("word").startswith(F.col("term"))).select("qid", "msg_id", "start", "end")
     return exact.union(opened).distinct()

@@ -120,3 +120,11 @@ def test_sources_that_are_not_known_are_named(spark):
     asks = spark.createDataFrame([(1, "two words", ["a", "x", "b"]), (2, "two words", []), (3, "", ["y"])], "qid long, q string, sources array<string>")
     got = {r["qid"]: (r["mode"], r["rejected"]) for r in search.prepare_queries(asks, spark.createDataFrame([("a",), ("b",)], "source string")).collect()}
     assert got == {1: ("searchable", ["x"]), 2: ("searchable", []), 3: ("empty", ["y"])}
+
+
+def test_spans_of_many_words(spark):
+    text = "é ab! " * 30_000
+    shown = spark.createDataFrame([(1, "m", text)], "qid long, msg_id string, text string")
+    terms = spark.createDataFrame([(1, "ab", False), (1, "e", True)], "qid long, term string, is_prefix boolean")
+    got = search.match_spans(shown, terms).agg(F.count("*"), F.max("end")).collect()[0]
+    assert tuple(got) == (60_000, 7 * 30_000 - 2)
