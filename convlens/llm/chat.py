@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convlens.llm.spans import running
+from convlens.functions.arrays import running
 
 OPEN, CLOSE, NEXT, END = "<|", "|>", "<|next|>", "<|end|>"
 TRAINED = "assistant"
@@ -67,7 +67,7 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
         )
     )
     told = blocked.select("conv_id", "n_turns", F.size("blocks").cast("long").alias("n_blocks"), F.array_join(F.transform("blocks", merged), "").alias("formatted"), laid.alias("laid"))
-    placed = told.select("*", running(F.transform("laid", lambda x: x["skip"] + x["take"])).alias("at"))
+    placed = told.select("*", F.transform("laid", lambda x: x["skip"] + x["take"]).alias("sizes")).select("*", running("sizes").alias("at"))
     span = lambda x, base: F.struct((base + x["skip"]).alias("start"), (base + x["skip"] + x["take"]).alias("end"), x["trained"].alias("trained"))
     mask = F.transform(F.filter(F.zip_with("laid", "at", span), lambda m: m["trained"]), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end")))
     return placed.select("conv_id", "n_turns", "n_blocks", "formatted", mask.alias("mask"))

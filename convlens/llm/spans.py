@@ -5,30 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from convlens.functions.arrays import running
+
 def NO_SPANS() -> Column:
     return F.expr("cast(array() as array<struct<start:int,kind:string,end:int>>)")
 
 
-def running(numbers: Column | str, group: int = 128) -> Column:
-    """For each of an array of integers the sum of those before it.
-
-    An array that grows by one is copied each time, so sums run within groups of numbers and over the groups' sums.
-    """
-    begun = lambda a: F.aggregate(
-        a,
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out")),
-        lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
-        lambda acc: acc["out"],
-    )
-    numbers = F.col(numbers) if isinstance(numbers, str) else numbers
-    last = F.ceil(F.size(numbers) / group).cast("int") - 1
-    groups = F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda g: F.slice(numbers, g * group + 1, group))).otherwise(
-        F.expr("cast(array() as array<array<int>>)")
-    )
-    sums = F.transform(groups, lambda g: F.aggregate(g, F.lit(0), lambda a, x: a + x))
-    return F.flatten(F.zip_with(groups, begun(sums), lambda g, base: F.transform(begun(g), lambda x: x + base)))
-
-
 def with_matches(rows: DataFrame, text: str, patterns: dict[str, tuple[str, Column]]) -> DataFrame:
     """``rows`` with a column for each name: array<struct<start,end,text>> of the leftmost non-overlapping matches, in code points.
 
@@ -51,7 +33,8 @@ def with_matches(rows: DataFrame, text: str, patterns: dict[str, tuple[str, Colu
             for n in patterns
         ],
     )
-    cut = cut.select("*", *[running(F.transform(f"__laid_{n}", lambda x: x["skip"] + x["take"])).alias(f"__at_{n}") for n in patterns])
+    cut = cut.select("*", *[F.transform(f"__laid_{n}", lambda x: x["skip"] + x["take"]).alias(f"__size_{n}") for n in patterns])
+    cut = cut.select("*", *[running(f"__size_{n}").alias(f"__at_{n}") for n in patterns])
     place = lambda x, at: F.struct((at + x["skip"]).alias("start"), (at + x["skip"] + x["take"]).alias("end"), x["text"].alias("text"))
     return cut.select(*own, *[F.zip_with(f"__laid_{n}", f"__at_{n}", place).alias(n) for n in patterns])
 
