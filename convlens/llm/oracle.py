@@ -23,4 +23,29 @@ SELECT conv_id, count(*) AS n_turns,
 FROM laid GROUP BY conv_id
 """
 
-SQL = {"op9_chat_format": OP9}
+WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+OP4 = f"""
+WITH rows_ AS (SELECT row_number() OVER () AS r, doc_id, {WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+windows AS (SELECT r, doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS said FROM (SELECT *, unnest(range(1, len(ws) - 48)) AS i FROM rows_ WHERE len(ws) >= 50)),
+firsts AS (SELECT said, min(doc_id) AS first_id FROM windows GROUP BY said),
+gone AS (SELECT DISTINCT r, i + k AS place FROM windows JOIN firsts USING (said), range(50) t(k) WHERE first_id < doc_id),
+words AS (SELECT r, word, place FROM (SELECT r, unnest(ws) AS word, generate_subscripts(ws, 1) AS place FROM rows_)),
+kept AS (SELECT w.r, string_agg(word, ' ' ORDER BY w.place) FILTER (g.r IS NULL) AS said, count(g.r) AS n_removed FROM words w LEFT JOIN gone g ON g.r = w.r AND g.place = w.place GROUP BY w.r)
+SELECT doc_id::BIGINT AS doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(said, '')) AS kept_sha256 FROM rows_ LEFT JOIN kept ON kept.r = rows_.r
+"""
+OP3 = f"""
+WITH RECURSIVE rows_ AS (SELECT doc_id, {WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
+sets AS (SELECT DISTINCT doc_id, md5(array_to_string(ws[i:i + 3], ' ')) AS shingle FROM (SELECT doc_id, ws, unnest(CASE WHEN len(ws) >= 4 THEN range(1, len(ws) - 2) WHEN len(ws) > 0 THEN [1] ELSE [] END) AS i FROM rows_)),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+classes AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY n, told) AS rep, n FROM (SELECT doc_id, count(*) AS n, md5(string_agg(shingle, '' ORDER BY shingle)) AS told FROM sets GROUP BY doc_id)),
+own AS (SELECT s.* FROM sets s JOIN classes c ON c.doc_id = s.doc_id AND c.rep = s.doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_ FROM own a JOIN own b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * both_ >= 80 * (x.n + y.n - both_)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT DISTINCT a AS node, a AS seen FROM ways UNION SELECT reach.node, ways.b FROM reach JOIN ways ON ways.a = reach.seen),
+lowest AS (SELECT node, min(seen) AS component FROM reach GROUP BY node)
+SELECT d.doc_id::BIGINT AS doc_id, coalesce(c.n, 0)::BIGINT AS n_shingles, coalesce(l.component, c.rep, d.doc_id)::BIGINT AS component_id, d.doc_id = coalesce(l.component, c.rep, d.doc_id) AS kept
+FROM documents d LEFT JOIN classes c ON c.doc_id = d.doc_id LEFT JOIN lowest l ON l.node = c.rep
+"""
+
+SQL = {"op3_near_duplicates": OP3, "op4_repeated_passages": OP4, "op9_chat_format": OP9}

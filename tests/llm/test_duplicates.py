@@ -152,3 +152,17 @@ def test_repeats_of_all_documents(spark):
     got = [(r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substrings.remove_repeats(docs).collect()]
     assert sorted(got, key=str) == brute_removal(rows, 50)
     assert substrings.remove_repeats(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["op3_near_duplicates", "op4_repeated_passages"])
+def test_queries_match_sql(spark, name):
+    import duckdb
+
+    from convlens.llm import queries
+    from convlens.llm.oracle import SQL
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{DATA}/documents.parquet'")
+    own = queries.QUERIES[name](spark, DATA)
+    want = con.execute(f"select {', '.join(own.columns)} from ({SQL[name]})").fetchall()
+    assert sorted(map(tuple, own.collect())) == sorted(want) and want
