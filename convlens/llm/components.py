@@ -18,16 +18,13 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """
     links = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
     for _ in range(most_rounds):
-        # Stars: a node has one link, and what it is linked to has none.
-        ends = links.select("a", F.lit(1).alias("up"), F.lit(0).alias("down")).union(links.select("b", F.lit(0), F.lit(1)))
-        if ends.groupBy("a").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").isEmpty():
-            return links.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
-                links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-            )
+        both = links.select("a", "b", F.lit(1).alias("up")).union(links.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(0)))
+        least = stored(both.groupBy("a").agg(F.min("b").alias("low"), F.sum("up").alias("ups"), F.min("up").alias("all_up")).select("a", F.least("a", "low").alias("low"), "ups", "all_up"), "least")
+        # Stars: a node has one link to a smaller one, and what it is linked to has none.
+        if least.where("ups > 1 or (ups = 1 and all_up = 0)").isEmpty():
+            return links.select(F.col("a").alias("node"), F.col("b").alias("component")).union(least.where("ups = 0").select(F.col("a").alias("node"), F.col("a").alias("component")))
         # Large star: larger neighbours go to the smallest neighbour of the node.
-        both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = stored(both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low")), "least")
-        large = stored(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b"), "large")
+        large = stored(both.where("up = 0").select("a", "b").join(least.select("a", "low"), "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b"), "large")
         # Small star: the node and its smaller neighbours go to the smallest of them.
         low = stored(large.groupBy("a").agg(F.min("b").alias("low")), "low")
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b")

@@ -8,8 +8,8 @@
 3. Registers are banded by 4: a pair at similarity 0.8 shares none of the 32 bands once in 20 million.
 4. Bands held by several classes are cut into blocks of members; within a pair of blocks, members whose
    collision-corrected estimate comes within six deviations of the threshold are joined to a forest. Forest edges alone
-   leave a task. In a band of many blocks, first every block is held against itself and the first one, and then only
-   members outside the band's most frequent component against all blocks. The components are the suspects' groups.
+   leave a task. In a band of more than 8 blocks, first every block is held against itself and the first one, and then
+   only members outside the band's most frequent component against all blocks. The components are the suspects' groups.
 5. Groups are cut into blocks of texts; exact intersections within each pair of blocks confirm links, of which again a
    forest alone leaves the task. A group in one block needs no more; forests of larger groups go through components().
    In a group of many blocks, first every block is held against itself and the first one, and then only members
@@ -181,7 +181,7 @@ def sketch_documents(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, registers binary")
 
 
-def _suspects(classes: DataFrame, least: float, block: int) -> DataFrame:
+def _suspects(classes: DataFrame, least: float, block: int, direct: int = 8) -> DataFrame:
     """Edges (a, b) of a forest over classes that share a band and look similar enough. classes: rep, n, registers."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,15 +238,16 @@ def _suspects(classes: DataFrame, least: float, block: int) -> DataFrame:
         laid = told.select("key", "x", "y", "own", "rep", "n", "registers", slot).repartition("slot").sortWithinPartitions("key", "x", "y")
         return laid.drop("slot").mapInArrow(near, "a long, b long").distinct()
 
-    # Every block against itself and against the first.
-    others = F.when(F.col("own") == 0, F.sequence(F.lit(0), F.col("count") - 1)).otherwise(F.array(F.lit(0), F.col("own")))
+    # Every block against all others where they are few, else against itself and the first.
+    every = F.sequence(F.lit(0), F.col("count") - 1)
+    others = F.when((F.col("own") == 0) | (F.col("count") <= direct), every).otherwise(F.array(F.lit(0), F.col("own")))
     pairs = dealt.select("rep", "key", "own", F.explode(others).alias("other"))
     first = stored(edges_of(pairs.select("rep", "key", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))), "suspects")
-    if crowded.where(F.col("members") > 2 * block).isEmpty():
+    if crowded.where(F.col("members") > direct * block).isEmpty():
         return first
     # What is outside the most frequent component of its band is then held against all its blocks.
     known = stored(components(first), "known")
-    wide = dealt.where("count > 2").join(known.select(F.col("node").alias("rep"), F.col("component").alias("name")), "rep", "left")
+    wide = dealt.where(F.col("count") > direct).join(known.select(F.col("node").alias("rep"), F.col("component").alias("name")), "rep", "left")
     wide = stored(wide.select("rep", "key", "own", "count", F.coalesce("name", "rep").alias("name")), "wide")
     top = wide.groupBy("key", "name").agg(F.count("*").alias("size")).groupBy("key").agg(F.max_by("name", F.struct("size", "name")).alias("top"))
     stray = stored(wide.join(top, "key").where(F.col("name") != F.col("top")).drop("top"), "stray")
@@ -341,7 +342,7 @@ def _links(groups: DataFrame, docs: DataFrame, k: int, percent: int, block: int)
 
 
 def near_duplicates(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, block: int = 256
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, block: int = 256, direct: int = 8
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept. Links have 100 * intersection >= percent * union."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -350,7 +351,7 @@ def near_duplicates(
     # Copies: one row per distinct set, the smallest doc_id standing for all; counted on both sides of the shuffle.
     own = stored(some.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.first("registers").alias("registers")), "classes")
     deviation = math.sqrt(percent / 100 * (1 - percent / 100) / REGISTERS)
-    suspects = _suspects(own, percent / 100 - 6 * deviation, 4 * block)
+    suspects = _suspects(own, percent / 100 - 6 * deviation, 4 * block, direct)
     confirmed = _links(components(suspects), rows.where("doc_id is not null"), shingle, percent, block)
     # Rows of one doc_id with several sets link the classes of those sets.
     several = some.groupBy("doc_id").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("doc_id")
