@@ -136,7 +136,7 @@ def forest(near: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, in
     return [(int(names[i]), int(names[t])) for i, t in enumerate(tops) if i != t]
 
 
-def intersections(a: list[np.ndarray], b: list[np.ndarray], most: int = 1 << 26) -> np.ndarray:
+def intersections(a: list[np.ndarray], b: list[np.ndarray], most: int = 1 << 24) -> np.ndarray:
     """Sizes of all intersections of two lists of sorted sets: a product of 0/1 matrices over the shingles both sides have."""
     one, two = np.concatenate(a), np.concatenate(b)
     shared = np.intersect1d(one, two)

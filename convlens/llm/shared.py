@@ -11,7 +11,7 @@ __all__ = ["attach", "bounded_batches", "shared_dir", "stored", "table"]
 BATCH_BYTES, UNSET = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
 
 
-def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> None:
     """Rows go to Python in batches of at most ``most`` bytes or one row, unless the session sets a bound of its own."""
     now = spark.conf.get(BATCH_BYTES, None)
     if now is not None and now.rstrip("b") == str(UNSET):

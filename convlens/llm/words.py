@@ -25,7 +25,7 @@ _INVERSES = np.ones(1, dtype=np.uint64)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _POWERS, _INVERSES
     if len(_POWERS) < n:
-        n = max(n, 1 << 20)
+        n = max(n, (1 << 19) + 1)
         _POWERS = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, _BASE, np.uint64)]), dtype=np.uint64)
         _INVERSES = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, _BASE_INVERSE, np.uint64)]), dtype=np.uint64)
     return _POWERS, _INVERSES
@@ -53,7 +53,7 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
-def blocks(column: pa.Array, most_bytes: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def blocks(column: pa.Array, most_bytes: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a column into (first row, end row, bytes, offsets) of about ``most_bytes``; a longer text stands alone."""
     raw, off = text_buffers(column)
     lo, n = 0, len(off) - 1
