@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def best_ranks(pairs: DataFrame, matches: DataFrame, messages: DataFrame, most: int = 500) -> DataFrame:
+    """(qid, conv_id, rank, score): the best place of a conversation's messages among the first ``most`` of the query, off-path ones too."""
+    w = Window.partitionBy("qid").orderBy("score", "msg_id")
+    top = matches.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+    placed = top.join(messages.select(F.col("id").alias("msg_id"), "conv_id"), "msg_id").join(pairs.select("qid", "conv_id").distinct(), ["qid", "conv_id"], "left_semi")
+    return placed.groupBy("qid", "conv_id").agg(F.min("rank").alias("rank"), F.min("score").alias("score"))
+
+
 def term_hits(pairs: DataFrame, queries: DataFrame, messages: DataFrame) -> DataFrame:
     """(qid, conv_id, term, indexed, unindexed): in how many messages of a conversation each term of a query stands, by whether their kind is indexed."""
     terms = queries.select("qid", F.explode(F.array_distinct("terms")).alias("term"))

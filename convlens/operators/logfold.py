@@ -51,6 +51,15 @@ def fold_totals(log: DataFrame, kept: DataFrame) -> DataFrame:
     ).withColumn("driven", F.col("events") - F.col("kept"))
 
 
+def need_ranks(kept: DataFrame) -> DataFrame:
+    """(q, conv_id, picks, ranks): of each need's picks how many there were, and the places at which the shown ones stood, in order.
+
+    kept: events with kind, q, conv_id and ``shown``, the list that was on the screen.
+    """
+    picks = pick_rank(kept.where((F.col("kind") == "pick") & (F.trim(F.coalesce("q", F.lit(""))) != "")))
+    return picks.groupBy("q", "conv_id").agg(F.count("*").alias("picks"), F.sort_array(F.collect_list("rank")).alias("ranks"))
+
+
 def summary(log: DataFrame, spans: DataFrame, marked: DataFrame) -> DataFrame:
     """One row: what the fold gives and what it set aside. marked: events outside the driven spans, with ``absorbed``.
 

@@ -29,8 +29,28 @@ def read(messages: DataFrame, off_path: bool = False) -> DataFrame:
     return rows.withColumn("position", F.row_number().over(order) - 1).withColumn("band", band(F.col("role"), F.col("kind"))).withColumn("drawn", drawn(F.col("kind"), F.col("is_error")))
 
 
-def kind_runs(blocks: DataFrame) -> DataFrame:
-    """conv_id, run, band, n: drawn rows in reading order, equal bands in a row as one run."""
+FOLDS = {"full": ["user", "agent"], "outline": []}  # bands that stand open
+
+
+def folded(blocks: DataFrame, density: str = "full") -> DataFrame:
+    """blocks with fold: expanded or collapsed, as a density has it for a band where the reader has not said otherwise."""
+    return blocks.withColumn("fold", F.when(F.col("band").isin(FOLDS[density]), "expanded").otherwise("collapsed"))
+
+
+def marked(blocks: DataFrame, spans: DataFrame) -> DataFrame:
+    """(qid, id, mark_kind, marks): spans (qid, msg_id, start, end) on drawn rows, in order; those on kinds that no search finds are unranked."""
+    own = blocks.where("drawn").select(F.col("id").alias("msg_id"), F.when(F.col("kind") == "reasoning", "unranked").otherwise("ranked").alias("mark_kind"))
+    return spans.join(own, "msg_id").groupBy("qid", F.col("msg_id").alias("id"), "mark_kind").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("marks"))
+
+
+def kind_runs(blocks: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """conv_id, run, band, n: drawn rows in reading order, equal bands in a row as one run.
+
+    groups: (conv_id, group_id, message_offset), by which conversations are read on as one, whose id then stands for theirs.
+    """
+    if groups is not None:
+        read_on = blocks.join(groups.select("conv_id", "group_id", "message_offset"), "conv_id")
+        blocks = read_on.withColumn("conv_id", F.col("group_id")).withColumn("position", F.col("position") + F.col("message_offset"))
     w = Window.partitionBy("conv_id").orderBy("position")
     flagged = blocks.where("drawn").withColumn("new", F.when(F.lag("band").over(w).eqNullSafe(F.col("band")), 0).otherwise(1))
     return flagged.withColumn("run", F.sum("new").over(w)).groupBy("conv_id", "run", "band").agg(F.count("*").alias("n"))

@@ -213,3 +213,45 @@ def call_totals(spark, sf_dir):
     old = F.repeat(F.lit("line\n"), (F.col("seq") % 3 + 1).cast("int"))
     text = F.concat(F.lit("edit\n"), F.to_json(F.struct(old.alias("old_string"), F.when(F.col("seq") % 2 == 0, "a\nb").otherwise("").alias("new_string"))))
     return projects.call_totals(calls, projects.call_detail(calls.withColumn("text", text))).withColumn("sidechain_share", r6("sidechain_share"))
+
+
+@query(SEARCH + """, r AS (SELECT qid, msg_id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9), msg_id) AS rank FROM matches)
+    SELECT qid, conv_id, min(rank)::INT AS rank, round(min(score), 6) AS score FROM r JOIN messages m ON m.id = msg_id WHERE rank <= 500 GROUP BY ALL""")
+def explained_ranks(spark, sf_dir):
+    rows = messages(spark, sf_dir)
+    hits = search.match(asked(spark, sf_dir), indexed(spark, sf_dir)).withColumn("score", F.round("score", 9))
+    pairs = hits.join(rows.select(F.col("id").alias("msg_id"), "conv_id"), "msg_id").select("qid", "conv_id")
+    return explain.best_ranks(pairs, hits, rows).withColumn("score", r6("score"))
+
+
+@query(f"""WITH {BLOCKS}, g AS (SELECT *, conv_id - conv_id % 3 AS group_id, position + conv_id % 3 * 100000 AS place FROM blocks WHERE drawn), f AS (SELECT *, CASE WHEN lag(band) OVER (PARTITION BY group_id ORDER BY place) = band THEN 0 ELSE 1 END AS new FROM g),
+    r AS (SELECT *, sum(new) OVER (PARTITION BY group_id ORDER BY place)::BIGINT AS run FROM f) SELECT group_id AS conv_id, run, band, count(*) AS n FROM r GROUP BY ALL""")
+def sitting_runs(spark, sf_dir):
+    """Conversations in threes as sittings, read on without a seam."""
+    blocks, c = _blocks(spark, sf_dir), F.col("conv_id")
+    groups = blocks.select("conv_id").distinct().select("conv_id", (c - c % 3).alias("group_id"), (c % 3 * 100_000).alias("message_offset"))
+    return transcript.kind_runs(blocks, groups)
+
+
+@query(f"WITH {BLOCKS} SELECT id, CASE WHEN band IN ('user', 'agent') THEN 'expanded' ELSE 'collapsed' END AS fold, 'collapsed' AS outline FROM blocks")
+def transcript_folds(spark, sf_dir):
+    full = transcript.folded(_blocks(spark, sf_dir))
+    return transcript.folded(full.withColumnRenamed("fold", "own"), "outline").select("id", F.col("own").alias("fold"), F.col("fold").alias("outline"))
+
+
+@query(SEARCH + f""", {BLOCKS.removeprefix(MESSAGES + ", ")}, shown AS (SELECT DISTINCT x.qid, m.conv_id FROM matches x JOIN messages m ON m.id = x.msg_id), word_at AS (SELECT id, conv_id, kind, unnest({TOKENS}) AS word, generate_subscripts({TOKENS}, 1) AS n FROM blocks WHERE drawn)
+    SELECT qid, id, CASE WHEN kind = 'reasoning' THEN 'unranked' ELSE 'ranked' END AS mark_kind, count(*) AS marks FROM (SELECT DISTINCT s.qid, w.id, w.kind, w.n FROM shown s JOIN word_at w ON w.conv_id = s.conv_id JOIN qt ON qt.qid = s.qid AND (qt.term = w.word OR (qt.is_prefix AND starts_with(w.word, qt.term)))) GROUP BY ALL""")
+def transcript_marks(spark, sf_dir):
+    """Marks on every message of the conversations that a query matches."""
+    blocks, asks, rows = _blocks(spark, sf_dir), asked(spark, sf_dir), messages(spark, sf_dir)
+    hits = search.match(asks, indexed(spark, sf_dir)).join(rows.select(F.col("id").alias("msg_id"), "conv_id"), "msg_id").select("qid", "conv_id").distinct()
+    shown = hits.join(blocks.select(F.col("id").alias("msg_id"), "conv_id", "text"), "conv_id").select("qid", "msg_id", "text")
+    return transcript.marked(blocks, search.match_spans(shown, search.marking_terms(asks))).withColumn("marks", F.size("marks").cast("long"))
+
+
+@query(f"""WITH {KEPT_ALL}, p AS (SELECT q, conv_id, nullif(list_position([id % 7, id % 5, id % 3], conv_id), 0) AS rank FROM ab WHERE kind = 'pick' AND trim(q) <> '')
+    SELECT q, conv_id, count(*) AS picks, coalesce(string_agg(rank, ',' ORDER BY rank), '') AS ranks FROM p GROUP BY ALL""")
+def need_ranks(spark, sf_dir):
+    i = F.col("id")
+    kept = _absorbed(spark, sf_dir, 1).withColumn("shown", F.array(i % 7, i % 5, i % 3))
+    return logfold.need_ranks(kept).withColumn("ranks", F.array_join(F.transform("ranks", lambda r: r.cast("string")), ","))
