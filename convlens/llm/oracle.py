@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from convlens.llm.rules import STOP_WORDS
+
 _SAID = "\\### Assistant: </turn> ok"
 
 OP9 = f"""
@@ -48,4 +50,75 @@ SELECT d.doc_id::BIGINT AS doc_id, coalesce(c.n, 0)::BIGINT AS n_shingles, coale
 FROM documents d LEFT JOIN classes c ON c.doc_id = d.doc_id LEFT JOIN lowest l ON l.node = c.rep
 """
 
-SQL = {"op3_near_duplicates": OP3, "op4_repeated_passages": OP4, "op9_chat_format": OP9}
+TERMS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP11 = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {TERMS.format("text")} AS terms FROM documents WHERE text IS NOT NULL),
+sized AS (SELECT r, doc_id, terms, len(terms)::BIGINT AS n FROM docs WHERE len(terms) > 0),
+total AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM sized),
+asked AS (SELECT row_number() OVER () AS q, item_id, {TERMS.format("text")} AS terms FROM benchmark WHERE text IS NOT NULL),
+wanted AS (SELECT q, item_id, term, count(*)::BIGINT AS times FROM (SELECT q, item_id, unnest(terms) AS term FROM asked) GROUP BY ALL),
+held AS (SELECT r, doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT r, doc_id, n, unnest(terms) AS term FROM sized) WHERE term IN (SELECT term FROM wanted) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM held, total GROUP BY term, n_docs),
+scores AS (
+    SELECT q, item_id, r, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * n * n_docs) // n_terms)))))::BIGINT AS score
+    FROM wanted JOIN weights USING (term) JOIN held USING (term), total GROUP BY ALL
+)
+SELECT item_id::BIGINT AS item_id, rank::INT AS rank, doc_id::BIGINT AS doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scores WHERE score > 0) WHERE rank <= 20
+"""
+OP12 = """
+WITH told AS (
+    SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units, sha256('1:' || doc_id::VARCHAR) AS h FROM documents
+), drawn AS (
+    SELECT *, len(units)::BIGINT AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM told
+), cut AS (
+    SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+        CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+    FROM drawn
+), parts AS (
+    SELECT *, array_to_string(units[1:a], '') AS p, array_to_string(units[a + 1:b], '') AS m, array_to_string(units[b + 1:], '') AS s FROM cut
+)
+SELECT doc_id::BIGINT AS doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
+def _list(words: str) -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(set(words.split()))) + "]"
+
+
+_WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_HELD = r"regexp_matches({}, '[^\x20\x09-\x0D]')"
+OP13 = f"""
+WITH told AS (
+    SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {WORDS.format("coalesce(text, '')")} AS words,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: {_HELD.format("x")}) AS lines
+    FROM documents
+), windows AS (SELECT r, i, words[i:i + 4] AS five FROM (SELECT r, words, unnest(range(1, len(words) - 3)) AS i FROM told WHERE len(words) >= 5)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, five) AS n FROM windows) WHERE n > 1),
+repeats AS (SELECT r, count(DISTINCT i + k)::BIGINT AS n_repeat_words FROM twice, range(5) t(k) GROUP BY r),
+counts AS (
+    SELECT doc_id, len(words)::BIGINT AS n_words, length(translate(text, {_WHITE}, ''))::BIGINT AS word_chars,
+        (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+        coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(lines)::DOUBLE AS n_lines,
+        length(regexp_replace(text, '[^\\p{{L}}]+', '', 'g'))::DOUBLE AS n_letters,
+        len(list_filter(words, lambda w: list_contains({_list(STOP_WORDS)}, lower(rtrim(w, '.,;:!?')))))::DOUBLE AS n_stop_words,
+        len(list_filter(lines, lambda x: regexp_matches(trim(x, {_WHITE}), '^[-*•]')))::DOUBLE AS n_bullet_lines,
+        len(list_filter(lines, lambda x: regexp_matches(trim(x, {_WHITE}), '(\\.\\.\\.|…)$')))::DOUBLE AS n_ellipsis_lines
+    FROM told LEFT JOIN repeats USING (r)
+), judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counts)
+SELECT doc_id::BIGINT AS doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    NOT base_failed AND word_chars / n_words::DOUBLE BETWEEN 2.0 AND 12.0 AND n_symbols / n_words::DOUBLE <= 0.10 AND (n_words < 50 OR n_stop_words / n_words >= 0.01)
+        AND n_dup_lines / n_lines <= 0.30 AND n_bullet_lines / n_lines <= 0.90 AND n_ellipsis_lines / n_lines <= 0.30 AND n_letters / word_chars >= 0.60 AS kept
+FROM judged
+"""
+
+SQL = {
+    "op3_near_duplicates": OP3,
+    "op4_repeated_passages": OP4,
+    "op9_chat_format": OP9,
+    "op11_lexical_search": OP11,
+    "op12_fill_in_middle": OP12,
+    "op13_quality_rules": OP13,
+}

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convlens.llm import bpe, chat, decontaminate, neardup, neighbours, pii, quality, secrets, substrings, token_files
-from convlens.llm.shared import table
+from convlens.llm import bpe, chat, decontaminate, fim, lexical, neardup, neighbours, pii, quality, rules, secrets, substrings, token_files
+from convlens.llm.shared import stored, table
 from convlens.llm.spans import spans_text
 
 
@@ -84,4 +84,28 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_neighbours, op3_near_duplicates, op4_repeated_passages, op5_secret_scan, op6_quality, op7_bpe, op8_decontaminate, op9_chat_format, op10_pii)}
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = stored(lexical.build_index(table(spark, sf_dir, "documents")), "lexical_index")
+    return lexical.search(index, table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    formed = fim.transform(table(spark, sf_dir, "documents"), seed=1)
+    return formed.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restore("output", "form"), 256).alias("restored_sha256")
+    )
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = rules.apply_rules(table(spark, sf_dir, "documents"))
+    base_failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), (~base_failed & F.col("kept")).alias("kept"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_files, op2_neighbours, op3_near_duplicates, op4_repeated_passages, op5_secret_scan, op6_quality, op7_bpe, op8_decontaminate, op9_chat_format, op10_pii,
+        op11_lexical_search, op12_fill_in_middle, op13_quality_rules,
+    )
+}

@@ -63,12 +63,12 @@ def blocks(column: pa.Array, most_bytes: int = 1 << 19) -> Iterator[tuple[int, i
         lo = hi
 
 
-def word_spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of every word, and for each text the number of its first word (with a closing entry)."""
+def word_spans(raw: np.ndarray, off: np.ndarray, apart: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of every word, and for each text the number of its first word (with a closing entry). apart: bytes between words."""
     n = len(raw)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
-    white = WHITE[raw]
+    white = apart[raw]
     edge = np.zeros(n + 1, dtype=bool)
     edge[off] = True
     edge[0] = edge[n] = True
