@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from convlens.llm.shared import stored
 from convlens.llm.words import LOWER, blocks, word_hashes, word_spans
 
-BLOCK, SHARD_BYTES, SHARD_DOCS, PIECE = 64, 8 << 20, 1 << 16, 1 << 20
+BLOCK, SHARD_BYTES, SHARD_DOCS, PIECE = 64, 4 << 20, 1 << 16, 1 << 20
 PARTS = np.ones(256, bool)  # bytes that part terms
 PARTS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
@@ -128,8 +128,9 @@ class _Builder:
         lengths = np.zeros(self.count, np.int64)
         doc, term, tf = (np.concatenate(x) for x in zip(*self.found)) if self.found else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
         np.add.at(lengths, doc, tf)
+        self.found = []
         order = np.argsort(term, kind="stable")  # documents were added in order
-        doc, term, tf = doc[order], term[order], tf[order]
+        doc, term, tf = doc[order].astype(np.int64), term[order], tf[order].astype(np.int64)
         if len(doc):  # pieces of one text
             new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (term[1:] != term[:-1])]))
             doc, term, tf = doc[new], term[new], np.add.reduceat(tf, new)
@@ -152,8 +153,8 @@ class _Builder:
         wide = lambda x: x.astype(np.int64).tobytes()
         narrow = lambda x: x.astype(np.uint32).tobytes()
         return [
-            int((lengths > 0).sum()), int(lengths.sum()), ids.to_pylist(), wide(lengths), term[starts].tobytes(), narrow(df), narrow(doc[opens]), wide(at[2 * opens]),
-            narrow(front_start), wide(t[front]), wide(length[by][front]), raw.tobytes(),
+            int((lengths > 0).sum()), int(lengths.sum()), ids.to_pylist(), wide(lengths), term[starts].tobytes(), narrow(df), narrow(doc[opens]), narrow(at[2 * opens]),
+            narrow(front_start), narrow(t[front]), narrow(length[by][front]), raw.tobytes(),
         ]
 
 
@@ -170,7 +171,7 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sha
         own = _Builder()
         for batch in batches:
             own.ids.append(batch.column(0))
-            own.found += [(own.count + doc, term, tf) for doc, term, tf in counted_terms(batch.column(1))]
+            own.found += [((own.count + doc).astype(np.int32), term, tf.astype(np.int32)) for doc, term, tf in counted_terms(batch.column(1))]
             own.count += batch.num_rows
             own.bytes += batch.column(1).nbytes
             if own.bytes >= shard_bytes or own.count >= SHARD_DOCS:
@@ -196,10 +197,10 @@ class Shard:
         self.first_block = np.concatenate([[0], np.cumsum(-(-df // BLOCK))])
         self.block_first = read("block_first", np.uint32).astype(np.int64)
         self.postings = read("postings", np.uint8)
-        self.block_at = np.append(read("block_at", np.int64), len(self.postings))
+        self.block_at = np.append(read("block_at", np.uint32).astype(np.int64), len(self.postings))
         self.statistics, self.open = (documents, tokens), {}
         self.decompressed = 0  # blocks, for tests
-        best = impact(read("front_tf", np.int64), read("front_length", np.int64), documents, tokens)
+        best = impact(read("front_tf", np.uint32).astype(np.int64), read("front_length", np.uint32).astype(np.int64), documents, tokens)
         start = read("front_start", np.uint32).astype(np.int64)
         self.block_max = np.maximum.reduceat(best, start[:-1]) if len(best) else best
         self.list_max = np.maximum.reduceat(self.block_max, self.first_block[:-1]) if len(best) else best
