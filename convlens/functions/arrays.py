@@ -18,7 +18,7 @@ def running(name: str, group: int = 128) -> Column:
 
 def running_max(name: str, group: int = 128) -> Column:
     """For each of a column's array of integers the largest of those before it and 0, in the same way."""
-    return _fold_before(name, group, F.greatest)
+    return _fold_before(name, group, lambda a, x: F.greatest(a, x))
 
 
 def _fold_before(name: str, group: int, fold: Callable[[Column, Column], Column]) -> Column:
