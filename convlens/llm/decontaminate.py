@@ -12,9 +12,9 @@ pass. Items are dealt to such blocks by size, whatever their ids; where there ar
 the next is sent, so one block is in memory at a time. Statistics are those of all items.
 
 Defined results: words are cut at ASCII white space, A-Z lower-cased. Items with null text or fewer words than a shingle take no
-part; null documents have no passages; a null doc_id or item_id stays null. Rows that share an id are scanned each by itself and
-may give equal rows. Items that share an id are indexed each by itself; a document reports such an id once with its best, or
-once for each block of items that holds it. Extra columns are ignored; empty tables give an empty result.
+part; null documents have no passages; a null doc_id or item_id stays null. Rows that share an id are scanned each by itself;
+rows equal in id and text report once. Items that share an id are indexed each by itself, and a row reports such an id once with
+its best, whatever blocks its items were dealt to. Extra columns are ignored; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -124,7 +124,7 @@ class Index:
                     after = min(after, cursors[pivot + 1][0])
                 self._advance(cursors[: pivot + 1], max(after, goal + 1))
             elif cursors[0][0] == goal:
-                score = sum(self.impacts[c[2]][c[1]] for c in cursors[: pivot + 1])
+                score = math.fsum(self.impacts[c[2]][c[1]] for c in cursors[: pivot + 1])  # the same in whatever order the lists are
                 if score >= need:
                     out.append((goal, score))
                 self._advance(cursors[: pivot + 1], goal + 1)
@@ -138,7 +138,7 @@ class Index:
             c[0] = own[c[1]] if c[1] < len(own) else DONE
 
 
-SCHEMA = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
+SCHEMA = "doc_id long, row_key long, row_hash int, item_id long, score double, question_overlap double, answer_overlap double"
 
 
 def _leaks(own: Index, hashes: np.ndarray, first: np.ndarray, reach: int, shingle: int, overlap: float) -> Iterator[tuple]:
@@ -190,19 +190,19 @@ def _query(docs: DataFrame, indexes, reach: int, shingle: int, overlap: float) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             best: dict[tuple[int, int | None], tuple] = {}
-            for row, item_id, *told in _leaks_of(batch.column(1), indexes.value, reach, shingle, overlap):
+            for row, item_id, *told in _leaks_of(batch.column(3), indexes.value, reach, shingle, overlap):
                 best[row, item_id] = max(best.get((row, item_id), (-1.0,)), tuple(told))
-            ids = batch.column(0)
             kept = sorted(best, key=lambda k: (k[0], k[1] is not None, k[1] or 0))
+            rows = pa.array([k[0] for k in kept], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
-                    ids.take(pa.array([k[0] for k in kept], pa.int64())),
+                    *[batch.column(i).take(rows) for i in range(3)],
                     pa.array([k[1] for k in kept], pa.int64()),
                     pa.array([best[k][0] for k in kept], pa.float64()),
                     pa.array([best[k][1] for k in kept], pa.float64()),
                     pa.array([best[k][2] for k in kept], pa.float64()),
                 ],
-                names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"],
+                names=["doc_id", "row_key", "row_hash", "item_id", "score", "question_overlap", "answer_overlap"],
             )
 
     return docs.mapInArrow(run, SCHEMA)
@@ -244,7 +244,8 @@ def contaminated(
     threshold: float = 0.6, overlap: float = 0.8, shingle: int = 5, block_bytes: int = 16 << 20,
 ) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap of every document that holds a test item."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    # A row is known by its id and 96 bits of hashes of its text, in whatever pass over the documents it is met.
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("row_key"), F.hash(text).alias("row_hash"), F.col(text).alias("text"))
     tests = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
 
     out, before = None, None
@@ -253,7 +254,10 @@ def contaminated(
             out, before = stored(out, "leaks"), before.destroy()
         found = _query(rows, sent, reach, shingle, overlap)
         out, before = found if out is None else out.union(found), sent
-    return docs.sparkSession.createDataFrame([], SCHEMA) if out is None else out
+    if out is None:
+        out = docs.sparkSession.createDataFrame([], SCHEMA)
+    told = F.struct("score", "question_overlap", "answer_overlap")
+    return out.groupBy("doc_id", "row_key", "row_hash", "item_id").agg(F.max(told).alias("best")).select("doc_id", "item_id", "best.*")
 
 
 def without_leaks(

@@ -20,8 +20,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from convlens.functions.arrays import running_max
 from convlens.llm.shared import attach, stored
-from convlens.llm.spans import NO_SPANS, in_order, laid_out, with_matches
+from convlens.llm.spans import NO_SPANS, chunked, in_order, laid_out, stretch, with_matches
 
 # The patterns of the base kinds.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -91,19 +92,26 @@ def _hits(docs: DataFrame) -> DataFrame:
     }
     based = raw.select("doc_id", "row_key", "text", *[v.alias(k) for k, v in kept.items()], *WEAK_KINDS)
     based = based.withColumn("base", F.concat(*[laid_out(F.col(k), k) for k in BASE_KINDS]))
-    free = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    weak = lambda k: F.transform(
-        F.filter(k, free),
-        lambda s: F.struct(
-            s["start"].alias("start"),
-            F.lit(k).alias("kind"),
-            s["end"].alias("end"),
-            s["text"].alias("text"),
-            F.substring(F.col("text"), F.greatest(s["start"] - NEAR, F.lit(0)) + 1, F.least(s["start"], F.lit(NEAR))).alias("before"),
+    # Weak spans that overlap no base span: by place, with the latest end of the base spans that begin before a weak one ends.
+    weak = lambda k: F.transform(k, lambda s: F.struct(s["end"].alias("at"), F.lit(0).alias("based"), F.lit(0).alias("until"), F.lit(k).alias("kind"), s.alias("s")))
+    nothing = F.expr("cast(null as struct<start:int,end:int,text:string>)").alias("s")
+    of_base = F.transform("base", lambda b: F.struct(b["start"].alias("at"), F.lit(1).alias("based"), b["end"].alias("until"), b["kind"].alias("kind"), nothing))
+    based = based.withColumn("placed", F.sort_array(F.concat(of_base, *[weak(k) for k in WEAK_KINDS]))).drop(*WEAK_KINDS)
+    based = based.withColumn("until", F.transform("placed", lambda x: x["until"]))
+    based = based.withColumn("until", running_max("until")).withColumn("chunks", F.when(F.exists("placed", lambda x: x["based"] == 0), chunked(F.col("text"))))
+    free = F.filter(F.zip_with("placed", "until", lambda x, m: F.struct(x["s"].alias("s"), x["kind"].alias("kind"), (x["based"] == 0).alias("weak"), m.alias("until"))), lambda x: x["weak"] & (x["until"] <= x["s"]["start"]))
+    listed = F.transform(
+        free,
+        lambda x: F.struct(
+            x["s"]["start"].alias("start"),
+            x["kind"].alias("kind"),
+            x["s"]["end"].alias("end"),
+            x["s"]["text"].alias("text"),
+            stretch("chunks", F.greatest(x["s"]["start"] - NEAR, F.lit(0)), x["s"]["start"]).alias("before"),
         ),
     )
     mails = F.transform("email", lambda s: s["text"]).alias("emails")
-    return based.select("doc_id", "row_key", "base", mails, F.concat(*[weak(k) for k in WEAK_KINDS]).alias("weak"))
+    return based.select("doc_id", "row_key", "base", mails, listed.alias("weak"))
 
 
 def gazetteer(hits: DataFrame, least: int = 2) -> DataFrame:
@@ -113,8 +121,9 @@ def gazetteer(hits: DataFrame, least: int = 2) -> DataFrame:
     words = lambda name, found: mail.select("row_key", F.lit(name).alias("list"), F.explode(found).alias("word"))
     parts = F.filter(F.split(F.substring_index("mail", "@", 1), "[^a-z]+"), lambda w: F.length(w) >= 3)
     learned = words("host", host).union(words("name", parts)).distinct().groupBy("list", "word").count().where(F.col("count") >= least).select("list", "word")
-    fixed = [("host", w) for w in MAIL_HOSTS.split()] + [("name", w) for w in GIVEN_NAMES.split()]
-    return learned.union(hits.sparkSession.createDataFrame(fixed, "list string, word string")).distinct()
+    fixed = F.explode(F.map_from_arrays(F.array(F.lit("host"), F.lit("name")), F.array(F.lit(MAIL_HOSTS), F.lit(GIVEN_NAMES)))).alias("list", "words")
+    begun = hits.sparkSession.range(1).select(fixed).select("list", F.explode(F.split(F.trim(F.regexp_replace("words", r"\s+", " ")), " ")).alias("word"))
+    return learned.union(begun).distinct()
 
 
 def _listed(candidates: DataFrame, hits: DataFrame) -> DataFrame:

@@ -23,8 +23,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from convlens.functions.arrays import running_max
 from convlens.llm.shared import attach, stored
-from convlens.llm.spans import NO_SPANS, in_order, laid_out, with_matches
+from convlens.llm.spans import NO_SPANS, chunked, in_order, laid_out, stretch, with_matches
 
 # The patterns of the base kinds.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9+/_.=-]++)"""
@@ -114,16 +115,11 @@ def redact(docs: DataFrame, scanned: DataFrame, doc_id: str = "doc_id", text: st
     rows = docs.withColumn("__doc_id", F.col(doc_id)).withColumn("__row_key", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     spans = scanned.where(F.size("spans") > 0).select(F.col("doc_id").alias("__doc_id"), F.col("row_key").alias("__row_key"), F.col("spans").alias("__spans"))
     joined = attach(rows, spans.dropDuplicates(["__doc_id", "__row_key"]), "__doc_id", "__row_key")
-    put = F.aggregate(
-        "__spans",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, x: F.struct(
-            F.greatest(acc["at"], x["end"]).alias("at"),
-            F.when(
-                x["start"] >= acc["at"],
-                F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, x["start"] - acc["at"]), F.lit("["), x["kind"], F.lit("]")),
-            ).otherwise(acc["out"]).alias("out"),
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(text))),
-    )
-    return joined.withColumn(text, F.when(F.col("__spans").isNotNull(), put).otherwise(F.col(text))).select(*docs.columns)
+    # Where the spans before one end at the latest: it is kept if it begins there or later, and what stands between is text.
+    told = joined.withColumn("__ends", F.transform("__spans", lambda x: x["end"])).withColumn("__chunks", F.when(F.col("__spans").isNotNull(), chunked(F.col(text))))
+    told = told.withColumn("__before", running_max("__ends"))
+    laid = F.zip_with("__spans", "__before", lambda x, m: F.struct(m.alias("after"), x["start"].alias("start"), x["kind"].alias("kind")))
+    told = told.withColumn("__laid", F.filter(laid, lambda x: x["start"] >= x["after"]))
+    marked = F.transform("__laid", lambda x: F.concat(stretch("__chunks", x["after"], x["start"]), F.lit("["), x["kind"], F.lit("]")))
+    last = stretch("__chunks", F.array_max("__ends"), F.length(text))
+    return told.withColumn(text, F.when(F.col("__spans").isNotNull(), F.concat(F.array_join(marked, ""), last)).otherwise(F.col(text))).select(*docs.columns)

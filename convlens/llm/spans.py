@@ -56,3 +56,18 @@ def in_order(spans: Column, kinds: list[str], kind_first: bool = False) -> Colum
 
 def spans_text(spans: Column | str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+CHUNK = 1024
+
+
+def chunked(text: Column) -> Column:
+    """The text in chunks of ``CHUNK`` code points, so that a stretch of it is found without counting from its start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def stretch(chunks: str, start: Column, end: Column) -> Column:
+    """Code points start to end, exclusive, of a text whose chunks are a column; it is named twice here, so it stays a step of its own."""
+    first = F.floor(start / CHUNK).cast("int")
+    some = F.slice(chunks, first + 1, F.least(F.greatest(F.floor((end - 1) / CHUNK).cast("int") - first + 1, F.lit(1)), F.size(chunks)))
+    return F.when(end > start, F.substring(F.array_join(some, ""), start - first * CHUNK + 1, end - start)).otherwise("")

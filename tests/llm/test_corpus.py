@@ -113,6 +113,21 @@ def test_decontamination_of_odd_inputs(spark, threshold, overlap):
     assert decontaminate.without_leaks(docs_df, items_df.limit(0)).count() == len(docs)
 
 
+def test_decontamination_does_not_depend_on_blocks_of_items(spark):
+    """Items that share an id, rows that share one, and repeated rows: the same rows from one block, two and many."""
+    items = [(1, f"which answer number {i} belongs to the question of the seven hills? it is hill number {i} of course.") for i in range(6)]
+    items += [(None, "an item without id but with words. And an answer too."), (None, "another item without id but with words. And its answer too.")]
+    docs = [(7, " ".join(t for _, t in items)), (7, items[3][1]), (7, items[3][1]), (8, items[0][1] + " and more"), (None, items[1][1]), (9, "nothing of it at all"), (10, None)]
+    docs_df, items_df = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    size = sum(len(t) for _, t in items)
+    found = [
+        sorted((tuple(r) for r in decontaminate.contaminated(docs_df, items_df, threshold=0.5, overlap=0.5, block_bytes=b).collect()), key=str) for b in (1 << 24, size // 2 + 1, 40)
+    ]
+    assert found[0] == found[1] == found[2]
+    ids = [r[:2] for r in found[0]]
+    assert len(ids) == 5 and set(ids) == {(7, 1), (7, None), (8, 1), (None, 1)}  # the row with all items, and of the two equal rows one
+
+
 def test_word_vectors_and_features_match_plain_python(spark):
     """Random indexing and pooling by loops over tokens, and the temperature by its own grid."""
     texts = ["One fine day, one FINE day 42!!", "", None, "a b a b a", "ünd so weiter; und so", "x" * 50 + "\n\nend."] * 3

@@ -1,14 +1,16 @@
 """Scans and chat formatting against plain Python over every document of the smallest table, and over odd inputs."""
 
 import hashlib
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from convlens.llm import chat, pii, queries, secrets
 from convlens.llm.oracle import SQL
-from convlens.functions.arrays import running
+from convlens.functions.arrays import running, running_max
 
 DATA = "/root/testdata/sf0.001"
 ODD = [
@@ -214,6 +216,8 @@ def test_running_sums(spark):
         numbers = [i * 7 % 13 for i in range(n)]
         df = spark.createDataFrame([(numbers,)], "n array<int>").select(running("n").alias("r"))
         assert df.collect()[0]["r"] == [sum(numbers[:i]) for i in range(n)]
+        most = spark.createDataFrame([(numbers,)], "n array<int>").select(running_max("n").alias("r"))
+        assert most.collect()[0]["r"] == [max(numbers[:i], default=0) for i in range(n)]
 
 
 def test_a_text_with_very_many_matches(spark):
@@ -222,6 +226,50 @@ def test_a_text_with_very_many_matches(spark):
     assert spans["n"] == 100_000 and spans["last"]["end"] == 7 * 100_000 - 1
 
 
+def test_redaction_of_very_many_matches(spark):
+    """Time does not grow with the square of the matches; code points beyond 16 bits and spans at both ends are kept apart."""
+    said = "token=abcdefgh12 𝒳 "
+    docs = spark.createDataFrame([(1, said * 100_000), (2, said), (3, "no such thing 𝒳")], "doc_id long, text string")
+    began = time.time()
+    out = {r["doc_id"]: r["text"] for r in secrets.redact(docs, secrets.scan_secrets(docs)).collect()}
+    assert time.time() - began < 60
+    assert out == {1: "[assign] 𝒳 " * 100_000, 2: "[assign] 𝒳 ", 3: "no such thing 𝒳"}
+
+
+def test_redaction_melts_overlapping_spans(spark):
+    pick = random.Random(8)
+    rows, spans, want = [], [], []
+    for i in range(60):
+        text = "".join(pick.choice("abc𝒳é \n") for _ in range(pick.choice([0, 5, 3000])))
+        own = sorted((a, f"k{pick.randrange(3)}", a + pick.randrange(1, 40)) for a in (pick.randrange(len(text)) for _ in range(pick.randrange(12) if text else 0)))
+        own = [(a, k, min(b, len(text))) for a, k, b in own]
+        out, at = "", 0
+        for a, k, b in own:
+            if a >= at:
+                out += text[at:a] + f"[{k}]"
+            at = max(at, b)
+        rows.append((i, text))
+        spans.append((i, own))
+        want.append((i, out + text[at:] if own else text))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = spark.createDataFrame(spans, "doc_id long, spans array<struct<start:int,kind:string,end:int>>").join(docs.select("doc_id", F.xxhash64("text").alias("row_key")), "doc_id")
+    assert sorted(tuple(r) for r in secrets.redact(docs, found).collect()) == want
+
+
+def test_weak_spans_beside_very_many_base_spans(spark):
+    """Weak spans are free of base spans whatever the order of kinds, and many of both in one text are merged by place."""
+    said = "a@b.co Mr Anna Smith, 10.0.0.1, 12345678; 4111111111111111, "
+    docs = spark.createDataFrame([(1, said * 20_000), (2, said)], "doc_id long, text string")
+    began = time.time()
+    hits = {r["doc_id"]: r for r in pii._hits(docs).select("doc_id", F.size("base").alias("n"), "weak").collect()}
+    assert time.time() - began < 60
+    assert hits[1]["n"] == 60_000 and hits[2]["n"] == 3
+    told = lambda r: [(w["kind"], w["start"], w["text"], w["before"]) for w in r["weak"]]
+    assert told(hits[2]) == [("name", 7, "Mr Anna Smith", "a@b.co "), ("digits", 32, "12345678", said[:32])]
+    assert [w["start"] for w in hits[1]["weak"]] == [len(said) * i + k for i in range(20_000) for k in (7, 32)]
+    assert all(w["before"] == (said * 2)[len(said) + w["start"] % len(said) - 40 : len(said) + w["start"] % len(said)] for w in hits[1]["weak"][2:])
+
+
 @pytest.mark.parametrize("scan", [secrets.scan_secrets, pii.find_pii])
 def test_scans_of_an_empty_table(spark, scan):
     assert scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
