@@ -2,48 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from convlens.plans.search import DECAY, best_first, decayed
 
-def best_ranks(pairs: DataFrame, matches: DataFrame, messages: DataFrame, most: int = 500) -> DataFrame:
-    """(qid, conv_id, rank, score): the best place of a conversation's messages among the first ``most`` of the query, off-path ones too."""
-    w = Window.partitionBy("qid").orderBy("score", "msg_id")
-    top = matches.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
-    placed = top.join(messages.select(F.col("id").alias("msg_id"), "conv_id"), "msg_id").join(pairs.select("qid", "conv_id").distinct(), ["qid", "conv_id"], "left_semi")
-    return placed.groupBy("qid", "conv_id").agg(F.min("rank").alias("rank"), F.min("score").alias("score"))
+MOST = 500  # places of the ranker that an explanation looks at
+
+
+def best_ranks(pairs: DataFrame, matches: DataFrame, messages: DataFrame, now_ms: int, most: int = MOST, decay: float = DECAY) -> DataFrame:
+    """(qid, conv_id, rank, score): the best place of a conversation's messages among the first ``most`` of the query, by decayed score,
+    off-path ones too. The window is by query, and Spark keeps ``most`` rows of each before it shuffles."""
+    placed = matches.join(messages.select(F.col("id").alias("msg_id"), "conv_id", "ts_ms"), "msg_id").withColumn("score", decayed(F.col("score"), F.col("ts_ms"), now_ms, decay))
+    top = placed.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(best_first(), "msg_id"))).where(F.col("rank") <= most)
+    own = top.join(pairs.select("qid", "conv_id").distinct(), ["qid", "conv_id"], "left_semi")
+    return own.groupBy("qid", "conv_id").agg(F.min("rank").alias("rank"), F.min("score").alias("score"))
 
 
 def term_hits(pairs: DataFrame, queries: DataFrame, messages: DataFrame) -> DataFrame:
-    """(qid, conv_id, term, indexed, unindexed): in how many messages of a conversation each term of a query stands, by whether their kind is indexed."""
+    """(qid, conv_id, term, indexed, unindexed): in how many messages of a conversation each term of a query stands, in prose and in the kind without postings.
+
+    A text is searched once for a term, however many queries ask: counts are of (conv_id, term), and joined back to the pairs.
+    """
     terms = queries.select("qid", F.explode(F.array_distinct("terms")).alias("term"))
-    texts = messages.select("conv_id", "kind", F.lower("text").alias("low"))
+    texts = messages.where(F.col("kind").isin("prose", "reasoning")).select("conv_id", "kind", F.lower("text").alias("low"))
     asked = pairs.select("qid", "conv_id").distinct().join(terms, "qid")
-    held = asked.join(texts, "conv_id").where(F.col("low").contains(F.col("term"))).groupBy("qid", "conv_id", "term").agg(
-        F.count_if(F.col("kind") != "reasoning").alias("indexed"), F.count_if(F.col("kind") == "reasoning").alias("unindexed")
+    held = asked.select("conv_id", "term").distinct().join(texts, "conv_id").where(F.col("low").contains(F.col("term"))).groupBy("conv_id", "term").agg(
+        F.count_if(F.col("kind") == "prose").alias("indexed"), F.count_if(F.col("kind") == "reasoning").alias("unindexed")
     )
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return asked.join(held, ["qid", "conv_id", "term"], "left").select("qid", "conv_id", "term", zero("indexed"), zero("unindexed"))
+    return asked.join(held, ["conv_id", "term"], "left").select("qid", "conv_id", "term", _zero("indexed"), _zero("unindexed"))
+
+
+def _zero(c: str) -> Column:
+    return F.coalesce(c, F.lit(0)).alias(c)
 
 
-def run(pairs: DataFrame, queries: DataFrame, conversations: DataFrame, messages: DataFrame, matches: DataFrame, kept: DataFrame) -> DataFrame:
-    """pairs (qid, conv_id) with counts and a verdict, the first that holds.
+def run(
+    pairs: DataFrame, queries: DataFrame, conversations: DataFrame, messages: DataFrame, matches: DataFrame, kept: DataFrame, now_ms: int, most: int = MOST, decay: float = DECAY,
+) -> DataFrame:
+    """pairs (qid, conv_id) with counts, the best place and score, and a verdict, the first that holds.
 
-    queries: prepared; matches: (qid, msg_id, score) off-path included; kept: (qid, conv_id) that pass the filters.
+    queries: prepared; matches: (qid, msg_id, score), undecayed, off-path included; kept: (qid, conv_id) that pass the filters. terms_any: terms that
+    stand in prose or in the kind without postings. A conversation beyond the first ``most`` messages of a query is unmatched.
     """
     known = conversations.select(F.col("id").alias("conv_id"), F.lit(True).alias("found"))
     indexed = F.col("kind").isin("prose", "tool_call", "tool_result")
     counts = messages.join(pairs.select("conv_id").distinct(), "conv_id", "left_semi").groupBy("conv_id").agg(
         F.count("*").alias("messages"), F.count_if(F.col("kind") == "prose").alias("prose"), F.count_if(indexed).alias("indexed"), F.count_if(~F.col("on_head_path")).alias("off_path")
     )
-    terms = queries.select("qid", "mode", F.explode_outer(F.array_distinct("terms")).alias("term"))
-    asked = pairs.join(terms, "qid")
-    texts = messages.select("conv_id", "kind", F.lower("text").alias("low"))
-    hits = asked.where("term is not null").join(texts, "conv_id").where(F.col("low").contains(F.col("term"))).groupBy("qid", "conv_id").agg(
-        F.countDistinct(F.when(F.col("kind") != "reasoning", F.col("term"))).alias("terms_indexed"), F.countDistinct("term").alias("terms_any")
+    hits = term_hits(pairs, queries, messages).groupBy("qid", "conv_id").agg(
+        F.count_if(F.col("indexed") > 0).alias("terms_indexed"), F.count_if(F.col("indexed") + F.col("unindexed") > 0).alias("terms_any")
     )
-    found = matches.join(messages.select(F.col("id").alias("msg_id"), "conv_id", "on_head_path"), "msg_id").join(pairs, ["qid", "conv_id"], "left_semi")
-    best = found.groupBy("qid", "conv_id").agg(F.min("score").alias("best"), F.count_if(~F.col("on_head_path")).alias("ranked_off_path"))
+    best = best_ranks(pairs, matches, messages, now_ms, most, decay).select("qid", "conv_id", F.col("rank").alias("best_rank"), F.col("score").alias("best"))
     out = (
         pairs.join(known, "conv_id", "left").join(counts, "conv_id", "left").join(queries.select("qid", "mode"), "qid", "left")
         .join(hits, ["qid", "conv_id"], "left").join(best, ["qid", "conv_id"], "left").join(kept.select("qid", "conv_id", F.lit(True).alias("passes")), ["qid", "conv_id"], "left")
@@ -57,7 +67,7 @@ def run(pairs: DataFrame, queries: DataFrame, conversations: DataFrame, messages
         .when((zero("terms_any") > 0) & (zero("terms_indexed") == 0), "only in unindexed kind")
         .when(zero("terms_any") == 0, "no term anywhere")
         .when(F.col("best").isNull(), "present but unmatched")
-        .when(zero("ranked_off_path") > 0, "ranked, off path too")
+        .when(zero("off_path") > 0, "ranked, off path too")
         .otherwise("ranked")
     )
-    return out.select("qid", "conv_id", zero("messages").alias("messages"), zero("prose").alias("prose"), zero("indexed").alias("indexed"), zero("off_path").alias("off_path"), zero("terms_any").alias("terms_any"), "best", verdict.alias("verdict"))
+    return out.select("qid", "conv_id", _zero("messages"), _zero("prose"), _zero("indexed"), _zero("off_path"), _zero("terms_any"), "best_rank", "best", verdict.alias("verdict"))

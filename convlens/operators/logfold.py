@@ -6,14 +6,45 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 UNREAD_MS = 2_000
+DAY_MS = 86_400_000
 
 
-def exclude_spans(log: DataFrame, spans: DataFrame, day_ms: int = 86_400_000) -> DataFrame:
-    """Events outside all half-open spans (from_ms, until_ms), by an equi-join on the day: a span is listed under each of its days."""
-    merged = spans.where("until_ms > from_ms").distinct().select("from_ms", "until_ms", F.explode(F.sequence(F.floor(F.col("from_ms") / day_ms), F.floor((F.col("until_ms") - 1) / day_ms))).alias("day"))
-    own = log.withColumn("__day", F.floor(F.col("ts_ms") / day_ms))
-    on = (own["__day"] == merged["day"]) & (own["ts_ms"] >= merged["from_ms"]) & (own["ts_ms"] < merged["until_ms"])
-    return own.join(merged, on, "left_anti").drop("__day")
+def merge_spans(spans: DataFrame, day_ms: int = DAY_MS) -> tuple[DataFrame, DataFrame]:
+    """The union of half-open spans (from_ms, until_ms): (day) covered as a whole, and (day, from_ms, until_ms), disjoint, for the others.
+
+    A span is told apart into the days that it covers and the pieces of days at its ends. Whole days come from a running count of
+    spans that begin and end, over no more rows than there are days with such an edge; a day's pieces are merged by a running
+    maximum of their ends, after those of one beginning became one.
+    """
+    real = spans.where("until_ms > from_ms").select(F.col("from_ms").cast("long"), F.col("until_ms").cast("long"))
+    first, past = F.ceil(F.col("from_ms") / day_ms).cast("long"), F.floor(F.col("until_ms") / day_ms).cast("long")  # whole days, the end exclusive
+    cut = real.withColumn("first", first).withColumn("past", past)
+    edges = cut.where("past > first").select(F.explode(F.array(F.struct(F.col("first").alias("day"), F.lit(1).alias("step")), F.struct(F.col("past").alias("day"), F.lit(-1).alias("step")))).alias("e"))
+    steps = edges.select("e.*").groupBy("day").agg(F.sum("step").alias("step"))
+    by_day = Window.orderBy("day")  # a row for each day on which spans begin or end
+    open_ = steps.withColumn("open", F.sum("step").over(by_day)).withColumn("next", F.lead("day").over(by_day)).where("open > 0")
+    whole = open_.select(F.explode(F.sequence("day", F.col("next") - 1)).alias("day"))
+    # What is left of a span before its first whole day and behind its last; a span within one day is one piece.
+    inside = F.col("past") < F.col("first")
+    at = lambda lo, hi: F.struct(F.floor(lo / day_ms).cast("long").alias("day"), lo.alias("from_ms"), hi.alias("until_ms"))
+    pieces = F.when(inside, F.array(at(F.col("from_ms"), F.col("until_ms")))).otherwise(
+        F.array(at(F.col("from_ms"), F.col("first") * day_ms), at(F.col("past") * day_ms, F.col("until_ms")))
+    )
+    parts = cut.select(F.explode(pieces).alias("p")).select("p.*").where("until_ms > from_ms").groupBy("day", "from_ms").agg(F.max("until_ms").alias("until_ms"))
+    parts = parts.join(whole, "day", "left_anti")
+    w = Window.partitionBy("day").orderBy("from_ms")
+    before = F.max("until_ms").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    marked = parts.withColumn("new", F.when(F.col("from_ms") <= before, 0).otherwise(1)).withColumn("run", F.sum("new").over(w))
+    return whole, marked.groupBy("day", "run").agg(F.min("from_ms").alias("from_ms"), F.max("until_ms").alias("until_ms")).drop("run")
+
+
+def exclude_spans(log: DataFrame, spans: DataFrame, day_ms: int = DAY_MS) -> DataFrame:
+    """Events outside all half-open spans (from_ms, until_ms), by equi-joins on the day with the spans' union. Undated events stay."""
+    whole, pieces = merge_spans(spans, day_ms)
+    own = log.withColumn("__day", F.floor(F.col("ts_ms") / day_ms).cast("long"))
+    left = own.join(whole.withColumnRenamed("day", "__day"), "__day", "left_anti")
+    on = (left["__day"] == pieces["day"]) & (left["ts_ms"] >= pieces["from_ms"]) & (left["ts_ms"] < pieces["until_ms"])
+    return left.join(pieces, on, "left_anti").select(*log.columns)
 
 
 def absorb(searches: DataFrame, keys: list[str], unread_ms: int = UNREAD_MS, tie: str = "id") -> DataFrame:

@@ -135,16 +135,19 @@ def reparent(nodes: DataFrame, most_rounds: int = 64) -> DataFrame:
 
 
 def fork_tree(conversations: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """id, root, depth, family (size) along forked_from links; a link to an unknown conversation is none."""
+    """id, root, depth, family (size) along forked_from links; a link to an unknown conversation is none. A cycle of links is an error.
+
+    Each round halves the way up, so whoever still has one after more rounds than a way of all conversations takes is on a cycle."""
     known = conversations.select(F.col("id").alias("forked_from"), F.lit(True).alias("known"))
     linked = conversations.select("id", "forked_from").join(known, "forked_from", "left")
     state = stored(linked.select("id", F.when(F.col("known"), F.col("forked_from")).alias("up")).withColumn("top", F.coalesce("up", "id")).withColumn("depth", F.col("up").isNotNull().cast("int")), "forks")
-    for _ in range(most_rounds):
-        if state.where("up is not null").isEmpty():
-            break
+    rounds, most = 0, min(most_rounds, state.count().bit_length() + 1)
+    while not state.where("up is not null").isEmpty():
         above = state.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("top").alias("top2"), F.col("depth").alias("depth2"))
         jumped = state.join(above, "up", "left")
         state = stored(jumped.select("id", F.col("up2").alias("up"), F.coalesce("top2", "top").alias("top"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth")), "forks")
+        if (rounds := rounds + 1) > most and not state.where("up is not null").isEmpty():
+            raise ValueError("the fork links hold a cycle")
     return state.select("id", F.col("top").alias("root"), "depth").withColumn("family", F.count("*").over(Window.partitionBy("root")))
 
 

@@ -54,5 +54,5 @@ def field_stats(postings: DataFrame) -> DataFrame:
 
 
 def write(postings: DataFrame, path: str) -> None:
-    """One folder per field, rows of a term together."""
-    postings.repartition("field", "term").sortWithinPartitions("term", "msg_id").write.mode("overwrite").partitionBy("field").parquet(path)
+    """One folder per field, in ranges of (term, message): a common term goes to several tasks and files, and files lie in order of term."""
+    postings.repartitionByRange("field", "term", "msg_id").sortWithinPartitions("field", "term", "msg_id").write.mode("overwrite").partitionBy("field").parquet(path)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from convlens.lineage import stored
 
 SITTING_GAP_MS = 30 * 60_000
+SPAN_MS = 7 * 86_400_000
 
 
 def gap_islands(rows: DataFrame, keys: list[str], at: str, tie: str, gap_ms: int, inclusive: bool = True) -> DataFrame:
@@ -22,20 +23,25 @@ def gap_islands(rows: DataFrame, keys: list[str], at: str, tie: str, gap_ms: int
     return dated.unionByName(rows.where(F.col(at).isNull()).withColumn("island", F.lit(None).cast("long")))
 
 
-def gap_islands_wide(rows: DataFrame, keys: list[str], at: str, tie: str, gap_ms: int, span_ms: int = 7 * 86_400_000) -> DataFrame:
+def gap_islands_wide(rows: DataFrame, keys: list[str], at: str, tie: str, gap_ms: int, span_ms: int = SPAN_MS, inclusive: bool = True) -> DataFrame:
     """As gap_islands, where one key may hold a third of the log: windows run within (keys, span of time), and only the first
     and last instant and the number of openings of each span are compared across spans. Undated rows have a null island here too."""
+    apart = (lambda gap: gap >= gap_ms) if inclusive else (lambda gap: gap > gap_ms)
     spanned = rows.where(F.col(at).isNotNull()).withColumn("__span", F.floor(F.col(at) / span_ms))
     inner = Window.partitionBy(*keys, "__span").orderBy(at, tie)
     gap = F.col(at) - F.lag(at).over(inner)
-    marked = spanned.withColumn("__opens", F.when(gap >= gap_ms, 1).otherwise(0)).withColumn("__inner", F.sum("__opens").over(inner))
+    marked = spanned.withColumn("__opens", F.when(apart(gap), 1).otherwise(0)).withColumn("__inner", F.sum("__opens").over(inner))
     spans = marked.groupBy(*keys, "__span").agg(F.min(at).alias("lo"), F.max(at).alias("hi"), F.sum("__opens").alias("opens"))
     outer = Window.partitionBy(*keys).orderBy("__span")
-    first = F.when(F.col("lo") - F.lag("hi").over(outer) < gap_ms, 0).otherwise(1)
+    between = F.col("lo") - F.lag("hi").over(outer)
+    first = F.when(between.isNull() | apart(between), 1).otherwise(0)
     started = spans.withColumn("first", first)
     before = F.coalesce(F.sum(F.col("first") + F.col("opens")).over(outer.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    carried = started.select(*keys, "__span", (before + F.col("first")).alias("__base"))
-    dated = marked.join(carried, [*keys, "__span"]).withColumn("island", F.col("__base") + F.col("__inner")).select(*rows.columns, "island")
+    carried = started.select(*[F.col(k).alias(f"__key_{k}") for k in keys], F.col("__span").alias("__at"), (before + F.col("first")).alias("__base"))
+    on = marked["__span"] == carried["__at"]
+    for k in keys:  # a null key is a key
+        on = on & marked[k].eqNullSafe(carried[f"__key_{k}"])
+    dated = marked.join(carried, on).withColumn("island", F.col("__base") + F.col("__inner")).select(*rows.columns, "island")
     return dated.unionByName(rows.where(F.col(at).isNull()).withColumn("island", F.lit(None).cast("long")))
 
 
@@ -45,28 +51,50 @@ def result_runs(found: DataFrame, dated: DataFrame, gap_ms: int = 12 * 3_600_000
     found: (qid, row_id); dated: (id, ended_at, source). A run that has several sources has crossed.
     """
     rows = found.join(dated.select(F.col("id").alias("row_id"), "ended_at", "source"), "row_id").select("qid", "row_id", "ended_at", "source")
-    islands = gap_islands(rows, ["qid"], "ended_at", "row_id", gap_ms)
+    islands = gap_islands_wide(rows, ["qid"], "ended_at", "row_id", gap_ms)
     newest = islands.groupBy("qid").agg(F.max("island").alias("last"))
     counted = islands.groupBy("qid", "island").agg(F.min("ended_at").alias("started"), F.max("ended_at").alias("ended"), F.count("*").alias("rows"), F.countDistinct("source").alias("sources"))
     return counted.join(newest, "qid").select("qid", (F.col("last") - F.col("island") + 1).alias("run"), "started", "ended", "rows", "sources", (F.col("sources") > 1).alias("crossed"))
 
 
-def build(records: DataFrame, keys: list[str], at: str = "ended_at", tie: str = "id", gap_ms: int = SITTING_GAP_MS, weights: str = "msg_count") -> DataFrame:
-    """Members of sittings of two or more: keys, id, sitting_id (its opener), members, position, message_offset."""
-    islands = gap_islands_wide(records, keys, at, tie, gap_ms).where("island is not null")
-    w = Window.partitionBy(*keys, "island")
-    ordered = w.orderBy(at, tie)
-    out = islands.select(
-        *keys,
-        "id",
-        at,
-        weights,
-        F.first("id").over(ordered).alias("sitting_id"),
-        F.count("*").over(w).alias("members"),
-        F.row_number().over(ordered).alias("position"),
-        F.coalesce(F.sum(weights).over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("message_offset"),
+def build(
+    records: DataFrame, keys: list[str], at: str = "ended_at", tie: str = "id", gap_ms: int = SITTING_GAP_MS, weights: str = "msg_count", span_ms: int = SPAN_MS, allow: DataFrame | None = None,
+) -> DataFrame:
+    """Members of sittings of two or more: keys, id, sitting_id (its opener), members, position, message_offset.
+
+    allow: keys whose records are folded at all, as (source, surface); all by default. Places and sums have two levels: each (keys,
+    island, span of time) is counted within itself, and the counts of a span are added to those after it, of which there is one row each.
+    """
+    if allow is not None:
+        known = allow.select(*[F.col(c).alias(f"__{c}") for c in allow.columns]).distinct()
+        same = [records[c].eqNullSafe(known[f"__{c}"]) for c in allow.columns]
+        records = records.join(known, same, "left_semi")
+    islands = stored(gap_islands_wide(records, keys, at, tie, gap_ms, span_ms).where("island is not null").select(*keys, "id", at, *({tie} - {"id", at}), weights, "island"), "islands")
+    spanned = islands.withColumn("__span", F.floor(F.col(at) / span_ms))
+    part = [*keys, "island", "__span"]
+    sums = spanned.groupBy(*part).agg(F.count("*").alias("n"), F.sum(weights).alias("weight"), F.min_by("id", F.struct(at, tie)).alias("first"))
+    whole = Window.partitionBy(*keys, "island")
+    earlier = whole.orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
+    carried = sums.select(
+        *[F.col(k).alias(f"__key_{k}") for k in part],
+        F.sum("n").over(whole).alias("members"),
+        F.first("first").over(whole.orderBy("__span")).alias("sitting_id"),
+        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__placed"),
+        F.coalesce(F.sum("weight").over(earlier), F.lit(0)).alias("__told"),
+    ).where("members > 1")
+    inner = Window.partitionBy(*part).orderBy(at, tie)
+    own = spanned.withColumn("__n", F.row_number().over(inner)).withColumn("__sum", F.coalesce(F.sum(weights).over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    on = [own[k].eqNullSafe(carried[f"__key_{k}"]) for k in part]
+    return own.join(carried, on).select(
+        *keys, "id", at, weights, "sitting_id", "members", (F.col("__placed") + F.col("__n")).cast("int").alias("position"), (F.col("__told") + F.col("__sum")).alias("message_offset")
     )
-    return out.where("members > 1")
+
+
+def resolve(members: DataFrame, asked: DataFrame, key: str = "id") -> DataFrame:
+    """asked (id) with ``sitting_id`` and its records: any member leads to its sitting, what is in none to itself. key, sitting_id, member, position."""
+    own = asked.select(key).distinct().join(members.select(F.col("id").alias(key), "sitting_id"), key, "left").withColumn("sitting_id", F.coalesce("sitting_id", key))
+    each = members.select("sitting_id", F.col("id").alias("member"), "position")
+    return own.join(each, "sitting_id", "left").select(key, "sitting_id", F.coalesce("member", key).alias("member"), F.coalesce("position", F.lit(1)).alias("position"))
 
 
 def totals(members: DataFrame, at: str = "ended_at", weights: str = "msg_count") -> DataFrame:
@@ -141,7 +169,7 @@ def _starts_of_islands(opened: DataFrame) -> DataFrame:
 
 def lineages(rows: DataFrame, key: str, at: str, tie: str, gap_ms: int = 3 * 86_400_000, least: int = 2) -> DataFrame:
     """Runs of one directory without a gap above three days: key, started, ended, size."""
-    islands = gap_islands(rows.where(F.col(key).isNotNull()), [key], at, tie, gap_ms, inclusive=False).where("island is not null")
+    islands = gap_islands_wide(rows.where(F.col(key).isNotNull()), [key], at, tie, gap_ms, inclusive=False).where("island is not null")
     return islands.groupBy(key, "island").agg(F.min(at).alias("started"), F.max(at).alias("ended"), F.count("*").alias("size")).where(F.col("size") >= least)
 
 

@@ -141,8 +141,8 @@ MATCHED = f"""hits AS (SELECT q.term, q.is_prefix, p.msg_id, sum(p.tf)::BIGINT A
     matches AS (SELECT want.qid, w.msg_id, sum(weight * times) AS score FROM want JOIN w ON w.term = want.term AND w.is_prefix = want.is_prefix JOIN need ON need.qid = want.qid GROUP BY want.qid, w.msg_id, need HAVING count(*) = need)"""
 DECAYED = f"""scored AS (SELECT qid, m.conv_id, m.seq, msg_id, score / (1 + 0.3 * greatest(0, {NOW} - ts_ms) / {365 * 86400000}.0) AS score FROM matches JOIN messages m ON m.id = msg_id WHERE on_head_path)"""
 SEARCH = f"WITH {MESSAGES}, {POSTINGS}, {ASKED}, {MATCHED}, {DECAYED}"
-GROUPED = """g AS (SELECT qid, conv_id AS row_id, round(min(score) + 0.25 * (sum(score) - min(score)), 9) AS score, count(*) AS match_count, string_agg(seq, ',' ORDER BY seq) AS positions FROM scored GROUP BY ALL),
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score, row_id) AS rank FROM g)"""
+GROUPED = """g AS (SELECT qid, conv_id AS row_id, min(score) + 0.25 * (sum(score) - min(score)) AS score, count(*) AS match_count, string_agg(seq, ',' ORDER BY seq) AS positions FROM scored GROUP BY ALL),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9), row_id) AS rank FROM g)"""
 
 
 def asked(spark, sf_dir):
@@ -162,16 +162,16 @@ def found(spark, sf_dir, limit=20):
     return search.grouped(hits, messages(spark, sf_dir), NOW, limit)
 
 
-@query(SEARCH + f", {GROUPED} SELECT qid, rank::INT AS rank, row_id, round(score, 6) AS score, match_count, positions FROM ranked WHERE rank <= 20")
+@query(SEARCH + f", {GROUPED} SELECT qid, rank::INT AS rank, row_id, score, match_count, positions FROM ranked WHERE rank <= 20")
 def grouped_search(spark, sf_dir):
-    return found(spark, sf_dir).select("qid", "rank", "row_id", r6("score").alias("score"), "match_count", F.array_join(F.transform("positions", lambda p: p.cast("string")), ",").alias("positions"))
+    return found(spark, sf_dir).select("qid", "rank", "row_id", "score", "match_count", F.array_join(F.transform("positions", lambda p: p.cast("string")), ",").alias("positions"))
 
 
-@query(SEARCH + " SELECT qid, msg_id, conv_id, round(score, 6) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9), msg_id) AS rank FROM scored) WHERE rank <= 50")
+@query(SEARCH + " SELECT qid, msg_id, conv_id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9), msg_id) AS rank FROM scored) WHERE rank <= 50")
 def flat_search(spark, sf_dir):
     rows = messages(spark, sf_dir)
     hits = search.match(asked(spark, sf_dir), indexed(spark, sf_dir))
-    return search.flat(hits, rows, NOW, 50).withColumn("score", r6("score"))
+    return search.flat(hits, rows, NOW, 50)
 
 
 @query(SEARCH + " SELECT qid, count(DISTINCT conv_id) AS total, least(count(DISTINCT conv_id), 20) AS shown FROM scored GROUP BY qid")
@@ -374,11 +374,12 @@ def shape_cells(spark, sf_dir):
 # --- logs and evaluation --------------------------------------------------------------------------------------------
 
 UNREAD = 6 * 3_600_000
-SPAN_SQL = f"spans AS (SELECT {START_MS} + o_orderkey % 400 * 86400000 AS from_ms, {START_MS} + o_orderkey % 400 * 86400000 + 7200000 AS until_ms FROM orders WHERE o_orderkey % 50 = 0)"
+#: Driven spans that overlap one another: one of each order, 20 to 24 minutes from a full hour of a day on.
+SPAN_SQL = f"spans AS (SELECT f AS from_ms, f + 1200000 + k % 5 * 60000 AS until_ms FROM (SELECT o_orderkey AS k, {START_MS} + o_orderkey % 400 * 86400000 + o_custkey % 24 * 3600000 AS f FROM orders))"
 KEEPING = f"""kept AS (SELECT *, CASE WHEN id % 4 = 3 THEN 'pick' ELSE 'search' END AS kind, id % 10 AS conv_id FROM log l WHERE NOT EXISTS (SELECT 1 FROM spans s WHERE l.ts_ms >= from_ms AND l.ts_ms < until_ms)),
     ab AS (SELECT *, coalesce(kind = 'search' AND lead(ts_ms) OVER w - ts_ms <= {UNREAD} AND lead(source) OVER w IS NOT DISTINCT FROM source AND starts_with(lead(q) OVER w, q) AND trim(q) <> '', false) AS absorbed FROM kept WINDOW w AS (PARTITION BY user_id ORDER BY ts_ms, id))"""
 KEPT = f"{LOG}, {SPAN_SQL}, {KEEPING}"
-#: As KEPT, with a span of every order.
+#: As KEPT, with two hours from the first of a day on, the same for many orders.
 KEPT_ALL = f"{LOG}, spans AS (SELECT DISTINCT {START_MS} + o_orderkey % 400 * 86400000 AS from_ms, {START_MS} + o_orderkey % 400 * 86400000 + 7200000 AS until_ms FROM orders), {KEEPING}"
 NEEDS = """n AS (SELECT q, count(*) FILTER (kind = 'search') AS searches, max(ts_ms) AS last_ts FROM ab WHERE NOT absorbed AND trim(q) <> '' GROUP BY q), p AS (SELECT q, conv_id, count(*) AS n FROM ab WHERE NOT absorbed AND kind = 'pick' AND trim(q) <> '' GROUP BY ALL)
     SELECT n.q, searches, last_ts, coalesce((SELECT string_agg(conv_id || '×' || n, ',' ORDER BY n DESC, conv_id) FROM p WHERE p.q = n.q), '') AS picks FROM n"""
@@ -390,15 +391,16 @@ def _log(spark, sf_dir):
     return log(spark, sf_dir).withColumn("kind", kinds).withColumn("conv_id", F.col("id") % 10)
 
 
-def _spans(spark, sf_dir, every=50):
-    """A span of each order whose key divides by ``every``: the driven spans of KEPT, or with 1 of KEPT_ALL."""
+def _spans(spark, sf_dir, long=False):
+    """A span of each order: those of KEPT, or the long ones of KEPT_ALL."""
     key = F.col("o_orderkey")
-    start = F.lit(START_MS) + key % 400 * 86_400_000
-    return table(spark, sf_dir, "orders").where(key % every == 0).select(start.alias("from_ms"), (start + 7_200_000).alias("until_ms"))
+    day = F.lit(START_MS) + key % 400 * 86_400_000
+    start = day if long else day + F.col("o_custkey") % 24 * 3_600_000
+    return table(spark, sf_dir, "orders").select(start.alias("from_ms"), (start + (F.lit(7_200_000) if long else 1_200_000 + key % 5 * 60_000)).alias("until_ms"))
 
 
-def _absorbed(spark, sf_dir, every=50):
-    return logfold.absorb(logfold.exclude_spans(_log(spark, sf_dir), _spans(spark, sf_dir, every)), ["user_id"], UNREAD)
+def _absorbed(spark, sf_dir, long=False):
+    return logfold.absorb(logfold.exclude_spans(_log(spark, sf_dir), _spans(spark, sf_dir, long)), ["user_id"], UNREAD)
 
 
 @query(f"WITH {KEPT} SELECT id, absorbed FROM ab")
@@ -408,7 +410,7 @@ def absorbed_keystrokes(spark, sf_dir):
 
 @query(f"WITH {KEPT_ALL} SELECT id, absorbed FROM ab")
 def absorbed_keystrokes_all_spans(spark, sf_dir):
-    return _absorbed(spark, sf_dir, 1).select("id", "absorbed")
+    return _absorbed(spark, sf_dir, True).select("id", "absorbed")
 
 
 @query(f"WITH {KEPT}, {NEEDS}")
@@ -418,7 +420,7 @@ def needs(spark, sf_dir):
 
 @query(f"WITH {KEPT_ALL}, {NEEDS}")
 def needs_all_spans(spark, sf_dir):
-    return logfold.run(_log(spark, sf_dir), _spans(spark, sf_dir, 1), ["user_id"], UNREAD)
+    return logfold.run(_log(spark, sf_dir), _spans(spark, sf_dir, True), ["user_id"], UNREAD)
 
 
 @query(f"WITH {KEPT} {NEED_TOTALS}")
@@ -428,7 +430,7 @@ def need_totals(spark, sf_dir):
 
 @query(f"WITH {KEPT_ALL} {NEED_TOTALS}")
 def need_totals_all_spans(spark, sf_dir):
-    return logfold.fold_totals(_log(spark, sf_dir), _absorbed(spark, sf_dir, 1))
+    return logfold.fold_totals(_log(spark, sf_dir), _absorbed(spark, sf_dir, True))
 
 
 GRADES = "grades AS (SELECT doc_id % 40 AS qid, doc_id AS conv_id, quality * 2 + 1 - toxic AS grade FROM labels)"
@@ -493,12 +495,15 @@ def parameter_sweep(spark, sf_dir):
     return out.select("decay", "repeat_weight", F.round("mean_ndcg", 4).alias("mean_ndcg"), F.round("mrr", 4).alias("mrr"))
 
 
-VERDICTS = """cnt AS (SELECT conv_id, count(*) AS messages, count(*) FILTER (kind = 'prose') AS prose, count(*) FILTER (kind IN ('prose', 'tool_call', 'tool_result')) AS indexed, count(*) FILTER (NOT on_head_path) AS off_path FROM messages GROUP BY 1),
-    th AS (SELECT p.qid, p.conv_id, count(DISTINCT t) FILTER (kind <> 'reasoning') AS ti, count(DISTINCT t) AS ta FROM pairs p JOIN (SELECT qid, unnest(terms) AS t FROM asked) a ON a.qid = p.qid JOIN messages m ON m.conv_id = p.conv_id WHERE contains(lower(text), t) GROUP BY ALL),
-    bs AS (SELECT x.qid, m.conv_id, min(score) AS best, count(*) FILTER (NOT on_head_path) AS off FROM matches x JOIN messages m ON m.id = x.msg_id GROUP BY ALL)
-    SELECT p.qid, p.conv_id, coalesce(messages, 0) AS messages, coalesce(prose, 0) AS prose, coalesce(indexed, 0) AS indexed, coalesce(off_path, 0) AS off_path, coalesce(ta, 0) AS terms_any, round(best, 6) AS best,
+#: Every match by decayed score, off-path ones too.
+EVERY_RANK = f"""every_rank AS (SELECT qid, conv_id, msg_id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9), msg_id) AS rank FROM
+    (SELECT qid, conv_id, msg_id, score / (1 + 0.3 * greatest(0, {NOW} - ts_ms) / {365 * 86400000}.0) AS score FROM matches JOIN messages m ON m.id = msg_id))"""
+VERDICTS = EVERY_RANK + """, cnt AS (SELECT conv_id, count(*) AS messages, count(*) FILTER (kind = 'prose') AS prose, count(*) FILTER (kind IN ('prose', 'tool_call', 'tool_result')) AS indexed, count(*) FILTER (NOT on_head_path) AS off_path FROM messages GROUP BY 1),
+    th AS (SELECT p.qid, p.conv_id, count(DISTINCT t) FILTER (kind = 'prose') AS ti, count(DISTINCT t) AS ta FROM pairs p JOIN (SELECT qid, unnest(terms) AS t FROM asked) a ON a.qid = p.qid JOIN messages m ON m.conv_id = p.conv_id WHERE kind IN ('prose', 'reasoning') AND contains(lower(text), t) GROUP BY ALL),
+    bs AS (SELECT qid, conv_id, min(rank)::INT AS best_rank, min(score) AS best FROM every_rank WHERE rank <= 500 GROUP BY ALL)
+    SELECT p.qid, p.conv_id, coalesce(messages, 0) AS messages, coalesce(prose, 0) AS prose, coalesce(indexed, 0) AS indexed, coalesce(off_path, 0) AS off_path, coalesce(ta, 0) AS terms_any, best_rank, best,
     CASE WHEN cnt.conv_id IS NULL THEN 'missing' WHEN p.conv_id % 5 = 0 THEN 'filtered out' WHEN coalesce(prose, 0) = 0 THEN 'no indexed prose' WHEN len(terms) = 0 THEN 'filters only'
-        WHEN coalesce(ta, 0) > 0 AND coalesce(ti, 0) = 0 THEN 'only in unindexed kind' WHEN coalesce(ta, 0) = 0 THEN 'no term anywhere' WHEN best IS NULL THEN 'present but unmatched' WHEN off > 0 THEN 'ranked, off path too' ELSE 'ranked' END AS verdict
+        WHEN coalesce(ta, 0) > 0 AND coalesce(ti, 0) = 0 THEN 'only in unindexed kind' WHEN coalesce(ta, 0) = 0 THEN 'no term anywhere' WHEN best IS NULL THEN 'present but unmatched' WHEN coalesce(off_path, 0) > 0 THEN 'ranked, off path too' ELSE 'ranked' END AS verdict
     FROM pairs p LEFT JOIN cnt ON cnt.conv_id = p.conv_id LEFT JOIN th ON th.qid = p.qid AND th.conv_id = p.conv_id LEFT JOIN bs ON bs.qid = p.qid AND bs.conv_id = p.conv_id JOIN asked ON asked.qid = p.qid"""
 
 
@@ -508,17 +513,17 @@ def _explained(spark, sf_dir, pairs):
     found = stored(search.match(asks, indexed(spark, sf_dir)), "matches")
     pairs = pairs(asks, rows, found)
     convs = rows.select(F.col("conv_id").alias("id")).distinct()
-    return explain.run(pairs, asks, convs, rows, found, pairs.where("conv_id % 5 <> 0")).withColumn("best", r6("best"))
+    return explain.run(pairs, asks, convs, rows, found, pairs.where("conv_id % 5 <> 0"), NOW)
 
 
-@query(SEARCH + f""", pairs AS (SELECT qid, c AS conv_id FROM asked, (SELECT DISTINCT conv_id AS c FROM messages UNION SELECT -1) WHERE (qid + c) % 7 = 0 OR c = -1),
+@query(SEARCH + f""", pairs AS (SELECT x.qid - 100000 AS qid, m.conv_id FROM matches x JOIN messages m ON m.id = x.msg_id WHERE x.qid >= 100000 UNION SELECT qid, -1 FROM asked),
     {VERDICTS}""")
 def explained_pairs(spark, sf_dir):
-    # A stated part of the combinations, by equality on the remainder that a conversation lacks to a multiple of seven, and one
-    # unknown conversation for each query; explained_known_pairs takes its pairs from tables.
+    """Each query with every conversation that the next two words of its item match, and one unknown conversation for each query."""
+
     def pairs(asks, rows, found):
-        convs = rows.select("conv_id").distinct().withColumn("rest", F.pmod(-F.col("conv_id"), F.lit(7)))
-        return asks.select("qid", F.pmod("qid", F.lit(7)).alias("rest")).join(convs, "rest").select("qid", "conv_id").union(asks.select("qid", F.lit(-1).cast("long")))
+        nearby = found.where("qid >= 100000").join(rows.select(F.col("id").alias("msg_id"), "conv_id"), "msg_id").select((F.col("qid") - 100_000).alias("qid"), "conv_id")
+        return nearby.union(asks.select("qid", F.lit(-1).cast("long"))).distinct()
 
     return _explained(spark, sf_dir, pairs)
 

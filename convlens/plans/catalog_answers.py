@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from convlens.functions.text import tokenize
+from convlens.lineage import stored
 from convlens.operators import explain, facets, logfold, projects, sittings, timeline, transcript
 from convlens.plans import search
 from convlens.plans.catalog import (
+    EVERY_RANK,
     BLOCKS, CENSUS_NOW, GAP_MS, GROUPED, ISLANDS, KEPT_ALL, NOW, SEARCH, SEEDS, TIMELINE, TOKENS, TOPICS, _absorbed, _blocks, _log, _records, _spans, _topics, asked, found, indexed, query, r6,
 )
 from convlens.plans.catalog import QUERIES as ALL
@@ -84,16 +86,16 @@ def answer_envelopes(spark, sf_dir):
     return told.withColumn("rejected", F.array_join("rejected", ","))
 
 
-@query(SEARCH + f""", g AS (SELECT qid, conv_id - conv_id % 3 AS row_id, round(min(score) + 0.25 * (sum(score) - min(score)), 9) AS score, count(*) AS match_count, string_agg(seq + conv_id % 3 * 1000, ',' ORDER BY seq + conv_id % 3 * 1000) AS positions
-    FROM scored WHERE conv_id IN (SELECT conv_id FROM messages GROUP BY 1 HAVING count(*) >= 4) GROUP BY ALL), ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score, row_id) AS rank FROM g)
-    SELECT qid, rank::INT AS rank, row_id, round(score, 6) AS score, match_count, positions FROM ranked WHERE rank <= 20""")
+@query(SEARCH + f""", g AS (SELECT qid, conv_id - conv_id % 3 AS row_id, min(score) + 0.25 * (sum(score) - min(score)) AS score, count(*) AS match_count, string_agg(seq + conv_id % 3 * 1000, ',' ORDER BY seq + conv_id % 3 * 1000) AS positions
+    FROM scored WHERE conv_id IN (SELECT conv_id FROM messages GROUP BY 1 HAVING count(*) >= 4) GROUP BY ALL), ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9), row_id) AS rank FROM g)
+    SELECT qid, rank::INT AS rank, row_id, score, match_count, positions FROM ranked WHERE rank <= 20""")
 def sitting_search(spark, sf_dir):
     """Conversations in threes as sittings, those of four messages and more."""
     rows, c = messages(spark, sf_dir), F.col("conv_id")
     keep = rows.groupBy("conv_id").count().where(F.col("count") >= 4)
     groups = rows.select("conv_id").distinct().select("conv_id", (c - c % 3).alias("group_id"), (c % 3 * 1000).alias("message_offset"))
     found = search.grouped(search.match(asked(spark, sf_dir), indexed(spark, sf_dir)), rows, NOW, 20, groups=groups, keep=keep)
-    return found.select("qid", "rank", "row_id", r6("score").alias("score"), "match_count", F.array_join(F.transform("positions", lambda p: p.cast("string")), ",").alias("positions"))
+    return found.select("qid", "rank", "row_id", "score", "match_count", F.array_join(F.transform("positions", lambda p: p.cast("string")), ",").alias("positions"))
 
 
 @query(f"""WITH {ISLANDS}, m AS (SELECT *, max(ts_ms) OVER (PARTITION BY user_id, island) AS ended, row_number() OVER (PARTITION BY user_id, island ORDER BY ts_ms, id) AS n FROM i)
@@ -180,7 +182,7 @@ def segment_matches(spark, sf_dir):
 
 
 @query(SEARCH + """, p AS (SELECT DISTINCT x.qid, m.conv_id FROM matches x JOIN messages m ON m.id = x.msg_id), a AS (SELECT DISTINCT p.qid, conv_id, unnest(terms) AS term FROM p JOIN asked ON asked.qid = p.qid)
-    SELECT a.qid, a.conv_id, term, count(*) FILTER (kind <> 'reasoning' AND contains(lower(text), term)) AS indexed, count(*) FILTER (kind = 'reasoning' AND contains(lower(text), term)) AS unindexed FROM a JOIN messages m ON m.conv_id = a.conv_id GROUP BY ALL""")
+    SELECT a.qid, a.conv_id, term, count(*) FILTER (kind = 'prose' AND contains(lower(text), term)) AS indexed, count(*) FILTER (kind = 'reasoning' AND contains(lower(text), term)) AS unindexed FROM a JOIN messages m ON m.conv_id = a.conv_id GROUP BY ALL""")
 def explained_terms(spark, sf_dir):
     rows, asks = messages(spark, sf_dir), asked(spark, sf_dir)
     matched = search.match(asks, indexed(spark, sf_dir)).join(rows.select(F.col("id").alias("msg_id"), "conv_id"), "msg_id").select("qid", "conv_id")
@@ -190,7 +192,7 @@ def explained_terms(spark, sf_dir):
 @query(f"""WITH {KEPT_ALL}, t AS (SELECT * FROM ab WHERE NOT absorbed AND trim(q) <> '') SELECT (SELECT count(DISTINCT q) FROM t) AS needs, (SELECT count(*) FROM (SELECT DISTINCT q, conv_id FROM t WHERE kind = 'pick')) AS judgements,
     (SELECT count(DISTINCT q) FROM t WHERE kind = 'pick') AS answered, (SELECT count(*) FROM ab WHERE absorbed) AS keystrokes, (SELECT count(*) FROM ab WHERE trim(q) = '') AS browsed, (SELECT count(*) FROM log) - (SELECT count(*) FROM ab) AS driven, (SELECT count(*) FROM orders) AS spans""")
 def fold_summary(spark, sf_dir):
-    return logfold.summary(_log(spark, sf_dir), _spans(spark, sf_dir, 1), _absorbed(spark, sf_dir, 1))
+    return logfold.summary(_log(spark, sf_dir), _spans(spark, sf_dir, True), _absorbed(spark, sf_dir, True))
 
 
 @query(f"""WITH {TOPICS}, z AS (SELECT topic, count(DISTINCT id) AS n FROM h GROUP BY topic), e AS (SELECT count(*) AS n, (SELECT count(DISTINCT id) FROM h) AS tagged FROM documents)
@@ -215,13 +217,12 @@ def call_totals(spark, sf_dir):
     return projects.call_totals(calls, projects.call_detail(calls.withColumn("text", text))).withColumn("sidechain_share", r6("sidechain_share"))
 
 
-@query(SEARCH + """, r AS (SELECT qid, msg_id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9), msg_id) AS rank FROM matches)
-    SELECT qid, conv_id, min(rank)::INT AS rank, round(min(score), 6) AS score FROM r JOIN messages m ON m.id = msg_id WHERE rank <= 500 GROUP BY ALL""")
+@query(SEARCH + f""", {EVERY_RANK} SELECT qid, conv_id, min(rank)::INT AS rank, min(score) AS score FROM every_rank WHERE rank <= 500 GROUP BY ALL""")
 def explained_ranks(spark, sf_dir):
     rows = messages(spark, sf_dir)
-    hits = search.match(asked(spark, sf_dir), indexed(spark, sf_dir)).withColumn("score", F.round("score", 9))
+    hits = stored(search.match(asked(spark, sf_dir), indexed(spark, sf_dir)), "matches")
     pairs = hits.join(rows.select(F.col("id").alias("msg_id"), "conv_id"), "msg_id").select("qid", "conv_id")
-    return explain.best_ranks(pairs, hits, rows).withColumn("score", r6("score"))
+    return explain.best_ranks(pairs, hits, rows, NOW)
 
 
 @query(f"""WITH {BLOCKS}, g AS (SELECT *, conv_id - conv_id % 3 AS group_id, position + conv_id % 3 * 100000 AS place FROM blocks WHERE drawn), f AS (SELECT *, CASE WHEN lag(band) OVER (PARTITION BY group_id ORDER BY place) = band THEN 0 ELSE 1 END AS new FROM g),
@@ -253,5 +254,5 @@ def transcript_marks(spark, sf_dir):
     SELECT q, conv_id, count(*) AS picks, coalesce(string_agg(rank, ',' ORDER BY rank), '') AS ranks FROM p GROUP BY ALL""")
 def need_ranks(spark, sf_dir):
     i = F.col("id")
-    kept = _absorbed(spark, sf_dir, 1).withColumn("shown", F.array(i % 7, i % 5, i % 3))
+    kept = _absorbed(spark, sf_dir, True).withColumn("shown", F.array(i % 7, i % 5, i % 3))
     return logfold.need_ranks(kept).withColumn("ranks", F.array_join(F.transform("ranks", lambda r: r.cast("string")), ","))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from convlens.lineage import stored
 from convlens.operators import facets, filters, logfold, postings, projects
 from convlens.plans import report, search
-from convlens.plans.catalog import GROUPED, NOW, SEARCH, SEEDS, TOPICS, asked, found, indexed, query, r6
+from convlens.plans.catalog import GROUPED, NOW, SEARCH, SEEDS, TOPICS, asked, found, indexed, query
 from convlens.plans.catalog import QUERIES as ALL
 from convlens.plans.views import DOCUMENTS, MESSAGES, documents, messages, table
 
@@ -14,12 +15,13 @@ from convlens.plans.views import DOCUMENTS, MESSAGES, documents, messages, table
 DAY = 86_400_000
 
 
-@query(SEARCH + f""", {GROUPED}, n AS (SELECT x.qid, m.conv_id AS row_id, row_number() OVER (PARTITION BY x.qid, m.conv_id ORDER BY round(score, 9), x.msg_id) AS n, x.msg_id, score FROM
-    (SELECT qid, msg_id, score FROM matches) x JOIN messages m ON m.id = x.msg_id AND m.on_head_path JOIN (SELECT qid, row_id FROM ranked WHERE rank <= 20) r ON r.qid = x.qid AND r.row_id = m.conv_id) SELECT qid, row_id, n::INT AS n, msg_id, round(score, 6) AS score FROM n WHERE n <= 3""")
+@query(SEARCH + f""", {GROUPED}, n AS (SELECT x.qid, x.conv_id AS row_id, row_number() OVER (PARTITION BY x.qid, x.conv_id ORDER BY round(x.score, 9), x.msg_id) AS n, x.msg_id, x.score
+    FROM scored x JOIN (SELECT qid, row_id FROM ranked WHERE rank <= 20) r ON r.qid = x.qid AND r.row_id = x.conv_id) SELECT qid, row_id, n::INT AS n, msg_id, score FROM n WHERE n <= 3""")
 def nested_messages(spark, sf_dir):
+    """The three best messages of each shown row, by decayed score."""
     rows = messages(spark, sf_dir)
-    hits = search.match(asked(spark, sf_dir), indexed(spark, sf_dir)).withColumn("score", F.round("score", 9))
-    return search.nested(hits, rows, found(spark, sf_dir)).withColumn("score", r6("score"))
+    hits = stored(search.match(asked(spark, sf_dir), indexed(spark, sf_dir)), "matches")
+    return search.nested(hits, rows, search.grouped(hits, rows, NOW, 20), NOW)
 
 
 @query(SEARCH + f""", {GROUPED}, listed AS (SELECT id AS row_id, row_number() OVER (ORDER BY ended_at DESC NULLS LAST, id) AS rank FROM (SELECT conv_id AS id, max(ts_ms) AS ended_at FROM messages GROUP BY 1) QUALIFY rank <= 20)
@@ -38,17 +40,19 @@ def resolved_windows(spark, sf_dir):
     return filters.resolve_windows(table(spark, sf_dir, "benchmark").select(spec.alias("spec")), NOW, "UTC")
 
 
-@query(f"""WITH {DOCUMENTS}, w AS (SELECT id, ended_at AS a, ended_at + 90000 AS b FROM docs WHERE id % 3 = 0) SELECT id, coalesce(CASE WHEN a % {DAY} = 0 THEN strftime(make_timestamp(a * 1000), '%Y-%m-%d') ELSE strftime(make_timestamp(a * 1000), '%Y-%m-%dT%H:%M:%S') END, '') || '..' ||
+@query(f"""WITH {DOCUMENTS}, w AS (SELECT id, CASE WHEN id % 5 > 0 THEN ended_at // {DAY} * {DAY} END AS a, CASE WHEN id % 7 > 0 THEN ended_at + id % 4 * 3600000 END AS b FROM docs) SELECT id, coalesce(CASE WHEN a % {DAY} = 0 THEN strftime(make_timestamp(a * 1000), '%Y-%m-%d') ELSE strftime(make_timestamp(a * 1000), '%Y-%m-%dT%H:%M:%S') END, '') || '..' ||
     coalesce(CASE WHEN b % {DAY} = 0 THEN strftime(make_timestamp(b * 1000), '%Y-%m-%d') ELSE strftime(make_timestamp(b * 1000), '%Y-%m-%dT%H:%M:%S') END, '') AS label FROM w""")
 def window_labels(spark, sf_dir):
-    rows = documents(spark, sf_dir).where("id % 3 = 0")
-    return rows.select("id", filters.window_text(F.col("ended_at"), F.col("ended_at") + 90_000, "UTC").alias("label"))
+    """A window of every document, from a day's beginning to within some hours, open on either side for some; window_labels_all has them closed and short."""
+    at, i = F.col("ended_at"), F.col("id")
+    begins, ends = F.when(i % 5 > 0, F.floor(at / DAY) * DAY), F.when(i % 7 > 0, at + i % 4 * 3_600_000)
+    return documents(spark, sf_dir).select("id", filters.window_text(begins, ends, "UTC").alias("label"))
 
 
 @query(f"""WITH {DOCUMENTS}, w AS (SELECT id, ended_at AS a, ended_at + 90000 AS b FROM docs) SELECT id, coalesce(CASE WHEN a % {DAY} = 0 THEN strftime(make_timestamp(a * 1000), '%Y-%m-%d') ELSE strftime(make_timestamp(a * 1000), '%Y-%m-%dT%H:%M:%S') END, '') || '..' ||
     coalesce(CASE WHEN b % {DAY} = 0 THEN strftime(make_timestamp(b * 1000), '%Y-%m-%d') ELSE strftime(make_timestamp(b * 1000), '%Y-%m-%dT%H:%M:%S') END, '') AS label FROM w""")
 def window_labels_all(spark, sf_dir):
-    """Every document's window; window_labels holds the third of them that its SQL states."""
+    """Every document's window of a minute and a half."""
     return documents(spark, sf_dir).select("id", filters.window_text(F.col("ended_at"), F.col("ended_at") + 90_000, "UTC").alias("label"))
 
 
@@ -96,16 +100,16 @@ def corpus_report(spark, sf_dir):
 def search_snippets(spark, sf_dir):
     """The best message of each shown row with its snippet; tests hold the cutting against examples."""
     rows, asks = messages(spark, sf_dir), asked(spark, sf_dir)
-    hits = search.match(asks, indexed(spark, sf_dir))
-    top = search.nested(hits, rows, found(spark, sf_dir), 1).select("qid", "msg_id").join(rows.select(F.col("id").alias("msg_id"), "text"), "msg_id")
+    hits = stored(search.match(asks, indexed(spark, sf_dir)), "matches")
+    top = search.nested(hits, rows, search.grouped(hits, rows, NOW, 20), NOW, 1).select("qid", "msg_id").join(rows.select(F.col("id").alias("msg_id"), "text"), "msg_id")
     return search.snippets(top, search.marking_terms(asks))
 
 
 def marked_words(spark, sf_dir):
     """Byte spans of matching words in the best message of each shown row."""
     rows, asks = messages(spark, sf_dir), asked(spark, sf_dir)
-    hits = search.match(asks, indexed(spark, sf_dir))
-    top = search.nested(hits, rows, found(spark, sf_dir), 1).select("qid", "msg_id").join(rows.select(F.col("id").alias("msg_id"), "text"), "msg_id")
+    hits = stored(search.match(asks, indexed(spark, sf_dir)), "matches")
+    top = search.nested(hits, rows, search.grouped(hits, rows, NOW, 20), NOW, 1).select("qid", "msg_id").join(rows.select(F.col("id").alias("msg_id"), "text"), "msg_id")
     return search.match_spans(top, search.marking_terms(asks))
 
 

@@ -6,6 +6,8 @@ that are shown. A prefix meets the vocabulary by its own prefixes, never by comp
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 
 import pandas as pd
@@ -54,8 +56,11 @@ def query_terms(queries: DataFrame, stemmed: bool = False) -> DataFrame:
     return P.stem_terms(rows.where("not is_prefix")).select(*rows.columns).union(rows.where("is_prefix"))
 
 
-def term_matches(terms: DataFrame, postings: DataFrame) -> DataFrame:
-    """(term, is_prefix, msg_id, tf, df) of the distinct terms asked for. An underscore parts a term into words in a row."""
+def term_hits(terms: DataFrame, postings: DataFrame) -> DataFrame:
+    """(term, is_prefix, msg_id, tf) of the distinct terms asked for, written. An underscore parts a term into words in a row.
+
+    However many queries ask for a term, its postings are here once.
+    """
     asked = stored(terms.select("term", "is_prefix").distinct(), "terms")
     single = asked.where(~F.col("term").contains("_"))
     exact = single.where("not is_prefix").join(postings.select("term", "msg_id", "tf"), "term").select("term", "is_prefix", "msg_id", "tf")
@@ -69,7 +74,31 @@ def term_matches(terms: DataFrame, postings: DataFrame) -> DataFrame:
     hits = exact.unionByName(opened)
     if not asked.where(F.col("term").contains("_")).isEmpty():
         hits = hits.unionByName(_phrases(asked, postings))
-    return hits.join(hits.groupBy("term", "is_prefix").agg(F.count("*").alias("df")), ["term", "is_prefix"])
+    return stored(hits, "hits")
+
+
+def frequencies(hits: DataFrame) -> DataFrame:
+    """(term, is_prefix, df)"""
+    return hits.groupBy("term", "is_prefix").agg(F.count("*").alias("df"))
+
+
+def candidates(wanted: DataFrame, hits: DataFrame, known: DataFrame, most_heavy: int = 1000, least_heavy: int = 50_000, salts: int = 64) -> DataFrame:
+    """(qid, msg_id, term, is_prefix, times, tf, df): the messages of each query's rarest term, with that term.
+
+    wanted: (qid, term, is_prefix, times); known: ``frequencies`` of the hits, written. Queries with a term that nothing holds have none. Terms
+    with more than a ``most_heavy``-th of all hits are heavy, so there are fewer than ``most_heavy`` of them, which bounds what is
+    broadcast; their hits are dealt over ``salts`` parts, and the queries led by them are there once for each part.
+    """
+    own = wanted.join(known, ["term", "is_prefix"], "left")
+    lead = F.min_by(F.struct("term", "is_prefix", "times", "df"), F.struct("df", "term", "is_prefix")).alias("lead")
+    led = own.groupBy("qid").agg(lead, F.bool_and(F.col("df").isNotNull()).alias("all_held")).where("all_held").select("qid", "lead.*")
+    total = known.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    edge = max(least_heavy, total // most_heavy)
+    heavy = known.where(F.col("df") > edge).select("term", "is_prefix", F.lit(True).alias("heavy"))
+    spread = hits.join(F.broadcast(heavy), ["term", "is_prefix"], "left")  # fewer than most_heavy rows
+    dealt = spread.withColumn("salt", F.when(F.col("heavy"), F.pmod(F.xxhash64("msg_id"), F.lit(salts)).cast("int")).otherwise(0)).drop("heavy")
+    asks = led.withColumn("salt", F.explode(F.when(F.col("df") > edge, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    return asks.join(dealt, ["term", "is_prefix", "salt"]).select("qid", "msg_id", "term", "is_prefix", "times", "tf", "df")
 
 
 def _phrases(asked: DataFrame, postings: DataFrame) -> DataFrame:
@@ -96,31 +125,46 @@ def decayed(score: Column, ts_ms: Column, now_ms: int, decay: float) -> Column:
 def match(queries: DataFrame, postings: DataFrame, field: str = "prose", stemmed: bool = False) -> DataFrame:
     """(qid, msg_id, score): messages with every distinct term of a query; each occurrence of a repeated term adds.
 
-    Postings are read several times and should be written (postings.write, or stored). stemmed: they hold stems, so terms are
-    stemmed too; a prefix, whose word is not complete, then opens stems.
+    Candidates are the messages of each query's rarest term; the other terms are looked up for those alone, by term and message, so
+    a common word is no hot key and costs no more than the rare one beside it. Postings are read several times and should be
+    written (postings.write, or stored). stemmed: they hold stems, so terms are stemmed too; a prefix, whose word is not
+    complete, then opens stems.
     """
     own = postings.where(F.col("field") == field)
     terms = query_terms(queries, stemmed)
-    hits = term_matches(terms, own).join(P.doc_stats(own).select("msg_id", "length"), "msg_id")
-    stats = P.field_stats(own).select("messages", "average_length")
-    scored = hits.crossJoin(F.broadcast(stats))  # one row
-    weight = bm25(F.col("tf"), F.col("df"), F.col("length"), F.col("messages"), F.col("average_length"))
-    weighted = scored.select("term", "is_prefix", "msg_id", weight.alias("weight"))
-    wanted = terms.groupBy("qid", "term", "is_prefix").agg(F.count("*").alias("times"))
+    hits = term_hits(terms, own)
+    known = stored(frequencies(hits), "frequencies")
+    wanted = stored(terms.groupBy("qid", "term", "is_prefix").agg(F.count("*").alias("times")), "wanted")
+    first = stored(candidates(wanted, hits, known), "candidates")
+    others = wanted.join(known, ["term", "is_prefix"])
+    lead = first.select("qid", F.col("term").alias("__term"), F.col("is_prefix").alias("__prefix"), "msg_id")
+    looked = lead.join(others, "qid").where((F.col("term") != F.col("__term")) | (F.col("is_prefix") != F.col("__prefix")))
+    held = looked.join(hits, ["term", "is_prefix", "msg_id"]).select(first.columns)
+    part = F.struct("term", "is_prefix", "tf", "df", "times")
+    met = first.unionByName(held).groupBy("qid", "msg_id").agg(F.array_sort(F.collect_list(part)).alias("parts"))  # no more than a query has terms
     need = wanted.groupBy("qid").agg(F.count("*").alias("need"))
-    met = wanted.join(weighted, ["term", "is_prefix"]).groupBy("qid", "msg_id").agg(F.sum(F.col("weight") * F.col("times")).alias("score"), F.count("*").alias("got"))
-    return met.join(need, "qid").where("got = need").select("qid", "msg_id", "score")
+    whole = met.join(need, "qid").where(F.size("parts") == F.col("need"))
+    lengths = P.doc_stats(own)
+    stats = lengths.groupBy("field").agg(F.count("*").alias("messages"), F.avg("length").alias("average_length")).select("messages", "average_length")
+    placed = whole.join(lengths.select("msg_id", "length"), "msg_id").crossJoin(F.broadcast(stats))  # one row
+    weight = lambda x: bm25(x["tf"], x["df"], F.col("length"), F.col("messages"), F.col("average_length")) * x["times"]
+    return placed.select("qid", "msg_id", F.aggregate("parts", F.lit(0.0), lambda total, x: total + weight(x)).alias("score"))
 
 
 def flat(matches: DataFrame, messages: DataFrame, now_ms: int, limit: int, decay: float = DECAY, off_path: bool = False) -> DataFrame:
     """The best messages of each query: qid, rank, msg_id, conv_id, score."""
     rows = messages if off_path else messages.where("on_head_path")
     joined = matches.join(rows.select(F.col("id").alias("msg_id"), "conv_id", "ts_ms"), "msg_id")
-    scored = joined.select("qid", "msg_id", "conv_id", F.round(decayed(F.col("score"), F.col("ts_ms"), now_ms, decay), DIGITS).alias("score"))
-    return ranked(scored, limit, ["score", "msg_id"])
+    scored = joined.select("qid", "msg_id", "conv_id", decayed(F.col("score"), F.col("ts_ms"), now_ms, decay).alias("score"))
+    return ranked(scored, limit, [best_first(), "msg_id"])
+
 
+def best_first(score: str = "score") -> Column:
+    """Scores in order, those alike to nine digits being ties; the scores themselves stay as they are."""
+    return F.round(score, DIGITS)
 
-def ranked(rows: DataFrame, limit: int, order: list[str]) -> DataFrame:
+
+def ranked(rows: DataFrame, limit: int, order: list[Column | str]) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).where(F.col("rank") <= limit)
 
 
@@ -146,18 +190,19 @@ def grouped(
     joined = matches.join(rows.select(F.col("id").alias("msg_id"), "conv_id", "seq", "ts_ms"), "msg_id")
     scored = joined.withColumn("score", decayed(F.col("score"), F.col("ts_ms"), now_ms, decay))
     if ceiling is not None:
-        scored = ranked(scored, ceiling, ["score", "msg_id"]).drop("rank")
+        scored = ranked(scored, ceiling, [best_first(), "msg_id"]).drop("rank")
     if groups is not None:
         scored = scored.join(groups, "conv_id", "left").withColumn("row_id", F.coalesce("group_id", "conv_id")).withColumn("position", F.col("seq") + F.coalesce("message_offset", F.lit(0)))
     else:
         scored = scored.withColumn("row_id", F.col("conv_id")).withColumn("position", F.col("seq"))
-    return ranked(group_scores(scored, repeat_weight).withColumn("score", F.round("score", DIGITS)), limit, ["score", "row_id"])
+    return ranked(group_scores(scored, repeat_weight), limit, [best_first(), "row_id"])
 
 
-def nested(matches: DataFrame, messages: DataFrame, shown: DataFrame, each: int = 3) -> DataFrame:
-    """The best messages within each shown row: qid, row_id, n, msg_id."""
-    own = matches.join(messages.where("on_head_path").select(F.col("id").alias("msg_id"), F.col("conv_id").alias("row_id")), "msg_id").join(shown.select("qid", "row_id"), ["qid", "row_id"])
-    return own.withColumn("n", F.row_number().over(Window.partitionBy("qid", "row_id").orderBy("score", "msg_id"))).where(F.col("n") <= each).select("qid", "row_id", "n", "msg_id", "score")
+def nested(matches: DataFrame, messages: DataFrame, shown: DataFrame, now_ms: int, each: int = 3, decay: float = DECAY) -> DataFrame:
+    """The best messages within each shown row, in the ranker's own order: qid, row_id, n, msg_id, score (decayed)."""
+    rows = messages.where("on_head_path").select(F.col("id").alias("msg_id"), F.col("conv_id").alias("row_id"), "ts_ms")
+    own = matches.join(rows, "msg_id").join(shown.select("qid", "row_id"), ["qid", "row_id"]).withColumn("score", decayed(F.col("score"), F.col("ts_ms"), now_ms, decay))
+    return own.withColumn("n", F.row_number().over(Window.partitionBy("qid", "row_id").orderBy(best_first(), "msg_id"))).where(F.col("n") <= each).select("qid", "row_id", "n", "msg_id", "score")
 
 
 def totals(matches: DataFrame, messages: DataFrame, limit: int, groups: DataFrame | None = None, ceiling: int | None = None) -> DataFrame:
@@ -169,7 +214,7 @@ def totals(matches: DataFrame, messages: DataFrame, limit: int, groups: DataFram
     rows = matches.join(messages.where("on_head_path").select(F.col("id").alias("msg_id"), "conv_id"), "msg_id")
     if ceiling is not None:
         counts = rows.groupBy("qid").agg((F.count("*") <= ceiling).alias("settled"))
-        rows = ranked(rows, ceiling, ["score", "msg_id"]).drop("rank").join(counts, "qid")
+        rows = ranked(rows, ceiling, [best_first(), "msg_id"]).drop("rank").join(counts, "qid")
     else:
         rows = rows.withColumn("settled", F.lit(True))
     if groups is not None:
@@ -242,23 +287,39 @@ def match_spans(shown: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def snippet(text: str, spans: list[tuple[int, int]], width: int = 160) -> tuple[str, list[tuple[int, int]]]:
-    """A window of ``width`` characters on the densest cluster of matches, the earliest of equals; spans in its characters."""
+    """A window of ``width`` characters on the densest cluster of matches, the earliest of equals; spans in its characters.
+
+    The window slides by two ends over the spans in order. A mark that the cut halves keeps the half that is shown.
+    """
     if not spans:
         return (text if len(text) <= width else text[: width - 1] + "…"), []
-    spans, best = sorted(spans), (0, 0, 0)
-    for i, (lo, _) in enumerate(spans):
-        inside = [s for s in spans[i:] if s[1] - lo <= width - 2]
-        if len(inside) > best[0]:
-            best = (len(inside), lo, inside[-1][1])
+    spans, best, last = sorted(spans), (0, 0, 0), 0
+    most = 0  # the latest end of spans up to ``last``; later spans begin later, and words do not overlap
+    for i, (lo, hi) in enumerate(spans):
+        if last < i:
+            last, most = i, 0
+        while last < len(spans) and spans[last][1] - lo <= width - 2:
+            most = spans[last][1]
+            last += 1
+        if last - i > best[0]:
+            best = (last - i, lo, most)
+    if not best[0]:  # no match fits: the first one is clipped
+        best = (1, *spans[0])
     _, lo, hi = best
     start = max(0, min((lo + hi) // 2 - width // 2, len(text) - width))
     start = max(0, min(start, lo - 1))
     end = min(len(text), start + width)
     left, right = "…" if start else "", "…" if end < len(text) else ""
-    body = text[start + len(left) : end - len(right)] if left or right else text[start:end]
-    shift = len(left) - (start + len(left))
-    kept = [(a + shift, b + shift) for a, b in spans if a >= start + len(left) and b <= end - len(right)]
-    return left + body + right, kept
+    first, past = start + len(left), end - len(right)
+    shift = len(left) - first
+    begin = bisect.bisect_left(spans, (first - max(b - a for a, b in spans), 0))
+    kept = []
+    for a, b in itertools.islice(spans, begin, None):
+        if a >= past:
+            break
+        if b > first:
+            kept.append((max(a, first) + shift, min(b, past) + shift))
+    return left + text[first:past] + right, kept
 
 
 def snippets(shown: DataFrame, terms: DataFrame, width: int = 160) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from convlens.functions.text import html_to_text, squeeze
 from convlens.functions.titles import clipped_title, rollout_title, session_title
 from convlens.operators.model import reparent
+from convlens.operators.walks import preorder
 from convlens.sources.events import lines
 
 # Names that stand for no model, and the keys that hold text in an object, first one wins.
@@ -235,7 +236,7 @@ TOOL_CONTENT = ["execution_output", "tether_quote", "tether_browsing_display", "
 def chat_export(spark: SparkSession, path: str, source: str = "chat-export") -> tuple[DataFrame, DataFrame]:
     """Conversations as maps of nodes, walked before their children from sorted roots, then what no root reaches, by id.
 
-    Depth-first order comes from positions: a node's subtree sizes are summed level by level, so no path is carried along.
+    Depth-first order comes from ``walks.preorder``: no conversation is gathered in one row or task.
     """
     root = files(spark, path).withColumn("v", F.try_parse_json("content"))
     kind, listed = F.schema_of_variant("v"), _part(F.col("v"), "$.conversations")
@@ -248,7 +249,7 @@ def chat_export(spark: SparkSession, path: str, source: str = "chat-export") ->
     links = nodes.select("native_id", "node", F.posexplode(F.try_variant_get(n, "$.children", "array<string>")).alias("ord", "child"))
     first_link = links.groupBy("native_id", F.col("child").alias("node")).agg(F.min_by(F.struct(F.col("node").alias("up"), "ord"), F.struct("node", "ord")).alias("l")).select("native_id", "node", "l.up", "l.ord")
     placed = nodes.select("native_id", "node").join(first_link, ["native_id", "node"], "left")
-    walked = _preorder(placed)
+    walked = preorder(placed, "native_id")
     m = _part(n, "$.message")
     facts = nodes.select(
         "native_id", "node", text_of(m, "$.author.role").alias("r"), F.coalesce(text_of(m, "$.content.content_type"), F.lit("")).alias("ctype"), F.coalesce(text_of(m, "$.recipient"), F.lit("all")).alias("to"),
@@ -280,38 +281,6 @@ def chat_export(spark: SparkSession, path: str, source: str = "chat-export") ->
     return _finish(source, _heads(named, custom=F.col("title"), first_user=F.col("said"), declared_model=F.col("declared"), head=F.col("head")), rows)
 
 
-def _preorder(placed: DataFrame) -> DataFrame:
-    """(native_id, node, up, walk): the depth-first place of nodes. placed: native_id, node, up, ord; cycles are cut at their least id.
-
-    A conversation's nodes are one row's array here; the walk is a fold over that array with a stack.
-    """
-    cell = F.struct(F.col("node"), F.col("up"), F.col("ord"))
-    listed = placed.groupBy("native_id").agg(F.sort_array(F.collect_list(cell)).alias("cells"))
-
-    import pandas as pd
-
-    def walk(frames):
-        for frame in frames:
-            out = []
-            for conv, cells in zip(frame["native_id"], frame["cells"]):
-                children: dict[str, list] = {}
-                ups = {x["node"]: x["up"] for x in cells}
-                for x in cells:
-                    children.setdefault(x["up"] if x["up"] in ups else None, []).append((x["ord"] if x["ord"] == x["ord"] and x["ord"] is not None else 0, x["node"]))
-                done: dict[str, str | None] = {}
-                for start in [*[node for _, node in sorted(children.get(None, []), key=lambda c: c[1])], *sorted(ups)]:
-                    stack = [(start, None)]
-                    while stack:
-                        node, up = stack.pop()
-                        if node not in done:
-                            done[node] = up
-                            stack += [(child, node) for _, child in sorted(children.get(node, []), reverse=True)]
-                out += [(conv, node, up, i) for i, (node, up) in enumerate(done.items())]
-            yield pd.DataFrame(out, columns=["native_id", "node", "up", "walk"])
-
-    return listed.mapInPandas(walk, "native_id string, node string, up string, walk int")
-
-
 def session_json(spark: SparkSession, path: str, source: str = "session-json") -> tuple[DataFrame, DataFrame]:
     """One object with sessionId and messages; all prose, in a chain."""
     v, x = F.col("v"), F.col("x")
