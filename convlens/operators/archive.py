@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+from collections.abc import Callable, Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from convlens.lineage import stored
 
 PREFIX_BYTES = 65_536
 DAY_MS = 86_400_000
@@ -34,14 +41,128 @@ def metadata_diff(listing: DataFrame, manifest: DataFrame) -> DataFrame:
     return joined.withColumn("change", change)
 
 
-def diff(listing: DataFrame, manifest: DataFrame, contents: DataFrame) -> DataFrame:
-    """(source, path, change): new, same, appended, rewritten or vanished. contents: (source, path, content), read for 'look' alone."""
-    first = metadata_diff(listing, manifest)
-    begun = contents.select("source", "path", F.length("content").alias("length"), F.substring("content", 1, PREFIX_BYTES).alias("content"))  # a prefix is no longer
-    look = first.where("change = 'look'").join(begun, ["source", "path"])
-    equal = F.sha2(F.substring("content", F.lit(1), F.col("prefix_len").cast("int")), 256) == F.col("prefix_hash")
-    judged = look.select("source", "path", F.when((F.col("length") >= F.col("prefix_len")) & equal, F.when(F.col("size") == F.col("old_size"), "same").otherwise("appended")).otherwise("rewritten").alias("judged"))
-    return first.join(judged, ["source", "path"], "left").select("source", "path", "size", "mtime_ms", "old_size", F.coalesce("judged", "change").alias("change"))
+def open_head(path: str, n: int) -> bytes:
+    """The first ``n`` bytes of a file, by a range read from wherever the path's scheme says."""
+    from urllib.parse import quote
+
+    from pyarrow import fs
+
+    scheme, _, rest = path.partition(":")
+    if scheme in ("", "file") or "/" in scheme:
+        own, at = fs.LocalFileSystem(), "/" + (rest if scheme == "file" else path).lstrip("/")
+    else:
+        own, at = fs.FileSystem.from_uri(quote(path, safe=":/"))
+    with own.open_input_file(at) as f:
+        return f.read(n)
+
+
+HEADS = "source string, path string, head_len long, head_hash string, recorded_hash string, bytes_read long, error string"
+
+
+def read_heads(rows: DataFrame, head: Callable[[str, int], bytes] = open_head, most: int = PREFIX_BYTES) -> DataFrame:
+    """Per row (source, path, prefix_len or null): the hash of the file's first ``most`` bytes, and of as many as were recorded, from one read.
+
+    Only the files of these rows are opened, each for its head alone. A file that cannot be read has an ``error`` and no hash.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                try:
+                    data, error = head(r["path"], most), None
+                except OSError as x:
+                    data, error = None, str(x)
+                told = data is not None
+                old = r["prefix_len"]
+                recorded = hashlib.sha256(data[:old]).hexdigest() if told and old is not None and len(data) >= old else None
+                out.append((r["source"], r["path"], len(data) if told else None, hashlib.sha256(data).hexdigest() if told else None, recorded, len(data) if told else 0, error))
+            names = [part.split()[0] for part in HEADS.split(", ")]
+            kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 7, kinds)], names=names)
+
+    return rows.select("source", "path", "prefix_len").mapInArrow(run, HEADS)
+
+
+def scan(listing: DataFrame, manifest: DataFrame, head: Callable[[str, int], bytes] = open_head) -> DataFrame:
+    """(source, path, size, mtime_ms, old_size, change, prefix_len, prefix_hash, bytes_read) of every file listed or known.
+
+    listing: source, path, size, mtime_ms; manifest: the live state (op, source, path, size, mtime_ms, prefix_hash, prefix_len). Where size and time are as they
+    were nothing is opened. change: same, new, appended, rewritten, vanished, or unreadable, which is looked at again by the next scan.
+    """
+    first = stored(metadata_diff(listing, manifest), "metadata")
+    heads = stored(read_heads(first.where("change not in ('same', 'vanished')"), head), "heads")
+    joined = first.drop("prefix_len").withColumnRenamed("prefix_hash", "old_hash").join(heads, ["source", "path"], "left")
+    held = F.col("recorded_hash") == F.col("old_hash")
+    change = (
+        F.when(F.col("error").isNotNull(), "unreadable")
+        .when(F.col("change") != "look", F.col("change"))
+        .when(F.coalesce(held, F.lit(False)), F.when(F.col("size") == F.col("old_size"), "same").otherwise("appended"))
+        .otherwise("rewritten")
+    )
+    return joined.select(
+        "source", "path", "size", "mtime_ms", "old_size", change.alias("change"), F.col("head_len").alias("prefix_len"), F.col("head_hash").alias("prefix_hash"), F.coalesce("bytes_read", F.lit(0)).alias("bytes_read")
+    )
+
+
+EVENTS = "ts long, source string, path string, op string, size long, mtime_ms long, prefix_len long, prefix_hash string"
+
+
+def scan_events(changes: DataFrame, now_ms: int) -> DataFrame:
+    """Manifest events of a scan: what is new, appended to or rewritten with its fingerprint, and what vanished."""
+    gone = F.col("change") == "vanished"
+    told = changes.where(F.col("change").isin("new", "appended", "rewritten", "vanished"))
+    fields = [F.when(~gone, F.col(c)).alias(c) for c in ("size", "mtime_ms", "prefix_len", "prefix_hash")]
+    return told.select(F.lit(now_ms).cast("long").alias("ts"), "source", "path", F.col("change").alias("op"), *fields)
+
+
+def append_scan(events: DataFrame, log: str, scan_id: str) -> bool:
+    """A scan's events added to the log as one, by month; False, and nothing added, where the log has the scan already.
+
+    They are written beside the log and moved into it, so a scan is there as a whole or not at all.
+    """
+    spark = events.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    to = jvm.org.apache.hadoop.fs.Path(f"{log}/scan={scan_id}")
+    fs = to.getFileSystem(conf)
+    if fs.exists(to):
+        return False
+    beside = jvm.org.apache.hadoop.fs.Path(f"{log}/_adding-{uuid.uuid4().hex}")
+    append_events(events, beside.toString())
+    fs.mkdirs(beside)
+    if not fs.exists(to) and fs.rename(beside, to):
+        return True
+    fs.delete(beside, True)
+    return False
+
+
+def manifest_events(spark: SparkSession, log: str) -> DataFrame:
+    """All events of the log with ``scan`` and ``period``; none where there is no log yet."""
+    schema = T.StructType.fromDDL(EVENTS + ", scan string, period string")
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{log}/scan=*")
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
+    if not found:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", log).json(f"{log}/scan=*")
+
+
+def rescan(listing: DataFrame, log: str, scan_id: str, now_ms: int, head: Callable[[str, int], bytes] = open_head) -> DataFrame:
+    """The closed loop: the log's state, what has changed since, and that appended to the log. Gives the changes, as ``scan`` does."""
+    state = current(manifest_events(listing.sparkSession, log), ["source", "path"], ["ts", "scan"])
+    changes = stored(scan(listing, state, head), "changes")
+    append_scan(scan_events(changes, now_ms), log, scan_id)
+    return changes
+
+
+def occupancy(files: DataFrame, changes: DataFrame) -> DataFrame:
+    """Per source what it holds and how it changed: files, apparent and allocated bytes (whole blocks of 4 KiB where the listing has no allocated_bytes), bytes to capture.
+
+    files: source, path, size[, allocated_bytes]; changes: source, path, change, size, old_size.
+    """
+    taken = F.col("allocated_bytes") if "allocated_bytes" in files.columns else F.ceil(F.col("size") / 4096) * 4096
+    held = files.groupBy("source").agg(F.count("*").alias("files"), F.sum("size").alias("apparent_bytes"), F.sum(taken).cast("long").alias("allocated_bytes"))
+    return held.join(change_summary(changes), "source", "full_outer").fillna(0)
 
 
 def change_summary(changes: DataFrame) -> DataFrame:
@@ -94,7 +215,7 @@ def table_diff(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def files(spark, root: str, glob: str = "*") -> DataFrame:
-    """path, size, mtime_ms of every file below root; the content stays unread until it is selected."""
+    """path, size, mtime_ms of every file below root that is not empty, as Spark lists them; the content stays unread until it is selected."""
     rows = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(root)
     return rows.select("path", F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime_ms"), "content")
 

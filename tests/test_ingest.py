@@ -181,16 +181,148 @@ def test_tolerant_logs_and_tables(spark, tmp_path):
     assert [p.name for p in (tmp_path / "ev").glob("period=*")] == ["period=2026-01"]
 
 
-def test_archive_diff_reads_only_what_changed(spark, tmp_path):
+def test_archive_scan_reads_only_what_changed(spark, tmp_path):
+    """As files on disk: what is the same by size and time may be unreadable, heads alone are read, and what cannot be read is told."""
     import hashlib
 
     sha = lambda b: hashlib.sha256(b).hexdigest()
-    old = [("s", "same", 3, 1, "x", 3), ("s", "grown", 3, 1, sha(b"abc"), 3), ("s", "touched", 3, 1, sha(b"abc"), 3), ("s", "rewritten", 3, 1, sha(b"abc"), 3), ("s", "shrunk", 9, 1, "x", 9), ("s", "gone", 1, 1, "x", 1)]
-    now = [("s", "same", 3, 1, None), ("s", "grown", 6, 2, b"abcdef"), ("s", "touched", 3, 2, b"abc"), ("s", "rewritten", 6, 2, b"xbcdef"), ("s", "shrunk", 2, 2, b"ab"), ("s", "fresh", 1, 2, b"z")]
-    manifest = spark.createDataFrame([("new", *r) for r in old], "op string, source string, path string, size long, mtime_ms long, prefix_hash string, prefix_len long")
-    listing = spark.createDataFrame(now, "source string, path string, size long, mtime_ms long, content binary")
-    got = {r["path"]: r["change"] for r in archive.diff(listing.drop("content"), manifest, listing.select("source", "path", "content")).collect()}
-    assert got == {"same": "same", "grown": "appended", "touched": "same", "rewritten": "rewritten", "shrunk": "rewritten", "gone": "vanished", "fresh": "new"}
+    big = b"a" * 100_000
+    at = lambda name: f"{tmp_path}/{name}"
+    for name, data in {"grown": b"abcdef", "touched": b"abc", "rewritten": b"xbcdef", "shrunk": b"ab", "fresh": b"z", "long one": big + b"tail"}.items():
+        (tmp_path / name).write_bytes(data)
+    old = [("same", 3, 1, "x", 3), ("grown", 3, 1, sha(b"abc"), 3), ("touched", 3, 1, sha(b"abc"), 3), ("rewritten", 3, 1, sha(b"abc"), 3), ("shrunk", 9, 1, "x", 9), ("gone", 1, 1, "x", 1), ("lost", 3, 1, "x", 3), ("long one", 100_000, 1, sha(big[:65536]), 65536)]
+    now = [("same", 3, 1), ("grown", 6, 2), ("touched", 3, 2), ("rewritten", 6, 2), ("shrunk", 2, 2), ("fresh", 1, 2), ("lost", 4, 2), ("long one", 100_004, 2)]
+    manifest = spark.createDataFrame([("new", "s", at(n), *r) for n, *r in old], "op string, source string, path string, size long, mtime_ms long, prefix_hash string, prefix_len long")
+    listing = spark.createDataFrame([("s", at(n), *r) for n, *r in now], "source string, path string, size long, mtime_ms long")
+    got = {r["path"].rsplit("/", 1)[1]: r for r in archive.scan(listing, manifest).collect()}
+    assert {k: r["change"] for k, r in got.items()} == {"same": "same", "grown": "appended", "touched": "same", "rewritten": "rewritten", "shrunk": "rewritten", "gone": "vanished", "fresh": "new", "lost": "unreadable", "long one": "appended"}
+    assert {k: r["bytes_read"] for k, r in got.items()} == {"same": 0, "grown": 6, "touched": 3, "rewritten": 6, "shrunk": 2, "gone": 0, "fresh": 1, "lost": 0, "long one": 65536}
+    assert got["grown"]["prefix_hash"] == sha(b"abcdef") and got["long one"]["prefix_hash"] == sha(big[:65536])
+
+
+def test_archive_loop_closes(spark, tmp_path):
+    """Scan, append, scan again: no change the second time; a scan that is appended again adds nothing; each later change comes once."""
+    import os
+
+    root, log = tmp_path / "files", f"{tmp_path}/log"
+    root.mkdir()
+    for i in range(1, 21):
+        (root / f"f{i}.jsonl").write_bytes(b"line\n" * i)
+    listing = lambda: archive.files(spark, str(root)).select(F.lit("s").alias("source"), "path", "size", "mtime_ms")
+    counts = lambda df: {r["change"]: r["count"] for r in df.groupBy("change").count().collect()}
+    first = archive.rescan(listing(), log, "scan-1", 1_000)
+    assert counts(first) == {"new": 20} and archive.manifest_events(spark, log).count() == 20
+    assert counts(archive.rescan(listing(), log, "scan-2", 2_000)) == {"same": 20}
+    assert not archive.append_scan(archive.scan_events(first, 1_000), log, "scan-1") and archive.manifest_events(spark, log).count() == 20
+    with open(root / "f3.jsonl", "ab") as f:
+        f.write(b"more\n")
+    (root / "f4.jsonl").write_bytes(b"other text altogether")
+    (root / "f5.jsonl").unlink()
+    os.utime(root / "f3.jsonl", (2_000_000_000, 2_000_000_000))
+    os.utime(root / "f4.jsonl", (2_000_000_000, 2_000_000_000))
+    third = archive.rescan(listing(), log, "scan-3", 3_000)
+    assert counts(third) == {"same": 17, "appended": 1, "rewritten": 1, "vanished": 1}
+    assert third.agg(F.sum("bytes_read")).first()[0] == 20 + 21
+    assert counts(archive.rescan(listing(), log, "scan-4", 4_000)) == {"same": 19}
+    events = archive.manifest_events(spark, log)
+    assert {r["op"]: r["count"] for r in events.groupBy("op").count().collect()} == {"new": 20, "appended": 1, "rewritten": 1, "vanished": 1}
+    state = archive.current(events, ["source", "path"], ["ts", "scan"])
+    assert state.count() == 20 and state.where("op = 'vanished'").count() == 1
+    held = archive.occupancy(listing(), third).collect()[0]
+    assert (held["files"], held["appended"], held["vanished"]) == (19, 1, 1) and held["allocated_bytes"] >= held["apparent_bytes"] == sum(x.stat().st_size for x in root.iterdir())
+
+
+def test_commits_of_several_tables(spark, tmp_path):
+    """A failed or overtaken rebuild leaves the former version; upserts come once for each entry of a ledger and rewrite only their buckets."""
+    path = f"{tmp_path}/t"
+    msgs = lambda n: spark.createDataFrame([(f"m{i}", "c", False, "main", i) for i in range(n)], "id string, conv_id string, is_sidechain boolean, thread_key string, seq int")
+    convs = lambda t: spark.createDataFrame([("c", t)], "id string, title string")
+    told = lambda: (lambda c, m: (c.first()["title"], m.count()))(*tables.read(spark, path))
+    tables.write(convs("one"), msgs(3), path)
+    assert told() == ("one", 3)
+    held = tables.read(spark, path)
+    broken = msgs(5).withColumn("seq", F.expr("if(seq = 4, raise_error('no'), seq)").cast("int"))
+    with pytest.raises(Exception, match="no"):
+        tables.write(convs("two"), broken, path)
+    assert told() == ("one", 3)
+    seen = tables.pointer(spark, path)
+    tables.write(convs("three"), msgs(4), path)
+    assert told() == ("three", 4) and held[1].count() == 3  # who has the former version keeps it
+    with pytest.raises(tables.Conflict):
+        tables._commit(spark, path, seen, seen["commit"])
+    assert len(tables.vacuum(spark, path, older_than_s=-10)) == 2 and told() == ("three", 4)
+
+    path = f"{tmp_path}/u"
+    rows = lambda *r: {"x": spark.createDataFrame(r, "file string, v long")}
+    every = lambda: sorted(map(tuple, tables.load(spark, path, "x").collect()))
+    assert tables.upsert(spark, path, rows(*[(f"f{i}", i) for i in range(30)]), "a", 0, buckets=8)
+    before = tables.pointer(spark, path)["tables"]["x"]
+    assert not tables.upsert(spark, path, rows(("f1", 99)), "a", 0, buckets=8)
+    assert tables.upsert(spark, path, rows(("f1", 7), ("f1", 8), ("new", 1)), "a", 1, buckets=8)
+    assert every() == sorted([(f"f{i}", i) for i in range(30) if i != 1] + [("f1", 7), ("f1", 8), ("new", 1)])
+    after = tables.pointer(spark, path)["tables"]["x"]
+    assert set(before) <= set(after) and 1 <= sum(before.get(b) != v for b, v in after.items()) <= 2
+    assert tables.upsert(spark, path, rows(("f1", 5)), "b", 0, buckets=8) and (("f1", 5) in every()) and (("f1", 7) not in every())
+
+
+def test_preorder_of_random_forests(spark):
+    """Roots, children out of order, unknown parents, cycles and what hangs from them, against a walk with a stack."""
+    import random
+
+    from convlens.operators import walks
+
+    def walked(cells):
+        children, ups = {}, {n: u for n, u, _ in cells}
+        for node, up, ord_ in cells:
+            children.setdefault(up if up in ups else None, []).append((ord_ or 0, node))
+        done = {}
+        for start in [*sorted(n for _, n in children.get(None, [])), *sorted(ups)]:
+            stack = [(start, None)]
+            while stack:
+                node, up = stack.pop()
+                if node not in done:
+                    done[node] = up
+                    stack += [(child, node) for _, child in sorted(children.get(node, []), reverse=True)]
+        return {(node, up, i) for i, (node, up) in enumerate(done.items())}
+
+    pick, rows, want = random.Random(6), [], {}
+    for conv in range(40):
+        n = pick.choice([1, 2, 5, 30, 60])
+        names = [f"n{i:02d}" for i in pick.sample(range(100), n)]
+        up = lambda i: pick.choice([None, "lost", *names]) if conv % 3 == 0 else pick.choice([None, *names[:i]]) if conv % 3 == 1 else (names[i - 1] if i else None)  # noqa: E731, B023
+        cells = [(name, up(i), pick.choice([0, 1, 2, None])) for i, name in enumerate(names)]
+        rows += [(f"c{conv}", *c) for c in cells]
+        want[f"c{conv}"] = walked(cells)
+    out = walks.preorder(spark.createDataFrame(rows, "native_id string, node string, up string, ord int"), "native_id")
+    got = {}
+    for r in out.collect():
+        got.setdefault(r["native_id"], set()).add((r["node"], r["up"], r["walk"]))
+    assert got == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_fork_cycles_are_errors(spark):
+    rows = [(1, 2), (2, 3), (3, 1), (4, 1), (5, None), (6, 5)]
+    with pytest.raises(ValueError, match="cycle"):
+        model.fork_tree(spark.createDataFrame(rows, "id long, forked_from long"))
+    assert model.fork_tree(spark.createDataFrame(rows[4:], "id long, forked_from long")).count() == 2
+
+
+def test_snippets_of_very_many_matches_and_halved_marks():
+    import time
+
+    from convlens.plans import search
+
+    text, began = "foo " * 100_000, time.time()
+    body, marks = search.snippet(text, [(4 * i, 4 * i + 3) for i in range(100_000)])
+    assert time.time() - began < 5 and len(body) == 160 and len(marks) >= 39 and all(body[a:b] == "foo" for a, b in marks)
+    # A mark that the cut halves is clipped to what is shown, and one longer than the window as well.
+    body, marks = search.snippet("x" * 50 + "match" * 10 + "y" * 50, [(50, 100)], 30)
+    assert len(body) == 30 and len(marks) == 1 and set(body[slice(*marks[0])]) <= set("match") and marks[0][1] - marks[0][0] >= 28
+    text = "aa bb " + "z" * 40 + " cc"
+    body, marks = search.snippet(text, [(0, 2), (3, 5), (47, 49)], 20)
+    assert [body[a:b] for a, b in marks] == ["aa", "bb"]
 
 
 @pytest.mark.parametrize("n", [1, 2, 70])

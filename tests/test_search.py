@@ -128,3 +128,92 @@ def test_spans_of_many_words(spark):
     terms = spark.createDataFrame([(1, "ab", False), (1, "e", True)], "qid long, term string, is_prefix boolean")
     got = search.match_spans(shown, terms).agg(F.count("*"), F.max("end")).collect()[0]
     assert tuple(got) == (60_000, 7 * 30_000 - 2)
+
+
+def test_first_join_does_not_grow_with_the_commonest_term(spark):
+    """Candidates are the messages of the rarest term, however common the other one is, also where it is dealt out as heavy."""
+    from convlens.lineage import stored
+    from convlens.operators import postings
+
+    for common in (200, 2_000):
+        docs = [(i, "prose", "every " + ("rare" if i % 100 == 0 else "usual") + (" alone" if i == 3 else "")) for i in range(common)]
+        index = stored(postings.build(spark.createDataFrame(docs, "id long, kind string, text string")), "postings")
+        asks = search.prepare_queries(spark.createDataFrame([(q, "every alone ") for q in range(50)] + [(90, "every "), (91, "every nowhere "), (92, "usual every usu")], "qid long, q string"))
+        terms = search.query_terms(asks)
+        hits = search.term_hits(terms, index)
+        known = stored(search.frequencies(hits), "known")
+        wanted = terms.groupBy("qid", "term", "is_prefix").agg(F.count("*").alias("times"))
+        rows = {n: search.candidates(wanted.where(f"qid {n}"), hits, known, 4, 10, 8).count() for n in ("< 90", "= 90", "= 91")}
+        assert rows == {"< 90": 50, "= 90": common, "= 91": 0}
+        got = search.match(asks, index).groupBy("qid").count().collect()
+        assert {r["qid"]: r["count"] for r in got} == {**{q: 1 for q in range(50)}, 90: common, 92: common - common // 100}
+
+
+def test_sittings_of_one_island_over_many_ranges(spark):
+    """A key that never pauses is counted range by range: places, sums and opener are those of one window over all of it."""
+    import random
+
+    from convlens.operators import sittings
+
+    pick = random.Random(2)
+    rows, at = [], {k: 0 for k in ("a", "b", None)}
+    for i in range(900):
+        key = pick.choice(["a", "a", "b", None])
+        at[key] += pick.choice([0, 1, 60_000, 1_700_000]) if key == "a" else pick.choice([0, 1_700_000, 1_800_000, 40_000_000])
+        rows.append((i, key, at[key], pick.randrange(9)))
+    rows.append((1000, "a", None, 5))
+    df = spark.createDataFrame(rows, "id long, cwd string, ended_at long, msg_count long")
+    want = set()
+    for key in at:
+        sitting, last = [], None
+        for i, k, t, n in [*sorted((r for r in rows if r[1] == key and r[2] is not None), key=lambda r: (r[2], r[0])), (None, key, 10**15, 0)]:
+            if last is not None and t - last >= 1_800_000 or i is None:
+                if len(sitting) > 1:
+                    told = 0
+                    for place, (j, m) in enumerate(sitting):
+                        want.add((key, j, sitting[0][0], len(sitting), place + 1, told))
+                        told += m
+                sitting = []
+            sitting.append((i, n))
+            last = t
+    got = sittings.build(df, ["cwd"], span_ms=3_600_000)
+    assert {(r["cwd"], r["id"], r["sitting_id"], r["members"], r["position"], r["message_offset"]) for r in got.collect()} == want
+    allowed = sittings.build(df, ["cwd"], span_ms=3_600_000, allow=spark.createDataFrame([("b",)], "cwd string"))
+    assert {r["id"] for r in allowed.collect()} == {w[1] for w in want if w[0] == "b"}
+    one = next(w for w in want if w[4] == 2)
+    found = sittings.resolve(got, spark.createDataFrame([(one[1],), (1000,)], "id long")).collect()
+    assert {r["member"] for r in found if r["id"] == one[1]} == {w[1] for w in want if w[2] == one[2] and w[0] == one[0]}
+    assert [(r["sitting_id"], r["member"], r["position"]) for r in found if r["id"] == 1000] == [(1000, 1000, 1)]
+
+
+def test_union_of_spans_against_brute_force(spark):
+    """Overlapping, touching, nested, empty and year-long spans: events outside are those of plain comparison, and a day's pieces are disjoint."""
+    import random
+
+    from convlens.operators import logfold
+
+    pick, day = random.Random(9), 86_400_000
+    spans = [(a, a + pick.choice([0, -5, 1, 3_600_000, 20 * 3_600_000, 30 * 3_600_000, 3 * day])) for a in (pick.randrange(40 * day) for _ in range(60))]
+    spans += [(a, a + day) for a in (50 * day, 51 * day, 51 * day + 1)] + [(60 * day + 5, 60 * day + 10), (60 * day + 10, 60 * day + 20), (100 * day + 7, 465 * day + 7)] * 3
+    edges = [x + d for s in spans for x in s for d in (-1, 0, 1)]
+    log = [(i, t) for i, t in enumerate(edges + [pick.randrange(500 * day) for _ in range(500)] + [None])]
+    frame = spark.createDataFrame(spans, "from_ms long, until_ms long")
+    out = logfold.exclude_spans(spark.createDataFrame(log, "id long, ts_ms long"), frame)
+    assert out.columns == ["id", "ts_ms"]
+    assert {r["id"] for r in out.collect()} == {i for i, t in log if t is None or not any(a <= t < b for a, b in spans)}
+    whole, pieces = logfold.merge_spans(frame)
+    days, parts = [r["day"] for r in whole.collect()], [(r["day"], r["from_ms"], r["until_ms"]) for r in pieces.collect()]
+    assert len(days) == len(set(days)) and not set(days) & {d for d, _, _ in parts}
+    for d in {p[0] for p in parts}:
+        own = sorted(p[1:] for p in parts if p[0] == d)
+        assert all(a[1] < b[0] for a, b in zip(own, own[1:])) and all(d * day <= a < b <= (d + 1) * day for a, b in own)
+
+
+def test_explained_terms_search_a_text_once(spark):
+    from convlens.operators import explain
+
+    messages = spark.createDataFrame([(1, "c", "prose", "Alpha beta"), (2, "c", "reasoning", "alpha"), (3, "c", "tool_call", "alpha gamma")], "id long, conv_id string, kind string, text string")
+    asks = search.prepare_queries(spark.createDataFrame([(q, "alpha gamma ") for q in range(30)], "qid long, q string"))
+    pairs = asks.select("qid", F.lit("c").alias("conv_id"))
+    got = explain.term_hits(pairs, asks, messages).collect()
+    assert len(got) == 60 and {(r["term"], r["indexed"], r["unindexed"]) for r in got} == {("alpha", 1, 1), ("gamma", 0, 0)}

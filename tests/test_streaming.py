@@ -97,3 +97,80 @@ def test_absorption_of_null_texts_and_late_events(spark, tmp_path):
     out = {r["id"] for r in result(spark, tmp_path, jobs.absorbed(stream, "user_id", "1 hour", 6 * 3_600_000)).collect()}
     # 9 goes on to 10, which came before it; 8 does not; nothing goes on from a null text.
     assert out == {1, 2, 3, 8, 10}
+
+
+def test_live_state_is_that_of_the_batch_and_forgets(spark, tmp_path):
+    """Keys that fell silent leave the state, late rows are counted, and the newest row of every key is that of the batch without them."""
+    schema = "user long, at timestamp, n long, v string"
+    hour = 3_600_000
+    said = lambda *r: [(u, h * hour, n, v) for u, h, n, v in r]
+    batches = [
+        said(*[(u, 1, u, "a") for u in range(50)]),
+        said((1, 3, 100, "b"), (2, 2, 101, "c"), (2, 2, 99, "older")),
+        said((100, 30, 200, "far")),
+        said((101, 31, 201, "on"), (5, 1, 999, "late"), (6, 2, 998, "late")),
+        said((102, 32, 202, "end")),
+    ]
+    for i, rows in enumerate(batches):
+        frame = spark.createDataFrame(rows, "user long, ms long, n long, v string").select("user", F.timestamp_millis("ms").alias("at"), "n", "v")
+        frame.coalesce(1).write.parquet(f"{tmp_path}/in/b{i}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    seen = {}
+
+    def keep(df, _):
+        for r in df.collect():
+            seen[r["user"]] = (r["n"], r["v"])
+
+    own = stream.withColumn("ms", F.unix_millis("at"))
+    live = jobs.latest_live(own, ["user"], ["ms", "n"], {"user": "long", "ms": "long", "n": "long", "v": "string"}, "at", "1 hour", 4 * hour)
+    query = jobs.each_batch(live, keep, f"{tmp_path}/cp")
+    want = {u: (u, "a") for u in range(50)} | {1: (100, "b"), 2: (101, "c"), 100: (200, "far"), 101: (201, "on"), 102: (202, "end")}
+    assert seen == want
+    assert jobs.late_rows(query) == 2
+    rows = jobs.state_rows(query)
+    assert max(rows) >= 50 and rows[-1] <= 10
+
+
+def test_absorption_counts_late_events(spark, tmp_path):
+    schema = "user_id long, id long, ts_ms long, q string, source string"
+    for i, rows in enumerate([[(1, 1, 10_000_000, "se", "a")], [(2, 2, 20_000_000, "x", "a")], [(1, 3, 1_000, "late", "a"), (3, 4, 21_000_000, "y", "a")]]):
+        spark.createDataFrame(rows, schema).withColumn("at", F.timestamp_millis("ts_ms")).coalesce(1).write.parquet(f"{tmp_path}/log/b{i}")
+    stream = spark.readStream.schema(schema + ", at timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/log")
+    query = jobs.to_table(jobs.absorbed(stream, "user_id", "1 second", 1_000), f"{tmp_path}/out", f"{tmp_path}/cp")
+    assert jobs.late_rows(query) == 1
+    assert 3 not in {r["id"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+
+
+def test_streamed_ingest_is_the_batch_under_replay(spark, tmp_path):
+    """Files in several deliveries, one under two names, one that grows, and a batch that is replayed: the tables are those of one batch read."""
+    import json
+
+    from convlens.operators import model
+    from convlens.sources import tables, transcripts
+
+    def session(name, n, own):
+        told = [{"type": "user" if i % 2 == 0 else "assistant", "uuid": f"{own}-{i}", "parentUuid": f"{own}-{i - 1}" if i else None, "sessionId": own, "timestamp": f"2026-01-01T00:00:{i:02d}Z", "message": {"role": "user" if i % 2 == 0 else "assistant", "content": f"said {i} in {own}"}} for i in range(n)]
+        (tmp_path / "in" / name).write_text("\n".join(map(json.dumps, told)))
+
+    (tmp_path / "in").mkdir()
+    path, cp = f"{tmp_path}/tables", f"{tmp_path}/cp"
+    run = lambda: jobs.ingest(spark, f"{tmp_path}/in", path, cp, transcripts.session_jsonl, files_at_once=2, buckets=4)
+    for i in range(3):
+        session(f"s{i}.jsonl", 4 + i, f"own{i}")
+    assert run() == 2
+    session("t0.jsonl", 6, "own0")  # the same session under another name, gone on
+    session("s9.jsonl", 3, "own9")
+    assert run() == 1
+    assert run() == 0
+    told = tables.pointer(spark, path)
+    last = told["ledger"]["ingest"]
+    assert not jobs.take_in(spark, [f"{tmp_path}/in/s9.jsonl"], path, transcripts.session_jsonl, "ingest", last, 4)
+    assert tables.pointer(spark, path) == told
+
+    convs, msgs = jobs.ingested(spark, path)
+    heads, rows = transcripts.session_jsonl(spark, f"{tmp_path}/in")
+    columns = [c for c in heads.columns if c not in ("conv_id", "file")]
+    want_convs, want = model.merge_conversations(heads, ["file"], columns, "conv_id"), model.merge_messages(rows, ["file", "seq"])
+    told = lambda df: sorted((tuple(r) for r in df.select(sorted(df.columns)).collect()), key=str)
+    assert told(msgs) == told(want) and msgs.count() == 6 + 5 + 6 + 3
+    assert told(convs) == told(want_convs) and convs.count() == 4
