@@ -57,6 +57,12 @@ def pool(variants: dict[str, DataFrame], k: int) -> DataFrame:
     return reduce(DataFrame.unionByName, each).groupBy("qid", "conv_id").agg(F.min_by("variant", "no").alias("variant"))
 
 
+def pool_order(pooled: DataFrame, conversations: DataFrame, at: str = "ended_at") -> DataFrame:
+    """pooled with ``place`` from 1 within a query: newest conversation first, undated ones last, ties by id."""
+    dated = pooled.join(conversations.select(F.col("id").alias("conv_id"), F.col(at).alias("__at")), "conv_id", "left")
+    return dated.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc_nulls_last("__at"), "conv_id"))).drop("__at")
+
+
 def sweep(scored: DataFrame, grid: DataFrame, now_ms: int, grades: DataFrame, k: int = 10) -> DataFrame:
     """Reports over a small grid (decay, repeat_weight) in one job. scored: qid, conv_id, score, ts_ms, one row per matching message."""
     rows = scored.crossJoin(F.broadcast(grid))  # the grid is a handful of settings

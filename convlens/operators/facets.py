@@ -46,18 +46,18 @@ def date_census(conversations: DataFrame, now_ms: int, tz: str = "UTC") -> DataF
     return counts.selectExpr("stack(4, 'today', today, 'week', week, 'month', month, 'older', older) as (span, conversations)")
 
 
-def rail(queries: DataFrame, census: DataFrame, value: str, most: int = 1000) -> DataFrame:
+def rail(queries: DataFrame, census: DataFrame, value: str, most: int | None = None) -> DataFrame:
     """(qid, value, conversations, state) for each query and value: include, exclude (it wins) or off.
 
     queries: qid, include array<string>, exclude array<string>. A facet selects as its filter does: directories (``cwd``) that
-    contain what is asked for, other values that equal it in lower case. The rail shows the ``most`` frequent values, ties by
-    name, so what every query meets is bounded.
+    contain what is asked for, other values that equal it in lower case. A rail shows every value of its census, or the ``most`` frequent ones,
+    ties by name; sources are as many as there are readers, and directories are limited by their caller.
     """
     selects = (lambda x: F.lower(F.col(value)).contains(F.lower(x))) if value == "cwd" else (lambda x: F.col(value) == F.lower(x))
     has = lambda side: F.exists(side, selects)
     state = F.when(has("exclude"), "exclude").when(has("include"), "include").otherwise("off")
-    shown = census.orderBy(F.desc("conversations"), value).limit(most)
-    return queries.crossJoin(F.broadcast(shown)).select("qid", value, "conversations", state.alias("state"))
+    shown = census if most is None else F.broadcast(census.orderBy(F.desc("conversations"), value).limit(most))
+    return queries.crossJoin(shown).select("qid", value, "conversations", state.alias("state"))
 
 
 def directory_rail(queries: DataFrame, conversations: DataFrame, most: int = 12) -> DataFrame:

@@ -29,9 +29,10 @@ def project_of(conversations: DataFrame, scratch: str = SCRATCH, worktree: str =
 
 
 def rollup(conversations: DataFrame) -> DataFrame:
-    """Per project: n, first, last, dirs, sources (sorted, comma-joined)."""
+    """Per project: n, messages (where conversations have msg_count), first, last, dirs, sources (sorted, comma-joined)."""
+    told = [F.sum("msg_count").alias("messages")] if "msg_count" in conversations.columns else []
     return conversations.where("project is not null").groupBy("project").agg(
-        F.count("*").alias("n"), F.min("ended_at").alias("first_ms"), F.max("ended_at").alias("last_ms"), F.countDistinct("cwd").alias("dirs"),
+        F.count("*").alias("n"), *told, F.min("ended_at").alias("first_ms"), F.max("ended_at").alias("last_ms"), F.countDistinct("cwd").alias("dirs"),
         F.array_join(F.sort_array(F.collect_set("source")), ",").alias("sources"),
     )
 
@@ -159,13 +160,13 @@ def call_totals(calls: DataFrame, details: DataFrame) -> DataFrame:
 
 def act_mix(calls: DataFrame, acts: DataFrame) -> DataFrame:
     """(conv_id, act, calls, share): tools as look, change, run or steer by a small table (name, act); unknown ones run."""
-    named = calls.join(F.broadcast(acts), "name", "left").withColumn("act", F.coalesce("act", F.lit("run")))
+    named = calls.join(acts, "name", "left").withColumn("act", F.coalesce("act", F.lit("run")))
     counts = named.groupBy("conv_id", "act").agg(F.count("*").alias("calls"))
     return counts.withColumn("share", F.col("calls") / F.sum("calls").over(Window.partitionBy("conv_id")))
 
 
 def group_stats(annotated: DataFrame, keys: list[str]) -> DataFrame:
-    return annotated.groupBy(*keys).agg(F.count("*").alias("messages"), F.count_if("is_error").alias("failures"), F.count_if("question").alias("questions"), F.count_if("pause").alias("pauses"))
+    return annotated.groupBy(*keys).agg(F.count("*").alias("messages"), F.count_if("is_error").alias("failures"), F.count_if("question").alias("questions"), F.count_if("pause").alias("pauses"), *([F.count_if("compacted").alias("compactions")] if "compacted" in annotated.columns else []))
 
 
 def activity(rows: DataFrame, key: str, at: str, bars: int = 24, least: int = 3) -> DataFrame:

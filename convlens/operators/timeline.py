@@ -55,7 +55,7 @@ def query_totals(survivors: DataFrame, hits: DataFrame, searchable: DataFrame, a
     """
     own = hits.select("qid", "id", F.lit(1).alias("hit")).distinct()
     asks = searchable.select("qid", F.lit(True).alias("asks")).distinct()
-    joined = survivors.join(own, ["qid", "id"], "left").join(F.broadcast(asks), "qid", "left")
+    joined = survivors.join(own, ["qid", "id"], "left").join(asks, "qid", "left")
     return joined.groupBy("qid").agg(
         F.count("*").alias("survivors"), F.count_if(F.col(at).isNull()).alias("undated"), F.count_if("inside").alias("in_range"),
         F.count_if(F.col("inside") & (F.col("asks").isNull() | F.col("hit").isNotNull())).alias("total"),

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PAUSE_MS = 4 * 3_600_000
+# How a message begins that stands for a cut-off context, and the tools that ask the user.
+COMPACTED = "(?i)This session is being continued from a previous conversation that ran out of context|The summary below covers the earlier portion of the conversation"
+ASK_TOOLS = "request_user_input|AskUserQuestion"
 
 
 def band(role: Column, kind: Column) -> Column:
@@ -87,19 +90,26 @@ def segments(blocks: DataFrame) -> DataFrame:
 
 
 def annotate(blocks: DataFrame, pause_ms: int = PAUSE_MS) -> DataFrame:
-    """pause: silence beyond pause_ms since the last dated message; question: an agent's prose that ends in '?'."""
+    """pause: silence beyond pause_ms since the last dated message; question: an agent's prose that ends in '?', or a call of a tool that asks the user,
+    whose name is the text's first line; compacted: the text says that what went before was cut off."""
     before = Window.partitionBy("conv_id").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
     gap = F.col("ts_ms") - F.last("ts_ms", ignorenulls=True).over(before)
-    return blocks.withColumn("pause", F.coalesce(gap > pause_ms, F.lit(False))).withColumn("question", (F.col("band") == "agent") & F.rtrim("text").endswith("?"))
+    text = F.coalesce("text", F.lit(""))
+    asks = ((F.col("band") == "agent") & F.rtrim(text).endswith("?")) | ((F.col("kind") == "tool_call") & F.substring_index(text, "\n", 1).rlike(ASK_TOOLS))
+    return blocks.withColumn("pause", F.coalesce(gap > pause_ms, F.lit(False))).withColumn("question", asks).withColumn("compacted", text.rlike(COMPACTED))
 
 
 def downsample(blocks: DataFrame, width: int, rule: str = "priority") -> DataFrame:
-    """At most ``width`` cells of equal count: band by priority (prose, reasoning, tool) or majority, and the largest log length."""
+    """At most ``width`` cells of equal count: band by priority (prose, reasoning, tool) or majority, and the largest log length.
+
+    Where blocks have ``match`` or ``compacted``, a cell has it if any of its messages has.
+    """
+    flags = [F.bool_or(F.coalesce(c, F.lit(False))).alias(c) for c in ("match", "compacted") if c in blocks.columns]
     sized = blocks.withColumn("n", F.count("*").over(Window.partitionBy("conv_id")))
     cell = F.floor(F.col("position") * F.least("n", F.lit(width)) / F.col("n")).cast("int")
     rank = F.when(F.col("band").isin("user", "agent"), 3).when(F.col("band") == "reasoning", 2).otherwise(1)
     celled = sized.withColumn("cell", cell).withColumn("size", F.log10(F.length("text") + 1))
     if rule == "majority":
-        votes = celled.groupBy("conv_id", "cell", "band").agg(F.count("*").alias("votes"), F.max("size").alias("size"))
-        return votes.groupBy("conv_id", "cell").agg(F.max_by("band", F.struct("votes", "band")).alias("band"), F.max("size").alias("size"))
-    return celled.groupBy("conv_id", "cell").agg(F.max_by("band", F.struct(rank, -F.col("position"))).alias("band"), F.max("size").alias("size"))
+        votes = celled.groupBy("conv_id", "cell", "band").agg(F.count("*").alias("votes"), F.max("size").alias("size"), *flags)
+        return votes.groupBy("conv_id", "cell").agg(F.max_by("band", F.struct("votes", "band")).alias("band"), F.max("size").alias("size"), *flags)
+    return celled.groupBy("conv_id", "cell").agg(F.max_by("band", F.struct(rank, -F.col("position"))).alias("band"), F.max("size").alias("size"), *flags)

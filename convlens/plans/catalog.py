@@ -362,7 +362,7 @@ def segments(spark, sf_dir):
 
 @query(f"WITH {BLOCKS}, f AS (SELECT *, ts_ms - lag(ts_ms) OVER (PARTITION BY conv_id ORDER BY position) AS gap FROM blocks) SELECT conv_id % 10 AS project, count(*) AS messages, count(*) FILTER (is_error) AS failures, count(*) FILTER (band = 'agent' AND rtrim(text) LIKE '%?') AS questions, count(*) FILTER (gap > 120000) AS pauses FROM f GROUP BY 1")
 def group_statistics(spark, sf_dir):
-    return projects.group_stats(transcript.annotate(_blocks(spark, sf_dir), 120_000).withColumn("project", F.col("conv_id") % 10), ["project"])
+    return projects.group_stats(transcript.annotate(_blocks(spark, sf_dir), 120_000).withColumn("project", F.col("conv_id") % 10), ["project"]).drop("compactions")
 
 
 @query(f"""WITH {BLOCKS}, c AS (SELECT *, floor(position * least(n, 4) / n)::INT AS cell, CASE WHEN band IN ('user', 'agent') THEN 3 WHEN band = 'reasoning' THEN 2 ELSE 1 END AS rank FROM (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n FROM blocks))

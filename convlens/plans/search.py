@@ -9,6 +9,7 @@ from __future__ import annotations
 import bisect
 import itertools
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +19,7 @@ from pyspark.sql import types as T
 from convlens.functions.arrays import running
 from convlens.functions.text import fold, squeeze
 from convlens.lineage import stored
+from convlens.operators import filters
 from convlens.operators import postings as P
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -26,8 +28,12 @@ REPEAT_WEIGHT = 0.25
 DIGITS = 9  # of a score, so that sums in another order are still ties
 
 
-def prepare_queries(queries: DataFrame, known_sources: DataFrame | None = None) -> DataFrame:
-    """queries (qid, q[, sources array]) with terms in order and with repeats, last_is_prefix, mode and rejected source names."""
+def prepare_queries(queries: DataFrame, known_sources: DataFrame | None = None, now_ms: int | None = None, tz: str = "UTC") -> DataFrame:
+    """queries (qid, q[, sources, dirs, dates arrays]) with terms in order and with repeats, last_is_prefix, mode and, where filters are given, ``rejected``.
+
+    rejected: the filters that select nothing, sorted: sources that are not known, by name; blank directories, as 'dir:'; dates that name no window
+    (with ``now_ms``), as 'date:' and the text. Each distinct date is resolved once, whatever the number of queries.
+    """
     text = F.lower(F.coalesce("q", F.lit("")))
     terms = F.filter(F.split(text, r"[^\p{L}\p{N}_]+"), lambda t: t != "")
     open_end = F.coalesce(F.rlike("q", F.lit(r"[\p{L}\p{N}_]$")), F.lit(False))
@@ -35,10 +41,18 @@ def prepare_queries(queries: DataFrame, known_sources: DataFrame | None = None)
     out = queries.withColumn("terms", terms).withColumn("last_is_prefix", open_end & ((last >= 3) | (F.size("terms") > 1)))
     mode = F.when(F.size("terms") == 0, "empty").when((F.size("terms") == 1) & (last < 3) & open_end, "too_short").otherwise("searchable")
     out = out.withColumn("mode", mode)
-    if known_sources is None:
+    parts = []
+    if known_sources is not None:
+        parts.append(out.select("qid", F.explode("sources").alias("source")).join(known_sources.select("source").distinct(), "source", "left_anti").select("qid", F.col("source").alias("token")))
+    if "dirs" in queries.columns:
+        parts.append(out.select("qid", F.explode("dirs").alias("dir")).where(F.trim(F.coalesce("dir", F.lit(""))) == "").select("qid", F.lit("dir:").alias("token")))
+    if "dates" in queries.columns and now_ms is not None:
+        dates = out.select("qid", F.explode("dates").alias("spec"))
+        bad_dates = filters.resolve_windows(dates.select("spec").distinct(), now_ms, tz).where("rejected").select("spec")
+        parts.append(dates.join(bad_dates, "spec", "left_semi").select("qid", F.concat(F.lit("date:"), F.col("spec")).alias("token")))
+    if not parts:
         return out
-    named = out.select("qid", F.explode("sources").alias("source")).join(known_sources.select("source").distinct(), "source", "left_anti")
-    bad = named.groupBy("qid").agg(F.sort_array(F.collect_set("source")).alias("rejected"))
+    bad = reduce(DataFrame.unionByName, parts).groupBy("qid").agg(F.sort_array(F.collect_set("token")).alias("rejected"))
     return out.join(bad, "qid", "left").withColumn("rejected", F.coalesce("rejected", F.expr("cast(array() as array<string>)")))
 
 

@@ -89,11 +89,15 @@ def pointer_or_new(spark: SparkSession, path: str) -> dict:
         return pointer(spark, path)
 
 
-def write(conversations: DataFrame, messages: DataFrame, path: str) -> str:
-    """Both tables in one commit: messages lie in ranges of conversations, in reading order; a large conversation is several files."""
+def laid_out(messages: DataFrame) -> DataFrame:
+    """Messages in ranges of conversations, in reading order; a large conversation is several ranges."""
     order = ["conv_id", "is_sidechain", "thread_key", "seq"]
-    laid = messages.repartitionByRange(*order).sortWithinPartitions(*order)
-    return publish(conversations.sparkSession, path, {"conversation": conversations, "message": laid})
+    return messages.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def write(conversations: DataFrame, messages: DataFrame, path: str) -> str:
+    """Both tables in one commit."""
+    return publish(conversations.sparkSession, path, {"conversation": conversations, "message": laid_out(messages)})
 
 
 def load(spark: SparkSession, path: str, name: str, told: dict | None = None, buckets: set[str] | None = None) -> DataFrame:

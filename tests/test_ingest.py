@@ -265,6 +265,35 @@ def test_commits_of_several_tables(spark, tmp_path):
     assert tables.upsert(spark, path, rows(("f1", 5)), "b", 0, buckets=8) and (("f1", 5) in every()) and (("f1", 7) not in every())
 
 
+def test_stored_files_go_with_their_scope(spark):
+    import os
+
+    from convlens.lineage import kept, scope, stored
+
+    place = lambda df: df.inputFiles()[0].removeprefix("file://")
+    with scope(spark):
+        with scope(spark):
+            inner, outer = stored(spark.range(5), "a"), kept(spark.range(6), "b")
+            gone, there = place(inner), place(outer)
+            assert os.path.exists(gone) and os.path.exists(there)
+        assert not os.path.exists(gone) and outer.count() == 6
+    assert not os.path.exists(there)
+    assert os.path.exists(place(stored(spark.range(5), "c")))
+
+
+def test_build_counts_what_it_writes(spark, tmp_path):
+    """The report is that of the tables written, and comes without another job over them."""
+    from convlens.plans import build
+
+    heads = lambda *r: spark.createDataFrame(r, "conv_id string, file string, title string")
+    rows = lambda *r: spark.createDataFrame(r, "id string, conv_id string, file string, is_sidechain boolean, thread_key string, seq int, kind string, text string")
+    one = (heads(("c1", "f1", None), ("c2", "f1", "t"), ("c1", "f2", "u")), rows(("m1", "c1", "f1", False, "main", 0, "prose", "é"), ("m1", "c1", "f2", False, "main", 0, "prose", "later"), ("m2", "c2", "f1", False, "main", 0, "tool_call", None)))
+    report = build.build_tables({"one": one, "none": (heads().limit(0), rows().limit(0))}, ["title"], f"{tmp_path}/t")
+    assert sorted(map(tuple, report.collect())) == [("none", 0, 0, 0, 0, 0, 0, 0, "no rows"), ("one", 2, 2, 1, 2, 1, 1, 2, "ok")]
+    convs, msgs = tables.read(spark, f"{tmp_path}/t")
+    assert {(r["conv_id"], r["title"]) for r in convs.collect()} == {("c1", "u"), ("c2", "t")} and msgs.count() == 2
+
+
 def test_preorder_of_random_forests(spark):
     """Roots, children out of order, unknown parents, cycles and what hangs from them, against a walk with a stack."""
     import random
