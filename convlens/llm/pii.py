@@ -5,9 +5,10 @@ addresses, bare digit groups, names after a title - are reported when the final
 than not. It is learned without labels: labelers of three families (regex shape, gazetteer, context words) vote 1, 0 or
 abstain (-1) on every candidate of the corpus. The gazetteers of mail hosts and given names grow by those that the written
 addresses of at least two texts have. Expectation-maximisation over the counts of vote patterns estimates how
-reliable each labeler is and how likely each pattern is personal data; a logistic span classifier over kind and votes is
-trained on those soft labels. There are at most kinds x 3^labelers patterns, whatever the corpus: only their counts
-reach the driver.
+reliable each labeler is and how likely each pattern is personal data; a logistic span classifier is trained on those soft
+labels, over kind and votes and over what the labelers do not see: the span's length and the words before and behind it, in a
+few classes each. So a span on which labelers abstain can stand where others do that they know. There are at most kinds x
+3^labelers x lengths x sides^2 patterns (186,624), whatever the corpus: only their counts reach the driver.
 
 Defined results: null text counts as empty; a null id stays null; rows that share an id are scanned each by itself;
 extra columns are ignored; an empty table gives an empty result.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,7 +56,9 @@ GIVEN_NAMES = """
 CONTEXT = r"(?i)\b(?:call|phone|tel|telefon|mobile|fax|mail|contact|card|visa|account|iban|ssn|passport|born|address|name|reach)\b"
 REFUTING = r"(?i)(?:\b(?:version|id|order|ref|isbn|issn|doi|page|total|fig|figure|table|no|chapter|line|build)\b|[$%#*&|])"
 
-NEAR = 40  # code points of context before a span
+NEAR = 40  # code points of context before and behind a span
+#: Classes of the classifier's own features: of lengths, and of the word on either side, 0 being none.
+OWN = {"size": 4, "left": 8, "right": 8}
 
 
 def luhn(digits: Column) -> Column:
@@ -108,6 +112,7 @@ def _hits(docs: DataFrame) -> DataFrame:
             x["s"]["end"].alias("end"),
             x["s"]["text"].alias("text"),
             stretch("chunks", F.greatest(x["s"]["start"] - NEAR, F.lit(0)), x["s"]["start"]).alias("before"),
+            stretch("chunks", x["s"]["end"], x["s"]["end"] + NEAR).alias("after"),
         ),
     )
     mails = F.transform("email", lambda s: s["text"]).alias("emails")
@@ -147,8 +152,13 @@ def _votes(candidates: DataFrame) -> DataFrame:
     shape = F.when(kind == "name", F.when(text.rlike(r"\x20[A-Z][a-z]+\x20[A-Z]"), 1).otherwise(-1)).when(
         kind == "spoken_mail", F.when(text.rlike(r"(?i)dot\)?\]?\x20(?:com|org|net|de|fr|es|eu|uk|io)$"), 1).otherwise(0)
     ).otherwise(F.when(n.between(10, 11) & text.rlike(r"[\x20.-]"), 1).when((n < 9) | (n > 19), 0).otherwise(-1))
+    side = lambda word: F.when(word != "", F.pmod(F.xxhash64(word), F.lit(OWN["left"] - 1)) + 1).otherwise(0).cast("int")
+    bare = lambda word: F.regexp_replace(F.lower(word), r"[^\p{L}]+", "")
     return candidates.select(
         "*",
+        F.least(F.floor(F.length(text) / 8), F.lit(OWN["size"] - 1)).cast("int").alias("size"),
+        side(bare(F.substring_index(F.rtrim(before), " ", -1))).alias("left"),
+        side(bare(F.substring_index(F.ltrim(F.col("after")), " ", 1))).alias("right"),
         shape.alias("shape"),
         F.when(F.col("listed"), 1).otherwise(-1).alias("gazetteer"),
         F.when(before.rlike(CONTEXT), 1).otherwise(-1).alias("context"),
@@ -182,16 +192,14 @@ def fit_reliability(patterns: list[tuple[tuple[int, ...], int]], prior: float =
 
 
 def fit_classifier(rows: list[tuple[tuple[int, ...], int]], soft: list[float], features: int, rounds: int = 300, rate: float = 0.5) -> list[float]:
-    """Logistic regression on soft labels by gradient steps. rows: (indexes of features that are on, count)."""
-    weights, total = [0.0] * features, max(1, sum(c for _, c in rows))
-    for _ in range(rounds):
-        step = [-1e-3 * w for w in weights]
-        for (on, c), p in zip(rows, soft):
-            guess = 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(weights[k] for k in on)))))
-            for k in on:
-                step[k] += c / total * (p - guess)
-        weights = [w + rate * s for w, s in zip(weights, step)]
-    return weights
+    """Logistic regression on soft labels by gradient steps, on the driver. rows: (indexes of features that are on, count), as many indexes each."""
+    weights, total = np.zeros(features), max(1, sum(c for _, c in rows))
+    on, count = np.array([r for r, _ in rows], np.int64), np.array([c for _, c in rows], np.float64)
+    for _ in range(rounds if rows else 0):
+        guess = 1 / (1 + np.exp(-np.clip(weights[on].sum(axis=1), -30, 30)))
+        off = np.repeat(count / total * (np.array(soft) - guess), on.shape[1])
+        weights = weights + rate * (np.bincount(on.ravel(), off, features) - 1e-3 * weights)
+    return weights.tolist()
 
 
 def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = 0.5) -> DataFrame:
@@ -199,19 +207,25 @@ def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     clean = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     hits = stored(_hits(clean), "pii")
     candidates = hits.where(F.size("weak") > 0).select("doc_id", "row_key", F.explode("weak").alias("s")).select("doc_id", "row_key", "s.*")
-    voted = stored(_votes(_listed(candidates, hits)).drop("text", "before"), "votes")
-    counted = sorted(
-        (WEAK_KINDS.index(r["kind"]), tuple(r[x] for x in LABELERS), r["count"]) for r in voted.groupBy("kind", *LABELERS).count().collect()
-    )
-    _, soft = fit_reliability([(votes, c) for _, votes, c in counted])
-    feature = lambda kind, votes: (0, 1 + kind, *[1 + len(WEAK_KINDS) + 3 * j + v % 3 for j, v in enumerate(votes)])
-    weights = fit_classifier([(feature(k, v), c) for k, v, c in counted], soft, 1 + len(WEAK_KINDS) + 3 * len(LABELERS))
+    voted = stored(_votes(_listed(candidates, hits)).drop("text", "before", "after"), "votes")
+    counts = voted.groupBy("kind", *OWN, *LABELERS).count().collect()
+    known = sorted((WEAK_KINDS.index(r["kind"]), tuple(r[x] for x in OWN), tuple(r[x] for x in LABELERS), r["count"]) for r in counts)
+    patterns: dict[tuple[int, ...], int] = {}
+    for _, _, votes, c in known:
+        patterns[votes] = patterns.get(votes, 0) + c
+    by_votes = dict(zip(patterns, fit_reliability(list(patterns.items()))[1]))
+    # A feature for each value of each column, the first one being always on.
+    values = {"kind": WEAK_KINDS} | {x: list(range(n)) for x, n in OWN.items()} | {x: [-1, 0, 1] for x in LABELERS}
+    at, first = {}, 1
+    for name, own in values.items():
+        at[name], first = first, first + len(own)
+    place = lambda name, value: at[name] + values[name].index(value)
+    feature = lambda kind, own, votes: (0, at["kind"] + kind, *[place(x, v) for x, v in zip(OWN, own)], *[place(x, v) for x, v in zip(LABELERS, votes)])
+    weights = fit_classifier([(feature(k, own, votes), c) for k, own, votes, c in known], [by_votes[votes] for _, _, votes, _ in known], first)
     score = F.lit(weights[0])
-    for i, kind in enumerate(WEAK_KINDS):
-        score = score + F.when(F.col("kind") == kind, weights[1 + i]).otherwise(0.0)
-    for j, name in enumerate(LABELERS):
-        for v in (-1, 0, 1):
-            score = score + F.when(F.col(name) == v, weights[1 + len(WEAK_KINDS) + 3 * j + v % 3]).otherwise(0.0)
+    for name, own in values.items():
+        told = F.create_map(*[x for v in own for x in (F.lit(v), F.lit(weights[place(name, v)]))])
+        score = score + F.element_at(told, F.col(name))
     taken = (
         voted.where(1 / (1 + F.exp(-score)) > least)
         .groupBy("doc_id", "row_key")

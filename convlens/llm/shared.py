@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from convlens.lineage import shared_dir, stored
+from convlens.lineage import kept, scope, shared_dir, stored
 
-__all__ = ["attach", "bounded_batches", "shared_dir", "stored", "table"]
+__all__ = ["attach", "bounded_batches", "kept", "scope", "shared_dir", "stored", "table"]
 
 BATCH_BYTES, UNSET = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
 

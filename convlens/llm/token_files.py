@@ -169,6 +169,8 @@ class TokenFile:
 
 # Fixed value: the pattern by which the tokenizer cuts a lower-cased text into words.
 CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# Fixed value: how it normalises a text before that.
+NORMAL = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
 WHITE, LETTER, NUMBER, OTHER = range(4)
 _CHARS = [chr(b) for b in range(256)]
 KIND = np.array([WHITE if c.isspace() and not "\x1c" <= c <= "\x1f" else {"L": LETTER, "N": NUMBER}.get(unicodedata.category(c)[0], OTHER) for c in _CHARS], np.uint8)
@@ -213,7 +215,7 @@ class WordEncoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.by_part = cuts_at_white_space(spec)
-        self.by_word = self.by_part and spec["pre_tokenizer"]["pretokenizers"][0]["pattern"] == {"Regex": CUTS}
+        self.by_word = self.by_part
         self.marks = [t["content"] for t in spec["added_tokens"]]
         if self.by_word:
             self.marks = sorted({m[:2].lower() for m in self.marks})
@@ -326,11 +328,11 @@ def _parts(text: str) -> list[str]:
 
 
 def cuts_at_white_space(spec: dict) -> bool:
-    """Whether a tokenizer lower-cases and drops white space, so that parts between white space can be encoded apart."""
-    pre = spec.get("pre_tokenizer") or {}
-    first = (pre.get("pretokenizers") or [pre])[0]
-    lower = any(n.get("type") == "Lowercase" for n in (spec.get("normalizer") or {}).get("normalizers", []))
-    return lower and first.get("type") == "Split" and first.get("behavior") == "Removed" and bool(first.get("invert"))
+    """Whether a tokenizer normalises and cuts exactly as is known here, so that parts between white space can be encoded apart; else the library encodes whole texts."""
+    normal, pre = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    first, *rest = pre.get("pretokenizers") or [pre]
+    cut = {"type": "Split", "pattern": {"Regex": CUTS}, "behavior": "Removed", "invert": True}
+    return normal == NORMAL and first == cut and [r.get("type") for r in rest] == ["ByteLevel"] and not rest[0].get("add_prefix_space") and not rest[0].get("use_regex")
 
 
 # --- the job --------------------------------------------------------------------------------------------------------
