@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from convlens.llm import bpe, decontaminate, neardup, quality, secrets
 from convlens.llm.queries import tokenizer_path
-from convlens.llm.shared import bounded_batches, stored, table
+from convlens.llm.shared import bounded_batches, kept, scope, table
 
 
 def keep_good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,5 +55,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        with scope(spark):  # what a stage wrote on its way goes when its documents are there
+            docs = kept(stage(spark, docs, sf_dir), name)
     return docs
