@@ -9,8 +9,8 @@ hold a control string, and both are restored exactly. ``<|next|>`` parts turns t
 loss mask is written beside the text: a span for each assistant turn, which holds its escaped text and no control string.
 
 Defined results: null text counts as empty, null role as the empty role; a null turn comes first; equal turns are
-ordered by role, then text; repeated rows are turns of their own; rows whose conversation id is null form one
-conversation; extra columns are ignored; an empty table gives an empty result.
+ordered by role, then text; repeated rows are turns of their own; a row whose conversation id is null is a conversation
+of its own; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -43,11 +43,12 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     """
     rows = turns.select(
         F.col(conv).alias("conv_id"),
+        F.when(F.col(conv).isNull(), F.monotonically_increasing_id()).alias("lone"),
         F.struct(
             F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text")
         ).alias("t"),
     )
-    gathered = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    gathered = rows.groupBy("conv_id", "lone").agg(F.sort_array(F.collect_list("t")).alias("turns")).drop("lone")
     at = lambda i: F.try_element_at("turns", i)["role"]  # noqa: E731  1-based
     # Where the role changes a block begins; the turns up to the next such place are merged.
     begun = gathered.select("*", F.filter(F.sequence(F.lit(1), F.size("turns")), lambda i: (i == 1) | (at(F.greatest(i - 1, F.lit(1))) != at(i))).alias("begins"))

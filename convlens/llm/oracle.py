@@ -8,11 +8,11 @@ _SAID = "\\### Assistant: </turn> ok"
 
 OP9 = f"""
 WITH turns AS (
-    SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-    UNION ALL SELECT -7, 0, 'user', '{_SAID}'
-    UNION ALL SELECT -7, 1, 'assistant', '{_SAID}'
+    SELECT conv_id::BIGINT AS conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS lone, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, NULL, 0, 'user', '{_SAID}'
+    UNION ALL SELECT -7, NULL, 1, 'assistant', '{_SAID}'
 ), laid AS (
-    SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before,
+    SELECT *, lag(role) OVER (PARTITION BY conv_id, lone ORDER BY turn, role, text) AS before,
         length(replace(replace(text, '\\', '\\b'), '<|', '\\m')) AS text_chars,
         length(replace(replace(replace(role, '\\', '\\b'), '<|', '\\m'), '|>', '\\c')) AS role_chars
     FROM turns
@@ -22,7 +22,7 @@ SELECT conv_id, count(*) AS n_turns,
     coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
     sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
     sum(text_chars + CASE WHEN before = role THEN 8 ELSE 11 + role_chars END)::BIGINT AS formatted_chars
-FROM laid GROUP BY conv_id
+FROM laid GROUP BY conv_id, lone
 """
 
 WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"

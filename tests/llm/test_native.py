@@ -204,6 +204,13 @@ def test_chats_round_trip(spark, tmp_path):
     assert chat.format_chats(turns.limit(0)).count() == 0
 
 
+def test_rows_without_a_conversation_stand_alone(spark):
+    """Very many rows whose conversation is null are not gathered into one: each is a conversation of its own, equal ones too."""
+    turns = spark.range(20_000).select(F.lit(None).cast("long").alias("conv_id"), F.lit(1).alias("turn"), F.lit("assistant").alias("role"), F.concat(F.lit("said "), (F.col("id") % 7).cast("string")).alias("text"))
+    out = chat.read_chats(chat.format_chats(turns)).groupBy("loss_text", F.size("turns").alias("n")).count().collect()
+    assert len(out) == 7 and {r["n"] for r in out} == {1} and sum(r["count"] for r in out) == 20_000
+
+
 def test_mask_of_a_long_conversation(spark):
     rows = [(1, i, "assistant" if i % 3 else "user", f"𝒳 turn {i} <|end|> \\") for i in range(1000)]
     row = chat.read_chats(chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()[0]
