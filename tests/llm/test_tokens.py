@@ -86,3 +86,27 @@ def test_blocks_round_trip(top):
         assert (file.ids() == ids).all() and list(file.doc_ids) == [1, 2]
         assert (file.ids(n // 3, n) == ids[n // 3 :]).all()
     assert len(token_files.write_file([1], [1024], np.where(np.arange(1024) % 50 == 0, 10**9, np.arange(1024) % 7))) < 800
+
+
+@pytest.mark.parametrize("change", ["no lower case", "strips", "other cuts"])
+def test_other_normalisation_is_left_to_the_library(spark, tmp_path, folders, change):
+    """A file that normalises or cuts in another way gives the library's ids too, by the slower way."""
+    import json
+
+    spec = json.load(open(WORD, encoding="utf-8"))
+    if change == "no lower case":
+        spec["normalizer"]["normalizers"].pop()
+    elif change == "strips":
+        spec["normalizer"]["normalizers"].append({"type": "Strip", "strip_left": True, "strip_right": True})
+    else:
+        spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"[\p{L}]+\s?[\p{N}]*|[^\s\p{L}]+"
+    path = str(tmp_path / "own.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(spec, f)
+    assert not token_files.cuts_at_white_space(spec) and token_files.cuts_at_white_space(json.load(open(WORD, encoding="utf-8")))
+    lib = Tokenizer.from_file(path)
+    docs = spark.read.parquet(f"{folders[1]}/documents.parquet")
+    folder, manifest = token_files.write_token_files(docs, path, end_id=2)
+    got = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["n_tokens"], r["ids_crc32"]) for r in token_files.read_token_files(spark, folder, manifest).collect())
+    told = [(r["doc_id"], [*lib.encode(r["text"] or "", add_special_tokens=False).ids, 2]) for r in docs.select("doc_id", "text").collect()]
+    assert got == sorted((i is not None, i or 0, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, ids in told)
