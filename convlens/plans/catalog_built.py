@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from convlens.lineage import shared_dir
-from convlens.operators import archive, evaluate, projects, transcript
+from convlens.operators import archive, evaluate, projects, sittings, transcript
 from convlens.plans import build, search
-from convlens.plans.catalog import BLOCKS, LISTED, NOW, RESULTS, _blocks, _results, query
-from convlens.plans.views import DOCUMENTS, MESSAGES, documents, messages, table
+from convlens.plans.catalog import BLOCKS, GAP_MS, LISTED, NOW, RESULTS, _blocks, _records, _results, query
+from convlens.plans.views import DOCUMENTS, LOG, MESSAGES, documents, messages, table
 
 READ_BY = ["src0", "src1", "src2", "src9"]
 
@@ -83,3 +83,18 @@ def rejected_filters(spark, sf_dir):
 def pooled_in_order(spark, sf_dir):
     pooled = evaluate.pool({"longest": _results(spark, sf_dir)}, 10)
     return evaluate.pool_order(pooled, documents(spark, sf_dir)).select("qid", "conv_id", "place")
+
+
+@query(f"""WITH {LOG}, o AS (SELECT *, CASE WHEN ts_ms - lag(ts_ms) OVER (PARTITION BY user_id ORDER BY ts_ms, id) < {GAP_MS} THEN 0 ELSE 1 END AS opens FROM log WHERE source <> 'view'),
+    i AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts_ms, id) AS island FROM o),
+    m AS (SELECT id, first_value(id) OVER w AS sitting_id, row_number() OVER w AS position, count(*) OVER (PARTITION BY user_id, island) AS members FROM i WINDOW w AS (PARTITION BY user_id, island ORDER BY ts_ms, id)),
+    asked AS (SELECT arg_max(id, ts_ms::HUGEINT * 100000000000 + id) AS id FROM log GROUP BY user_id),
+    a AS (SELECT asked.id, coalesce(m.sitting_id, asked.id) AS sitting_id FROM asked LEFT JOIN m ON m.id = asked.id AND members > 1)
+    SELECT a.id, a.sitting_id, coalesce(m.id, a.id) AS member, coalesce(position, 1)::INT AS position FROM a LEFT JOIN m ON m.sitting_id = a.sitting_id AND members > 1""")
+def resolved_sittings(spark, sf_dir):
+    """The sitting of each user's latest record, told in full, where views are not on the list of what is folded: a latest view stands alone."""
+    rows = _records(spark, sf_dir)
+    folded = rows.where("source <> 'view'").select("source").distinct()
+    members = sittings.build(rows, ["user_id"], "ts_ms", gap_ms=GAP_MS, allow=folded)
+    latest = rows.groupBy("user_id").agg(F.max_by("id", F.struct("ts_ms", "id")).alias("id"))
+    return sittings.resolve(members, latest)
