@@ -4,8 +4,8 @@ import random
 import re
 from pathlib import Path
 
-from convlens.operators import sittings
-from convlens.plans import catalog, catalog_answers, catalog_more, report  # noqa: F401
+from convlens.operators import explain, sittings
+from convlens.plans import catalog, catalog_answers, catalog_more, report, search  # noqa: F401
 from convlens.plans.views import START_MS, log, table
 
 DATA = "/root/testdata/sf0.001"
@@ -28,6 +28,30 @@ def test_pairs_explained_are_all_known_ones_and_no_cross_product(spark):
         assert "NestedLoopJoin" not in text and "CartesianProduct" not in text
 
 
+def test_every_query_is_explained_for_every_conversation(spark):
+    convs = {r["conv_id"] for r in table(spark, DATA, "conversations").select("conv_id").collect()} | {-1}
+    qids = [r["qid"] for r in catalog.asked(spark, DATA).select("qid").collect()]
+    rows = [(r["qid"], r["conv_id"]) for r in catalog.QUERIES["explained_pairs"](spark, DATA).select("qid", "conv_id").collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == {(q, c) for q in qids for c in convs}
+
+
+def test_every_pair_gets_what_it_gets_when_asked_for(spark):
+    """More queries than a cell has, the unknown conversation asked for, a conversation without text and a query without terms."""
+    words = [f"w{i}" for i in range(90)]
+    said = [(f"{c}:{t}", c, c * 1000 + t, "prose reasoning tool_call".split()[(c + t) % 3], t != 3, None if c == 7 else f"{words[(c * 7 + t) % 90]} {words[t]}") for c in range(12) for t in range(5)]
+    rows = spark.createDataFrame(said, "id string, conv_id long, ts_ms long, kind string, on_head_path boolean, text string")
+    asks = search.prepare_queries(spark.createDataFrame([(i, w) for i, w in enumerate(words)] + [(500, ""), (501, "w1 w8"), (502, "w")], "qid long, q string"))
+    found = spark.createDataFrame([(q, f"{c}:{t}", -1.0 - q - t) for q in (1, 8, 501) for c in range(3) for t in range(2)], "qid long, msg_id string, score double")
+    convs = spark.createDataFrame([(c,) for c in range(12)], "id long")
+    asked = spark.createDataFrame([(c,) for c in (*range(12), -1)], "conv_id long")
+    pairs = asks.select("qid").crossJoin(asked)
+    one = explain.run(pairs, asks, convs, rows, found, pairs.where("conv_id <> 4"), 10_000, most=4)
+    every = explain.every(asked, asks, convs, rows, found, asked.where("conv_id <> 4"), 10_000, most=4)
+    assert every.columns == one.columns
+    got, want = sorted(map(tuple, every.collect()), key=lambda r: r[:2]), sorted(map(tuple, one.collect()), key=lambda r: r[:2])
+    assert got == want and len(got) == 93 * 13 and len({r[-1] for r in got}) > 6
+
+
 def test_every_order_gives_a_driven_span(spark):
     days = {r["o_orderkey"] % 400 for r in table(spark, DATA, "orders").select("o_orderkey").collect()}
     assert len(days) > 8
