@@ -170,13 +170,16 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sha
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _Builder()
         for batch in batches:
-            own.ids.append(batch.column(0))
-            own.found += [((own.count + doc).astype(np.int32), term, tf.astype(np.int32)) for doc, term, tf in counted_terms(batch.column(1))]
-            own.count += batch.num_rows
-            own.bytes += batch.column(1).nbytes
-            if own.bytes >= shard_bytes or own.count >= SHARD_DOCS:
-                yield shard(own)
-                own = _Builder()
+            # A batch may hold many shards' text, so it is added by slices.
+            for lo, hi, raw, _ in blocks(batch.column(1), max(1, shard_bytes // 4)):
+                ids, texts = batch.slice(lo, hi - lo).columns
+                own.ids.append(ids)
+                own.found += [((own.count + doc).astype(np.int32), term, tf.astype(np.int32)) for doc, term, tf in counted_terms(texts)]
+                own.count += hi - lo
+                own.bytes += len(raw)
+                if own.bytes >= shard_bytes or own.count >= SHARD_DOCS:
+                    yield shard(own)
+                    own = _Builder()
         if own.count:
             yield shard(own)
 

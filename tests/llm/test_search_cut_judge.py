@@ -72,6 +72,16 @@ def corpus(n=900, seed=3):
     return docs, [(q, " ".join(word() for _ in range(rng.choice([1, 4, 12])))) for q in range(40)]
 
 
+def test_shards_keep_their_size_whatever_comes_in_a_batch(spark):
+    docs = [(i, None if i % 50 == 7 else f"word{i} and word{i + 1} " * 40) for i in range(400)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    shards = lexical.build_index(frame, shard_bytes=20_000).collect()
+    size = {i: len(t or "") for i, t in docs}
+    assert sorted(d for s in shards for d in s["doc_ids"]) == sorted(size)
+    held = [sum(size[d] for d in s["doc_ids"]) for s in shards]
+    assert len(held) > 10 and max(held) <= 25_000 and min(held[:-1]) >= 20_000
+
+
 @pytest.mark.parametrize("shard_bytes", [2_000, 1 << 20])
 def test_search_is_exact_over_many_shards(spark, shard_bytes):
     docs, items = corpus()
