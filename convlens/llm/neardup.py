@@ -93,47 +93,46 @@ def band_keys(sketches: np.ndarray) -> np.ndarray:
     return mix(mix(key) + np.arange(1, BANDS + 1, dtype=np.uint64) * FULL)
 
 
+def _octaves(n: np.ndarray) -> np.ndarray:
+    """[40, n] how likely the minimum of n/128 uniform values falls in each octave."""
+    n, z = np.maximum(n / REGISTERS, 1e-9), np.arange(40)[:, None]
+    inner = (1 - 2.0 ** -(z + 1)) ** n
+    return inner - np.where(z > 0, (1 - 2.0**-z) ** n, 0)
+
+
 def collision_rate(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """About how often registers of two disjoint sets of n and m elements are equal by chance.
 
     A minimum of n/128 uniform values falls in an octave with some probability; within it, one of 2^10 mantissas agrees.
     """
-    n, m = np.maximum(n / REGISTERS, 1e-9), np.maximum(m / REGISTERS, 1e-9)
-    total = np.zeros(np.broadcast(n, m).shape)
-    for z in range(40):
-        high, low = 2.0**-z, 2.0 ** -(z + 1)
-        mass = lambda x: (1 - low) ** x - (1 - high) ** x if z else (1 - low) ** x  # noqa: B023, E731
-        total += mass(n) * mass(m)
-    return total / 2**MANTISSA
+    return (_octaves(n) * _octaves(m)).sum(axis=0) / 2**MANTISSA
 
 
 def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """Collision-corrected Jaccard estimates of all pairs of two blocks of sketches."""
     equal = np.empty((len(a), len(b)), np.float32)
-    for i in range(len(a)):
-        equal[i] = (a[i] == b).mean(axis=1)
-    chance = collision_rate(n[:, None], m[None, :]).astype(np.float32)
+    for i in range(len(a)):  # equal registers are bytes of 1, added by eights; no sum goes beyond 128
+        eights = (a[i] == b).view(np.uint64).sum(axis=1, dtype=np.uint64)
+        equal[i] = (eights * np.uint64(0x0101010101010101)) >> np.uint64(56)
+    equal /= REGISTERS
+    chance = (_octaves(n).T @ _octaves(m) / 2**MANTISSA).astype(np.float32)
     return (equal - chance) / (1 - chance)
 
 
 def forest(near: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Edges (member, smaller member) that connect what ``near`` (a boolean [a, b] matrix) connects."""
+    """Edges (member, smallest member) that connect what ``near`` (a boolean [a, b] matrix) connects. A row is joined as a whole."""
     names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    root = np.arange(len(names))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    rows, columns = np.nonzero(near)
-    for x, y in zip(at[: len(a)][rows], at[len(a) :][columns]):
-        x, y = find(x), find(y)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-    tops = [find(i) for i in range(len(names))]
-    return [(int(names[i]), int(names[t])) for i, t in enumerate(tops) if i != t]
+    left, right = at[: len(a)], at[len(a) :]
+    top = np.arange(len(names))  # the smallest that a name is known to be connected with
+    for i in np.flatnonzero(near.any(axis=1)):
+        met, own = top[right[near[i]]], top[left[i]]
+        if (met != own).any():
+            joined = np.append(met, own)
+            to = np.arange(len(names))
+            to[joined] = joined.min()
+            top = to[top]
+    member = np.flatnonzero(top != np.arange(len(names)))
+    return list(zip(names[member].tolist(), names[top[member]].tolist()))
 
 
 def intersections(a: list[np.ndarray], b: list[np.ndarray], most: int = 1 << 24) -> np.ndarray:

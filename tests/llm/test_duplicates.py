@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -166,3 +167,20 @@ def test_queries_match_sql(spark, name):
     own = queries.QUERIES[name](spark, DATA)
     want = con.execute(f"select {', '.join(own.columns)} from ({SQL[name]})").fetchall()
     assert sorted(map(tuple, own.collect())) == sorted(want) and want
+
+
+def test_forests_join_rows_at_once():
+    """Alike copies are millions of near pairs; they are not gone through one by one."""
+    rng = np.random.default_rng(4)
+    for share in (0.002, 0.02, 0.3):
+        a, b = rng.integers(0, 90, 50), rng.integers(0, 90, 40)
+        near = rng.random((50, 40)) < share
+        groups = [{x} for x in {*a.tolist(), *b.tolist()}]
+        for i, j in zip(*np.nonzero(near)):
+            met = [g for g in groups if a[i] in g or b[j] in g]
+            groups = [g for g in groups if g not in met] + [set().union(*met)]
+        assert sorted(neardup.forest(near, a, b)) == sorted((x, min(g)) for g in groups for x in g if x != min(g))
+    ids = np.arange(2048)
+    began = time.process_time()
+    assert neardup.forest(np.ones((2048, 2048), bool), ids, ids) == [(i, 0) for i in range(1, 2048)]
+    assert time.process_time() - began < 3
