@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from convlens.lineage import stored
+from convlens.plans import search
+
 PAUSE_MS = 4 * 3_600_000
 # How a message begins that stands for a cut-off context, and the tools that ask the user.
 COMPACTED = "(?i)This session is being continued from a previous conversation that ran out of context|The summary below covers the earlier portion of the conversation"
@@ -40,10 +43,18 @@ def folded(blocks: DataFrame, density: str = "full") -> DataFrame:
     return blocks.withColumn("fold", F.when(F.col("band").isin(FOLDS[density]), "expanded").otherwise("collapsed"))
 
 
-def marked(blocks: DataFrame, spans: DataFrame) -> DataFrame:
-    """(qid, id, mark_kind, marks): spans (qid, msg_id, start, end) on drawn rows, in order; those on kinds that no search finds are unranked."""
-    own = blocks.where("drawn").select(F.col("id").alias("msg_id"), F.when(F.col("kind") == "reasoning", "unranked").otherwise("ranked").alias("mark_kind"))
-    return spans.join(own, "msg_id").groupBy("qid", F.col("msg_id").alias("id"), "mark_kind").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("marks"))
+def marked(blocks: DataFrame, shown: DataFrame, terms: DataFrame) -> DataFrame:
+    """(qid, id, mark_kind, words, marks): how many words of a drawn row a query marks, and their sorted (start, end); those on kinds that no search finds are unranked.
+
+    shown: (qid, conv_id), the conversations that are open for a query; terms: search.marking_terms. Words are found once for each term of a message, and
+    queries meet them by conversation and term, as numbers alone where the spans are not asked for.
+    """
+    kind = F.when(F.col("kind") == "reasoning", "unranked").otherwise("ranked").alias("mark_kind")
+    texts = blocks.where("drawn").select("conv_id", "id", kind, "text").distinct()  # a repeated row is marked once
+    apart = stored(search.disjoint_terms(terms), "apart")
+    found = search.term_spans(texts, apart)
+    met = shown.select("qid", "conv_id").distinct().join(apart, "qid").join(found, ["conv_id", "term", "is_prefix"])
+    return met.groupBy("qid", "id", "mark_kind").agg(F.sum("words").alias("words"), F.sort_array(F.flatten(F.collect_list("spans"))).alias("marks"))
 
 
 def kind_runs(blocks: DataFrame, groups: DataFrame | None = None) -> DataFrame:
