@@ -43,18 +43,21 @@ def folded(blocks: DataFrame, density: str = "full") -> DataFrame:
     return blocks.withColumn("fold", F.when(F.col("band").isin(FOLDS[density]), "expanded").otherwise("collapsed"))
 
 
-def marked(blocks: DataFrame, shown: DataFrame, terms: DataFrame) -> DataFrame:
-    """(qid, id, mark_kind, words, marks): how many words of a drawn row a query marks, and their sorted (start, end); those on kinds that no search finds are unranked.
+def marked(blocks: DataFrame, shown: DataFrame, terms: DataFrame, spans: bool = True) -> DataFrame:
+    """(qid, id, mark_kind, words[, marks]): how many words of a drawn row a query marks, and their sorted (start, end); those on kinds that no search finds are unranked.
 
     shown: (qid, conv_id), the conversations that are open for a query; terms: search.marking_terms. Words are found once for each term of a message, and
-    queries meet them by conversation and term, as numbers alone where the spans are not asked for.
+    queries meet them by the numbers of conversation and term.
     """
-    kind = F.when(F.col("kind") == "reasoning", "unranked").otherwise("ranked").alias("mark_kind")
-    texts = blocks.where("drawn").select("conv_id", "id", kind, "text").distinct()  # a repeated row is marked once
+    texts = blocks.where("drawn").select("conv_id", "id", (F.col("kind") == "reasoning").alias("unranked"), "text").distinct()  # a repeated row is marked once
     apart = stored(search.disjoint_terms(terms), "apart")
-    found = search.term_spans(texts, apart)
-    met = shown.select("qid", "conv_id").distinct().join(apart, "qid").join(found, ["conv_id", "term", "is_prefix"])
-    return met.groupBy("qid", "id", "mark_kind").agg(F.sum("words").alias("words"), F.sort_array(F.flatten(F.collect_list("spans"))).alias("marks"))
+    numbered = stored(apart.select("term", "is_prefix").distinct().withColumn("term_id", F.monotonically_increasing_id()), "terms")
+    found = search.term_spans(texts, numbered, spans)
+    own = apart.join(numbered, ["term", "is_prefix"]).select("qid", "term_id")
+    met = shown.select("qid", "conv_id").distinct().join(own, "qid").join(found, ["conv_id", "term_id"])
+    laid = [F.sort_array(F.flatten(F.collect_list("spans"))).alias("marks")] if spans else []
+    out = met.groupBy("qid", "id", "unranked").agg(F.sum("words").alias("words"), *laid)
+    return out.select("qid", "id", F.when(F.col("unranked"), "unranked").otherwise("ranked").alias("mark_kind"), *out.columns[3:])
 
 
 def kind_runs(blocks: DataFrame, groups: DataFrame | None = None) -> DataFrame:
