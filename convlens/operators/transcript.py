@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +12,8 @@ from convlens.lineage import stored
 from convlens.plans import search
 
 PAUSE_MS = 4 * 3_600_000
+SMALL = 64  # drawn rows of a conversation that a query looks through one by one
+FEW = 8  # terms of a query that it looks up there
 # How a message begins that stands for a cut-off context, and the tools that ask the user.
 COMPACTED = "(?i)This session is being continued from a previous conversation that ran out of context|The summary below covers the earlier portion of the conversation"
 ASK_TOOLS = "request_user_input|AskUserQuestion"
@@ -43,20 +48,31 @@ def folded(blocks: DataFrame, density: str = "full") -> DataFrame:
     return blocks.withColumn("fold", F.when(F.col("band").isin(FOLDS[density]), "expanded").otherwise("collapsed"))
 
 
-def marked(blocks: DataFrame, shown: DataFrame, terms: DataFrame, spans: bool = True) -> DataFrame:
+def marked(blocks: DataFrame, shown: DataFrame, terms: DataFrame, spans: bool = True, small: int = SMALL) -> DataFrame:
     """(qid, id, mark_kind, words[, marks]): how many words of a drawn row a query marks, and their sorted (start, end); those on kinds that no search finds are unranked.
 
-    shown: (qid, conv_id), the conversations that are open for a query; terms: search.marking_terms. Words are found once for each term of a message, and
-    queries meet them by the numbers of conversation and term.
+    shown: (qid, conv_id), the conversations that are open for a query; terms: search.marking_terms. Words are found once for each term of a message.
+    A query of at most ``FEW`` terms meets each message of a conversation of at most ``small`` drawn rows and looks its terms up there; the others meet by
+    term the messages that hold it, so that no query costs more than ``small`` times what it marks.
     """
-    texts = blocks.where("drawn").select("conv_id", "id", (F.col("kind") == "reasoning").alias("unranked"), "text").distinct()  # a repeated row is marked once
+    drawn_rows = blocks.where("drawn").select("conv_id", "id", (F.col("kind") == "reasoning").alias("unranked"), "text")
+    texts = drawn_rows.distinct()  # a repeated row is marked once
     apart = stored(search.disjoint_terms(terms), "apart")
     numbered = stored(apart.select("term", "is_prefix").distinct().withColumn("term_id", F.monotonically_increasing_id()), "terms")
-    found = search.term_spans(texts, numbered, spans)
-    own = apart.join(numbered, ["term", "is_prefix"]).select("qid", "term_id")
-    met = shown.select("qid", "conv_id").distinct().join(own, "qid").join(found, ["conv_id", "term_id"])
-    laid = [F.sort_array(F.flatten(F.collect_list("spans"))).alias("marks")] if spans else []
-    out = met.groupBy("qid", "id", "unranked").agg(F.sum("words").alias("words"), *laid)
+    own = apart.join(numbered, ["term", "is_prefix"]).groupBy("qid").agg(F.collect_list("term_id").alias("term_ids"))
+    sizes = drawn_rows.groupBy("conv_id").agg((F.count("*") > small).alias("long"))
+    value = "spans" if spans else "words"
+    found = stored(search.term_spans(texts, numbered, spans).select("conv_id", "id", "unranked", "term_id", value).join(sizes, "conv_id"), "found")
+    pairs = stored(shown.select("qid", "conv_id").distinct().join(own, "qid").join(sizes, "conv_id").withColumn("many", F.size("term_ids") > FEW), "pairs")
+    held = F.map_from_entries(F.collect_list(F.struct("term_id", value))).alias("held")  # no more than a message has words
+    met = pairs.where("not long and not many").join(found.where("not long").groupBy("conv_id", "id", "unranked").agg(held), "conv_id")
+    values = [F.col("held")[F.get("term_ids", F.lit(i))] for i in range(FEW)]
+    words = reduce(add, [F.coalesce(F.array_size(v) if spans else v, F.lit(0)) for v in values]).cast("long").alias("words")
+    laid = [F.sort_array(F.flatten(F.array_compact(F.array(*values)))).alias("marks")] if spans else []
+    short = met.select("qid", "id", "unranked", words, *laid).where("words > 0")
+    by_term = pairs.where("long or many").select("qid", "conv_id", F.explode("term_ids").alias("term_id")).join(found, ["conv_id", "term_id"])
+    gathered = [F.sort_array(F.flatten(F.collect_list("spans"))).alias("marks")] if spans else []
+    out = short.unionByName(by_term.groupBy("qid", "id", "unranked").agg(F.sum(F.array_size("spans") if spans else "words").cast("long").alias("words"), *gathered))
     return out.select("qid", "id", F.when(F.col("unranked"), "unranked").otherwise("ranked").alias("mark_kind"), *out.columns[3:])
 
 

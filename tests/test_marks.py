@@ -20,13 +20,15 @@ def test_marks_of_overlapping_terms_repeated_rows_and_every_kind(spark):
         (1, "1:3", "prose", True, None), (2, "2:0", "tool_call", True, "stone the"), (2, "2:1", "prose", True, ""), (3, "3:0", "prose", True, "the"),
     ]
     blocks = spark.createDataFrame([*said, said[0]], "conv_id long, id string, kind string, drawn boolean, text string")
-    terms = {1: [("the", False)], 2: [("stone", False), ("sto", True)], 3: [("stone", False), ("stone", True), ("t", True)], 4: [("stones", False), ("the", False)], 5: [("s", True), ("sto", True), ("stone", False)], 6: [("nowhere", False)]}
+    terms = {1: [("the", False)], 2: [("stone", False), ("sto", True)], 3: [("stone", False), ("stone", True), ("t", True)], 4: [("stones", False), ("the", False)], 5: [("s", True), ("sto", True), ("stone", False)], 6: [("nowhere", False)], 7: [(w, False) for w in ("the", "stone", "stones", "stonework", *"abcdefgh")]}
     asks = spark.createDataFrame([(q, t, p) for q, own in terms.items() for t, p in own], "qid long, term string, is_prefix boolean").groupBy("qid", "term").agg(F.max("is_prefix").alias("is_prefix"))
     pairs = [(q, c) for q in terms for c in (1, 2)] + [(1, 3), (1, 3), (9, 3)]
     got = transcript.marked(blocks, spark.createDataFrame(pairs, "qid long, conv_id long"), asks).collect()
     want = {(q, i, "unranked" if kind == "reasoning" else "ranked"): spans(text, terms[q]) for c, i, kind, drawn, text in said if drawn and text for q in terms if (q, c) in pairs}
     assert {(r["qid"], r["id"], r["mark_kind"]): [tuple(m) for m in r["marks"]] for r in got} == {k: v for k, v in want.items() if v}
     assert len(got) == len({(r["qid"], r["id"]) for r in got}) and all(r["words"] == len(r["marks"]) for r in got)
+    apart = [transcript.marked(blocks, spark.createDataFrame(pairs, "qid long, conv_id long"), asks, small=n).collect() for n in (0, 2)]  # by term, and both ways
+    assert all(sorted(map(tuple, a)) == sorted(map(tuple, got)) for a in apart)
     counted = transcript.marked(blocks, spark.createDataFrame(pairs, "qid long, conv_id long"), asks, spans=False).collect()
     assert sorted(map(tuple, counted)) == sorted(tuple(r)[:4] for r in got)
 
